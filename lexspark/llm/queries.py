@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import documents
+from ._common import documents, shared_dir
+from .bpe import bpe_round_trip
 from .minhash import near_duplicates
 from .substring_dedup import substring_dedup
+from .token_files import token_checksums, write_tokens
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,14 +19,27 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, width=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return bpe_round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return substring_dedup(docs, width=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = write_tokens(docs, f"{shared_dir(spark)}/tokens", public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_checksums(spark, out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op6_bpe": op6_bpe,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_token_files": op9_token_files,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
