@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import documents, shared_dir
 from .bpe import bpe_round_trip
 from .minhash import near_duplicates
+from .pii import find_pii
+from .quality import quality_report
+from .secrets import find_secrets
 from .substring_dedup import substring_dedup
 from .token_files import token_checksums, write_tokens
 
@@ -19,6 +22,18 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, width=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(documents(spark, sf_dir).select("doc_id", "text")).drop("found")
+
+
+def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return bpe_round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -37,6 +52,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_pii": op4_pii,
+    "op5_quality_cascade": op5_quality_cascade,
     "op6_bpe": op6_bpe,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_files": op9_token_files,
@@ -69,6 +87,36 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d JOIN comps c ON c.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """
 
+OP5_SQL = rf"""
+WITH base AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce({_WORDS.format(text="text")}, []) AS w FROM documents
+), lines AS MATERIALIZED (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM base
+), line_counts AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), windows AS MATERIALIZED (
+  SELECT doc_id, unnest(range(1, len(w) - 3)) AS s, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS seq
+  FROM base WHERE len(w) >= 5
+), twice AS MATERIALIZED (
+  SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, seq) AS n FROM windows) WHERE n > 1
+), repeats AS (
+  SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, unnest(range(s, s + 5)) FROM twice) GROUP BY doc_id
+), facts AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    coalesce(n_lines, 0) AS n_lines,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters,
+    len(list_filter(w, lambda x: strlen(x) > 1 AND regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_shouted
+  FROM base LEFT JOIN line_counts USING (doc_id) LEFT JOIN repeats USING (doc_id)
+), judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM facts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 50 * n_lines OR 100 * n_stutters > 30 * n_words
+    OR 100 * n_shouted > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+FROM judged
+"""
+
 OP8_SQL = rf"""
 WITH words AS MATERIALIZED (
   SELECT doc_id, coalesce({_WORDS.format(text="text")}, []) AS w FROM documents
@@ -90,5 +138,6 @@ SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha25
 
 ORACLE_SQL: dict[str, str] = {
     "op2_minhash_near_dedup": OP2_SQL,
+    "op5_quality_cascade": OP5_SQL,
     "op8_substring_dedup": OP8_SQL,
 }
