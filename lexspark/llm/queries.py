@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import documents, shared_dir
 from .bpe import bpe_round_trip
+from .decontaminate import benchmark_matches
 from .minhash import near_duplicates
 from .pii import find_pii
 from .quality import quality_report
@@ -39,6 +40,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return benchmark_matches(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return substring_dedup(docs, width=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_quality_cascade": op5_quality_cascade,
     "op6_bpe": op6_bpe,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_files": op9_token_files,
 }
