@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import documents, shared_dir
 from .bpe import bpe_round_trip
 from .decontaminate import benchmark_matches
+from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .pii import find_pii
 from .quality import quality_report
@@ -56,6 +57,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_checksums(spark, out)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "kept_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_secret_scan": op3_secret_scan,
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_files": op9_token_files,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
