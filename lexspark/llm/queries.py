@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._common import documents, shared_dir
 from .bpe import bpe_round_trip
 from .decontaminate import benchmark_matches
+from .language_id import identify, train
 from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .pii import find_pii
@@ -19,6 +21,18 @@ from .substring_dedup import substring_dedup
 from .token_files import token_checksums, write_tokens
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents (their source stands for a host) and all pages (all four kinds of evidence)."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    model = train(docs)
+    columns = ["declared", "suffix", "text_lang", "lang", "confidence"]
+    none = F.lit(None).cast("long")
+    texts = identify(docs, model, "doc_id", "text", host_col="source").select(F.col("id").alias("doc_id"), none.alias("page_id"), "host", *columns)
+    web = identify(pages, model, "page_id", "html", url_col="url", markup=True).select(none.alias("doc_id"), F.col("id").alias("page_id"), "host", *columns)
+    return texts.unionByName(web)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return near_duplicates(docs, width=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
@@ -62,6 +76,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_pii": op4_pii,
