@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,13 +59,39 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of texts and lists that a function of one batch meets at once (one larger row alone).
+SLICE_BYTES = 4 << 20
+
+
+def _weights(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of each row's variable part."""
+    total = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_binary(column.type) or pa.types.is_string(column.type):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(column.type):
+            total += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return total
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in consecutive parts of about ``most`` bytes."""
+    part = np.cumsum(_weights(batch)) // most
+    edges = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, batch.num_rows]
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        # taken, not sliced: functions read the buffers of lists from their beginning
+        yield batch if b - a == batch.num_rows else batch.take(pa.array(np.arange(a, b)))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch; memory is bounded by a batch."""
+    """``mapInArrow`` with a function of one batch. Spark counts rows of a batch, not bytes, so
+    batches are cut by size first: memory is bounded however long the texts are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield fn(batch)
+                for part in slices(batch):
+                    yield fn(part)
 
     return df.mapInArrow(run, schema)
 
