@@ -19,15 +19,20 @@ class SearchEngine:
         self.spark, self.docs, self.settings = spark, docs, settings
         self.store = IndexStore(spark, store) if store and settings.use_cache else None
         saved = self.store.load(settings) if self.store else None
-        self.index: Index = sync(saved, docs) if saved else build_index(docs, settings.split_camel_case)
+        self.index: Index
+        self._take(sync(saved, docs) if saved else build_index(docs, settings.split_camel_case))
+
+    def _take(self, index: Index) -> None:
+        """Kept by the executors for many searches; saved, its plan starts from files."""
+        self.index = index.persist()
 
     def add(self, docs: DataFrame) -> None:
-        self.index = upsert(self.index, docs)
+        self._take(upsert(self.index, docs))
         self.docs = self.docs.join(docs.select("path"), "path", "left_anti").unionByName(docs)
 
     def remove(self, paths: list[str]) -> None:
         gone = self.spark.createDataFrame([(p,) for p in paths], "path string")
-        self.index = remove(self.index, gone)
+        self._take(remove(self.index, gone))
         self.docs = self.docs.join(gone, "path", "left_anti")
 
     def persist(self) -> None:
