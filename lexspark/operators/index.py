@@ -19,8 +19,9 @@ FIELDS = {"basename": 3.0, "aliases": 3.0, "tags": 2.0, "headings1": 1.8, "direc
 
 @dataclass(frozen=True)
 class Index:
-    """``postings(path, field, term)``, ``lengths(path, field, len)``, ``manifest(path, mtime)``,
-    and from these ``terms(field, term, df)`` and ``stats(field, n, avg_len)``."""
+    """``postings(path, field, term, len)``, ``lengths(path, field, len)``, ``manifest(path, mtime)``,
+    and from these ``terms(field, term, df)`` and ``stats(field, n, avg_len)``. A posting carries
+    the length of its field, so that scoring joins nothing but the few expanded terms."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -64,7 +65,7 @@ def build_index(docs: DataFrame, camel: bool = False) -> Index:
     """``docs`` must hold one row for each path. Text that two tables need is read once if the
     caller saves the index; unsaved, it is a plan over ``docs``."""
     terms = field_terms(docs, camel)
-    postings = terms.select("path", "field", F.explode("terms").alias("term"))
+    postings = terms.select("path", "field", F.explode("terms").alias("term"), F.size("terms").alias("len"))
     lengths = terms.select("path", "field", F.size("terms").alias("len")).where("len > 0")
     return Index(postings, lengths, docs.select("path", "mtime"), camel)
 

@@ -68,7 +68,7 @@ def score_terms(index: Index, wanted: list[str], fuzzy: Fuzzy, config: ScoringCo
     found = expand(index.terms, wanted, fuzzy, config)
     stats = F.broadcast(index.stats)  # one row a field
     weighted = found.join(stats, "field").withColumn("gain", F.log((F.col("n") + 1) / F.col("df")) * F.col("m"))
-    hits = index.postings.join(weighted, ["field", "term"]).join(index.lengths, ["path", "field"])
+    hits = index.postings.join(weighted, ["field", "term"])
     norm = config.k1 * (1 - config.b + config.b * F.col("len") / F.col("avg_len")) + 1
     boost = F.create_map(*[F.lit(x) for pair in FIELDS.items() for x in pair])[F.col("field")]
     hits = hits.withColumn("s", boost * F.col("gain") * ((config.k1 + 1) / norm + config.delta))

@@ -31,8 +31,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    """A table of texts, dealt to all cores if its files have fewer row groups than that."""
+    df, cores = _read(spark, sf_dir, table), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents_as_docs(_read(spark, sf_dir, "documents"))
+    return documents_as_docs(_texts(spark, sf_dir))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +162,7 @@ _register_search("q_search_conversations", "user thing", source="conversations",
 
 
 def q_tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     return docs.select("doc_id", F.explode(T.tokenize(F.col("text"))).alias("term"))
 
 
@@ -185,7 +191,7 @@ SELECT raw, array_to_string(list_filter(vs, lambda x, i: list_position(vs, x) =
 
 
 def q_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = T.token_spans(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    spans = T.token_spans(_texts(spark, sf_dir), "doc_id", "text")
     return spans.select("doc_id", "start", "length", F.col("variants")[0].alias("base"))
 
 
@@ -218,7 +224,7 @@ def _phrase_sql(words: list[str]) -> str:
 
 
 def q_phrase_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.contains_phrase(_read(spark, sf_dir, "documents"), _PHRASE, "doc_id", "text")
+    return M.contains_phrase(_texts(spark, sf_dir), _PHRASE, "doc_id", "text")
 
 
 _register("q_phrase_filter", q_phrase_filter, f"WITH {_SPANS_SQL}, {_phrase_sql(_PHRASE.split())} SELECT DISTINCT doc_id FROM phrase")
@@ -251,7 +257,7 @@ _register("q_refine_compat", _refined(False), f"SELECT * FROM ({_WITH_PHRASE + '
 
 
 def q_approx_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = T.token_spans(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    spans = T.token_spans(_texts(spark, sf_dir), "doc_id", "text")
     return M.approx_phrase_offsets(spans, _APPROX, "doc_id", 3).withColumn("length", F.col("length").cast("long"))
 
 
@@ -271,7 +277,7 @@ _MATCH_SQL = """hits AS MATERIALIZED (SELECT doc_id, start, CASE WHEN starts_wit
 
 def _plain_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans without joined words, whose parts the SQL side does not follow."""
-    return T.token_spans(_read(spark, sf_dir, "documents"), "doc_id", "text").where(~F.col("variants")[0].rlike("[-_]"))
+    return T.token_spans(_texts(spark, sf_dir), "doc_id", "text").where(~F.col("variants")[0].rlike("[-_]"))
 
 
 def q_term_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +312,7 @@ FROM part WHERE regexp_matches(p_name, '(^|[^\p{L}\p{N}\p{M}_''’-])(bolt|bl)')
 
 
 def q_infile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir).select("doc_id", "text")
     rows = M.search_lines(docs, "thing ation", "doc_id", "text")
     return rows.select("doc_id", F.col("rank").cast("long").alias("rank"), F.col("line").cast("long").alias("line"), "line_text", F.size("offsets").cast("long").alias("n"), "distinct_terms", "phrase")
 
