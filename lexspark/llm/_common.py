@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -59,6 +60,15 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, also when the driver was
+    started elsewhere; on a cluster the package is installed or shipped as usual."""
+    root, held = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in held.get("PYTHONPATH", "").split(":") if p]
+    if root not in paths:
+        held["PYTHONPATH"] = ":".join([*paths, root])
+
+
 #: Bytes of texts and lists that a function of one batch meets at once (one larger row alone).
 SLICE_BYTES = 4 << 20
 
@@ -87,6 +97,8 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     """``mapInArrow`` with a function of one batch. Spark counts rows of a batch, not bytes, so
     batches are cut by size first: memory is bounded however long the texts are."""
 
+    importable(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
