@@ -106,14 +106,21 @@ def ranked(index: Index, query: Query, limit: int = 50, fuzzy: Fuzzy = Fuzzy(),
     wanted = py_tokenize(query.text, index.camel) if query.text else []
     if not wanted:
         return spark.createDataFrame([], HIT)
-    full = score_terms(index, wanted, fuzzy, config).where(F.col("matched") == len(wanted))
+    scored = score_terms(index, wanted, fuzzy, config)
+    every = F.col("matched") == len(wanted)
+    full = scored.where(every)
     hits = full.select("path", F.round("score", config.digits).alias("score"), "terms")
     some = [t for t in wanted if len(t) >= 3]
     if some and full.limit(limit).count() < limit:
         again = py_tokenize(" ".join(some), index.camel)
-        part = score_terms(index, again, fuzzy, config).join(full.select("path"), "path", "left_anti")
-        part = part.withColumn("score", F.round(F.col("score") * config.any_penalty * F.col("matched") / len(some), config.digits))
-        hits = hits.unionByName(part.select("path", "score", "terms"))
+        penalty = F.when(every, 1.0).otherwise(F.lit(config.any_penalty) * F.col("matched") / len(some))
+        if again == wanted:  # one scoring serves both passes
+            part, penalised = scored, F.col("score") * penalty
+        else:
+            part = score_terms(index, again, fuzzy, config).join(full.select("path"), "path", "left_anti")
+            penalised = F.col("score") * config.any_penalty * F.col("matched") / len(some)
+        part = part.select("path", F.round(penalised, config.digits).alias("score"), "terms")
+        hits = part if again == wanted else hits.unionByName(part)
     return filter_paths(exclude_terms(hits, index, query.excluded_terms), query)
 
 
