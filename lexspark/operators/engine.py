@@ -58,7 +58,7 @@ class SearchEngine:
     def excerpts(self, raw: str, hits: DataFrame) -> DataFrame:
         """Excerpts of the given hits only: other texts are not read."""
         terms = py_tokenize(parse_query(raw).text, self.settings.split_camel_case)
-        page = self.docs.join(F.broadcast(hits.select("path").limit(1000)), "path", "left_semi")
+        page = self.docs.join(hits.select("path"), "path", "left_semi")
         return excerpts(page, parse_query(raw).text, terms, camel=self.settings.split_camel_case)
 
     def lines(self, path: str, raw: str) -> DataFrame:
