@@ -59,8 +59,9 @@ def trigrams(raw: bytes) -> np.ndarray:
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> TextModel:
     """Counts over at most ``rows`` rows of each language, chosen by the hash of the text; only
-    counts of a fixed number of buckets reach the driver."""
-    languages = tuple(sorted(r[0] for r in labelled.select(lang_col).where(F.col(lang_col).isNotNull()).distinct().limit(64).collect()))
+    counts of a fixed number of buckets reach the driver. Without labelled rows the one
+    language is ``und``; more than 64 labels are not told apart, the rest are left out."""
+    languages = tuple(sorted(r[0] for r in labelled.select(lang_col).where(F.col(lang_col).isNotNull()).distinct().limit(64).collect())) or ("und",)
     total = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isin(*languages)).select(F.col(lang_col).alias("lang"), text_bytes(text_col).alias("raw"))
     size = {r["lang"]: r["n"] for r in total.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * rows / n))) for lang, n in size.items()], F.lit(0.0))
