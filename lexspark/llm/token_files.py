@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import cache, partial
 
 import numpy as np
@@ -27,6 +28,9 @@ ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
 
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: A letter run and one of these are two words of the pattern.
+_STOPS = frozenset(".,;:!?")
+
 
 class LibraryEncoder:
     """Byte-level BPE through the tokenizers library, with the pieces between single spaces
@@ -49,11 +53,13 @@ class LibraryEncoder:
 
     def _encode_word(self, word: str) -> bytes:
         symbols = word.encode("utf-8").decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(symbols)], dtype="<i4").tobytes()
+        return array("i", [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
     def _encode_piece(self, piece: str) -> bytes | bool:
         if piece.isalpha():
             return self._word[" " + piece]
+        if piece[-1:] in _STOPS and piece[:-1].isalpha():
+            return self._word[" " + piece[:-1]] + self._word[piece[-1]]
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return False
         return self._plain(" " + piece)
