@@ -164,12 +164,15 @@ def block_links(side: np.ndarray, node: np.ndarray, comp: np.ndarray, sets: list
 def _finish(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, root: str) -> DataFrame:
     """Links that the groups with several components still hold."""
     held = members.join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    home = comps.select(F.col("id").alias("leader"), F.col("comp").alias("home"))
+    held = held.join(home, "leader", "left").withColumn("home", F.coalesce("home", "leader"))
     held = materialise(held, f"{root}/held")
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rows = held.join(mixed, "key")
-    # A place for each document: its smallest leader; large components get blocks of their own,
-    # so that a pair of blocks of one component is seen and skipped.
-    place = rows.groupBy("node", "comp").agg(F.min("leader").alias("label")).join(sets.select("node", F.length("blob").alias("size")), "node")
+    # A place for each document: the smallest component among its leaders, so that a group of
+    # copies shares few blocks; large components get blocks of their own, so that a pair of
+    # blocks of one component is seen and skipped.
+    place = rows.groupBy("node", "comp").agg(F.min("home").alias("label")).join(sets.select("node", F.length("blob").alias("size")), "node")
     many = place.groupBy("label", "comp").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK).select("label", "comp", F.lit(True).alias("large"))
     place = place.join(many, ["label", "comp"], "left").withColumn("part", F.when(F.col("large"), F.col("comp")).otherwise(F.lit(-1)))
     width = place.groupBy("label", "part").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).alias("nb"))
@@ -180,17 +183,31 @@ def _finish(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int,
     b = seen.select("key", F.col("block").alias("y"), F.col("lo").alias("yl"), F.col("hi").alias("yh"))
     pairs = a.join(b, "key").where("x <= y and least(xl, yl) <> greatest(xh, yh)").select("x", "y").distinct()
     pairs = materialise(pairs, f"{root}/pairs")
-    sides = pairs.select("x", "y", F.lit(0).alias("side"), F.col("x").alias("block")).unionByName(
-        pairs.where("x <> y").select("x", "y", F.lit(1).alias("side"), F.col("y").alias("block"))
-    )
-    full = sides.join(place, "block").join(sets, "node").select("x", "y", "side", "node", "comp", "blob")
+    # The larger block of a pair is host; all guests of a host come to it together, in buckets of
+    # a block's size, so that a host meets many small blocks in few copies of itself.
+    sizes = place.groupBy("block").agg(F.count("*").alias("n"))
+    met = pairs.where("x <> y").join(sizes.select(F.col("block").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("block").alias("y"), F.col("n").alias("ny")), "y")
+    larger = F.col("nx") >= F.col("ny")
+    met = met.select(F.when(larger, F.col("x")).otherwise(F.col("y")).alias("host"), F.when(larger, F.col("y")).otherwise(F.col("x")).alias("guest"))
+    guests = met.join(place.withColumnRenamed("block", "guest"), "guest").select("host", "node", "comp")
+    loads = guests.groupBy("host").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
+    hosts = loads.join(pairs.where("x = y").select(F.col("x").alias("host"), F.lit(True).alias("own")), "host", "full_outer")
+    hosts = materialise(hosts.select("host", F.coalesce("nb", F.lit(1)).alias("nb"), F.coalesce("own", F.lit(False)).alias("own")), f"{root}/hosts")
+    copies = hosts.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).join(place.withColumnRenamed("block", "host"), "host")
+    copies = copies.select("host", "bucket", F.lit(0).alias("side"), "node", "comp", (F.col("own") & (F.col("bucket") == 0)).alias("own"))
+    guests = guests.join(hosts.select("host", "nb"), "host").select("host", F.pmod(F.xxhash64("node"), "nb").alias("bucket"), F.lit(1).alias("side"), "node", "comp", F.lit(False).alias("own"))
+    full = copies.unionByName(guests).join(sets, "node").select("host", "bucket", "side", "node", "comp", "own", "blob")
 
     def run(table: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(v, dtype=np.uint64) for v in table.column("blob").to_pylist()]
-        found = block_links(table.column("side").to_numpy(), table.column("node").to_numpy(), table.column("comp").to_numpy(), blobs, percent)
+        side, node, comp, own = (table.column(c).to_numpy() for c in ("side", "node", "comp", "own"))
+        found = block_links(side, node, comp, blobs, percent) if side.any() else []
+        if own.any():
+            at = np.flatnonzero(side == 0)
+            found += block_links(side[at], node[at], comp[at], [blobs[i] for i in at], percent)
         return pa.table({"src": pa.array([f[0] for f in found], pa.int64()), "dst": pa.array([f[1] for f in found], pa.int64())})
 
-    return full.groupBy("x", "y").applyInArrow(run, "src long, dst long")
+    return full.groupBy("host", "bucket").applyInArrow(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -202,7 +219,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Defined cases: null or empty or word-free texts have no shingle and are linked with
     nothing; a text of fewer than ``width`` words is one shingle; rows with a null id are
     passed through, unlinked, with null component and ``kept`` true; repeated rows share
-    their id's component; other columns are carried along, and one that clashes with a
+    their id's component (if their texts differ, they are one document, linked through either
+    text's class); other columns are carried along, and one that clashes with a
     result column is replaced by it; an empty table gives an empty table.
     """
     require(docs, id_col, text_col)
@@ -225,12 +243,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = stars.join(sets.select(F.col("node").alias("src"), F.col("blob").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("blob").alias("b")), "dst")
     links = materialise(_verify(stars, percent), f"{root}/links")
     comps = connected_components(links)
-    rest = materialise(_finish(members, comps, sets, percent, root), f"{root}/rest")
-    copies = sigs.join(classes.select("digest", "node"), "digest").where("id <> node").select(F.col("id").alias("src"), F.col("node").alias("dst"))
-    comps = connected_components(links.unionByName(rest).unionByName(copies))
+    comps = materialise(comps, f"{root}/comps")
+    rest = _finish(members, comps, sets, percent, root)
+    # What is left to join are components: links among them, and ids under which several
+    # different texts stand. Both are few, so the second pass is short.
+    held = sigs.where("id is not null").join(classes.select("digest", "node"), "digest", "left")
+    held = materialise(held.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.min("node").alias("node"), F.max("node").alias("other")), f"{root}/ids")
+    shared_ids = held.where("node <> other").select(F.col("node").alias("src"), F.col("other").alias("dst"))
+    more = rest.unionByName(shared_ids)
+    for end in ("src", "dst"):
+        more = more.join(comps.select(F.col("id").alias(end), F.col("comp").alias(f"{end}_comp")), end, "left").withColumn(end, F.coalesce(f"{end}_comp", end)).drop(f"{end}_comp")
+    last = connected_components(more)
+    named = held.join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = named.join(last.select(F.col("id").alias("comp"), F.col("comp").alias("final")), "comp", "left")
     out = ["n_shingles", "component_id", "kept"]
-    found = sigs.where("id is not null").groupBy("id").agg(F.max("n_shingles").alias("n_shingles")).join(comps, "id", "left")
-    found = found.select(F.col("id").alias("__id"), "n_shingles", F.coalesce("comp", "id").alias("component_id"))
+    found = named.select(F.col("id").alias("__id"), "n_shingles", F.coalesce("final", "comp", "id").alias("component_id"))
     keep = [c for c in docs.columns if c not in out]
     key = fresh(docs, "__key")
     joined = docs.select(*keep).withColumn(key, F.col(id_col).cast("long")).join(found, F.col(key) == F.col("__id"), "left")
