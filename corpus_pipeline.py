@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm._common import documents, materialise, shared_dir
-from lexspark.llm.bpe import bpe_decode, bpe_encode
+from lexspark.llm.bpe import bpe_encode_decode
 from lexspark.llm.decontaminate import decontaminate
 from lexspark.llm.line_dedup import line_dedup
 from lexspark.llm.minhash import near_duplicates
 from lexspark.llm.quality import quality_filter
 
+#: Python workers live on from stage to stage, and so does what they remember: less than the
+#: codec's own default leaves room for the other stages.
+REMEMBERED = 100_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a quality rule rejects go."""
@@ -42,7 +46,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the text that they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    out = bpe_decode(bpe_encode(docs, path).drop("text"), path)
+    out = bpe_encode_decode(docs, path, remembered=REMEMBERED)
     return out.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

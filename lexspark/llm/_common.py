@@ -70,7 +70,7 @@ def importable(spark: SparkSession) -> None:
 
 
 #: Bytes of texts and lists that a function of one batch meets at once (one larger row alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def _weights(batch: pa.RecordBatch) -> np.ndarray:
@@ -104,6 +104,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
             if batch.num_rows:
                 for part in slices(batch):
                     yield fn(part)
+        pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
     return df.mapInArrow(run, schema)
 

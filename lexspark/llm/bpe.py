@@ -140,8 +140,8 @@ class BpeCodec:
 
 
 @cache
-def codec(path: str) -> BpeCodec:
-    return BpeCodec(path)
+def codec(path: str, remembered: int = REMEMBERED) -> BpeCodec:
+    return BpeCodec(path, remembered)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -150,14 +150,14 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))
 
 
-def _encode(path: str, batch: pa.RecordBatch) -> pa.RecordBatch:
-    use = codec(path)
+def _encode(path: str, remembered: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    use = codec(path, remembered)
     rows = [use.encode(to_text(raw)) for raw in batch.column(0).to_pylist()]
     return pa.RecordBatch.from_arrays([*batch.columns[1:], _lists(rows)], names=[*batch.schema.names[1:], "ids"])
 
 
-def _decode(path: str, batch: pa.RecordBatch) -> pa.RecordBatch:
-    use = codec(path)
+def _decode(path: str, remembered: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    use = codec(path, remembered)
     texts = [use.decode(ids or []) for ids in batch.column(0).to_pylist()]
     return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*batch.schema.names[1:], "decoded"])
 
@@ -170,20 +170,37 @@ def _apply(df: DataFrame, first: "F.Column", fn, result: str, kind: str) -> Data
     return map_arrow(df.select(first.alias(lead), *keep), fn, out)
 
 
-def bpe_encode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+def bpe_encode(df: DataFrame, path: str, text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """``df`` plus ``ids``: the token ids of every whole text under the tokenizer file ``path``.
 
     Special-token strings in a text become their ids; no others are added. Null and empty
-    texts have no ids. An ``ids`` column of the input is replaced; other columns stay.
+    texts have no ids. ``remembered`` bounds the pieces a Python worker keeps: fewer take less
+    memory and more time. An ``ids`` column of the input is replaced; other columns stay.
     """
     require(df, text_col)
-    return _apply(df, text_bytes(text_col), partial(_encode, path), "ids", "array<int>")
+    return _apply(df, text_bytes(text_col), partial(_encode, path, remembered), "ids", "array<int>")
 
 
-def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
+def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", remembered: int = REMEMBERED) -> DataFrame:
     """``df`` plus ``decoded``: the vocabulary strings of ``ids_col``; null or no ids give ``''``."""
     require(df, ids_col)
-    return _apply(df, F.col(ids_col), partial(_decode, path), "decoded", "string")
+    return _apply(df, F.col(ids_col), partial(_decode, path, remembered), "decoded", "string")
+
+
+def _both(path: str, remembered: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    use = codec(path, remembered)
+    rows = [use.encode(to_text(raw)) for raw in batch.column(0).to_pylist()]
+    texts = pa.array([use.decode(ids.tolist()) for ids in rows], pa.string())
+    coded = pa.StructArray.from_arrays([_lists(rows), texts], names=["ids", "decoded"])
+    return pa.RecordBatch.from_arrays([*batch.columns[1:], coded], names=[*batch.schema.names[1:], "coded"])
+
+
+def bpe_encode_decode(df: DataFrame, path: str, text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+    """``df`` plus ``ids`` and ``decoded`` in one pass: one Python worker a task holds one codec."""
+    require(df, text_col)
+    df = df.drop("ids", "decoded")
+    out = _apply(df, text_bytes(text_col), partial(_both, path, remembered), "coded", "struct<ids:array<int>,decoded:string>")
+    return out.select(*[c for c in out.columns if c != "coded"], "coded.ids", "coded.decoded")
 
 
 def _digest(path: str, batch: pa.RecordBatch) -> pa.RecordBatch:

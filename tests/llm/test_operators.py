@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexspark.llm import language_id, pii, quality, secrets
-from lexspark.llm.bpe import BpeCodec, bpe_decode, bpe_encode, bpe_round_trip, merge_symbols
+from lexspark.llm.bpe import BpeCodec, bpe_decode, bpe_encode, bpe_encode_decode, bpe_round_trip, merge_symbols
 from lexspark.llm.components import connected_components
 from lexspark.llm.decontaminate import benchmark_matches, decontaminate
 from lexspark.llm.line_dedup import line_dedup
@@ -233,6 +233,8 @@ def test_bpe_frames(docs, texts):
     df = bpe_decode(bpe_encode(docs.withColumn("ids", F.lit(1)), WORD_BPE), WORD_BPE)
     rows = {r.doc_id: r for r in df.collect()}
     assert rows[3].ids == [] and rows[3].decoded == "" and rows[6].kept == "src"
+    once = {r.doc_id: r for r in bpe_encode_decode(docs, WORD_BPE).collect()}
+    assert all((once[i].ids, once[i].decoded) == (rows[i].ids, rows[i].decoded) for i in rows)
     trip = {r.doc_id: r for r in bpe_round_trip(docs, WORD_BPE).collect()}
     assert all(trip[i].decoded_sha256 == hashlib.sha256(rows[i].decoded.encode()).hexdigest() for i in rows)
 
