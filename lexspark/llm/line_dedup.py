@@ -5,11 +5,12 @@ digit are variable from the start. Below a leaf, lines that agree on most of the
 are one template, and where they differ becomes variable. Lines of templates that recur
 across documents are dropped, wherever they stand.
 
-"Across documents" means across different ones: whole copies of a document repeat all its
+"Across documents" means across different ones: copies of a document repeat all its
 lines and say nothing about a single one, and they are near-dedup's business. Each document
-therefore counts under a sketch (its least hash of three words), kept as a 256-bit linear counter
-with each line form: fixed-width columns that combine before the shuffle, however many
-documents share a line.
+therefore counts under a sketch (least hashes of three words), and a line recurs once so many
+documents hold it that no two of them are copies or near copies by their sketches. Copies add
+nothing to that count and cannot outvote it, however many there are. A task passes on
+documents of a line only as far as they differ, and no more than decide.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, hash_words, key_long, map_arrow, materialise, mix, require, shared_dir, text_bytes, window_hashes
+from ._common import fresh, hash_words, importable, key_long, map_arrow, materialise, mix, require, shared_dir, slices, text_bytes, window_hashes
 
 #: Leading tokens of a path, and the share of equal tokens that makes two lines one template.
 DEPTH, SIMILAR = 3, 0.7
-#: Different documents from which a template recurs, and documents for one different one, at most.
-DOCUMENTS, COPIES = 5, 3
-_BITS, _PLANES = 256, 4
+#: Different documents from which a template recurs.
+DOCUMENTS = 5
+#: Places of a document's sketch, and the share of equal ones from which two documents are copies:
+#: below the similarity of two near copies of a third document.
+PLACES, COPY = 64, 0.5
+#: Lines whose documents a task remembers; beyond them a task passes on more rows than it must.
+REMEMBERED = 20_000
 _VARIABLE = 0
 _DIGITS = bytes(range(48, 58))
 
@@ -79,50 +84,76 @@ class Lines:
         return order[first]
 
     def sketches(self, n: int) -> np.ndarray:
-        """Least hash of three tokens in a row, for each of ``n`` texts: alike for near copies."""
+        """(n, PLACES) bytes: a text's runs of three tokens fall to places by their hash, and the least
+        of each place leaves a byte (0: none). A text of one or two tokens is one run."""
         owner = np.repeat(self.text, self.size)
-        out = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
-        runs = window_hashes(np.r_[self.tokens, np.zeros(2, dtype=np.uint64)], 3) if len(owner) else self.tokens
-        begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, dtype=np.int64)
-        ends = np.r_[begin[1:], len(owner)]
-        inner = np.ones(len(owner), dtype=bool)
-        for back in (1, 2):  # runs that reach into the next text, unless the text is that short
-            edge = ends - back
-            inner[edge[edge > begin]] = False
-        runs = np.where(inner, runs, np.iinfo(np.uint64).max)
-        if len(begin):
-            out[owner[begin]] = np.minimum.reduceat(runs, begin)
-        return out
-
-
-def different(counter: np.ndarray) -> np.ndarray:
-    """Linear counting: about how many sketches set the bits of each row of ``counter``."""
-    full = np.bitwise_count(counter.view(np.uint64)).sum(axis=-1)
-    return np.where(full >= _BITS, np.inf, -_BITS * np.log(np.maximum(1 - full / _BITS, 1e-9)))
-
-
-def recurs(counter: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    n = different(counter)
-    return (np.round(n) >= DOCUMENTS) & (n * COPIES >= docs)
-
-
-_PLANE_NAMES = [f"p{i}" for i in range(_PLANES)]
-_FORM = "leaf long, form long, tokens binary, " + ", ".join(f"{p} long" for p in _PLANE_NAMES) + ", docs long"
-
-
-def _emit(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """One row for each different line of each text; 16 bits of each token are carried."""
+        least = np.full(n * PLACES, np.iinfo(np.uint64).max, dtype=np.uint64)
+        if len(owner):
+            runs = window_hashes(np.r_[self.tokens, np.zeros(2, dtype=np.uint64)], 3)
+            begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            ends = np.r_[begin[1:], len(owner)]
+            for size in (1, 2):
+                short = begin[ends - begin == size]
+                runs[short] = mix(self.tokens[short] + np.uint64(size)) ^ (self.tokens[short + 1] if size == 2 else np.uint64(0))
+            inner = np.ones(len(owner), dtype=bool)
+            for back in (1, 2):  # runs that reach into the next text
+                edge = ends - back
+                inner[edge[edge > begin]] = False
+            place = owner[inner] * PLACES + (runs[inner] >> np.uint64(58)).astype(np.int64)
+            np.minimum.at(least, place, runs[inner])
+        mark = (mix(least) >> np.uint64(32)) % np.uint64(255) + np.uint64(1)
+        return np.where(least == np.iinfo(np.uint64).max, 0, mark).astype(np.uint8).reshape(n, PLACES)
+
+
+def copies(a: bytes, b: bytes) -> bool:
+    """Whether two sketches are those of copies or near copies."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    return np.count_nonzero((x == y) & (x > 0)) >= COPY * np.count_nonzero(x | y)
+
+
+def differs(held: list[bytes], sketch: bytes) -> bool:
+    """Adds ``sketch`` to different ones, unless they suffice or hold a copy of it."""
+    if len(held) >= DOCUMENTS or sketch in held or any(copies(own, sketch) for own in held):
+        return False
+    held.append(sketch)
+    return True
+
+
+_FORM = "leaf long, form long, tokens binary, sketch binary"
+
+
+def _emit(batch: pa.RecordBatch, seen: dict[int, list[bytes]]) -> pa.RecordBatch:
+    """One row for each different line of each text, unless ``seen`` has copies of the text or
+    enough others; 16 bits of each token are carried."""
     lines = Lines(batch.column(0).to_pylist())
     at = lines.distinct()
+    at = at[np.argsort(lines.form[at], kind="stable")]
+    sketch = [row.tobytes() for row in lines.sketches(batch.num_rows)]
+    form = lines.form[at]
+    begin = np.flatnonzero(np.r_[True, form[1:] != form[:-1]]) if len(at) else np.empty(0, dtype=np.int64)
+    keep = np.ones(len(at), dtype=bool)
+    for f, a, b in zip(form[begin].tolist(), begin.tolist(), np.r_[begin[1:], len(at)].tolist(), strict=True):
+        if b - a > 1 or f in seen:
+            held = seen.get(f, [])
+            if len(seen) < REMEMBERED:
+                seen[f] = held
+            for i in range(a, b):
+                keep[i] = differs(held, sketch[lines.text[at[i]]])
+    at = at[keep]
     short = (lines.tokens >> np.uint64(48)).astype(np.uint16).tobytes()
     tokens = [short[2 * a : 2 * b] for a, b in zip(lines.start[at].tolist(), lines.start[at + 1].tolist(), strict=True)]
-    sketch = lines.sketches(batch.num_rows)[lines.text[at]] % np.uint64(_BITS)
-    columns = [pa.array(key_long(lines.leaf[at])), pa.array(key_long(lines.form[at])), pa.array(tokens, pa.binary())]
-    for plane in range(_PLANES):
-        bit = np.where(sketch // 64 == plane, np.uint64(1) << (sketch % np.uint64(64)), np.uint64(0))
-        columns.append(pa.array(key_long(bit)))
-    columns.append(pa.array(np.ones(len(at), dtype=np.int64)))
-    return pa.RecordBatch.from_arrays(columns, names=["leaf", "form", "tokens", *_PLANE_NAMES, "docs"])
+    own = [sketch[t] for t in lines.text[at].tolist()]
+    columns = [pa.array(key_long(lines.leaf[at])), pa.array(key_long(lines.form[at])), pa.array(tokens, pa.binary()), pa.array(own, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["leaf", "form", "tokens", "sketch"])
+
+
+def _emit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: dict[int, list[bytes]] = {}
+    for batch in batches:
+        if batch.num_rows:
+            for part in slices(batch):
+                yield _emit(part, seen)
+    pa.default_memory_pool().release_unused()
 
 
 class Leaf:
@@ -135,11 +166,15 @@ class Leaf:
         self.by_place: list[dict[int, list[int]]] = [{} for _ in self.places]
         self.tokens: list[np.ndarray] = []
         self.fixed: list[np.ndarray] = []
-        self.counters: list[np.ndarray] = []
-        self.docs: list[int] = []
-        self.forms: list[list[int]] = []
+        self.held: list[list[bytes]] = []
+        self.of: dict[int, int] = {}
+
+    def add(self, form: int, tokens: np.ndarray, sketch: bytes) -> None:
+        if form not in self.of:
+            self.of[form] = self._template(tokens)
+        differs(self.held[self.of[form]], sketch)
 
-    def add(self, form: int, tokens: np.ndarray, counter: np.ndarray, docs: int) -> None:
+    def _template(self, tokens: np.ndarray) -> int:
         near = {c for place, held in zip(self.places, self.by_place, strict=True) for c in held.get(int(tokens[place]), ())}
         best, most = -1, SIMILAR * len(tokens)
         for c in sorted(near):
@@ -150,50 +185,39 @@ class Leaf:
             best = len(self.tokens)
             self.tokens.append(tokens)
             self.fixed.append(np.ones(len(tokens), dtype=bool))
-            self.counters.append(counter.copy())
-            self.docs.append(docs)
-            self.forms.append([form])
+            self.held.append([])
             for place, held in zip(self.places, self.by_place, strict=True):
                 held.setdefault(int(tokens[place]), []).append(best)
-            return
-        self.fixed[best] &= self.tokens[best] == tokens
-        self.counters[best] |= counter
-        self.docs[best] += docs
-        self.forms[best].append(form)
+        else:
+            self.fixed[best] &= self.tokens[best] == tokens
+        return best
 
     def recurring(self) -> list[int]:
-        return [f for c in range(len(self.forms)) if recurs(self.counters[c][None], np.array([self.docs[c]]))[0] for f in self.forms[c]]
+        return [form for form, c in self.of.items() if len(self.held[c]) >= DOCUMENTS]
 
 
 def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forms sorted by leaf -> forms whose template recurs. Leaves of one form, and leaves
-    that too few different documents reach, need no template; the last leaf of a batch stays
-    open, for it may go on in the next."""
+    """Forms sorted by leaf -> forms whose template recurs. Leaves of too few rows need no
+    template; the last leaf of a batch stays open, for it may go on in the next."""
     open_leaf, leaf = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        leaves, forms, docs = (batch.column(i).to_numpy() for i in (0, 1, 7))
-        counters = np.stack([batch.column(3 + i).to_numpy() for i in range(_PLANES)], axis=1)
-        tokens = batch.column(2)
+        leaves, forms = (batch.column(i).to_numpy() for i in (0, 1))
+        tokens, sketches = batch.column(2), batch.column(3)
         begin = np.flatnonzero(np.r_[True, leaves[1:] != leaves[:-1]])
         ends = np.r_[begin[1:], len(leaves)]
-        enough = np.round(different(np.bitwise_or.reduceat(counters, begin, axis=0))) >= DOCUMENTS
-        alone = (ends - begin == 1) & (leaves[begin] != open_leaf)
-        alone[-1] = False
-        single = begin[alone]
-        out = forms[single[recurs(counters[single], docs[single])]].tolist()
-        for run in np.flatnonzero(~alone).tolist():
+        few = (ends - begin < DOCUMENTS) & (leaves[begin] != open_leaf)
+        few[-1] = False
+        out: list[int] = []
+        for run in np.flatnonzero(~few).tolist():
             a, b = int(begin[run]), int(ends[run])
-            last = run == len(begin) - 1
-            if leaves[a] != open_leaf and not last and not enough[run]:
-                continue
             if leaves[a] != open_leaf:
                 if leaf is not None:
                     out += leaf.recurring()
                 open_leaf, leaf = leaves[a], Leaf(len(tokens[a].as_py()) // 2)
             for i in range(a, b):
-                leaf.add(int(forms[i]), np.frombuffer(tokens[i].as_py(), dtype=np.uint16), counters[i], int(docs[i]))
+                leaf.add(int(forms[i]), np.frombuffer(tokens[i].as_py(), dtype=np.uint16), sketches[i].as_py())
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["form"])
     out = leaf.recurring() if leaf is not None else []
     yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["form"])
@@ -201,10 +225,9 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def recurring_forms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(form)``: the hashes of all lines whose template recurs across documents."""
-    rows = map_arrow(docs.select(text_bytes(text_col)), _emit, _FORM)
-    planes = [F.bit_or(p).alias(p) for p in _PLANE_NAMES]
-    forms = rows.groupBy("leaf", "form", "tokens").agg(*planes, F.sum("docs").alias("docs"))
-    dealt = forms.repartition("leaf").sortWithinPartitions("leaf", "form")
+    importable(docs.sparkSession)
+    rows = docs.select(text_bytes(text_col)).mapInArrow(_emit_all, _FORM)
+    dealt = rows.repartition("leaf").sortWithinPartitions("leaf", "form")
     return dealt.mapInArrow(_grow, "form long").distinct()
 
 
@@ -242,8 +265,8 @@ def _trim(batch: pa.RecordBatch) -> pa.RecordBatch:
 def line_dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``kept_text``, ``n_lines`` (lines with a word) and ``n_dropped``.
 
-    A template recurs if about ``DOCUMENTS`` different documents or more hold it, and no more
-    than ``COPIES`` documents for each different one. Lines are cut at ``\\n``; those without
+    A template recurs if ``DOCUMENTS`` documents or more hold it of which none is a copy or near
+    copy of another, however many copies of them there are. Lines are cut at ``\\n``; those without
     a word are kept and count for nothing. Null texts stay null with no lines; repeated rows and
     copies get the same result; result columns that clash with the input's replace them;
     an empty table gives an empty table.

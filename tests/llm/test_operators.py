@@ -285,6 +285,20 @@ def test_line_dedup(spark):
     assert line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_is_not_outvoted_by_copies(spark):
+    line = "all rights to these pages are reserved"
+    pages = [(i, f"{prose(12)}\n{line}\n{prose(9)}") for i in range(12)]
+    copies = [(100 + i, pages[0][1]) for i in range(120)]
+    df = spark.createDataFrame([*pages, *copies], "doc_id long, text string")
+    out = {r.doc_id: r for r in line_dedup(df).collect()}
+    assert len(out) == 132 and all(r.n_dropped == 1 and line not in r.kept_text for r in out.values())
+
+    base = prose(200).split()
+    edits = [" ".join(base[:k] + [f"{w}x"] + base[k + 1 :]) for k, w in enumerate(base)]
+    near = spark.createDataFrame([(i, f"{t}\n{line}") for i, t in enumerate(edits)], "doc_id long, text string")
+    assert all(r.n_dropped == 0 for r in line_dedup(near).collect())
+
+
 # --- language ---
 
 
