@@ -15,7 +15,9 @@ documents of a line only as far as they differ, and no more than decide.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ DOCUMENTS = 5
 PLACES, COPY = 64, 0.5
 #: Lines whose documents a task remembers; beyond them a task passes on more rows than it must.
 REMEMBERED = 20_000
+#: Tokens of a leaf's templates up to which a form is compared with all of them.
+COMPARED = 1 << 15
 _VARIABLE = 0
 _DIGITS = bytes(range(48, 58))
 
@@ -158,14 +162,20 @@ def _emit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class Leaf:
     """The templates of one leaf, fed with line forms in any number of steps. A form joins the
-    template it agrees with most, sought among those that share one of a few fixed places."""
+    template it agrees with most. While there are few templates all are compared; beyond that, only
+    those that share a segment: the tokens behind the leading ones are cut into more segments than
+    tokens may differ, so that a template similar enough agrees on one of them throughout."""
 
     def __init__(self, width: int) -> None:
-        first = min(DEPTH, width - 1)
-        self.places = sorted({first + (width - first) * i // 4 for i in range(4)} | {width - 1})
-        self.by_place: list[dict[int, list[int]]] = [{} for _ in self.places]
-        self.tokens: list[np.ndarray] = []
-        self.fixed: list[np.ndarray] = []
+        self.least = math.ceil(SIMILAR * width)
+        first, segments = min(DEPTH, width), width - self.least + 1
+        # with fewer tokens behind the leading ones than segments, all of them may differ
+        edges = [first + (width - first) * i // segments for i in range(segments + 1)] if width - first >= segments else []
+        self.segments = list(pairwise(edges))
+        self.by_segment: list[dict[bytes, list[int]]] = [{} for _ in self.segments]
+        self.indexed = 0
+        #: A row of tokens for each template, -1 where it is variable.
+        self.tokens = np.empty((4, width), dtype=np.int32)
         self.held: list[list[bytes]] = []
         self.of: dict[int, int] = {}
 
@@ -175,22 +185,30 @@ class Leaf:
         differs(self.held[self.of[form]], sketch)
 
     def _template(self, tokens: np.ndarray) -> int:
-        near = {c for place, held in zip(self.places, self.by_place, strict=True) for c in held.get(int(tokens[place]), ())}
-        best, most = -1, SIMILAR * len(tokens)
-        for c in sorted(near):
-            equal = int(((self.tokens[c] == tokens) & self.fixed[c]).sum())
-            if equal >= most and (best < 0 or equal > most):
-                best, most = c, equal
-        if best < 0:
-            best = len(self.tokens)
-            self.tokens.append(tokens)
-            self.fixed.append(np.ones(len(tokens), dtype=bool))
-            self.held.append([])
-            for place, held in zip(self.places, self.by_place, strict=True):
-                held.setdefault(int(tokens[place]), []).append(best)
-        else:
-            self.fixed[best] &= self.tokens[best] == tokens
-        return best
+        n = len(self.held)
+        near = self._near(tokens) if self.segments and n * len(tokens) > COMPARED else None
+        equal = ((self.tokens[:n] if near is None else self.tokens[near]) == tokens).sum(axis=1)
+        if len(equal) and equal.max() >= self.least:
+            best = int(equal.argmax() if near is None else near[equal.argmax()])
+            self.tokens[best][self.tokens[best] != tokens] = -1
+            return best
+        if n == len(self.tokens):
+            self.tokens = np.concatenate([self.tokens, np.empty_like(self.tokens)])
+        self.tokens[n] = tokens
+        self.held.append([])
+        return n
+
+    def _near(self, tokens: np.ndarray) -> np.ndarray:
+        """Templates that share a segment, in order. The index keeps a template's tokens of the time
+        it was entered: where all of a segment still hold, they are the same."""
+        for c in range(self.indexed, len(self.held)):
+            for (a, b), held in zip(self.segments, self.by_segment, strict=True):
+                if (self.tokens[c, a:b] >= 0).all():
+                    held.setdefault(self.tokens[c, a:b].tobytes(), []).append(c)
+        self.indexed = len(self.held)
+        own = tokens.astype(np.int32)
+        found = {c for (a, b), held in zip(self.segments, self.by_segment, strict=True) for c in held.get(own[a:b].tobytes(), ())}
+        return np.array(sorted(found), dtype=np.int64)
 
     def recurring(self) -> list[int]:
         return [form for form, c in self.of.items() if len(self.held[c]) >= DOCUMENTS]

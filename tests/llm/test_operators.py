@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexspark.llm import language_id, pii, quality, secrets
+from lexspark.llm import line_dedup as line_dedup_module
 from lexspark.llm.bpe import BpeCodec, bpe_decode, bpe_encode, bpe_encode_decode, bpe_round_trip, merge_symbols
 from lexspark.llm.components import connected_components
 from lexspark.llm.decontaminate import benchmark_matches, decontaminate
@@ -299,6 +300,32 @@ def test_line_dedup_is_not_outvoted_by_copies(spark):
     assert all(r.n_dropped == 0 for r in line_dedup(near).collect())
 
 
+def test_lines_find_any_template_similar_enough(monkeypatch):
+    def grouped(rows):
+        leaf = line_dedup_module.Leaf(len(rows[0]))
+        return [leaf._template(np.array(r, dtype=np.uint16)) for r in rows]
+
+    assert len(set(grouped([[1, 2, 3, 4], [1, 2, 3, 5], [1, 2, 3, 6]]))) == 1
+    far = list(range(1, 18))
+    for place in (3, 6, 10, 13, 16):
+        far[place] += 100
+    assert grouped([list(range(1, 18)), far]) == [0, 0]
+    rnd = random.Random(6)
+    for width in (1, 3, 4, 5, 6, 9, 17, 40):
+        bases = [[1, 2, 3, *rnd.choices(range(4, 9), k=width)][:width] for _ in range(40)]
+        rows = [[t if i < 3 or rnd.random() < 0.8 else rnd.randint(4, 30) for i, t in enumerate(rnd.choice(bases))] for _ in range(300)]
+        every = grouped(rows)
+        monkeypatch.setattr(line_dedup_module, "COMPARED", 0)
+        assert grouped(rows) == every
+        monkeypatch.undo()
+
+
+def test_short_lines_of_one_template_recur(spark):
+    topics = ["Sports", "Politics", "Weather", "Music", "Travel", "Food"]
+    df = spark.createDataFrame([(i, f"{prose(15)}\nPosted in category {t}") for i, t in enumerate(topics)], "doc_id long, text string")
+    assert all(r.n_dropped == 1 and "Posted" not in r.kept_text for r in line_dedup(df).collect())
+
+
 # --- language ---
 
 
