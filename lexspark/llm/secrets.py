@@ -40,6 +40,8 @@ _WORDS = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(rb"[A-Za-z0-9_+/=-]{%d,}" % SHORTEST)
+#: Where a candidate may begin within a run: behind a separator, a percent or a backslash escape.
+_START = re.compile(rb"(?<![A-Za-z0-9])|(?<=%[0-9A-Fa-f]{2})|(?<=\\[a-z])")
 _DIGIT = re.compile(rb"[0-9]")
 _LETTER = re.compile(rb"[A-Za-z]")
 
@@ -164,10 +166,11 @@ class Automaton:
 
 
 class FormatModel:
-    """An automaton and the score from which a candidate fits."""
+    """An automaton, the score from which a candidate fits, and the length of the longest label."""
 
-    def __init__(self, automaton: Automaton, threshold: float) -> None:
-        self.automaton, self.threshold = automaton, threshold
+    def __init__(self, automaton: Automaton, threshold: float, longest: int) -> None:
+        self.automaton, self.threshold, self.longest = automaton, threshold, longest
+        self.known = {symbol for steps in automaton.steps for symbol in steps}
 
     def score(self, value: str) -> float:
         return self.automaton.log_likelihood(symbols(value))
@@ -175,6 +178,25 @@ class FormatModel:
     def fits(self, value: str) -> bool:
         return self.score(value) >= self.threshold
 
+    def begins(self, value: str) -> bool:
+        """Whether the automaton has steps for all literal symbols."""
+        state = 0
+        for symbol in value[:LITERAL]:
+            step = self.automaton.steps[state].get(symbol)
+            if step is None:
+                return False
+            state = step[0]
+        return True
+
+    def longest_fit(self, value: str) -> int:
+        """Length of the longest candidate at the start of ``value`` that fits and ends where letters
+        and digits do, 0 if none; sought up to four times the longest label, and up to a separator
+        that no label holds."""
+        value = value[: 4 * self.longest + 1]
+        value = value[: next((i for i, c in enumerate(value) if not c.isalnum() and c not in self.known), len(value))]
+        ends = [i for i in range(len(value), SHORTEST - 1, -1) if i == len(value) or not value[i].isalnum()]
+        return next((i for i in ends if i <= 4 * self.longest and self.fits(value[:i])), 0)
+
 
 def learn(labelled: list[tuple[str, str]], alpha: float = ALPHA, fewest: int = FEWEST) -> FormatModel:
     """An automaton from at most ``LABELLED`` credentials; the held-out ones set the threshold
@@ -187,7 +209,7 @@ def learn(labelled: list[tuple[str, str]], alpha: float = ALPHA, fewest: int = F
             automaton.add(symbols(value))
     automaton.infer(alpha, fewest)
     scores = sorted(automaton.log_likelihood(symbols(v)) for v in held)
-    return FormatModel(automaton, scores[0] - SLACK if scores else math.inf)
+    return FormatModel(automaton, scores[0] - SLACK if scores else math.inf, max((len(v) for _, v in labelled), default=0))
 
 
 @cache
@@ -205,14 +227,31 @@ def base_spans(raw: bytes) -> list[Span]:
     return found + [("hex", m.start(), m.end()) for m in _HEX.finditer(raw)]
 
 
+def parts(raw: bytes, start: int, end: int, model: FormatModel) -> list[tuple[int, int]]:
+    """Parts of a run that fit, from left to right without overlap: a name, an address or a path may
+    stand before a credential, and more behind it."""
+    found, free, run = [], start, raw[start:end].decode()
+    for m in _START.finditer(raw, start, end - SHORTEST + 1):
+        at = m.start()
+        if at >= free and model.begins(run[at - start : at - start + LITERAL]):
+            size = model.longest_fit(run[at - start : at - start + 4 * model.longest + 1])
+            if size and _DIGIT.search(raw, at, at + size):
+                free = at + size
+                found.append((at, free))
+    return found
+
+
 def find(raw: bytes | None, model: FormatModel) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans, in code points, ordered by start and kind."""
     raw = raw or b""
     base = ordered(base_spans(raw), KINDS)
     added: list[Span] = []
     for m in _CANDIDATE.finditer(raw):
-        if _DIGIT.search(m[0]) and _LETTER.search(m[0]) and not overlaps(m.start(), m.end(), base) and model.fits(m[0].decode()):
-            added.append(("format", m.start(), m.end()))
+        if _DIGIT.search(m[0]) and _LETTER.search(m[0]):
+            own = [("format", a, b) for a, b in parts(raw, m.start(), m.end(), model) if not overlaps(a, b, base)]
+            if not own and not overlaps(m.start(), m.end(), base) and model.fits(m[0].decode()):
+                own = [("format", m.start(), m.end())]
+            added += own
     return code_points(raw, base), code_points(raw, ordered(base + added, KINDS))
 
 
@@ -232,7 +271,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id_col, n_assign, n_access, n_hex, base_sha256, spans)``, one row per input row.
 
     The base kinds are found by pattern; kind ``format`` by the automaton's likelihood, outside
-    base spans. One pass without a shuffle over whole texts. Null texts count as empty; other
+    base spans: the parts of a run of credential characters that fit, else the whole run if it does. One pass without a shuffle over whole texts. Null texts count as empty; other
     columns and repeated rows do not matter to a row's result.
     """
     require(docs, id_col, text_col)

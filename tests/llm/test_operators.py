@@ -175,6 +175,22 @@ def test_secret_grammar_on_held_out_formats():
     assert sum(model.fits(v) for v in plain) <= 5
 
 
+def test_secrets_behind_names_and_addresses():
+    model = secrets.default_model()
+    values = {kind: v for kind, v in secrets.labelled_credentials(60, seed=31)}
+    around = [("GH_PAT=", ""), ("https://", "@host.example"), ("https://a.example/js?key=", "&v=1"), ("https://a.example/x-1/", "/raw"), ("a%3D", ""), ("", "=")]
+    for kind in ("forge", "chat", "payment", "maps", "packages"):
+        for before, after in around:
+            text = f"see {before}{values[kind]}{after} here"
+            spans = [(a, b) for k, a, b in secrets.find(text.encode(), model)[1] if k == "format"]
+            at = text.index(values[kind])
+            assert spans == [(at, at + len(values[kind]))], (kind, text, spans)
+    two = f"{values['forge']}/{values['packages']}"
+    assert [text[0] for text in secrets.find(two.encode(), model)[1]] == ["format", "format"]
+    for plain in ("https://a.example/docs/getting-started-with-version-2/index", "a=b/c-d_e=1/" * 400, "key-" * 2000 + "1"):
+        assert not secrets.find(plain.encode(), model)[1]
+
+
 def test_added_personal_data():
     kinds = [s[0] for s in pii.find(f"Konto: IBAN DE89 3704 0044 0532 0130 00, {'word ' * 12} tel 030 1234567, {'word ' * 12} order 030 7654321".encode())[1]]
     assert kinds.count("iban") == 1 and kinds.count("local_phone") == 1
