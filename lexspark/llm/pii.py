@@ -33,11 +33,16 @@ FOR = {
 }
 # Words that speak against any kind of number.
 AGAINST = (b"order", b"invoice", b"isbn", b"version", b"article", b"item no")
-# Lengths of account numbers by country.
+# Lengths of account numbers by country, the whole registry.
 IBAN_LENGTH = {
-    "AD": 24, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24,
-    "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20,
-    "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
 
 _DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -46,7 +51,8 @@ _LOCAL_BYTES = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0
 _IP = re.compile(rb"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(rb"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(rb"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_IBAN = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+_IBAN_REST = {k.encode(): re.compile(rb"(?: ?[A-Z0-9]){%d}(?![A-Za-z0-9])" % (n - 4)) for k, n in IBAN_LENGTH.items()}
 _LOCAL_PHONE = re.compile(rb"(?<![A-Za-z0-9+])\(?0[0-9]{1,4}\)?[ /-]?[0-9](?:[ -]?[0-9]){5,9}(?![A-Za-z0-9])")
 
 
@@ -102,18 +108,13 @@ def base_spans(raw: bytes) -> list[Span]:
 
 def proposed(raw: bytes) -> list[Span]:
     found = []
+    free = 0  # the end of the last account number: no other begins inside it
     for m in _IBAN.finditer(raw):
-        length, taken = IBAN_LENGTH.get(m[0][:2].decode()), b""
-        if length is None:
-            continue
-        for i, c in enumerate(m[0]):
-            if c != 32:
-                taken += bytes([c])
-            if len(taken) == length:
-                after = raw[m.start() + i + 1 : m.start() + i + 2]
-                if not after.isalnum() and mod97(taken.decode()):
-                    found.append(("iban", m.start(), m.start() + i + 1))
-                break
+        pattern = _IBAN_REST.get(m[0][:2]) if m.start() >= free else None
+        rest = pattern.match(raw, m.end()) if pattern else None
+        if rest and mod97((m[0] + rest[0]).replace(b" ", b"").decode()):
+            free = rest.end()
+            found.append(("iban", m.start(), free))
     found += [("local_phone", m.start(), m.end()) for m in _LOCAL_PHONE.finditer(raw)]
     return found
 

@@ -197,6 +197,22 @@ def test_added_personal_data():
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765431")
 
 
+def test_account_numbers_in_lists_and_of_all_countries():
+    german, british = "DE89370400440532013000", "GB82WEST12345698765432"
+    spaced = "DE89 3704 0044 0532 0130 00"
+    others = ["TR330006100519786457841326", "UA213223130000026007233566001", "SA0380000000608010167519", "AE070331234567890123456", "IL620108000000099999999", "BR1800360305000010009795493C1"]
+    failing = [f"ZZ12 {german}", f"DE00 {german}", f"DE88370400440532013000 {german}", f"AB12 {spaced}"]
+
+    def found(text):
+        return [text[a:b] for k, a, b in pii.find(text.encode())[1] if k == "iban"]
+
+    assert found(f"{german} {british}") == [german, british]
+    assert found(f"{spaced} {spaced} {british}") == [spaced, spaced, british]
+    assert found(" ".join(others)) == others
+    assert all(found(text) == [text.split(" ", 1)[1]] for text in failing)
+    assert found(german + "1") == [] and found("X" + german) == []
+
+
 def test_scans_keep_every_row(docs, texts):
     for out in (secrets.find_secrets(docs), pii.find_pii(docs)):
         assert out.count() == len(texts)
