@@ -13,6 +13,7 @@ import math
 import random
 import re
 import string
+from collections import Counter
 from functools import cache, partial
 
 import pyarrow as pa
@@ -198,15 +199,24 @@ class FormatModel:
         return next((i for i in ends if i <= 4 * self.longest and self.fits(value[:i])), 0)
 
 
+def split(labelled: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
+    """Values to learn from and held-out ones: one of every few rows of each kind."""
+    rank: Counter[str] = Counter()
+    out: tuple[list[str], list[str]] = ([], [])
+    for kind, value in labelled:
+        out[rank[kind] % round(1 / HELD_OUT) == 0].append(value)
+        rank[kind] += 1
+    return out
+
+
 def learn(labelled: list[tuple[str, str]], alpha: float = ALPHA, fewest: int = FEWEST) -> FormatModel:
     """An automaton from at most ``LABELLED`` credentials; the held-out ones set the threshold
     so that all of them pass with ``SLACK`` to spare."""
     labelled = labelled[:LABELLED]
-    held = [v for i, (_, v) in enumerate(labelled) if i % round(1 / HELD_OUT) == 0]
+    seen, held = split(labelled)
     automaton = Automaton()
-    for i, (_, value) in enumerate(labelled):
-        if i % round(1 / HELD_OUT):
-            automaton.add(symbols(value))
+    for value in seen:
+        automaton.add(symbols(value))
     automaton.infer(alpha, fewest)
     scores = sorted(automaton.log_likelihood(symbols(v)) for v in held)
     return FormatModel(automaton, scores[0] - SLACK if scores else math.inf, max((len(v) for _, v in labelled), default=0))

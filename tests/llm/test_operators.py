@@ -175,6 +175,15 @@ def test_secret_grammar_on_held_out_formats():
     assert sum(model.fits(v) for v in plain) <= 5
 
 
+def test_every_format_is_held_out():
+    labelled = secrets.labelled_credentials()
+    seen, held = secrets.split(labelled)
+    kinds = {v: k for k, v in labelled}
+    assert {kinds[v] for v in held} == {kinds[v] for v in seen} == set(kinds.values()) and len(held) * 4 == len(labelled)
+    model = secrets.learn(labelled)
+    assert min(map(model.score, held)) == pytest.approx(model.threshold + secrets.SLACK)
+
+
 def test_secrets_behind_names_and_addresses():
     model = secrets.default_model()
     values = {kind: v for kind, v in secrets.labelled_credentials(60, seed=31)}
