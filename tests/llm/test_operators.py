@@ -367,6 +367,16 @@ def test_short_lines_of_one_template_recur(spark):
     assert all(r.n_dropped == 1 and "Posted" not in r.kept_text for r in line_dedup(df).collect())
 
 
+def test_short_texts_are_copies_and_few_documents_are_counted_exactly(spark):
+    alone = [(1000 + i, t) for i, t in enumerate(["hello", prose(5), "hello there", prose(4)] * 12)]
+    rows = [(5 * k + i, f"{prose(20)}\n{head} is a notice under every page") for k, head in enumerate(VOCABULARY[:80]) for i in range(5)]
+    rare = [(2000 + i, f"{prose(20)}\nonly four pages hold this one") for i in range(4)]
+    df = spark.createDataFrame([*alone, *rows, *rare], "doc_id long, text string")
+    out = {r.doc_id: r for r in line_dedup(df).collect()}
+    assert all(out[i].n_dropped == 0 for i, t in alone if t.startswith("hello"))
+    assert all(out[i].n_dropped == 1 for i, _ in rows) and not any(out[i].n_dropped for i, _ in rare)
+
+
 # --- language ---
 
 
