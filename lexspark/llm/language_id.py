@@ -24,6 +24,8 @@ from ._common import map_arrow, materialise, require, shared_dir, text_bytes
 
 #: Labelled rows for the text model: at most so many of each language, and bytes of each.
 TRAIN_ROWS, TRAIN_BYTES = 400, 20_000
+#: Labels that may be told apart; a model holds a column for each.
+LABELS = 256
 #: Buckets of trigrams, additive smoothing, and how many trigrams count as independent at most.
 BUCKETS, SMOOTH, EVIDENCE = 1 << 16, 0.5, 200
 #: Weight, in rows, of the domain's share in a host's, and of the table's share in a domain's.
@@ -60,8 +62,11 @@ def trigrams(raw: bytes) -> np.ndarray:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> TextModel:
     """Counts over at most ``rows`` rows of each language, chosen by the hash of the text; only
     counts of a fixed number of buckets reach the driver. Without labelled rows the one
-    language is ``und``; more than 64 labels are not told apart, the rest are left out."""
-    languages = tuple(sorted(r[0] for r in labelled.select(lang_col).where(F.col(lang_col).isNotNull()).distinct().limit(64).collect())) or ("und",)
+    language is ``und``; every label is told apart, and more than ``LABELS`` are an error."""
+    labels = labelled.select(lang_col).where(F.col(lang_col).isNotNull()).distinct().limit(LABELS + 1).collect()
+    if len(labels) > LABELS:
+        raise ValueError(f"more than {LABELS} labels in {lang_col}")
+    languages = tuple(sorted(r[0] for r in labels)) or ("und",)
     total = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isin(*languages)).select(F.col(lang_col).alias("lang"), text_bytes(text_col).alias("raw"))
     size = {r["lang"]: r["n"] for r in total.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * rows / n))) for lang, n in size.items()], F.lit(0.0))

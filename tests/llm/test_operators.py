@@ -393,3 +393,16 @@ def test_language(spark):
     out = {r.id: r for r in language_id.identify(web, model, "page_id", "html", url_col="url", markup=True).collect()}
     assert (out[1].declared, out[1].suffix, out[1].lang, out[3].lang) == ("de", "de", "de", "fr") and out[2].lang in speech
     assert language_id.identify(web.limit(0), model, "page_id", "html", url_col="url", markup=True).count() == 0
+
+
+def test_every_label_is_told_apart(spark, monkeypatch):
+    rnd = random.Random(12)
+    speech = {f"l{i:02}": ["".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(8)] for i in range(70)}
+    rows = [(" ".join(rnd.choices(speech[l], k=20)), l) for l in speech for _ in range(2)]
+    labelled = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    model = language_id.train(labelled)
+    assert model.languages == tuple(speech)
+    assert all(model.languages[int(np.argmax(model.scores(t.encode())))] == l for t, l in rows)
+    monkeypatch.setattr(language_id, "LABELS", 69)
+    with pytest.raises(ValueError, match="more than 69 labels"):
+        language_id.train(labelled)
