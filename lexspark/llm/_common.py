@@ -93,16 +93,16 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         yield batch if b - a == batch.num_rows else batch.take(pa.array(np.arange(a, b)))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, most: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` with a function of one batch. Spark counts rows of a batch, not bytes, so
-    batches are cut by size first: memory is bounded however long the texts are."""
+    batches are cut to about ``most`` bytes first: memory is bounded however long the texts are."""
 
     importable(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                for part in slices(batch):
+                for part in slices(batch, most):
                     yield fn(part)
         pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
