@@ -6,6 +6,10 @@ a document and a benchmark item is counted in the two overlapping diagonal bands
 a band that reaches the item's bound is a region to verify, by an alignment restricted to
 that band. Nothing that is within the budget is missed.
 
+An item too short for that bound to be positive at twelve characters gets shorter q-grams, so
+that every length keeps its budget. Hits are counted in slices: a text and an item of one
+repeated character meet everywhere, and their bands are few.
+
 The items are a stated query set: they are read in blocks whose text is bounded by
 ``BLOCK_CHARS``, and each block's index meets all documents in one pass without a shuffle.
 """
@@ -22,10 +26,11 @@ from pyspark.sql import functions as F
 
 from ._common import decode, fresh, map_arrow, mix, require, text_bytes
 
-#: Characters of a gram, edits allowed for each 100 characters of an item.
+#: Characters of a gram at most, edits allowed for each 100 characters of an item.
 GRAM, EDITS_PER_100 = 12, 5
-#: Benchmark characters of a block, and document characters handled at once.
-BLOCK_CHARS, STRETCH = 8_000_000, 2_000_000
+#: Benchmark characters of a block (some 20 bytes of index each), what an item counts for besides its
+#: characters, document characters handled at once, and hits counted at once.
+BLOCK_CHARS, ITEM_CHARS, STRETCH, HITS = 2_000_000, 100, 2_000_000, 1 << 20
 #: Stands between documents and in no text.
 _GAP = 0x110000
 
@@ -38,73 +43,92 @@ def fold(text: str) -> np.ndarray:
     return np.where(points < len(_FOLD), _FOLD[np.minimum(points, len(_FOLD) - 1)], points)
 
 
-def grams(points: np.ndarray) -> np.ndarray:
-    """Hash of the ``GRAM`` characters from each position on, by doubling 2, 4, 8, 12."""
+def grams(points: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """Hash of the ``size`` characters from each position on; twelve by doubling 2, 4, 8, 12."""
     p = points.astype(np.uint64)
-    if len(p) < GRAM:
+    n = len(p) - size + 1
+    if n <= 0:
         return np.empty(0, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        two = p[:-1] * np.uint64(0x9E3779B97F4A7C15) + p[1:]
-        four = two[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + two[2:]
-        twelve = four[:-8] * np.uint64(0xD6E8FEB86659FD93) + four[4:-4] * np.uint64(0xA0761D6478BD642F) + four[8:]
-    return mix(twelve)
+        if size == 12:
+            two = p[:-1] * np.uint64(0x9E3779B97F4A7C15) + p[1:]
+            four = two[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + two[2:]
+            return mix(four[:-8] * np.uint64(0xD6E8FEB86659FD93) + four[4:-4] * np.uint64(0xA0761D6478BD642F) + four[8:])
+        total = np.zeros(n, dtype=np.uint64)
+        for i in range(size):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + p[i : i + n] + np.uint64(1)
+    return mix(total)
 
 
-class ItemIndex:
-    """The q-grams of a block of items, and each item's edit budget and bound."""
+class _Postings:
+    """Where the q-grams of one size stand in the items: sorted grams, and items and places."""
 
     BITS = 22
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        held = [(i, f) for i, t in items if t is not None and len(f := fold(t)) >= GRAM]
-        self.ids = np.array([i for i, _ in held], dtype=np.int64)
-        self.texts = [f for _, f in held]
-        length = np.array([len(f) for f in self.texts], dtype=np.int64)
-        # No more edits than leave a bound of one gram, so that the lemma still filters.
-        self.edits = np.minimum(length * EDITS_PER_100 // 100, (length - GRAM) // GRAM) if len(held) else length
-        self.bound = length - GRAM + 1 - self.edits * GRAM
-        each = [grams(f) for f in self.texts]
-        owner = np.repeat(np.arange(len(each)), [len(g) for g in each])
-        place = np.concatenate([np.arange(len(g)) for g in each]) if each else owner
-        flat = np.concatenate(each) if each else np.empty(0, dtype=np.uint64)
+    def __init__(self, size: int, items: list[int], texts: list[np.ndarray]) -> None:
+        self.size = size
+        each = [grams(texts[i], size) for i in items]
+        many = [len(g) for g in each]
+        flat = np.concatenate(each)
         order = np.argsort(flat, kind="stable")
-        self.owner, self.place, flat = owner[order], place[order], flat[order]
-        self.grams, self.first, self.times = np.unique(flat, return_index=True, return_counts=True)
+        self.owner = np.repeat(np.array(items, dtype=np.int32), many)[order]
+        self.place = np.concatenate([np.arange(n, dtype=np.int32) for n in many])[order]
+        self.grams, first = np.unique(flat[order], return_index=True)
+        self.first = np.r_[first, len(flat)].astype(np.int32)
         self.maybe = np.zeros(1 << self.BITS, dtype=bool)
         self.maybe[(self.grams >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
 
-    def hits(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(position, item, place in item)`` of every shared q-gram."""
-        found = grams(points)
+    def hits(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(position, item, place in item)`` of shared q-grams by position, ``HITS`` at a time."""
+        found = grams(points, self.size)
         at = np.flatnonzero(self.maybe[(found >> np.uint64(64 - self.BITS)).astype(np.int64)])
-        none = np.empty(0, dtype=np.int64)
-        if not len(at) or not len(self.grams):
-            return none, none, none
         row = np.searchsorted(self.grams, found[at])
         row[row == len(self.grams)] = 0
         same = self.grams[row] == found[at]
         at, row = at[same], row[same]
-        times = self.times[row]
-        entry = np.repeat(self.first[row] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum()) if len(row) else none
-        return np.repeat(at, times), self.owner[entry], self.place[entry]
+        ends = np.cumsum(self.first[row + 1] - self.first[row], dtype=np.int64)
+        for begin in range(0, int(ends[-1]) if len(ends) else 0, HITS):
+            number = np.arange(begin, min(begin + HITS, int(ends[-1])))
+            k = np.searchsorted(ends, number, side="right")
+            entry = self.first[row[k] + 1] - (ends[k] - number)
+            yield at[k], self.owner[entry].astype(np.int64), self.place[entry].astype(np.int64)
+
+
+class ItemIndex:
+    """The q-grams of a block of items, and each item's edit budget and bound."""
+
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        held = [(i, f) for i, t in items if t is not None and len(f := fold(t))]
+        self.ids = np.array([i for i, _ in held], dtype=np.int64)
+        self.texts = [f for _, f in held]
+        length = np.array([len(f) for f in self.texts], dtype=np.int64)
+        self.length, self.edits = length, length * EDITS_PER_100 // 100
+        size = np.minimum(GRAM, length // (self.edits + 1))  # leaves a bound of one gram or more
+        self.bound = length - size + 1 - self.edits * size
+        self.postings = [_Postings(s, np.flatnonzero(size == s).tolist(), self.texts) for s in sorted(set(size.tolist()))]
 
     def regions(self, points: np.ndarray) -> list[tuple[int, int, int]]:
         """``(item, first diagonal, end diagonal)`` of the bands that reach their bound."""
-        at, item, place = self.hits(points)
-        if not len(at):
-            return []
-        stride = self.edits[item] + 1
-        band = (at - place + len(points)) // stride  # shifted, so never negative
         span = 2 * len(points) + 2
-        key = np.concatenate([item * span + band, item * span + band - 1])
-        key, count = np.unique(key, return_counts=True)
-        ok = count >= self.bound[key // span]
         out = []
-        for k in key[ok].tolist():
-            i, b = divmod(k, span)
-            s = int(self.edits[i]) + 1
-            out.append((i, b * s - len(points), (b + 2) * s - len(points)))
-        return out
+        for postings in self.postings:
+            keys, counts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+            for at, item, place in postings.hits(points):
+                band = (at - place + len(points)) // (self.edits[item] + 1)  # shifted, so never negative
+                both = np.concatenate([keys, item * span + band, item * span + band - 1])
+                weights = np.concatenate([counts, np.ones(2 * len(at), dtype=np.int64)])
+                keys, back = np.unique(both, return_inverse=True)
+                counts = np.bincount(back, weights).astype(np.int64)
+                i, b = keys // span, keys % span
+                # a band that ends before this slice began gets no more hits
+                open_ = (b + 2) * (self.edits[i] + 1) - len(points) + self.length[i] >= at[0]
+                full = counts >= self.bound[i]
+                out += [(int(x), int(y)) for x, y in zip(i[full & ~open_], b[full & ~open_], strict=True)]
+                keys, counts = keys[open_], counts[open_]
+            full = counts >= self.bound[keys // span]
+            out += [divmod(k, span) for k in keys[full].tolist()]
+        strides = [int(self.edits[i]) + 1 for i, _ in out]
+        return [(i, b * s - len(points), (b + 2) * s - len(points)) for (i, b), s in zip(out, strides, strict=True)]
 
 
 def banded(item: np.ndarray, points: np.ndarray, lo: int, hi: int, budget: int) -> tuple[int, int, int] | None:
@@ -181,18 +205,20 @@ def find_items(texts: list[str], index: ItemIndex) -> list[tuple[int, int, int,
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items, at most ``BLOCK_CHARS`` characters at a time (a longer one alone)."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("text is not null and item_id is not null")
-    size = items.agg(F.sum(F.length("text")), F.count("*")).first()
-    if not size[1]:
+    """The items, at most ``BLOCK_CHARS`` characters at a time (a longer one alone), each counted
+    for ``ITEM_CHARS`` more."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("length(text) > 0 and item_id is not null")
+    weight = F.length("text") + ITEM_CHARS
+    size = items.agg(F.sum(weight)).first()[0]
+    if not size:
         return
-    if size[0] <= BLOCK_CHARS:
+    if size <= BLOCK_CHARS:
         yield [tuple(r) for r in items.collect()]
         return
     before = Window.partitionBy("slice").orderBy("item_id", "text")
-    slices = max(1, 2 * size[0] // BLOCK_CHARS)
+    slices = max(1, 2 * size // BLOCK_CHARS)
     numbered = items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)))
-    numbered = numbered.withColumn("part", F.floor(F.sum(F.length("text")).over(before) / BLOCK_CHARS))
+    numbered = numbered.withColumn("part", F.floor(F.sum(weight).over(before) / BLOCK_CHARS))
     for r in numbered.select("slice", "part").distinct().toLocalIterator():
         yield [tuple(x) for x in numbered.where((F.col("slice") == r["slice"]) & (F.col("part") == r["part"])).select("item_id", "text").collect()]
 
@@ -208,9 +234,11 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """``(id_col, item_id, start, end, edits)``: for each document and item at most
     ``EDITS_PER_100`` edits per 100 characters apart, its best region in code points.
 
-    Letter case and the kind of white space do not count. Null or empty texts and items, and
-    items of fewer than ``GRAM`` characters, match nothing; repeated rows each give their own;
-    the smallest edits, then the first place, wins a tie; an empty benchmark gives no row.
+    Letter case and the kind of white space do not count; items of fewer than 20 characters must
+    be there as they are. Null or empty texts and items, and items without an id, match
+    nothing; repeated rows each give their own; items that share an id are one; the smallest
+    edits, then the first place, wins a tie; other columns are not read; an empty table on
+    either side gives no row.
     """
     require(docs, id_col, text_col)
     require(benchmark, item_col, item_text_col)
@@ -232,7 +260,10 @@ def _clean(index, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in whose text no benchmark item is found; columns unchanged."""
+    """The rows of ``docs`` in whose text no benchmark item is found (see :func:`benchmark_matches`).
+
+    Columns are unchanged, whatever their names; rows with null or empty texts stay; repeated rows
+    stay or go together; with an empty benchmark all rows stay."""
     require(docs, text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     for items in _blocks(benchmark, item_col, item_text_col):
