@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
         for raw in batch.column(1).to_pylist():
             s = shingle_set(raw, width)
             sizes.append(len(s))
-            digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            digests.append(_digest(s) if len(s) else None)
             sigs.append(signature(s).tobytes() if len(s) else None)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())],
@@ -100,10 +100,17 @@ def _keys(nodes: DataFrame) -> DataFrame:
     return map_arrow(nodes.select("node", "sig"), run, "node long, key long")
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """``(node, blob)`` of ``docs (node, digest, raw)``: the set, if it has that digest."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        blobs = [shingle_set(raw, width).tobytes() for raw in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["node", "blob"])
+        sets = [shingle_set(raw, width) for raw in batch.column(2).to_pylist()]
+        own = pa.array([_digest(s) == d for s, d in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "blob"]).filter(own)
 
     return map_arrow(docs, run, "node long, blob binary")
 
@@ -176,7 +183,7 @@ def _finish(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int,
     many = place.groupBy("label", "comp").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK).select("label", "comp", F.lit(True).alias("large"))
     place = place.join(many, ["label", "comp"], "left").withColumn("part", F.when(F.col("large"), F.col("comp")).otherwise(F.lit(-1)))
     width = place.groupBy("label", "part").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).alias("nb"))
-    place = place.join(width, ["label", "part"]).select("node", "comp", F.xxhash64("label", "part", F.pmod(F.xxhash64("node"), "nb")).alias("block"))
+    place = place.join(width, ["label", "part"]).select("node", "comp", "size", F.xxhash64("label", "part", F.pmod(F.xxhash64("node"), "nb")).alias("block"))
     place = materialise(place, f"{root}/place")
     seen = rows.select("key", "node").join(place, "node").groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     a = seen.select("key", F.col("block").alias("x"), F.col("lo").alias("xl"), F.col("hi").alias("xh"))
@@ -189,8 +196,8 @@ def _finish(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int,
     met = pairs.where("x <> y").join(sizes.select(F.col("block").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("block").alias("y"), F.col("n").alias("ny")), "y")
     larger = F.col("nx") >= F.col("ny")
     met = met.select(F.when(larger, F.col("x")).otherwise(F.col("y")).alias("host"), F.when(larger, F.col("y")).otherwise(F.col("x")).alias("guest"))
-    guests = met.join(place.withColumnRenamed("block", "guest"), "guest").select("host", "node", "comp")
-    loads = guests.groupBy("host").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
+    guests = met.join(place.withColumnRenamed("block", "guest"), "guest").select("host", "node", "comp", "size")
+    loads = guests.groupBy("host").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).alias("nb"))
     hosts = loads.join(pairs.where("x = y").select(F.col("x").alias("host"), F.lit(True).alias("own")), "host", "full_outer")
     hosts = materialise(hosts.select("host", F.coalesce("nb", F.lit(1)).alias("nb"), F.coalesce("own", F.lit(False)).alias("own")), f"{root}/hosts")
     copies = hosts.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).join(place.withColumnRenamed("block", "host"), "host")
@@ -219,23 +226,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Defined cases: null or empty or word-free texts have no shingle and are linked with
     nothing; a text of fewer than ``width`` words is one shingle; rows with a null id are
     passed through, unlinked, with null component and ``kept`` true; repeated rows share
-    their id's component (if their texts differ, they are one document, linked through either
-    text's class); other columns are carried along, and one that clashes with a
-    result column is replaced by it; an empty table gives an empty table.
+    their id's component (if their texts differ, they are one document, linked through any of
+    the texts, and ``n_shingles`` is that of the largest set); other columns are carried along, and
+    one whose name is a result column's, in any case, is replaced by it; an empty table
+    gives an empty table.
     """
     require(docs, id_col, text_col)
     spark = docs.sparkSession
     root = shared_dir(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("raw"))
     sigs = materialise(signatures(source, width), f"{root}/sigs")
-    classes = sigs.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("node"), F.min("sig").alias("sig"))
-    classes = materialise(classes, f"{root}/classes")
+    # A class is a set; its number is given once, when the table is written, and tells classes apart
+    # also where one id has several texts.
+    classes = sigs.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("owner"), F.min("sig").alias("sig"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), f"{root}/classes")
     keys = _keys(classes)
     shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader")
     members = materialise(keys.join(shared, "key").select("key", "node", "leader"), f"{root}/members")
     inside = members.select("node").distinct()
-    texts = source.join(classes.select(F.col("node").alias("id"), "digest").join(inside.withColumnRenamed("node", "id"), "id"), "id")
-    sets = materialise(_sets(texts.select("id", "raw"), width).groupBy("node").agg(F.max("blob").alias("blob")), f"{root}/sets")
+    texts = source.join(classes.join(inside, "node").select(F.col("owner").alias("id"), "node", "digest"), "id")
+    sets = materialise(_sets(texts.select("node", "digest", "raw"), width).groupBy("node").agg(F.max("blob").alias("blob")), f"{root}/sets")
     stars = members.where("node <> leader").select(F.col("node").alias("src"), F.col("leader").alias("dst")).distinct()
     ends = classes.select("node", "sig")
     stars = stars.join(ends.select(F.col("node").alias("src"), F.col("sig").alias("s")), "src").join(ends.select(F.col("node").alias("dst"), F.col("sig").alias("t")), "dst")
@@ -247,25 +257,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = _finish(members, comps, sets, percent, root)
     # What is left to join are components: links among them, and ids under which several
     # different texts stand. Both are few, so the second pass is short.
-    held = sigs.where("id is not null").join(classes.select("digest", "node"), "digest", "left")
-    held = materialise(held.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.min("node").alias("node"), F.max("node").alias("other")), f"{root}/ids")
-    shared_ids = held.where("node <> other").select(F.col("node").alias("src"), F.col("other").alias("dst"))
-    more = rest.unionByName(shared_ids)
+    named = sigs.where("id is not null").join(classes.select("digest", "node", "owner"), "digest", "left")
+    held = named.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.min("node").alias("node"), F.max("node").alias("other"), F.min("owner").alias("owner"))
+    held = materialise(held, f"{root}/ids")
+    several = held.where("node <> other").select("id", F.col("node").alias("src"))
+    more = rest
+    if several.limit(1).count():
+        more = more.unionByName(named.join(several, "id").where("src <> node").select("src", F.col("node").alias("dst")))
     for end in ("src", "dst"):
         more = more.join(comps.select(F.col("id").alias(end), F.col("comp").alias(f"{end}_comp")), end, "left").withColumn(end, F.coalesce(f"{end}_comp", end)).drop(f"{end}_comp")
     last = connected_components(more)
-    named = held.join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = named.join(last.select(F.col("id").alias("comp"), F.col("comp").alias("final")), "comp", "left")
-    out = ["n_shingles", "component_id", "kept"]
-    found = named.select(F.col("id").alias("__id"), "n_shingles", F.coalesce("final", "comp", "id").alias("component_id"))
-    keep = [c for c in docs.columns if c not in out]
-    key = fresh(docs, "__key")
-    joined = docs.select(*keep).withColumn(key, F.col(id_col).cast("long")).join(found, F.col(key) == F.col("__id"), "left")
+    placed = held.where("node is not null").join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = placed.join(last.select(F.col("id").alias("comp"), F.col("comp").alias("final")), "comp", "left")
+    placed = materialise(placed.select("id", "n_shingles", "owner", F.coalesce("final", "comp").alias("comp")), f"{root}/placed")
+    least = placed.groupBy("comp").agg(F.min("owner").alias("component_id"))
+    found = placed.join(least, "comp").select("id", "n_shingles", "component_id")
+    found = found.unionByName(held.where("node is null").select("id", "n_shingles", F.col("id").alias("component_id")))
+    out = ("n_shingles", "component_id", "kept")
+    keep = [c for c in docs.columns if c.lower() not in out]
+    key, own, size, comp = (fresh(docs, f"__{name}") for name in ("key", "id", "size", "comp"))
+    found = found.select(F.col("id").alias(own), F.col("n_shingles").alias(size), F.col("component_id").alias(comp))
+    joined = docs.select(*keep, F.col(id_col).cast("long").alias(key)).join(found, F.col(key) == F.col(own), "left")
     return joined.select(
         *keep,
-        F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"),
-        "component_id",
-        F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)).alias("kept"),
+        F.coalesce(size, F.lit(0).cast("long")).alias("n_shingles"),
+        F.col(comp).alias("component_id"),
+        F.coalesce(F.col(key) == F.col(comp), F.lit(True)).alias("kept"),
     )
 
 
