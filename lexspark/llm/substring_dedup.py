@@ -1,21 +1,23 @@
 """Exact substring dedup over words by level-wise doubling.
 
-A window of ``width`` words that starts at two places also repeats its halves, so the
-windows of half that length are counted first and only repeated ones are extended to twice
-the length. The lower level looks at one half-length window of each full one: the one of
-least hash among those inside it. That choice depends on nothing but the words, so equal
-windows choose alike and none is lost, while only about one start in six is counted.
+A window that starts at two places also repeats its halves, so short windows are counted
+first, and only those that repeat are extended to twice the length, level by level, until the
+asked-for length is reached or no candidate survives. The lowest level looks at one window
+of each of twice its length: the one of least hash among those inside it. That choice
+depends on nothing but the words, so equal windows choose alike and none is lost, while
+only about one start in six is counted.
 
 1. Texts that are equal as word sequences are one text, owned by its smallest id; a copy
    loses everything.
-2. Half-length windows: one row for each text and hash; a hash met in one text only sends
-   itself back to that text, everything else survives.
+2. Each lower level: one row for each text and hash; a hash met in one text only sends
+   itself back to that text, everything else survives. A window of the next level is a
+   candidate if those of this level at its beginning and its end survive.
 3. Windows of full length over survivors: the smallest id of each sequence owns it. A
    document removes what covers windows it does not own, and its own repeats.
 
 Rows are fixed-width longs with min/max aggregates, combined before the shuffle, so a
 passage of a third of all documents is one row for each task. Texts are carried compressed,
-and after step 2 only those with survivors.
+and after the lowest level only those with survivors.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import threading
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +50,21 @@ def _unzip(raw: bytes) -> bytes:
     return _local.unzip.decompress(raw)
 
 
-def anchors(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window start of word hashes ``h``: the start of its chosen half-length window;
-    and the hashes of all half-length windows."""
-    half = width // 2
+#: Words of the lowest level's windows at least, where the asked-for length allows it.
+SHORTEST = 8
+
+
+def levels(width: int) -> list[int]:
+    """Lengths of windows, each twice the one before (or one less), up to ``width``."""
+    out = [(width + 1) // 2, width]
+    while (half := (out[0] + 1) // 2) >= SHORTEST:
+        out.insert(0, half)
+    return out
+
+
+def anchors(h: np.ndarray, half: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each start of a window of ``width`` in word hashes ``h``: the start of its chosen window
+    of ``half``; and the hashes of all windows of ``half``."""
     low = window_hashes(h, half)
     n = len(h) - width + 1
     if n <= 0:
@@ -84,11 +98,12 @@ def _owners(width: int, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _low(width: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    half, above = levels(width)[:2]
     owners, keys = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.uint64)]
     for raw in batch.column(1).to_pylist():
         words = words_of(raw)
         if len(words) >= width:
-            at, low = anchors(hash_words(words), width)
+            at, low = anchors(hash_words(words), half, above)
             own = np.unique(low[np.unique(at)])
             owners.append(np.full(len(own), _text_key(_digest(b" ".join(words))), dtype=np.int64))
             keys.append(own)
@@ -105,9 +120,19 @@ def _survey(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), pa.array(digests, pa.binary())], names=["id", "zip", "digest"])
 
 
+def _alone(held) -> np.ndarray:
+    return held.values.to_numpy(zero_copy_only=False).view(np.uint64) if held.is_valid else np.empty(0, dtype=np.uint64)
+
+
+def _extended(starts: np.ndarray, length: int, longer: int) -> np.ndarray:
+    """Starts of windows of ``longer`` whose first and last windows of ``length`` both start at ``starts``."""
+    return starts[np.isin(starts + longer - length, starts)]
+
+
 def _candidates(width: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     """What is settled here: copies, and texts without a window whose chosen half is not
     alone. The others go on with the starts of such windows."""
+    half, above = levels(width)[:2]
     counts, removed, digests, spans, texts, starts_out = [], [], [], [], [], []
     for doc, raw, owner, alone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
         line = _unzip(raw)
@@ -115,11 +140,10 @@ def _candidates(width: int, batch: pa.RecordBatch) -> pa.RecordBatch:
         copy = owner is not None and doc != owner
         starts = np.empty(0, dtype=np.int64)
         if len(words) >= width and not copy:
-            at, low = anchors(hash_words(words), width)
+            at, low = anchors(hash_words(words), half, above)
             chosen = np.unique(at)
-            own, back, times = np.unique(low[chosen], return_inverse=True, return_counts=True)
-            single = alone.values.to_numpy(zero_copy_only=False).view(np.uint64) if alone.is_valid else own[:0]
-            live = (times[back] > 1) | ~np.isin(low[chosen], single)
+            _, back, times = np.unique(low[chosen], return_inverse=True, return_counts=True)
+            live = (times[back] > 1) | ~np.isin(low[chosen], _alone(alone))
             starts = np.flatnonzero(live[np.searchsorted(chosen, at)])
         counts.append(len(words))
         removed.append(len(words) if copy else 0)
@@ -133,6 +157,32 @@ def _candidates(width: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+def _keys_at(length: int, raw: bytes, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.frombuffer(blob, dtype=np.int32).astype(np.int64)
+    return starts, window_hashes(hash_words(_unzip(raw).split()), length)[starts]
+
+
+def _level(length: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``(key, text_key)`` of the candidates of one level, each once for a text."""
+    keys, texts = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+    for raw, blob, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True):
+        keys.append(np.unique(_keys_at(length, raw, blob)[1]))
+        texts.append(np.full(len(keys[-1]), text, dtype=np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(key_long(np.concatenate(keys))), pa.array(np.concatenate(texts))], names=["key", "text_key"])
+
+
+def _survivors(length: int, longer: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Candidates of the next level; ``zip`` is null for a text that has none."""
+    texts, blobs = [], []
+    for raw, blob, alone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        starts, keys = _keys_at(length, raw, blob)
+        _, back, times = np.unique(keys, return_inverse=True, return_counts=True)
+        starts = _extended(starts[(times[back] > 1) | ~np.isin(keys, _alone(alone))], length, longer)
+        texts.append(raw if len(starts) else None)
+        blobs.append(starts.astype(np.int32).tobytes())
+    return pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(texts, pa.binary()), pa.array(blobs, pa.binary())], names=[*batch.schema.names[3:], "zip", "starts"])
+
+
 def _full_keys(words: list[bytes], starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """128 bits for the windows at ``starts``."""
     h = hash_words(words)
@@ -140,15 +190,17 @@ def _full_keys(words: list[bytes], starts: np.ndarray, width: int) -> tuple[np.n
 
 
 def _full(width: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-    ids, first, second = [], [], []
-    for doc, raw, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+    """``(a, b, id, home)``: each different window of a row once; ``home`` is the row's text."""
+    ids, homes, first, second = [], [], [], []
+    for doc, raw, blob, home in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
         a, b = _full_keys(_unzip(raw).split(), np.frombuffer(blob, dtype=np.int32), width)
         own = np.unique(a, return_index=True)[1]
         ids.append(np.full(len(own), doc, dtype=np.int64))
+        homes.append(np.full(len(own), home, dtype=np.int64))
         first.append(a[own])
         second.append(b[own])
-    columns = [pa.array(key_long(np.concatenate(first))), pa.array(key_long(np.concatenate(second))), pa.array(np.concatenate(ids))]
-    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "id"])
+    columns = [pa.array(key_long(np.concatenate(first))), pa.array(key_long(np.concatenate(second))), pa.array(np.concatenate(ids)), pa.array(np.concatenate(homes))]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "id", "home"])
 
 
 def _settle(width: int, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -182,8 +234,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Defined cases: null or empty texts have no words and the digest of the empty string; rows
     that share an id are one place in the order, so they are not judged against each other; rows
-    with a null id come after all others, likewise as one place; other columns are not read;
-    an empty table gives an empty table.
+    with a null id come after all others, likewise as one place; other columns are not read,
+    whatever their names; an empty table gives an empty table.
     """
     require(docs, id_col, text_col)
     if width < 2:
@@ -193,20 +245,46 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), text_bytes(text_col).alias("raw"))
     owners = map_arrow(source, partial(_owners, width), "id long, digest binary, text_key long").groupBy("digest", "text_key").agg(F.min("id").alias("owner"))
     low = map_arrow(source, partial(_low, width), "key long, text_key long")
-    alone = low.groupBy("key").agg(F.min("text_key").alias("text_key"), F.max("text_key").alias("last")).where("text_key = last")
-    side = owners.join(alone.groupBy("text_key").agg(F.collect_list("key").alias("alone")), "text_key", "left").select("digest", "owner", "alone")
+    side = owners.join(_alone_lists(low), "text_key", "left").select("digest", "owner", "alone")
     held = map_arrow(source, _survey, "id long, zip binary, digest binary").join(side, "digest", "left").select("id", "zip", "owner", "alone")
-    candidates = map_arrow(held, partial(_candidates, width), f"id long, n_words long, n_removed long, kept string, removed {_SPANS}, zip binary, starts binary")
-    candidates = materialise(candidates, f"{root}/candidates")
-    undecided = candidates.where("zip is not null").select("id", "zip", "starts")
-    owned = map_arrow(undecided, partial(_full, width), "a long, b long, id long").groupBy("a", "b").agg(F.min("id").alias("id"))
-    owned = owned.groupBy("id").agg(F.collect_list("a").alias("owned"))
-    settled = map_arrow(undecided.join(owned, "id", "left").select("id", "zip", "starts", "owned"), partial(_settle, width), f"id long, n_words long, n_removed long, kept string, removed {_SPANS}")
-    out = candidates.where("zip is null").select(*settled.columns).unionByName(settled)
+    plain = f"id long, n_words long, n_removed long, kept string, removed {_SPANS}"
+    held = map_arrow(held, partial(_candidates, width), f"{plain}, zip binary, starts binary")
+    candidates = materialise(held, f"{root}/candidates")
+    columns = candidates.columns[:5]
+    done = candidates.where("zip is null").select(*columns)
+    undecided = candidates.where("zip is not null").withColumn("text_key", F.xxhash64("kept"))
+    for length, longer in pairwise(levels(width)[1:]):
+        alone = _alone_lists(map_arrow(undecided.select("zip", "starts", "text_key"), partial(_level, length), "key long, text_key long"))
+        joined = undecided.join(alone, "text_key", "left").select("zip", "starts", "alone", *columns)
+        held = materialise(map_arrow(joined, partial(_survivors, length, longer), f"{plain}, zip binary, starts binary"), f"{root}/candidates{longer}")
+        done = done.unionByName(held.where("zip is null").select(*columns))
+        undecided = held.where("zip is not null").withColumn("text_key", F.xxhash64("kept"))
+        if not undecided.limit(1).count():
+            break
+    keyed = undecided.select("id", "zip", "starts", "text_key")
+    full = map_arrow(keyed, partial(_full, width), "a long, b long, id long, home long")
+    owned = full.groupBy("a", "b").agg(F.min("id").alias("id"))
+    settle = partial(_settle, width)
+    # An id has one row as a rule, and its windows go back to it. Where several rows share an id (all
+    # without one share a place), each gets those of the place's windows that it holds.
+    crowd = undecided.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    if not crowd.limit(1).count():
+        joined = keyed.join(owned.groupBy("id").agg(F.collect_list("a").alias("owned")), "id", "left")
+    else:
+        places = full.join(owned, ["a", "b", "id"]).groupBy("id", "home").agg(F.collect_set("a").alias("owned"))
+        joined = keyed.join(places.withColumnRenamed("home", "text_key"), ["id", "text_key"], "left")
+    settled = map_arrow(joined.select("id", "zip", "starts", "owned"), settle, plain)
+    out = done.unionByName(settled)
     kind = docs.schema[id_col].dataType
     return out.select(F.when(F.col("id") != last, F.col("id")).cast(kind).alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_sha256"), "removed")
 
 
+def _alone_lists(keys: DataFrame) -> DataFrame:
+    """``(text_key, alone)``: of ``keys (key, text_key)`` those that one text alone has."""
+    alone = keys.groupBy("key").agg(F.min("text_key").alias("text_key"), F.max("text_key").alias("last")).where("text_key = last")
+    return alone.groupBy("text_key").agg(F.collect_list("key").alias("alone"))
+
+
 def keep_words(raw: bytes | None, removed: list[tuple[int, int]]) -> bytes:
     """The words outside the ranges of :func:`substring_dedup`, joined by one space."""
     words = words_of(raw)
