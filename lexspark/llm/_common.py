@@ -7,6 +7,7 @@ space and 0x09-0x0D, which is the word definition of every operator here
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,25 +29,39 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
+    """A fresh folder below ``spark.checkpoint.dir``, which all executors share; it goes when the
+    session ends.
 
-    Only where the cluster names none (tests, a laptop) is a folder of our own set.
+    Only on one machine (tests, a laptop) may the setting be missing: then a folder of our own is set.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        held = context._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexspark-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
-
-
-def remove_dir(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        context.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    files, target = _file_system(spark, path)
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return path
+
+
+def remove_dirs(spark: SparkSession, root: str, *names: str) -> None:
+    """Delete tables below ``root`` that nothing lazy reads any more."""
+    for name in names:
+        files, target = _file_system(spark, f"{root}/{name}")
+        files.delete(target, True)
 
 
 def materialise(df: DataFrame, path: str) -> DataFrame:

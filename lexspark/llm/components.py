@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, shared_dir
+from ._common import materialise, remove_dirs, shared_dir
 
 
 def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -25,12 +25,12 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -
     edges = links.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null and src <> dst")
     edges = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     edges = materialise(edges, f"{root}/edges0")
-    labels = None
-    step = 0
+    labels, step, written = None, 0, ["edges0"]
     while edges.limit(1).count():
         both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         hook = both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("up"))
         hook = materialise(hook, f"{root}/hook{step}")
+        written.append(f"hook{step}")
         jump = 0
         while True:
             over = hook.select(F.col("id").alias("up"), F.col("up").alias("higher"))
@@ -38,6 +38,7 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -
             nxt = materialise(nxt, f"{root}/hook{step}_{jump}")
             moved = nxt.where("moved").limit(1).count()
             hook = nxt.select("id", "up")
+            written.append(f"hook{step}_{jump}")
             jump += 1
             if not moved:
                 break
@@ -52,6 +53,9 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -
         edges = edges.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
         step += 1
         edges = materialise(edges, f"{root}/edges{step}")
+        written.append(f"edges{step}")
     if labels is None:
         return edges.select(F.col("src").alias("id"), F.col("dst").alias("comp"))
-    return materialise(labels, f"{root}/labels")
+    labels = materialise(labels, f"{root}/labels")
+    remove_dirs(spark, root, *written)
+    return labels

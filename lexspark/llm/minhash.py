@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, hash_words, key_long, map_arrow, materialise, mix, require, shared_dir, text_bytes, window_hashes, words_of
+from ._common import fresh, hash_words, key_long, map_arrow, materialise, mix, remove_dirs, require, shared_dir, text_bytes, window_hashes, words_of
 from .components import connected_components
 
 #: Slots of a signature, bits of a slot, chunks of the index, greatest signature distance.
@@ -270,6 +270,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = held.where("node is not null").join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = placed.join(last.select(F.col("id").alias("comp"), F.col("comp").alias("final")), "comp", "left")
     placed = materialise(placed.select("id", "n_shingles", "owner", F.coalesce("final", "comp").alias("comp")), f"{root}/placed")
+    # What follows reads placed and ids only.
+    remove_dirs(spark, root, "sigs", "classes", "members", "sets", "links", "comps", "held", "place", "pairs", "hosts")
     least = placed.groupBy("comp").agg(F.min("owner").alias("component_id"))
     found = placed.join(least, "comp").select("id", "n_shingles", "component_id")
     found = found.unionByName(held.where("node is null").select("id", "n_shingles", F.col("id").alias("component_id")))
