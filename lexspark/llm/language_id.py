@@ -5,7 +5,8 @@ declared markup language + log likelihood of the address suffix, normalised over
 languages. Text likelihoods are byte trigrams with additive smoothing, from a bounded sample
 of labelled rows. How far a declaration or a suffix is to be trusted is counted on all
 rows, against the text's own verdict. Host priors are smoothed towards the host's domain,
-and those towards the whole table; both come from grouped aggregates joined back, so a host
+and those towards the whole table; a row's own verdict is taken out of all three, for it is
+its text's evidence already. Counts come from grouped aggregates joined back, so a host
 with a third of all rows costs one row of partial sums for each task.
 """
 
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from ._common import map_arrow, materialise, require, shared_dir, text_bytes
 
-#: Labelled rows for the text model: at most so many of each language, and bytes of each.
-TRAIN_ROWS, TRAIN_BYTES = 400, 20_000
+#: Labelled rows for the text model: at most so many of each language, whole texts.
+TRAIN_ROWS = 400
 #: Labels that may be told apart; a model holds a column for each.
 LABELS = 256
 #: Buckets of trigrams, additive smoothing, and how many trigrams count as independent at most.
@@ -34,6 +35,8 @@ HOST_WEIGHT, DOMAIN_WEIGHT = 20.0, 50.0
 _MARKUP = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
 # The language a country suffix speaks for.
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "es": "es", "mx": "es", "ar": "es", "fr": "fr", "uk": "en", "us": "en", "au": "en", "ie": "en"}
+# Labels below which a country registers its domains, as in .co.uk.
+REGISTRY_LABELS = ("ac", "co", "com", "edu", "gov", "net", "org")
 
 
 @dataclass(frozen=True)
@@ -60,7 +63,7 @@ def trigrams(raw: bytes) -> np.ndarray:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> TextModel:
-    """Counts over at most ``rows`` rows of each language, chosen by the hash of the text; only
+    """Counts over whole texts of at most ``rows`` rows of each language, chosen by the hash of the text; only
     counts of a fixed number of buckets reach the driver. Without labelled rows the one
     language is ``und``; every label is told apart, and more than ``LABELS`` are an error."""
     labels = labelled.select(lang_col).where(F.col(lang_col).isNotNull()).distinct().limit(LABELS + 1).collect()
@@ -69,16 +72,17 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     languages = tuple(sorted(r[0] for r in labels)) or ("und",)
     total = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isin(*languages)).select(F.col(lang_col).alias("lang"), text_bytes(text_col).alias("raw"))
     size = {r["lang"]: r["n"] for r in total.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * rows / n))) for lang, n in size.items()], F.lit(0.0))
-    chosen = total.where(F.pmod(F.xxhash64("raw"), F.lit(1_000_003)) < share * 1_000_003)
-    sample = chosen.where(F.col("lang") == languages[0]).limit(rows) if languages else chosen
-    for lang in languages[1:]:
-        sample = sample.unionByName(chosen.where(F.col("lang") == lang).limit(rows))
+    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, (rows + 4 * rows**0.5) / n))) for lang, n in size.items()], F.lit(0.0))
+    chosen = total.withColumn("nth", F.xxhash64("raw")).where(F.pmod("nth", F.lit(1_000_003)) < share * 1_000_003)
+    sample = None
+    for lang in languages:
+        own = chosen.where(F.col("lang") == lang).orderBy("nth").limit(rows).select("lang", "raw")
+        sample = own if sample is None else sample.unionByName(own)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = {}
         for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts = np.bincount(trigrams(raw[:TRAIN_BYTES]), minlength=BUCKETS)
+            counts = np.bincount(trigrams(raw), minlength=BUCKETS)
             out[lang] = out.get(lang, 0) + counts
         flat = [(lang, int(i), int(n)) for lang, counts in out.items() for i, n in zip(np.flatnonzero(counts), counts[counts > 0], strict=True)]
         return pa.RecordBatch.from_pylist([dict(zip(("lang", "bucket", "n"), f, strict=True)) for f in flat], schema=pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("n", pa.int64())]))
@@ -112,7 +116,9 @@ def identify(docs: DataFrame, model: TextModel, id_col: str, text_col: str, url_
     ``url_col`` gives host and suffix, or ``host_col`` the host alone; with ``markup`` the text
     is HTML, whose declared language counts and whose tags do not. Missing evidence (null or
     empty text, no declaration, unknown suffix, null host) adds nothing; with none at all the
-    table's shares decide; ties go to the language first in the alphabet. Ids may repeat or
+    table's shares decide; ``text_lang`` is null for a text of fewer than three bytes; ties go to the
+    language first in the alphabet. A host's domain is its last
+    two labels, or three where the last but one is a registry's. Ids may repeat or
     be null; other columns are not read; an empty table gives an empty table.
     """
     require(docs, *[c for c in (id_col, text_col, url_col, host_col) if c])
@@ -125,7 +131,8 @@ def identify(docs: DataFrame, model: TextModel, id_col: str, text_col: str, url_
         text_bytes(text_col).alias("raw"), F.col(id_col).alias("id"), F.nullif(F.coalesce(host, F.lit("")), F.lit("")).alias("host"),
         F.when(declared.isin(*langs), declared).alias("declared"),
     )
-    base = base.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("suffix", F.regexp_extract("host", r"\.([a-z]+)$", 1))
+    domain = F.regexp_extract("host", rf"([^.]+\.(?:(?:{'|'.join(REGISTRY_LABELS)})\.[a-z]{{2}}|[^.]+))$", 1)
+    base = base.withColumn("domain", domain).withColumn("suffix", F.regexp_extract("host", r"\.([a-z]+)$", 1))
     known = F.create_map(*[F.lit(x) for pair in SUFFIX_LANGUAGE.items() for x in pair])
     base = base.withColumn("suffix", F.when(known[F.col("suffix")].isin(*langs), known[F.col("suffix")]))
     spark = docs.sparkSession
@@ -133,12 +140,12 @@ def identify(docs: DataFrame, model: TextModel, id_col: str, text_col: str, url_
     scored = map_arrow(base, partial(_score, spark.sparkContext.broadcast(model), markup), f"id {kind}, host string, declared string, domain string, suffix string, scores array<double>")
     # Written once: the texts are read and scored in one pass, the statistics need scores only.
     root = shared_dir(spark)
-    scored = materialise(scored.withColumn("best", F.expr("array_position(scores, array_max(scores)) - 1")), f"{root}/scored")
+    # Log likelihoods of a text are below 0; a text without a trigram says nothing and votes for nothing.
+    scored = materialise(scored.withColumn("best", F.expr("if(array_max(scores) < 0, array_position(scores, array_max(scores)) - 1, null)")), f"{root}/scored")
     counted = materialise(scored.groupBy("host", "domain", "declared", "suffix").agg(*_shares(langs)), f"{root}/counted")
     sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))]
     top = counted.agg(*sums).first()
     n = [float(top[i] or 0) for i in range(len(langs))]
-    share = [(x + 1) / (sum(n) + len(langs)) for x in n]
 
     def trust(column: str) -> float:
         """How often the declaration names what the text says, over all rows that have one."""
@@ -147,23 +154,30 @@ def identify(docs: DataFrame, model: TextModel, id_col: str, text_col: str, url_
         return ((row[0] or 0) + 8) / ((row[1] or 0) + 10)
 
     trusted = {c: trust(c) for c in ("declared", "suffix")}
-    all_n = sum((F.col(f"n{i}") for i in range(len(langs))), F.lit(0))
-    domains = counted.groupBy("domain").agg(*sums).select("domain", F.array(*[(F.col(f"n{i}") + DOMAIN_WEIGHT * share[i]) / (all_n + DOMAIN_WEIGHT) for i in range(len(langs))]).alias("d"))
-    hosts = counted.where("host is not null").groupBy("host", "domain").agg(*sums).join(domains, "domain")
-    hosts = hosts.select("host", F.array(*[F.log((F.col(f"n{i}") + HOST_WEIGHT * F.col("d")[i]) / (all_n + HOST_WEIGHT)) for i in range(len(langs))]).alias("prior"))
-    joined = scored.join(hosts, "host", "left")
-    plain = F.array(*[F.lit(float(np.log(s))) for s in share])
+    counts = F.array(*[F.col(f"n{i}").cast("double") for i in range(len(langs))])
+    all_n = sum((F.col(f"n{i}") for i in range(len(langs))), F.lit(0)).cast("double")
+    domains = counted.groupBy("domain").agg(*sums).select("domain", counts.alias("domain_n"), all_n.alias("domain_all"))
+    hosts = counted.where("host is not null").groupBy("host", "domain").agg(*sums).select("host", "domain", counts.alias("host_n"), all_n.alias("host_all"))
+    joined = scored.drop("domain").join(hosts.join(domains, "domain"), "host", "left")
+
+    def prior(i: int):
+        """Logarithm of the language's share on the row's host, without the row itself."""
+        own, one = F.coalesce((F.col("best") == i).cast("double"), F.lit(0.0)), F.col("best").isNotNull().cast("double")
+        table = (n[i] - own + 1) / (sum(n) - one + len(langs))
+        of_domain = (F.col("domain_n")[i] - own + DOMAIN_WEIGHT * table) / (F.col("domain_all") - one + DOMAIN_WEIGHT)
+        of_host = (F.col("host_n")[i] - own + HOST_WEIGHT * of_domain) / (F.col("host_all") - one + HOST_WEIGHT)
+        return F.log(F.when(F.col("host").isNull(), table).otherwise(of_host))
 
     def said(column: str, i: int):
         right, wrong = trusted[column], (1 - trusted[column]) / max(1, len(langs) - 1)
         return F.when(F.col(column).isNull(), 0.0).when(F.col(column) == langs[i], float(np.log(right))).otherwise(float(np.log(wrong)))
 
-    fused = F.array(*[F.round(F.coalesce("prior", plain)[i] + F.col("scores")[i] + said("declared", i) + said("suffix", i), 9) for i in range(len(langs))])
+    fused = F.array(*[F.round(prior(i) + F.col("scores")[i] + said("declared", i) + said("suffix", i), 9) for i in range(len(langs))])
     names = F.array(*[F.lit(x) for x in langs])
     best = F.expr("array_max(fused)")
     return joined.withColumn("fused", fused).select(
         "id", "host", "declared", "suffix",
-        names[F.col("best").cast("int")].alias("text_lang"),
+        F.get(names, F.col("best").cast("int")).alias("text_lang"),
         names[(F.array_position("fused", best) - 1).cast("int")].alias("lang"),
         F.round(1 / F.aggregate("fused", F.lit(0.0), lambda a, x: a + F.exp(x - best)), 6).alias("confidence"),
     )
