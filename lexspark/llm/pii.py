@@ -158,8 +158,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``(id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, found)``, one row per
     input row: base counts, the digest of base spans, all spans as text and with scores.
 
-    One pass without a shuffle over whole texts. Null texts count as empty; ids, other columns
-    and repeated rows do not matter to a row's result.
+    One pass without a shuffle over whole texts. Null texts count as empty; ids may be null or
+    repeat; other columns are not read, whatever their names; an empty table gives an empty table.
     """
     require(docs, id_col, text_col)
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("raw"))

@@ -43,7 +43,9 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_pii(documents(spark, sf_dir).select("doc_id", "text")).drop("found")
+    found = find_pii(documents(spark, sf_dir).select("doc_id", "text"))
+    scores = F.array_join(F.transform("found", lambda s: F.format_string("%.2f", s["score"])), ",")
+    return found.select("*", scores.alias("scores")).drop("found")
 
 
 def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from collections import Counter
 from functools import cache, partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import map_arrow, require, text_bytes
@@ -27,12 +27,13 @@ BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "format")
 #: Leading characters of a credential that are kept as they are; later ones by class.
 LITERAL = 4
-#: Merging: confidence of the Hoeffding test, and fewest strings for a state to be tested.
-ALPHA, FEWEST = 0.05, 10
+#: Merging: confidence of the Hoeffding test.
+ALPHA = 0.05
 #: Labelled credentials used, at most, and the share of them that sets the threshold.
 LABELLED, HELD_OUT = 1200, 0.25
-#: Shortest candidate, and the probability of a step that was never seen.
-SHORTEST, UNSEEN = 16, 1e-4
+#: Length of the shortest candidate in terms of the shortest label, and the probability of a step that
+#: was never seen.
+SHORTEST, UNSEEN = 0.5, 1e-4
 #: Score below the worst held-out credential that still fits.
 SLACK = 0.15
 
@@ -40,11 +41,8 @@ _ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]
 _WORDS = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(rb"[A-Za-z0-9_+/=-]{%d,}" % SHORTEST)
 #: Where a candidate may begin within a run: behind a separator, a percent or a backslash escape.
 _START = re.compile(rb"(?<![A-Za-z0-9])|(?<=%[0-9A-Fa-f]{2})|(?<=\\[a-z])")
-_DIGIT = re.compile(rb"[0-9]")
-_LETTER = re.compile(rb"[A-Za-z]")
 
 
 def labelled_credentials(n: int = LABELLED, seed: int = 7) -> list[tuple[str, str]]:
@@ -131,8 +129,9 @@ class Automaton:
                     step[1] += count
                     waiting.append((step[0], to))
 
-    def infer(self, alpha: float, fewest: int) -> None:
-        """Merge: settled states stay, each state they lead to is settled or merged into one."""
+    def infer(self, alpha: float) -> None:
+        """Merge: settled states stay, each state they lead to is merged into the first it is compatible
+        with or settled."""
         settled, frontier = [0], [(0, s) for s in self.steps[0]]
         while frontier:
             # the best supported state first, so that merges rest on the most evidence
@@ -141,8 +140,7 @@ class Automaton:
             state = self.steps[source][symbol][0]
             if state in settled:
                 continue
-            count = self.seen[state]
-            home = next((q for q in settled if q and (count < fewest or self.compatible(q, state, alpha))), None)
+            home = next((q for q in settled if q and self.compatible(q, state, alpha)), None)
             if home is None:
                 settled.append(state)
             else:
@@ -162,15 +160,17 @@ class Automaton:
             else:
                 total += math.log(step[1] / self.seen[state])
                 state = step[0]
-        total += math.log(max(self.ends[state] / self.seen[state], UNSEEN))
+        total += math.log(max(self.ends[state] / max(1, self.seen[state]), UNSEEN))
         return total / (len(word) + 1)
 
 
 class FormatModel:
-    """An automaton, the score from which a candidate fits, and the length of the longest label."""
+    """An automaton, the score from which a candidate fits, and the lengths of the shortest candidate
+    and the longest label."""
 
-    def __init__(self, automaton: Automaton, threshold: float, longest: int) -> None:
-        self.automaton, self.threshold, self.longest = automaton, threshold, longest
+    def __init__(self, automaton: Automaton, threshold: float, shortest: int, longest: int) -> None:
+        self.automaton, self.threshold, self.shortest, self.longest = automaton, threshold, shortest, longest
+        self.candidate = re.compile(rb"[A-Za-z0-9_+/=-]{%d,}" % shortest)
         self.known = {symbol for steps in automaton.steps for symbol in steps}
 
     def score(self, value: str) -> float:
@@ -195,7 +195,7 @@ class FormatModel:
         that no label holds."""
         value = value[: 4 * self.longest + 1]
         value = value[: next((i for i, c in enumerate(value) if not c.isalnum() and c not in self.known), len(value))]
-        ends = [i for i in range(len(value), SHORTEST - 1, -1) if i == len(value) or not value[i].isalnum()]
+        ends = [i for i in range(len(value), self.shortest - 1, -1) if i == len(value) or not value[i].isalnum()]
         return next((i for i in ends if i <= 4 * self.longest and self.fits(value[:i])), 0)
 
 
@@ -209,17 +209,28 @@ def split(labelled: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
     return out
 
 
-def learn(labelled: list[tuple[str, str]], alpha: float = ALPHA, fewest: int = FEWEST) -> FormatModel:
+def learn(labelled: list[tuple[str, str]], alpha: float = ALPHA) -> FormatModel:
     """An automaton from at most ``LABELLED`` credentials; the held-out ones set the threshold
-    so that all of them pass with ``SLACK`` to spare."""
-    labelled = labelled[:LABELLED]
+    so that all of them pass with ``SLACK`` to spare. Without labels nothing fits."""
+    labelled = [(k, v) for k, v in labelled[:LABELLED] if v]
     seen, held = split(labelled)
     automaton = Automaton()
     for value in seen:
         automaton.add(symbols(value))
-    automaton.infer(alpha, fewest)
+    automaton.infer(alpha)
     scores = sorted(automaton.log_likelihood(symbols(v)) for v in held)
-    return FormatModel(automaton, scores[0] - SLACK if scores else math.inf, max((len(v) for _, v in labelled), default=0))
+    sizes = [len(v) for _, v in labelled] or [2]
+    return FormatModel(automaton, scores[0] - SLACK if scores else math.inf, max(1, int(min(sizes) * SHORTEST)), max(sizes))
+
+
+def labelled_rows(table: DataFrame, kind_col: str = "kind", value_col: str = "value", n: int = LABELLED) -> list[tuple[str, str]]:
+    """At most ``n`` labelled credentials ``(kind, value)`` of a table, for :func:`learn`: of each kind, in turn,
+    those of the least hashes. Null kinds are one kind; null and empty values are left out."""
+    rows = table.select(F.coalesce(F.col(kind_col).cast("string"), F.lit("")).alias("kind"), F.col(value_col).cast("string").alias("value"))
+    rows = rows.where("length(value) > 0").distinct()
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
+    first = rows.withColumn("nth", nth).where(F.col("nth") <= n).orderBy("nth", "kind").limit(n)
+    return [(r["kind"], r["value"]) for r in first.collect()]
 
 
 @cache
@@ -241,11 +252,11 @@ def parts(raw: bytes, start: int, end: int, model: FormatModel) -> list[tuple[in
     """Parts of a run that fit, from left to right without overlap: a name, an address or a path may
     stand before a credential, and more behind it."""
     found, free, run = [], start, raw[start:end].decode()
-    for m in _START.finditer(raw, start, end - SHORTEST + 1):
+    for m in _START.finditer(raw, start, end - model.shortest + 1):
         at = m.start()
         if at >= free and model.begins(run[at - start : at - start + LITERAL]):
             size = model.longest_fit(run[at - start : at - start + 4 * model.longest + 1])
-            if size and _DIGIT.search(raw, at, at + size):
+            if size:
                 free = at + size
                 found.append((at, free))
     return found
@@ -256,12 +267,11 @@ def find(raw: bytes | None, model: FormatModel) -> tuple[list[Span], list[Span]]
     raw = raw or b""
     base = ordered(base_spans(raw), KINDS)
     added: list[Span] = []
-    for m in _CANDIDATE.finditer(raw):
-        if _DIGIT.search(m[0]) and _LETTER.search(m[0]):
-            own = [("format", a, b) for a, b in parts(raw, m.start(), m.end(), model) if not overlaps(a, b, base)]
-            if not own and not overlaps(m.start(), m.end(), base) and model.fits(m[0].decode()):
-                own = [("format", m.start(), m.end())]
-            added += own
+    for m in model.candidate.finditer(raw):
+        own = [("format", a, b) for a, b in parts(raw, m.start(), m.end(), model) if not overlaps(a, b, base)]
+        if not own and not overlaps(m.start(), m.end(), base) and model.fits(m[0].decode()):
+            own = [("format", m.start(), m.end())]
+        added += own
     return code_points(raw, base), code_points(raw, ordered(base + added, KINDS))
 
 
@@ -281,8 +291,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id_col, n_assign, n_access, n_hex, base_sha256, spans)``, one row per input row.
 
     The base kinds are found by pattern; kind ``format`` by the automaton's likelihood, outside
-    base spans: the parts of a run of credential characters that fit, else the whole run if it does. One pass without a shuffle over whole texts. Null texts count as empty; other
-    columns and repeated rows do not matter to a row's result.
+    base spans: the parts of a run of credential characters that fit, else the whole run if it does.
+    One pass without a shuffle over whole texts. Null texts count as empty; ids may be null or
+    repeat; other columns are not read, whatever their names; a run of equal characters of any
+    length is one candidate; an empty table gives an empty table.
     """
     require(docs, id_col, text_col)
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("raw"))

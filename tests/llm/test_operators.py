@@ -251,8 +251,21 @@ def test_quality_report_and_order(docs, texts):
 
 
 def test_cascade_order_takes_rejection_per_cost_among_the_rest():
-    e = quality.Estimates({"a": 1.0, "b": 1.0, "c": 4.0}, {frozenset("ab"): 10, frozenset("b"): 5, frozenset("c"): 8, frozenset(): 50})
+    own = {r: (r.upper(),) for r in "abc"}
+    e = quality.Estimates({"A": 1.0, "B": 1.0, "C": 4.0}, own, {frozenset("ab"): 10, frozenset("b"): 5, frozenset("c"): 8, frozenset(): 50})
     assert e.order() == ["b", "c", "a"]
+    # a and c share the dear fact: once a has paid for it, c comes before the cheaper b
+    shared = {"a": ("S",), "b": ("B",), "c": ("S", "C")}
+    assert quality.Estimates({"S": 9.0, "B": 2.0, "C": 0.1}, shared, {frozenset("a"): 90, frozenset("b"): 10, frozenset("c"): 5}).order() == ["a", "c", "b"]
+
+
+def test_facts_of_a_rule_are_all_it_computes(docs):
+    for rule in quality.RULES:
+        facts = quality.Facts(b"one two two THREE\nfour # five\n" * 5)
+        rule.rejects(facts)
+        assert set(vars(facts)) & set(quality.FACTS) == set(rule.needs)
+    same = quality.estimate(docs.repartition(7), sample=8).rejected
+    assert same == quality.estimate(docs.coalesce(1), sample=8).rejected and sum(same.values()) == 8
 
 
 # --- tokens ---
@@ -406,3 +419,24 @@ def test_every_label_is_told_apart(spark, monkeypatch):
     monkeypatch.setattr(language_id, "LABELS", 69)
     with pytest.raises(ValueError, match="more than 69 labels"):
         language_id.train(labelled)
+
+
+def test_labelled_credentials_from_a_table(spark):
+    rows = [*secrets.labelled_credentials(120, seed=5), ("forge", None), (None, ""), ("chat", "xoxb-1")]
+    table = spark.createDataFrame([(v, k, 1) for k, v in rows], "value string, kind string, extra int")
+    got = secrets.labelled_rows(table, n=60)
+    assert got == secrets.labelled_rows(table.repartition(5), n=60) and len(got) == 60
+    assert min(sum(k == kind for k, _ in got) for kind in {k for k, _ in got}) >= 9
+    assert not secrets.learn([]).fits("ghp_" + "a1" * 18)
+
+
+def test_merges_are_tested_and_all_candidates_are_scored():
+    automaton = secrets.Automaton()
+    for word in ["ab"] * 6 + ["ac"] * 2 + ["bb"] * 6 + ["bc"] * 2 + ["cdddd"] * 8:
+        automaton.add(list(word))
+    a, b, c = (automaton.steps[0][x][0] for x in "abc")
+    assert automaton.compatible(a, b, 0.05) and not automaton.compatible(a, c, 0.9)
+    model = secrets.default_model()
+    letters = "npm_" + "aBcDeFgH" * 4 + "aBcD"
+    assert model.score(letters) > model.threshold - 1  # scored like any other, digits or not
+    assert secrets.find(("x" * 50_000).encode(), model)[1] == []
