@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# What a token, its joiners and its camel-case parts are, and how long it may be.
 TOKEN = r"[\p{L}\p{N}\p{M}_'’-]+"
 WORD_CHAR = r"[\p{L}\p{N}]"
 JOINERS = r"[-'’_]+"
@@ -76,18 +77,35 @@ def tokenize(text: Column, camel: bool = False) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array_distinct(raw_tokens(text)), lambda t: variants(t, camel))))
 
 
-def token_spans(df: DataFrame, key: str, text: str, camel: bool = False) -> DataFrame:
-    """``(key, pos, start, length, variants)``: every token with its place in the original text,
-    in code points. Starts are a running sum over tokens and the gaps between them."""
-    cut = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).select(
-        F.col(key), F.regexp_extract_all("text", F.lit(TOKEN), 0).alias("tk"), F.split("text", TOKEN, -1).alias("gaps")
-    )
+def may_hold(raw: Column, words: list[str]) -> Column:
+    """Whether a form of the token may be, or begin with, one of the (normalised) words; cheap, and
+    true for every token that is not plain ASCII."""
+    low, out = F.lower(raw), raw.rlike(r"[^\x00-\x7F]")
+    for w in words:
+        out = out | low.contains(w)
+    return out
+
+
+def token_spans(df: DataFrame, key: str, text: str, camel: bool = False, words: list[str] | None = None) -> DataFrame:
+    """``(key, pos, start, length, line, variants)``: every token with its place in the original text,
+    in code points, and its zero-based line. ``pos`` is in order, not without gaps.
+
+    Starts and lines are running sums over tokens and the gaps between them. Texts are dealt by
+    key before they fall apart, so that the sums move no token. With ``words``, tokens that hold
+    none of them have null variants.
+    """
+    cut = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition(key)
+    cut = cut.select(F.col(key), F.regexp_extract_all("text", F.lit(TOKEN), 0).alias("tk"), F.split("text", TOKEN, -1).alias("gaps"))
     cut = cut.select(key, "tk", F.slice("gaps", 1, F.size("tk")).alias("gp"))
-    rows = cut.select(key, F.posexplode(F.arrays_zip("tk", "gp")).alias("at", "t")).select(key, "at", F.col("t.tk").alias("tk"), F.col("t.gp").alias("gp"))
-    before = Window.partitionBy(key).orderBy("at")
-    rows = rows.withColumn("start", F.sum(F.length("gp") + F.length("tk")).over(before) - F.length("tk"))
-    rows = rows.where((F.length("tk") <= LONGEST) & F.col("tk").rlike(WORD_CHAR)).withColumn("variants", variants(F.col("tk"), camel)).where(F.size("variants") > 0)
-    return rows.select(key, (F.row_number().over(before) - 1).alias("pos"), F.col("start").cast("int").alias("start"), F.length("tk").alias("length"), "variants")
+    rows = cut.select(key, F.posexplode(F.arrays_zip("tk", "gp")).alias("pos", "t")).select(key, "pos", F.col("t.tk").alias("tk"), F.col("t.gp").alias("gp"))
+    before = Window.partitionBy(key).orderBy("pos")
+    breaks = F.length("gp") - F.length(F.replace("gp", F.lit("\n"), F.lit("")))
+    rows = rows.withColumn("start", F.sum(F.length("gp") + F.length("tk")).over(before) - F.length("tk")).withColumn("line", F.sum(breaks).over(before))
+    whole = variants(F.col("tk"), camel)
+    # a letter or digit of ASCII is never lost on the way to a form
+    rows = rows.where((F.length("tk") <= LONGEST) & (F.col("tk").rlike("[A-Za-z0-9]") | (F.col("tk").rlike(WORD_CHAR) & (F.size(whole) > 0))))
+    shown = whole if words is None else F.when(may_hold(F.col("tk"), words), whole)
+    return rows.select(key, "pos", F.col("start").cast("int").alias("start"), F.length("tk").alias("length"), F.col("line").cast("int").alias("line"), shown.alias("variants"))
 
 
 def frontmatter_end(content: Column) -> Column:

@@ -1,35 +1,45 @@
-"""The inverted index as tables: build, upsert, remove, save, load, and the manifest."""
+"""The index as tables: build, upsert, remove, and the manifest."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from datetime import UTC, datetime
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from ..plans.query import Settings
 from ..sources.docs import canvas_text
 
-SCHEMA_VERSION = 1
-#: Fields that are indexed, and what a match in each is worth.
+# Fields that are indexed, and what a match in each is worth.
 FIELDS = {"basename": 3.0, "aliases": 3.0, "tags": 2.0, "headings1": 1.8, "directory": 1.5, "headings2": 1.4, "headings3": 1.2, "content": 1.0}
 
 
 @dataclass(frozen=True)
 class Index:
-    """``postings(path, field, term, len)``, ``lengths(path, field, len)``, ``manifest(path, mtime)``,
-    and from these ``terms(field, term, df)`` and ``stats(field, n, avg_len)``. A posting carries
-    the length of its field, so that scoring joins nothing but the few expanded terms."""
+    """``fields(path, field, terms, len)``, the distinct terms of each field, and ``manifest(path, mtime)``.
 
-    postings: DataFrame
-    lengths: DataFrame
+    What else a search reads follows from these: ``postings(path, field, term, len)``, which carry
+    their field's length so that scoring joins nothing but the few expanded terms,
+    ``terms(field, term, df)`` and ``stats(field, n, avg_len)``; a store or :meth:`persist` holds them ready.
+    """
+
+    fields: DataFrame
     manifest: DataFrame
     camel: bool = False
+    held_postings: DataFrame | None = None
     held_terms: DataFrame | None = None
     held_stats: DataFrame | None = None
 
+    @property
+    def postings(self) -> DataFrame:
+        if self.held_postings is not None:
+            return self.held_postings
+        return self.fields.select("path", "field", F.explode("terms").alias("term"), "len")
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.fields.select("path", "field", "len").where("len > 0")
+
     @property
     def terms(self) -> DataFrame:
         if self.held_terms is not None:
@@ -46,41 +56,44 @@ class Index:
         return fields.join(F.broadcast(n)).select("field", "n", (F.col("total") / F.col("n")).alias("avg_len"))
 
     def persist(self) -> Index:
-        """Kept by the executors, with the dictionary and the averages, for many searches."""
-        held = Index(self.postings.persist(), self.lengths.persist(), self.manifest, self.camel)
-        return Index(held.postings, held.lengths, held.manifest, held.camel, held.terms.persist(), held.stats.persist())
+        """Kept by the executors, with the dictionary and the averages, for many searches: texts are
+        tokenised once."""
+        held = self if self.held_postings is not None else replace(self, fields=self.fields.persist())
+        return replace(held, held_terms=held.terms.persist(), held_stats=held.stats.persist())
+
+    def unpersist(self) -> None:
+        for table in (self.held_stats, self.held_terms, self.fields):
+            if table is not None:
+                table.unpersist()
 
 
 def field_terms(docs: DataFrame, camel: bool = False) -> DataFrame:
-    """``(path, field, terms)``: the distinct terms of each field of each document. Everything
+    """``(path, field, terms, len)``: the distinct terms of each field of each document. Everything
     happens within a row: no shuffle, however large the collection."""
     content = F.when(F.col("kind") == "canvas", canvas_text(F.col("content"))).otherwise(F.col("content"))
     held = docs.withColumn("content", content)
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS]))
     rows = held.select("path", each.alias("f")).where("f.text is not null and f.text <> ''")
-    return rows.select("path", "f.field", tokenize(F.col("f.text"), camel).alias("terms"))
+    return rows.select("path", "f.field", tokenize(F.col("f.text"), camel).alias("terms")).withColumn("len", F.size("terms"))
 
 
 def build_index(docs: DataFrame, camel: bool = False) -> Index:
-    """``docs`` must hold one row for each path. Text that two tables need is read once if the
-    caller saves the index; unsaved, it is a plan over ``docs``."""
-    terms = field_terms(docs, camel)
-    postings = terms.select("path", "field", F.explode("terms").alias("term"), F.size("terms").alias("len"))
-    lengths = terms.select("path", "field", F.size("terms").alias("len")).where("len > 0")
-    return Index(postings, lengths, docs.select("path", "mtime"), camel)
+    """``docs`` must hold one row for each path. A plan over ``docs`` until it is persisted or saved."""
+    return Index(field_terms(docs, camel), docs.select("path", "mtime"), camel)
 
 
 def remove(index: Index, paths: DataFrame) -> Index:
     """Without the documents of ``paths(path)``; unknown ones are ignored."""
     gone = paths.select("path").distinct()
     drop = lambda df: df.join(gone, "path", "left_anti")
-    return Index(drop(index.postings), drop(index.lengths), drop(index.manifest), index.camel)
+    return Index(drop(index.fields), drop(index.manifest), index.camel, drop(index.held_postings) if index.held_postings is not None else None)
 
 
 def upsert(index: Index, docs: DataFrame) -> Index:
     """``docs`` replace what the index holds under their paths."""
     rest, new = remove(index, docs), build_index(docs, index.camel)
-    return Index(rest.postings.unionByName(new.postings), rest.lengths.unionByName(new.lengths), rest.manifest.unionByName(new.manifest), index.camel)
+    postings = rest.held_postings.unionByName(new.postings) if rest.held_postings is not None else None
+    return Index(rest.fields.unionByName(new.fields), rest.manifest.unionByName(new.manifest), index.camel, postings)
 
 
 def manifest_diff(known: DataFrame, current: DataFrame) -> DataFrame:
@@ -97,69 +110,3 @@ def sync(index: Index, docs: DataFrame) -> Index:
     diff = manifest_diff(index.manifest, docs)
     stale = remove(index, diff.where(F.col("action").isin("remove", "update")))
     return upsert(stale, docs.join(diff.where(F.col("action").isin("add", "update")).select("path"), "path", "left_semi"))
-
-
-class IndexStore:
-    """Versioned Parquet directories and a pointer file that is flipped last, so that a reader
-    sees a whole version or the one before it. Works on any Hadoop file system."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
-
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-
-    def _fs(self):
-        return self._path("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _current(self) -> str | None:
-        fs, pointer = self._fs(), self._path("CURRENT")
-        if not fs.exists(pointer):
-            return None
-        stream = fs.open(pointer)
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
-        finally:
-            stream.close()
-
-    def save(self, index: Index, settings: Settings) -> str:
-        """Postings are dealt by term, so that a search for few terms reads few row groups."""
-        if not settings.use_cache:
-            return ""
-        version = f"v={datetime.now(UTC):%Y%m%d%H%M%S%f}"
-        out = f"{self.root}/{version}"
-        index.postings.repartitionByRange("term").sortWithinPartitions("term", "field").write.parquet(f"{out}/postings")
-        index.lengths.write.parquet(f"{out}/lengths")
-        index.manifest.write.parquet(f"{out}/manifest")
-        saved = Index(*(self.spark.read.parquet(f"{out}/{t}") for t in ("postings", "lengths", "manifest")), index.camel)
-        saved.terms.write.parquet(f"{out}/terms")
-        saved.stats.write.parquet(f"{out}/stats")
-        meta = [(SCHEMA_VERSION, settings.options_hash(SCHEMA_VERSION))]
-        self.spark.createDataFrame(meta, "schema_version int, options_hash string").coalesce(1).write.parquet(f"{out}/meta")
-        fs, fresh = self._fs(), self._path(f"CURRENT.{version}")
-        stream = fs.create(fresh, True)
-        stream.write(bytearray(version, "utf-8"))
-        stream.close()
-        fs.delete(self._path("CURRENT"), False)
-        fs.rename(fresh, self._path("CURRENT"))
-        return version
-
-    def load(self, settings: Settings) -> Index | None:
-        """The saved index, or None; one of another version or other options is cleared, and so
-        is one that cannot be read."""
-        version = self._current()
-        if version is None:
-            return None
-        at, read = f"{self.root}/{version}", self.spark.read.parquet
-        try:
-            meta = read(f"{at}/meta").first()
-            if (meta["schema_version"], meta["options_hash"]) == (SCHEMA_VERSION, settings.options_hash(SCHEMA_VERSION)):
-                return Index(read(f"{at}/postings"), read(f"{at}/lengths"), read(f"{at}/manifest"), settings.split_camel_case, read(f"{at}/terms"), read(f"{at}/stats"))
-        except Exception:  # a broken cache is rebuilt, never fatal
-            pass
-        self.clear()
-        return None
-
-    def clear(self) -> None:
-        self._fs().delete(self._jvm.org.apache.hadoop.fs.Path(self.root), True)

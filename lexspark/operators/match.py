@@ -9,25 +9,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import frontmatter_end, lf, line_of_offset, phrase_sequence, py_significant, py_tokenize, token_spans
+from ..functions.text import frontmatter_end, lf, line_of_offset, may_hold, phrase_sequence, py_significant, py_tokenize, token_spans
 from ..functions.text import extension as extension_of
 
 RADIUS, WINDOW = 120, 240
 TEXT_LIKE = ("md", "txt", "canvas")
 
 
-def _runs(spans: DataFrame, key: str, fits: list) -> DataFrame:
-    """Places where consecutive spans satisfy ``fits`` one after the other."""
+def _marked_runs(spans: DataFrame, key: str, fits: list) -> DataFrame:
+    """``spans`` plus ``run`` (consecutive spans from here on satisfy ``fits`` one after the other) and ``run_end``."""
     order = Window.partitionBy(key).orderBy("pos")
     out = spans
     for j in range(len(fits)):
         out = out.withColumn(f"__v{j}", F.lead("variants", j).over(order) if j else F.col("variants"))
     last = len(fits) - 1
-    out = out.withColumn("__end", F.lead(F.col("start") + F.col("length"), last).over(order) if last else F.col("start") + F.col("length"))
-    ok = F.lit(True)
+    out = out.withColumn("run_end", F.lead(F.col("start") + F.col("length"), last).over(order) if last else F.col("start") + F.col("length"))
+    ok = F.lit(bool(fits))
     for j, fit in enumerate(fits):
         ok = ok & F.coalesce(fit(F.col(f"__v{j}")), F.lit(False))
-    return out.where(ok).select(key, "start", (F.col("__end") - F.col("start")).alias("length"))
+    return out.withColumn("run", ok).drop(*[f"__v{j}" for j in range(len(fits))])
+
+
+def _runs(spans: DataFrame, key: str, fits: list) -> DataFrame:
+    """Places where consecutive spans satisfy ``fits`` one after the other."""
+    return _marked_runs(spans, key, fits).where("run").select(key, "start", (F.col("run_end") - F.col("start")).alias("length"))
 
 
 def _first(found: DataFrame, key: str, most: int | None) -> DataFrame:
@@ -45,40 +50,48 @@ def phrase_offsets(spans: DataFrame, phrase: str, key: str = "path", most: int |
     return _first(_runs(spans, key, [lambda v, w=w: F.array_contains(v, w) for w in wanted]), key, most)
 
 
-def approx_phrase_offsets(spans: DataFrame, phrase: str, key: str = "path", most: int | None = 3) -> DataFrame:
-    """Like :func:`phrase_offsets` for two tokens or more, where a token of three characters
-    or more, and the last one, may also be the beginning of a form."""
-    wanted = phrase_sequence(phrase)
-    if len(wanted) < 2:
-        return spans.select(key, "start", "length").limit(0)
+def _near_fits(wanted: list[str]) -> list:
+    """Tests for a near phrase of two tokens or more: a token of three characters or more, and the
+    last one, may also be the beginning of a form."""
 
     def fit(word: str, last: bool):
         if len(word) >= 3 or last:
             return lambda v: F.exists(v, lambda x: x.startswith(word))
         return lambda v: F.array_contains(v, word)
 
-    return _first(_runs(spans, key, [fit(w, i == len(wanted) - 1) for i, w in enumerate(wanted)]), key, most)
+    return [fit(w, i == len(wanted) - 1) for i, w in enumerate(wanted)] if len(wanted) > 1 else []
+
+
+def approx_phrase_offsets(spans: DataFrame, phrase: str, key: str = "path", most: int | None = 3) -> DataFrame:
+    """Like :func:`phrase_offsets` for two tokens or more, where most may be beginnings of words."""
+    fits = _near_fits(phrase_sequence(phrase))
+    if not fits:
+        return spans.select(key, "start", "length").limit(0)
+    return _first(_runs(spans, key, fits), key, most)
 
 
 def contains_phrase(docs: DataFrame, phrase: str, key: str = "path", text: str = "content", camel: bool = False) -> DataFrame:
-    """Keys of documents whose text holds the phrase. A cheap test on characters, which every
-    holder passes, spares most texts the tokeniser where the phrase is plain ASCII."""
-    return phrase_offsets(token_spans(docs, key, text, camel), phrase, key, None).select(key).distinct()
+    """Keys of documents whose text holds the phrase. Texts that are plain ASCII and lack one of its
+    words as a string of characters are not tokenised."""
+    words = phrase_sequence(phrase)
+    held = docs
+    for w in words:
+        held = held.where(may_hold(F.col(text), [w]))
+    return phrase_offsets(token_spans(held, key, text, camel, words), phrase, key, None).select(key).distinct()
 
 
 def refine(hits: DataFrame, docs: DataFrame, phrases: list[str], excluded: list[str], camel: bool = False, text_like: tuple[str, ...] | None = None) -> DataFrame:
-    """Hits whose text holds every phrase and no excluded one. With ``text_like``, files of
-    other kinds pass unverified."""
+    """Hits whose text holds every phrase and no excluded one; without phrases all hits, and no text
+    is read. With ``text_like``, files of other kinds pass unverified."""
     if not phrases and not excluded:
         return hits
     texts = docs.join(hits.select("path"), "path", "left_semi").select("path", "content")
-    spans = token_spans(texts, "path", "content", camel)
     unread = hits.where(~extension_of(F.col("path")).isin(*text_like)) if text_like else None
     out = hits.where(extension_of(F.col("path")).isin(*text_like)) if text_like else hits
     for p in phrases:
-        out = out.join(phrase_offsets(spans, p, "path", None).select("path").distinct(), "path", "left_semi")
+        out = out.join(contains_phrase(texts, p, camel=camel), "path", "left_semi")
     for p in excluded:
-        out = out.join(phrase_offsets(spans, p, "path", None).select("path").distinct(), "path", "left_anti")
+        out = out.join(contains_phrase(texts, p, camel=camel), "path", "left_anti")
     return out.unionByName(unread) if unread is not None else out
 
 
@@ -89,13 +102,19 @@ def matched_term(variants: Column, terms: Column) -> Column:
     return F.get(F.filter(hit, lambda t: t.isNotNull()), F.lit(0))
 
 
+def with_terms(spans: DataFrame, wanted: Column) -> DataFrame:
+    """``spans`` plus ``term``, null without a match, and ``shown``: the length of the matched beginning
+    of a whole form, else of the whole token."""
+    rows = spans.withColumn("term", F.when(F.col("variants").isNotNull(), matched_term(F.col("variants"), wanted)))
+    begins = F.get("variants", F.lit(0)).startswith(F.col("term"))
+    return rows.withColumn("shown", F.when(begins, F.least("length", F.length("term"))).otherwise(F.col("length")))
+
+
 def term_offsets(spans: DataFrame, terms: list[str] | Column, key: str = "path", most: int | None = 2000) -> DataFrame:
-    """``(key, start, length, term)`` of the spans that match a term; only the matched beginning
-    of a whole form, else the whole token."""
+    """``(key, start, length, term)`` of the spans that match a term."""
     wanted = terms if isinstance(terms, Column) else F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    rows = spans.withColumn("term", matched_term(F.col("variants"), wanted)).where("term is not null")
-    length = F.when(F.get("variants", F.lit(0)).startswith(F.col("term")), F.least("length", F.length("term"))).otherwise(F.col("length"))
-    return _first(rows.select(key, "start", length.alias("length"), "term"), key, most)
+    rows = with_terms(spans, wanted).where("term is not null")
+    return _first(rows.select(key, "start", F.col("shown").alias("length"), "term"), key, most)
 
 
 def best_window(matches: DataFrame, key: str = "path", chars: int = WINDOW) -> DataFrame:
@@ -133,18 +152,29 @@ def _gather(matches: DataFrame, key: str) -> DataFrame:
     return matches.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("offsets"))
 
 
-def anchors(docs: DataFrame, query_text: str, terms: list[str], key: str = "path", text: str = "content", camel: bool = False, body_only: bool = True) -> DataFrame:
-    """``(key, offsets)``: the query as a near phrase where it occurs, else the best window of terms."""
+def anchors(docs: DataFrame, query_text: str, terms: list[str] | DataFrame, key: str = "path", text: str = "content", camel: bool = False, body_only: bool = True) -> DataFrame:
+    """``(key, offsets)``: the query as a near phrase where it occurs, else the best window of terms:
+    the same for all documents, or each document's own of a table ``(key, terms)``."""
     held = docs.select(key, lf(F.col(text)).alias(text))
-    spans = token_spans(held, key, text, camel)
+    own = isinstance(terms, DataFrame)
+    spans = token_spans(held, key, text, camel, None if own else [*phrase_sequence(query_text), *terms])
     if body_only:
         spans = spans.join(held.select(key, frontmatter_end(F.col(text)).alias("body")), key).where("start >= body").drop("body")
     near = approx_phrase_offsets(spans, query_text, key, 1)
-    found = best_window(term_offsets(spans, terms, key, 500), key).select(key, "start", "length")
+    wanted = spans.join(terms.select(key, "terms"), key) if own else spans
+    found = best_window(term_offsets(wanted, F.col("terms") if own else terms, key, 500), key).select(key, "start", "length")
     return _gather(near, key).unionByName(_gather(found.join(near.select(key), key, "left_anti"), key))
 
 
-def excerpts(docs: DataFrame, query_text: str, terms: list[str], key: str = "path", text: str = "content", camel: bool = False) -> DataFrame:
+def highlight_titles(docs: DataFrame, terms: DataFrame, key: str = "path", name: str = "basename", camel: bool = False) -> DataFrame:
+    """``(key, title)``: names with the first ten places of each document's own terms marked."""
+    spans = token_spans(docs, key, name, camel).join(terms.select(key, "terms"), key)
+    places = _gather(term_offsets(spans, F.col("terms"), key, 10), key)
+    none = F.array().cast("array<struct<start:int,length:int>>")
+    return docs.select(key, name).join(places, key, "left").select(key, highlight(F.col(name), F.coalesce("offsets", none)).alias("title"))
+
+
+def excerpts(docs: DataFrame, query_text: str, terms: list[str] | DataFrame, key: str = "path", text: str = "content", camel: bool = False) -> DataFrame:
     """``(key, excerpt)``: a stretch of text around the anchor, cut at a space, with marks and
     ellipses; without a match, the beginning of the body."""
     held = docs.select(key, lf(F.coalesce(F.col(text), F.lit(""))).alias(text))
@@ -163,7 +193,7 @@ def excerpts(docs: DataFrame, query_text: str, terms: list[str], key: str = "pat
     return rows.select(key, F.when(F.col("offsets").isNull(), plain).otherwise(shown).alias("excerpt"))
 
 
-def jump_targets(docs: DataFrame, query_text: str, terms: list[str], key: str = "path", text: str = "content", camel: bool = False) -> DataFrame:
+def jump_targets(docs: DataFrame, query_text: str, terms: list[str] | DataFrame, key: str = "path", text: str = "content", camel: bool = False) -> DataFrame:
     """``(key, start, length, line)`` of the best match of each document, metadata included."""
     found = anchors(docs, query_text, terms, key, text, camel, body_only=False).join(docs.select(key, lf(F.col(text)).alias("__t")), key)
     first = F.col("offsets")[0]
@@ -175,19 +205,21 @@ def search_lines(docs: DataFrame, raw: str, key: str = "path", text: str = "cont
     lines of each document: near phrases first, then most different terms, then in order."""
     terms = py_significant(py_tokenize(raw, camel))
     held = docs.select(key, lf(F.coalesce(F.col(text), F.lit(""))).alias("content"))
-    lines = held.select(key, F.posexplode(F.split("content", "\n")).alias("line", "line_text"))
+    spans = token_spans(held, key, "content", camel, [*terms, *phrase_sequence(raw)])
+    order = Window.partitionBy(key).orderBy("pos")
+    wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    seen = with_terms(_marked_runs(spans, key, _near_fits(phrase_sequence(raw))), wanted)
+    seen = seen.where(F.col("term").isNotNull() | F.col("run"))
+    seen = seen.withColumn("nth", F.sum(F.col("term").isNotNull().cast("int")).over(order)).withColumn("nth_run", F.sum(F.col("run").cast("int")).over(order))
+    held_term, held_run = F.col("term").isNotNull() & (F.col("nth") <= matches), F.col("run") & (F.col("nth_run") <= 50)
+    grouped = seen.groupBy(key, "line").agg(
+        F.sort_array(F.collect_list(F.when(held_term, F.struct("start", F.col("shown").alias("length"))))).alias("offsets"),
+        F.countDistinct(F.when(held_term, F.col("term"))).alias("distinct_terms"),
+        F.max(held_run).alias("phrase"),
+    ).where("distinct_terms > 0")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("phrase"), F.desc("distinct_terms"), "line"))
+    best = grouped.withColumn("rank", rank).where(F.col("rank") <= rows)
+    lines = held.repartition(key).select(key, F.posexplode(F.split("content", "\n")).alias("line", "line_text"))
     before = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.withColumn("line_start", F.coalesce(F.sum(F.length("line_text") + 1).over(before), F.lit(0)))
-    spans = token_spans(held, key, "content", camel)
-    found = term_offsets(spans, terms, key, matches).withColumn("near", F.lit(False))
-    near = approx_phrase_offsets(spans, raw, key, 50).withColumn("term", F.lit(None).cast("string")).withColumn("near", F.lit(True))
-    both = found.unionByName(near.select(*found.columns))
-    text_of = held.select(key, "content")
-    placed = both.join(text_of, key).withColumn("line", line_of_offset(F.col("content"), F.col("start"))).drop("content")
-    one = F.struct(F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length"))
-    grouped = placed.groupBy(key, "line").agg(
-        F.sort_array(F.collect_list(F.when(~F.col("near"), one))).alias("offsets"), F.countDistinct("term").alias("distinct_terms"), F.max("near").alias("phrase")
-    )
-    out = grouped.where("distinct_terms > 0").join(lines, [key, "line"])
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("phrase"), F.desc("distinct_terms"), "line"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= rows).select(key, "rank", "line", "line_start", "line_text", "offsets", "distinct_terms", "phrase")
+    return best.join(lines, [key, "line"]).select(key, "rank", "line", "line_start", "line_text", "offsets", "distinct_terms", "phrase")

@@ -18,6 +18,8 @@ from ..functions.text import extension, py_tokenize
 from ..plans.query import Fuzzy, Query, parse_query
 from .index import FIELDS, Index
 
+#: Expanded terms up to which they are sought by name.
+EXPANDED = 5_000
 HIT = "path string, score double, terms array<string>"
 
 
@@ -59,22 +61,34 @@ def expand(terms: DataFrame, wanted: list[str], fuzzy: Fuzzy, config: ScoringCon
     return terms.withColumn("e", F.explode(F.filter(F.array(*each), lambda e: e["m"].isNotNull()))).select("field", "term", "df", "e.q", "e.m")
 
 
+def _weights(index: Index, wanted: list[str], fuzzy: Fuzzy, config: ScoringConfig) -> tuple[DataFrame, list[str] | None]:
+    """``(field, term, q, gain, avg_len)`` of the expanded terms; and the terms, if they are few. Few
+    ones come to the driver, so that the scan of the postings can look for them by name; the
+    rest of the world, such as a prefix of one letter over a large dictionary, stays a join."""
+    found = expand(index.terms, wanted, fuzzy, config).join(F.broadcast(index.stats), "field")  # stats: one row a field
+    found = found.select("field", "term", "q", (F.log((F.col("n") + 1) / F.col("df")) * F.col("m")).alias("gain"), "avg_len")
+    rows = found.limit(EXPANDED + 1).collect()
+    if len(rows) > EXPANDED:
+        return found, None
+    held = index.fields.sparkSession.createDataFrame(rows, "field string, term string, q string, gain double, avg_len double")
+    return F.broadcast(held), sorted({r["term"] for r in rows})
+
+
 def score_terms(index: Index, wanted: list[str], fuzzy: Fuzzy, config: ScoringConfig = ScoringConfig()) -> DataFrame:
     """``(path, score, matched, terms)`` of every document that holds an expansion of a term.
 
-    Only expanded terms meet the postings. Products are per posting; the maximum over expansions
-    and the sum over fields and terms are two aggregations that both start on the map side.
+    Only expanded terms meet the postings, which a store keeps in order of terms. Products are
+    per posting; the maximum over expansions and the sum over fields and terms are two
+    aggregations that both start on the map side.
     """
-    found = expand(index.terms, wanted, fuzzy, config)
-    stats = F.broadcast(index.stats)  # one row a field
-    weighted = found.join(stats, "field").withColumn("gain", F.log((F.col("n") + 1) / F.col("df")) * F.col("m"))
-    hits = index.postings.join(weighted, ["field", "term"])
+    weights, names = _weights(index, wanted, fuzzy, config)
+    postings = index.postings if names is None else index.postings.where(F.col("term").isin(names))
+    hits = postings.join(weights, ["field", "term"])
     norm = config.k1 * (1 - config.b + config.b * F.col("len") / F.col("avg_len")) + 1
     boost = F.create_map(*[F.lit(x) for pair in FIELDS.items() for x in pair])[F.col("field")]
     hits = hits.withColumn("s", boost * F.col("gain") * ((config.k1 + 1) / norm + config.delta))
     best = hits.groupBy("path", "q", "field").agg(F.max("s").alias("s"), F.collect_set("term").alias("t"))
-    total = best.groupBy("path").agg(F.sum("s").alias("score"), F.countDistinct("q").alias("matched"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("t")))).alias("terms"))
-    return total
+    return best.groupBy("path").agg(F.sum("s").alias("score"), F.countDistinct("q").alias("matched"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("t")))).alias("terms"))
 
 
 def exclude_terms(hits: DataFrame, index: Index, words: list[str]) -> DataFrame:
@@ -101,26 +115,28 @@ def filter_paths(hits: DataFrame, query: Query) -> DataFrame:
 
 def ranked(index: Index, query: Query, limit: int = 50, fuzzy: Fuzzy = Fuzzy(), config: ScoringConfig = ScoringConfig()) -> DataFrame:
     """All hits before the limit: documents with every term and, if those are fewer than
-    ``limit`` before any filter, documents with some term of three characters or more."""
-    spark = index.postings.sparkSession
+    ``limit`` before any filter, documents with some term of three characters or more. Whether
+    they are is a subquery of the same plan."""
+    spark = index.fields.sparkSession
     wanted = py_tokenize(query.text, index.camel) if query.text else []
     if not wanted:
         return spark.createDataFrame([], HIT)
     scored = score_terms(index, wanted, fuzzy, config)
     every = F.col("matched") == len(wanted)
     full = scored.where(every)
-    hits = full.select("path", F.round("score", config.digits).alias("score"), "terms")
     some = [t for t in wanted if len(t) >= 3]
-    if some and full.limit(limit).count() < limit:
+    if not some:
+        hits = full.select("path", F.round("score", config.digits).alias("score"), "terms")
+    else:
         again = py_tokenize(" ".join(some), index.camel)
-        penalty = F.when(every, 1.0).otherwise(F.lit(config.any_penalty) * F.col("matched") / len(some))
+        few = full.limit(limit).agg(F.count("*").alias("n")).scalar() < limit
         if again == wanted:  # one scoring serves both passes
-            part, penalised = scored, F.col("score") * penalty
+            penalty = F.when(every, 1.0).otherwise(F.lit(config.any_penalty) * F.col("matched") / len(some))
+            hits = scored.where(every | few).select("path", F.round(F.col("score") * penalty, config.digits).alias("score"), "terms")
         else:
-            part = score_terms(index, again, fuzzy, config).join(full.select("path"), "path", "left_anti")
+            part = score_terms(index, again, fuzzy, config).where(few).join(full.select("path"), "path", "left_anti")
             penalised = F.col("score") * config.any_penalty * F.col("matched") / len(some)
-        part = part.select("path", F.round(penalised, config.digits).alias("score"), "terms")
-        hits = part if again == wanted else hits.unionByName(part)
+            hits = full.select("path", F.round("score", config.digits).alias("score"), "terms").unionByName(part.select("path", F.round(penalised, config.digits).alias("score"), "terms"))
     return filter_paths(exclude_terms(hits, index, query.excluded_terms), query)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +12,12 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import match as M
 from .operators import search as S
+from .operators.engine import SearchEngine, in_steps
 from .operators.index import Index, build_index, manifest_diff, remove, upsert
-from .plans.query import Fuzzy, parse_query
+from .operators.store import IndexStore
+from .plans.query import Fuzzy, Settings, parse_query
 from .sources.docs import canvas_text, documents_as_docs, ignored, table_as_docs
-from .streaming.changes import debounce, latest_changes, row_changes
+from .streaming.changes import debounce, due_changes, latest_changes, row_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,12 +101,17 @@ stats AS MATERIALIZED (SELECT field, (SELECT count(*) FROM docs) AS n, sum(len)
 dict AS MATERIALIZED (SELECT field, term, count(*) AS df FROM postings GROUP BY ALL)"""
 
 
-def _score_sql(name: str, wanted: list[str], fuzzy: Fuzzy) -> str:
-    rows = ", ".join(f"('{q}', {len(q)}, {len(q) >= fuzzy.prefix_min or (i == len(wanted) - 1 and len(q) >= 2)}, {S.max_edits(q, fuzzy)})" for i, q in enumerate(wanted))
+#: A query word as the SQL sees it: the word, and how many edits an index term may be off. Written by
+#: hand for each query, so that the engine's parser, tokeniser and edit rule are held against them.
+Word = tuple[str, int]
+
+
+def _score_sql(name: str, wanted: tuple[Word, ...]) -> str:
+    rows = ", ".join(f"('{q}', {len(q)}, {edits})" for q, edits in wanted)
     return f"""{name}_x AS MATERIALIZED (SELECT * FROM (SELECT field, term, df, q, CASE WHEN term = q THEN 1.0
-    WHEN pre AND starts_with(term, q) THEN 0.5 * sz / length(term)
+    WHEN starts_with(term, q) THEN 0.5 * sz / length(term)
     WHEN ed > 0 AND abs(length(term) - sz) <= ed AND levenshtein(term, q) <= ed THEN 0.5 * (1 - levenshtein(term, q) / sz::DOUBLE) END AS m
-  FROM dict, (VALUES {rows}) AS w(q, sz, pre, ed)) WHERE m IS NOT NULL),
+  FROM dict, (VALUES {rows}) AS w(q, sz, ed)) WHERE m IS NOT NULL),
 {name}_h AS MATERIALIZED (SELECT p.path, x.q, p.field, list(x.term) AS t,
     max(CASE p.field WHEN 'basename' THEN 3.0 WHEN 'tags' THEN 2.0 WHEN 'headings1' THEN 1.8 WHEN 'directory' THEN 1.5 ELSE 1.0 END
       * ln((s.n + 1) / x.df::DOUBLE) * x.m * (2.2 / (1.2 * (0.25 + 0.75 * l.len / s.avg_len) + 1) + 1.0)) AS s
@@ -111,52 +120,39 @@ def _score_sql(name: str, wanted: list[str], fuzzy: Fuzzy) -> str:
 {name} AS MATERIALIZED (SELECT path, sum(s) AS score, count(DISTINCT q) AS matched, list_sort(list_distinct(flatten(list(t)))) AS terms FROM {name}_h GROUP BY path)"""
 
 
-def _search_sql(raw: str, limit: int = 50, fuzzy: Fuzzy = Fuzzy(), source: str = "documents", extra: str = "", limited: bool = True) -> str:
-    query = parse_query(raw)
-    wanted = T.py_tokenize(query.text)
-    some = [t for t in wanted if len(t) >= 3]
-    again = T.py_tokenize(" ".join(some))
-    where = ["true"]
-    if query.ext:
-        where.append("(" + " OR ".join(f"lower(path) LIKE '%.{e}'" for e in query.ext) + ")")
-    if query.paths:
-        where.append("(" + " OR ".join(f"contains(lower(path), '{p}')" for p in query.paths) + ")")
-    where += [f"NOT contains(lower(path), '{p}')" for p in query.excluded_paths]
-    gone = [t for w in query.excluded_terms for t in T.py_tokenize(w)]
-    if gone:
-        where.append("path NOT IN (SELECT path FROM postings WHERE term IN (" + ", ".join(f"'{t}'" for t in gone) + "))")
-    parts = [_index_sql(source), _score_sql("every", wanted, fuzzy)]
-    union = f"SELECT path, round(score, 6) AS score, terms FROM every WHERE matched = {len(wanted)}"
-    if some:
-        parts.append(_score_sql("part", again, fuzzy))
-        union += f""" UNION ALL SELECT path, round(score * 0.5 * matched / {len(some)}, 6), terms FROM part
+def _search_sql(*wanted: Word, limit: int = 50, source: str = "documents", where: str = "true", limited: bool = True, flat: bool = True, index: str = "") -> str:
+    some = tuple(w for w in wanted if len(w[0]) >= 3)
+    parts = [index or _index_sql(source), _score_sql("every", wanted), _score_sql("part", some)]
+    union = f"""SELECT path, round(score, 6) AS score, terms FROM every WHERE matched = {len(wanted)}
+    UNION ALL SELECT path, round(score * 0.5 * matched / {len(some)}, 6), terms FROM part
     WHERE (SELECT count(*) FROM every WHERE matched = {len(wanted)}) < {limit} AND path NOT IN (SELECT path FROM every WHERE matched = {len(wanted)})"""
     end = f"ORDER BY score DESC, path LIMIT {limit}" if limited else ""
-    return f"WITH {', '.join(parts)} SELECT path, score, array_to_string(terms, ' ') AS terms FROM ({union}) WHERE {' AND '.join(where)} {extra} {end}"
+    terms = "array_to_string(terms, ' ') AS terms" if flat else "terms"
+    return f"WITH {', '.join(parts)} SELECT path, score, {terms} FROM ({union}) WHERE {where} {end}"
 
 
 def _flat(hits: DataFrame) -> DataFrame:
     return hits.select("path", "score", F.array_join("terms", " ").alias("terms"))
 
 
-def _register_search(name: str, raw: str, limit: int = 50, fuzzy: Fuzzy = Fuzzy(), source: str = "documents") -> None:
-    _register(name, lambda spark, sf_dir: _flat(S.search(index_of(spark, sf_dir, source), raw, limit, fuzzy)), _search_sql(raw, limit, fuzzy, source))
+def _register_search(name: str, raw: str, *wanted: Word, limit: int = 50, fuzzy: Fuzzy = Fuzzy(), source: str = "documents", where: str = "true") -> None:
+    _register(name, lambda spark, sf_dir: _flat(S.search(index_of(spark, sf_dir, source), raw, limit, fuzzy)), _search_sql(*wanted, limit=limit, source=source, where=where))
 
 
 # --- ranked search -------------------------------------------------------------------------
 
-_register_search("q_search_exact_and", "thing thble", fuzzy=Fuzzy(0.0, 4, 3))
-_register_search("q_search_boosted", "doc src0 en")
-_register_search("q_search_prefix", "there", limit=500)
-_register_search("q_search_fuzzy", "thinq ereng", fuzzy=Fuzzy(0.2, 4, 3))
-_register_search("q_search_or_fallback", "thing zuverlich")
-_register_search("q_search_exclude", "thing -thble", limit=100)
-_register_search("q_filter_ext", "thing .md", limit=100)
-_register_search("q_filter_path", "thing path:src1/", limit=100)
-_register_search("q_filter_not_path", "thing -path:/de/ -path:src2", limit=100)
-_register_search("q_search_parts", "blue bolt", source="part", limit=100)
-_register_search("q_search_pages", "thing ation", source="pages", limit=100)
-_register_search("q_search_conversations", "user thing", source="conversations", limit=100)
+_register_search("q_search_exact_and", "thing thble", ("thing", 0), ("thble", 0), fuzzy=Fuzzy(0.0, 4, 3))
+_register_search("q_search_boosted", "doc src0 en", ("doc", 0), ("src0", 0), ("en", 0))
+_register_search("q_search_prefix", "there", ("there", 1), limit=500)
+_register_search("q_search_fuzzy", "thinq ereng", ("thinq", 1), ("ereng", 1), fuzzy=Fuzzy(0.2, 4, 3))
+_register_search("q_search_or_fallback", "thing zuverlich", ("thing", 1), ("zuverlich", 1))
+_register_search("q_search_exclude", "thing -thble", ("thing", 1), limit=100, where="path NOT IN (SELECT path FROM postings WHERE term = 'thble')")
+_register_search("q_filter_ext", "thing .md", ("thing", 1), limit=100, where="lower(path) LIKE '%.md'")
+_register_search("q_filter_path", "thing path:src1/", ("thing", 1), limit=100, where="contains(lower(path), 'src1/')")
+_register_search("q_filter_not_path", "thing -path:/de/ -path:src2", ("thing", 1), limit=100, where="NOT contains(lower(path), '/de/') AND NOT contains(lower(path), 'src2')")
+_register_search("q_search_parts", "blue bolt", ("blue", 0), ("bolt", 0), source="part", limit=100)
+_register_search("q_search_pages", "thing ation", ("thing", 1), ("ation", 1), source="pages", limit=100)
+_register_search("q_search_conversations", "user thing", ("user", 0), ("thing", 1), source="conversations", limit=100)
 
 # --- tokens and postings -------------------------------------------------------------------
 
@@ -191,7 +187,7 @@ SELECT raw, array_to_string(list_filter(vs, lambda x, i: list_position(vs, x) =
 
 
 def q_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = T.token_spans(_texts(spark, sf_dir), "doc_id", "text")
+    spans = T.token_spans(_read(spark, sf_dir, "documents"), "doc_id", "text")
     return spans.select("doc_id", "start", "length", F.col("variants")[0].alias("base"))
 
 
@@ -224,7 +220,7 @@ def _phrase_sql(words: list[str]) -> str:
 
 
 def q_phrase_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.contains_phrase(_texts(spark, sf_dir), _PHRASE, "doc_id", "text")
+    return M.contains_phrase(_read(spark, sf_dir, "documents"), _PHRASE, "doc_id", "text")
 
 
 _register("q_phrase_filter", q_phrase_filter, f"WITH {_SPANS_SQL}, {_phrase_sql(_PHRASE.split())} SELECT DISTINCT doc_id FROM phrase")
@@ -251,13 +247,13 @@ def _refined(first: bool) -> Query:
 
 _HOLDS = f"path IN (SELECT source||'/'||lang||'/doc_'||doc_id||(CASE WHEN doc_id % 10 = 0 THEN '.txt' ELSE '.md' END) FROM documents WHERE doc_id IN (SELECT doc_id FROM phrase))"
 _WITH_PHRASE = f"WITH {_SPANS_SQL}, {_phrase_sql(_PHRASE.split())}, "
-_QUOTED = f'"{_PHRASE}" thing'
-_register("q_search_phrase", _refined(True), _WITH_PHRASE + _search_sql(_QUOTED, extra=f"AND {_HOLDS}").removeprefix("WITH "))
-_register("q_refine_compat", _refined(False), f"SELECT * FROM ({_WITH_PHRASE + 'page AS (' + _search_sql(_QUOTED) + f') SELECT * FROM page WHERE {_HOLDS}'})")
+_PHRASE_WORDS = (("thing", 1), ("is", 0), ("the", 0))
+_register("q_search_phrase", _refined(True), _WITH_PHRASE + _search_sql(*_PHRASE_WORDS, where=_HOLDS).removeprefix("WITH "))
+_register("q_refine_compat", _refined(False), f"SELECT * FROM ({_WITH_PHRASE + 'page AS (' + _search_sql(*_PHRASE_WORDS) + f') SELECT * FROM page WHERE {_HOLDS}'})")
 
 
 def q_approx_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = T.token_spans(_texts(spark, sf_dir), "doc_id", "text")
+    spans = T.token_spans(_read(spark, sf_dir, "documents"), "doc_id", "text", words=_APPROX.split())
     return M.approx_phrase_offsets(spans, _APPROX, "doc_id", 3).withColumn("length", F.col("length").cast("long"))
 
 
@@ -270,25 +266,26 @@ SELECT doc_id, start, length FROM hits WHERE nth <= 3""")
 # --- places, excerpts, lines ---------------------------------------------------------------
 
 _TERMS = ["thing", "ation"]
-_MATCH_SQL = """hits AS MATERIALIZED (SELECT doc_id, start, CASE WHEN starts_with(base, term) THEN least(length, length(term)) ELSE length END AS length, term FROM (
-  SELECT *, CASE WHEN base IN ('thing', 'ation') THEN base WHEN starts_with(base, 'thing') THEN 'thing' WHEN starts_with(base, 'ation') THEN 'ation' END AS term
-  FROM spans WHERE base <> '' AND NOT regexp_matches(base, '[-_]')) WHERE term IS NOT NULL)"""
+_MATCH_SQL = rf"""forms AS MATERIALIZED (SELECT doc_id, start, length, base, CASE WHEN regexp_matches(base, '{_SQL_JOIN}')
+  THEN list_concat([base], list_filter(regexp_split_to_array(base, '{_SQL_JOIN}'), lambda x: x <> '')) ELSE [base] END AS vs FROM spans WHERE base <> ''),
+hits AS MATERIALIZED (SELECT doc_id, start, CASE WHEN starts_with(base, term) THEN least(length, length(term)) ELSE length END AS length, term FROM (
+  SELECT *, list_filter(list_transform(vs, lambda x: CASE WHEN x IN ('thing', 'ation') THEN x WHEN starts_with(x, 'thing') THEN 'thing' WHEN starts_with(x, 'ation') THEN 'ation' END),
+    lambda x: x IS NOT NULL)[1] AS term FROM forms) WHERE term IS NOT NULL)"""
 
 
-def _plain_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans without joined words, whose parts the SQL side does not follow."""
-    return T.token_spans(_texts(spark, sf_dir), "doc_id", "text").where(~F.col("variants")[0].rlike("[-_]"))
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.token_spans(_read(spark, sf_dir, "documents"), "doc_id", "text", words=_TERMS)
 
 
 def q_term_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.term_offsets(_plain_spans(spark, sf_dir), _TERMS, "doc_id")
+    return M.term_offsets(_spans(spark, sf_dir), _TERMS, "doc_id")
 
 
 _register("q_term_offsets", q_term_offsets, f"WITH {_SPANS_SQL}, {_MATCH_SQL} SELECT doc_id, start, length::INT AS length, term FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY start) <= 2000")
 
 
 def q_excerpt_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = M.term_offsets(_plain_spans(spark, sf_dir), _TERMS, "doc_id", 500)
+    found = M.term_offsets(_spans(spark, sf_dir), _TERMS, "doc_id", 500)
     return M.best_window(found, "doc_id")
 
 
@@ -312,7 +309,7 @@ FROM part WHERE regexp_matches(p_name, '(^|[^\p{L}\p{N}\p{M}_''’-])(bolt|bl)')
 
 
 def q_infile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _texts(spark, sf_dir).select("doc_id", "text")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     rows = M.search_lines(docs, "thing ation", "doc_id", "text")
     return rows.select("doc_id", F.col("rank").cast("long").alias("rank"), F.col("line").cast("long").alias("line"), "line_text", F.size("offsets").cast("long").alias("n"), "distinct_terms", "phrase")
 
@@ -333,21 +330,76 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY phrase DESC, dis
 SELECT doc_id, rank, line, ls[line + 1] AS line_text, n, distinct_terms, phrase FROM r JOIN lines USING (doc_id) WHERE rank <= 200""")
 
 
+_BEST = "thing ation"
+
+
+def _page(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The best twenty documents for ``_BEST``, and what their hits matched; only their texts are read."""
+    hits = S.search(index_of(spark, sf_dir), _BEST, 20).persist()
+    wanted = F.array(*[F.lit(t) for t in _TERMS])
+    shown = hits.select("path", T.significant_for_query(F.col("terms"), wanted).alias("terms"))
+    return _docs(spark, sf_dir).join(hits.select("path"), "path", "left_semi"), shown
+
+
+_ANCHORS_SQL = rf"""page AS MATERIALIZED ({_search_sql(("thing", 1), ("ation", 1), limit=20, flat=False)}),
+held AS MATERIALIZED (SELECT path, replace(content, chr(13)||chr(10), chr(10)) AS text, page.terms FROM ({_NOTES}) JOIN page USING (path)),
+cut AS MATERIALIZED (SELECT path, regexp_extract_all(text, '{_SQL_TOKEN}') AS tk, regexp_split_to_array(text, '{_SQL_TOKEN}') AS gp FROM held),
+flat AS (SELECT path, unnest(range(1, len(tk) + 1)) AS tok_no, unnest(tk) AS tk, unnest(gp[1:len(tk)]) AS gp FROM cut WHERE len(tk) > 0),
+placed AS MATERIALIZED (SELECT path, tok_no, tk, sum(length(gp) + length(tk)) OVER (PARTITION BY path ORDER BY tok_no) - length(tk) AS start FROM flat),
+spans AS (SELECT path, tok_no, start, length(tk) AS length, {_base_sql("tk")} AS base FROM placed WHERE length(tk) <= 64 AND regexp_matches(tk, '[\p{{L}}\p{{N}}]')),
+forms AS MATERIALIZED (SELECT path, tok_no, start, length, base, CASE WHEN regexp_matches(base, '{_SQL_JOIN}')
+  THEN list_concat([base], list_filter(regexp_split_to_array(base, '{_SQL_JOIN}'), lambda x: x <> '')) ELSE [base] END AS vs FROM spans WHERE base <> ''),
+pairs AS (SELECT path, start, vs, lead(vs) OVER w AS nv, lead(start + length) OVER w - start AS size FROM forms WINDOW w AS (PARTITION BY path ORDER BY tok_no)),
+near AS MATERIALIZED (SELECT path, start, size AS length FROM pairs WHERE len(list_filter(vs, lambda x: starts_with(x, 'thing'))) > 0 AND len(list_filter(nv, lambda x: starts_with(x, 'ation'))) > 0
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY start) = 1),
+exact AS (SELECT path, start, length, base, vs, terms, unnest(vs) AS v, unnest(range(1, len(vs) + 1)) AS nth FROM forms JOIN held USING (path)),
+begins AS (SELECT path, start, length, base, nth, CASE WHEN list_contains(terms, v) THEN v ELSE t END AS term
+  FROM (SELECT *, unnest(list_concat(list_filter(terms, lambda p: length(p) >= 2), [NULL])) AS t, unnest(range(1, len(list_filter(terms, lambda p: length(p) >= 2)) + 2)) AS place FROM exact)
+  WHERE list_contains(terms, v) OR starts_with(v, t) QUALIFY row_number() OVER (PARTITION BY path, start, nth ORDER BY place) = 1),
+hits AS (SELECT path, start, CASE WHEN starts_with(base, term) THEN least(length, length(term)) ELSE length END AS length, term FROM begins QUALIFY row_number() OVER (PARTITION BY path, start ORDER BY nth) = 1),
+few AS MATERIALIZED (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY path ORDER BY start) <= 500),
+each AS (SELECT h.path, h.start AS hi, count(DISTINCT l.term) AS d, count(*) AS c, min(l.start) AS lo FROM few h JOIN few l
+  ON l.path = h.path AND l.start <= h.start AND l.start >= least(h.start, h.start + h.length - 240) GROUP BY ALL),
+best AS (SELECT * FROM each QUALIFY row_number() OVER (PARTITION BY path ORDER BY d DESC, c DESC, hi) = 1),
+places AS MATERIALIZED (SELECT path, start, length FROM near UNION ALL
+  SELECT f.path, f.start, f.length FROM few f JOIN best b ON b.path = f.path AND f.start BETWEEN b.lo AND b.hi WHERE f.path NOT IN (SELECT path FROM near)),
+firsts AS MATERIALIZED (SELECT path, text, min(start) AS s, arg_min(length, start) AS n FROM places JOIN held USING (path) GROUP BY path, text)"""
+
+
 def q_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Excerpts of the best twenty documents; only their texts are read."""
-    hits = S.search(index_of(spark, sf_dir), "thing ation", 20)
-    page = _docs(spark, sf_dir).join(hits.select("path"), "path", "left_semi")
-    return M.excerpts(page, "thing ation", _TERMS)
+    page, shown = _page(spark, sf_dir)
+    return M.excerpts(page, _BEST, shown)
+
+
+_register("q_excerpts", q_excerpts, rf"""WITH {_ANCHORS_SQL},
+cuts AS (SELECT path, text, s, greatest(0, s - 120) AS c, least(length(text), s + n + 240) AS fin FROM firsts),
+spaces AS (SELECT *, CASE WHEN instr(text[c + 1:], ' ') > 0 THEN c + instr(text[c + 1:], ' ') - 1 ELSE -1 END AS sp FROM cuts),
+froms AS MATERIALIZED (SELECT path, text, fin, CASE WHEN c > 0 AND sp >= 0 AND sp < s THEN sp + 1 ELSE c END AS beg FROM spaces),
+shown AS (SELECT path, beg, fin, text, start, least(start + length, fin) AS fini FROM froms JOIN places USING (path) WHERE start >= beg AND start < fin),
+marks AS (SELECT *, coalesce(lag(fini) OVER (PARTITION BY path ORDER BY start), beg) AS since FROM shown),
+lines AS (SELECT path, any_value(text) AS text, any_value(beg) AS beg, any_value(fin) AS fin, max(fini) AS fini,
+  string_agg(text[since + 1:start] || '<mark>' || text[start + 1:fini] || '</mark>', '' ORDER BY start) AS body FROM marks GROUP BY path)
+SELECT path, CASE WHEN beg > 0 THEN '…' ELSE '' END || translate(body || text[fini + 1:fin], chr(13)||chr(10), '  ') || CASE WHEN fin < length(text) THEN '…' ELSE '' END AS excerpt FROM lines
+UNION ALL SELECT path, trim(regexp_replace(text[1:240], '\s+', ' ', 'g')) FROM held WHERE path NOT IN (SELECT path FROM lines)""")
 
 
 def q_jump_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = S.search(index_of(spark, sf_dir), "thing ation", 20)
-    page = _docs(spark, sf_dir).join(hits.select("path"), "path", "left_semi")
-    return M.jump_targets(page, "thing ation", _TERMS)
+    page, shown = _page(spark, sf_dir)
+    return M.jump_targets(page, _BEST, shown).select("path", *[F.col(c).cast("long").alias(c) for c in ("start", "length", "line")])
+
+
+_register("q_jump_targets", q_jump_targets, f"""WITH {_ANCHORS_SQL}
+SELECT path, s::BIGINT AS start, n::BIGINT AS length, length(text[1:s]) - length(replace(text[1:s], chr(10), '')) AS line FROM firsts""")
+
 
+def q_title_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.col("p_name").alias("basename"))
+    own = F.when(F.col("path") % 2 == 0, F.array(F.lit("bl"))).otherwise(F.array(F.lit("bolt"), F.lit("br")))
+    return M.highlight_titles(parts, parts.select("path", own.alias("terms")))
 
-_register("q_excerpts", q_excerpts)
-_register("q_jump_targets", q_jump_targets)
+
+_register("q_title_highlight", q_title_highlight, r"""SELECT p_partkey AS path, CASE WHEN p_partkey % 2 = 0 THEN regexp_replace(p_name, '(^|[^\p{L}\p{N}\p{M}_''’-])(bl)', '\1<mark>\2</mark>', 'g')
+ELSE regexp_replace(p_name, '(^|[^\p{L}\p{N}\p{M}_''’-])(bolt|br)', '\1<mark>\2</mark>', 'g') END AS title FROM part""")
 
 # --- scalar functions ----------------------------------------------------------------------
 
@@ -427,7 +479,12 @@ def q_parse_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, rows, "id long, text string, phrases string, excluded_phrases string, excluded_terms string, ext string, paths string, excluded_paths string")
 
 
-_register("q_parse_query", q_parse_query)
+_register("q_parse_query", q_parse_query, """SELECT id::BIGINT AS id, text, phrases, excluded_phrases, excluded_terms, ext, paths, excluded_paths FROM (VALUES
+  (0, 'one two words', 'two words', '', 'three', '', '', ''),
+  (1, 'a-b -', '', '', '', 'md|txt', 'notes/', ''),
+  (2, 'x', '', 'not this|y', '', '', '', 'old'),
+  (3, 'word a b', 'a b', '', '', '', '', ''),
+  (4, '', '', '', '', '', '', '')) v(id, text, phrases, excluded_phrases, excluded_terms, ext, paths, excluded_paths)""")
 
 # --- upkeep --------------------------------------------------------------------------------
 
@@ -462,6 +519,84 @@ def q_index_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("q_index_remove", q_index_remove, "WITH " + _index_sql().replace(_NOTES, _NOTES + " WHERE doc_id % 3 <> 0") + " SELECT term, df FROM dict WHERE field = 'content'")
+
+
+# --- store, steps, sync ----------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A folder for a store: below the shared folder of the cluster, or of our own on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lexspark-store-")
+    root = f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return root
+
+
+def q_store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of a saved and loaded index: its scan looks for the expanded terms by name."""
+    store = IndexStore(spark, _scratch(spark))
+    store.save(index_of(spark, sf_dir), Settings())
+    return _flat(S.search(store.load(Settings()), "thing thble", 50, Fuzzy(0.0, 4, 3)))
+
+
+_register("q_store_search", q_store_search, _search_sql(("thing", 0), ("thble", 0)))
+_TURNS = _SQL_SOURCES["conversations"]
+_TURNS_NOW = _TURNS.replace(" text AS content", " CASE WHEN conv_id % 4 = 1 THEN 'thing and '||coalesce(text, '') ELSE text END AS content") + " WHERE NOT (conv_id % 3 = 0 AND turn = 1)"
+
+
+def _turns_before_and_now(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns before (some are not there yet) and after an afternoon's edits."""
+    key = F.split("path", "/")
+    conv, turn = key[1].cast("long"), key[2].cast("long")
+    docs = _turns(spark, sf_dir)
+    now = docs.where(~((conv % 3 == 0) & (turn == 1)))
+    edited = conv % 4 == 1
+    now = now.withColumn("content", F.when(edited, F.concat(F.lit("thing and "), F.coalesce("content", F.lit("")))).otherwise(F.col("content")))
+    return docs.where(conv % 5 != 0), now.withColumn("mtime", F.when(edited, 1).otherwise(F.col("mtime")))
+
+
+def q_store_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved, changed by parts, loaded: the dictionary and the averages are sums over parts."""
+    before, now = _turns_before_and_now(spark, sf_dir)
+    store, settings = IndexStore(spark, _scratch(spark)), Settings()
+    store.save(build_index(before), settings)
+    for kind in ("remove", "update", "add"):
+        diff = manifest_diff(store.load(settings).manifest, now).where(F.col("action") == kind).select("path")
+        store.apply(diff if kind == "remove" else diff.limit(0), now.join(diff, "path", "left_semi"), settings)
+    return _flat(S.search(store.load(settings), "user thing", 100))
+
+
+_CHANGED = _index_sql("conversations").replace(_TURNS, _TURNS_NOW)
+_register("q_store_changes", q_store_changes, _search_sql(("user", 0), ("thing", 1), limit=100, index=_CHANGED))
+
+
+def q_engine_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search that first brings the engine in step with documents that have changed meanwhile."""
+    before, now = _turns_before_and_now(spark, sf_dir)
+    versions = iter((before, now))
+    engine = SearchEngine(spark, lambda: next(versions))
+    return _flat(engine.search("user thing", 100, sync=True))
+
+
+_register("q_engine_sync", q_engine_sync, _search_sql(("user", 0), ("thing", 1), limit=100, index=_CHANGED))
+
+
+def q_index_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of a first indexing: notes come before other files, and each file comes once."""
+    rows = [(k, n, *part.select(F.min("path"), F.max(T.extension(F.col("path"))), F.min(T.extension(F.col("path")))).first()) for k, (part, n) in enumerate(in_steps(_docs(spark, sf_dir), 400))]
+    steps = spark.createDataFrame(rows, "step long, n long, least string, ext string, other string")
+    return steps.where("ext = other").groupBy("ext").agg(F.min("step").alias("first_step"), F.sum("n").alias("n"), F.min("least").alias("least"))
+
+
+_register("q_index_steps", q_index_steps, f"""WITH d AS (SELECT path, string_split(path, '.')[-1] AS ext FROM ({_NOTES})), c AS (SELECT ext, count(*) AS n, min(path) AS least FROM d GROUP BY ext)
+SELECT ext, CASE ext WHEN 'md' THEN 0 ELSE (SELECT ceil(n / 400.0)::BIGINT FROM c WHERE ext = 'md') END AS first_step, n, least FROM c""")
 _OPS = {"signup": "create", "click": "modify", "error": "delete", "purchase": "rename"}
 
 
@@ -481,6 +616,21 @@ UNION ALL SELECT ts, event_id, 'note_'||user_id||'_moved', 'create' FROM events
 SELECT path, op, event_id FROM c QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) = 1""")
 
 
+def q_due_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the feed asks of an index: indexable paths, last edits of bursts, deletes that cancel them."""
+    events = _events(spark, sf_dir).withColumn("path", F.concat("path", F.when(F.col("event_id") % 11 == 0, ".png").otherwise(".md"))).withColumn("new_path", F.concat("new_path", F.lit(".MD")))
+    return due_changes(events, Settings(), ["note_1"], "6 hours").select("path", "op")
+
+
+_register("q_due_changes", q_due_changes, """WITH c AS (
+SELECT ts, event_id, 'note_'||user_id||(CASE WHEN event_id % 11 = 0 THEN '.png' ELSE '.md' END) AS path, CASE event_type WHEN 'signup' THEN 'create' WHEN 'click' THEN 'modify' ELSE 'delete' END AS op
+  FROM events WHERE event_type IN ('signup', 'click', 'error', 'purchase')
+UNION ALL SELECT ts, event_id, 'note_'||user_id||'_moved.MD', 'create' FROM events WHERE event_type = 'purchase'),
+own AS (SELECT *, lead(ts) OVER (PARTITION BY path ORDER BY ts, event_id) AS nxt FROM c WHERE op = 'delete' OR (lower(path) LIKE '%.md' AND NOT starts_with(path, 'note_1'))),
+due AS (SELECT * FROM own WHERE op <> 'modify' OR nxt IS NULL OR nxt >= ts + INTERVAL 6 HOURS)
+SELECT path, op FROM due QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) = 1""")
+
+
 def _micros(ts: str):
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})")
 

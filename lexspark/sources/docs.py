@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..functions.text import extension
 from ..plans.query import Settings
 
 DOC_COLUMNS = ("path", "mtime", "kind", "content", "basename", "directory", "aliases", "tags", "headings1", "headings2", "headings3")
+# Extensions.
 ALWAYS = ("md", "canvas")
 IMAGES, OFFICE = ("png", "jpg", "jpeg", "webp", "gif", "bmp"), ("docx", "xlsx")
 _CANVAS = "nodes array<struct<text:string,file:string,url:string,label:string>>, edges array<struct<label:string>>"
@@ -49,13 +52,15 @@ def canvas_text(json: Column) -> Column:
 
 
 def parse_ignore_filters(filters: list[str]) -> tuple[list[str], list[str]]:
-    """Path prefixes (lower case) and regular expressions (written ``/.../``, broken ones skipped)."""
+    """Path prefixes (lower case) and regular expressions (written ``/.../``). The engine that will
+    run an expression says whether it is one; broken ones are skipped."""
+    compiled = SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile
     prefixes, patterns = [], []
     for f in filters:
         if len(f) > 2 and f[0] == f[-1] == "/":
             try:
-                re.compile(f[1:-1])
-            except re.error:
+                compiled(f[1:-1])
+            except IllegalArgumentException:
                 continue
             patterns.append(f[1:-1])
         else:
@@ -73,15 +78,36 @@ def ignored(path: Column, filters: list[str]) -> Column:
     return out
 
 
-def indexable(path: Column, settings: Settings, filters: list[str] | None = None, has_extractor: bool = False) -> Column:
-    """Allowed by extension, or extractable and switched on, and not ignored."""
-    types = [*ALWAYS, *settings.extra_file_types]
-    if has_extractor:
-        types += ["pdf"] * settings.index_pdf + [*IMAGES] * settings.index_images + [*OFFICE] * settings.index_office
-    allowed = extension(path).isin(types)
+def extractable(path: Column, settings: Settings, accepts: Column | bool = True) -> Column:
+    """Of a kind that is switched on, and accepted by the extractor."""
+    kinds = ["pdf"] * settings.index_pdf + [*IMAGES] * settings.index_images + [*OFFICE] * settings.index_office
+    accepted = accepts if isinstance(accepts, Column) else F.lit(accepts)
+    return extension(path).isin(kinds) & F.coalesce(accepted, F.lit(False)) if kinds else F.lit(False)
+
+
+def indexable(path: Column, settings: Settings, filters: list[str] | None = None, accepts: Column | bool = False) -> Column:
+    """Allowed by extension or extractable, and not ignored."""
+    allowed = extension(path).isin(*ALWAYS, *settings.extra_file_types) | extractable(path, settings, accepts)
     return allowed & ~ignored(path, filters or []) if settings.respect_excluded else allowed
 
 
+def extractor(read: Callable[[str, bytes], str | None]) -> Callable[[Column, Column], Column]:
+    """A function of path and bytes as the extractor of :func:`read_files`, in Arrow batches: a
+    file that it cannot read, or has no text for, is the empty text."""
+
+    def one(path: str, content: bytes) -> str:
+        try:
+            return read(path, content) or ""
+        except Exception:  # whatever the library raises on a broken file
+            return ""
+
+    @F.pandas_udf("string")
+    def run(paths: pd.Series, contents: pd.Series) -> pd.Series:
+        return pd.Series([one(p, c) for p, c in zip(paths, contents, strict=True)], dtype=object)
+
+    return run
+
+
 def with_frontmatter(files: DataFrame) -> DataFrame:
     """Documents from ``(path, mtime, content)``: names from the path; aliases, tags and the
     first three heading levels from the text."""
@@ -106,17 +132,21 @@ def with_frontmatter(files: DataFrame) -> DataFrame:
     )
 
 
-def read_files(spark: SparkSession, root: str, settings: Settings | None = None, filters: list[str] | None = None, extractor: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """Indexable files below ``root``. ``extractor`` maps path and bytes to text for other kinds
-    of file; what it cannot read is the empty text."""
+def read_files(
+    spark: SparkSession, root: str, settings: Settings | None = None, filters: list[str] | None = None, extract: Callable[[Column, Column], Column] | None = None, accepts: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """Indexable files below ``root``. ``extract`` (see :func:`extractor`) maps path and bytes to text for
+    other kinds of file, those whose path ``accepts`` is true for; bytes that are no UTF-8 become
+    U+FFFD, so that no file can stop a build."""
     settings = settings or Settings()
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(re.sub(r"^[a-z]+:/*", "/", base)) + "/", "")
-    files = files.withColumn("path", path).where(indexable(F.col("path"), settings, filters, extractor is not None))
-    extracted = extension(F.col("path")).isin("pdf", *IMAGES, *OFFICE)
-    text = F.decode("content", "UTF-8")
-    if extractor is not None:
-        text = F.when(extracted, extractor(F.col("path"), F.col("content"))).otherwise(text)
+    accepted = False if extract is None else True if accepts is None else accepts(F.col("path"))
+    files = files.withColumn("path", path).where(indexable(F.col("path"), settings, filters, accepted))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    if extract is not None:
+        own = True if accepts is None else accepts(F.col("path"))
+        text = F.when(extractable(F.col("path"), settings, own), extract(F.col("path"), F.col("content"))).otherwise(text)
     mtime = (F.col("modificationTime").cast("double") * 1000).cast("long")
     return with_frontmatter(files.select("path", mtime.alias("mtime"), F.coalesce(text, F.lit("")).alias("content")))

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.index import IndexStore, build_index, remove, upsert
+from ..operators.index import build_index
+from ..operators.store import IndexStore
 from ..plans.query import Settings
+from ..sources.docs import indexable
 
 DEBOUNCE = "2 seconds"
 
@@ -51,18 +53,31 @@ def settled_edits(changes: DataFrame, gap: str = DEBOUNCE, tie: str = "event_id"
     return nxt.where((F.col("op") != "modify") | quiet).drop("__ts")
 
 
-def keep_index(feed: DataFrame, docs: Callable[[], DataFrame], store: IndexStore, settings: Settings, checkpoint: str, trigger: str = "60 seconds", once: bool = False) -> StreamingQuery:
+def due_changes(events: DataFrame, settings: Settings, filters: list[str] | None = None, gap: str = DEBOUNCE, tie: str = "event_id") -> DataFrame:
+    """What a batch of events asks of an index: ``(path, op, ts)``, one row a path. Only indexable paths are
+    created or modified; of a burst of edits the last counts, and a delete cancels it."""
+    rows = row_changes(events).where((F.col("op") == "delete") | indexable(F.col("path"), settings, filters))
+    return latest_changes(settled_edits(rows, gap, tie), tie)
+
+
+def keep_index(
+    feed: DataFrame, docs: Callable[[], DataFrame], store: IndexStore, settings: Settings, checkpoint: str, trigger: str = "60 seconds", once: bool = False, filters: list[str] | None = None, gap: str = DEBOUNCE
+) -> StreamingQuery:
     """Apply a stream of changes to a saved index, one batch after the other; readers see the
     version before or after a batch, never between. ``docs`` gives the current documents, of
-    which only the changed are read into the index. Replaying a batch does no harm."""
+    which only the changed are read; a batch adds one part to the store. Replaying a batch does
+    no harm."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        held = store.load(settings)
-        last = latest_changes(row_changes(batch))
-        gone = last.where("op = 'delete'")
-        changed = docs().join(last.where("op <> 'delete'").select("path"), "path", "left_semi")
-        index = upsert(remove(held, gone), changed) if held else build_index(docs().join(gone, "path", "left_anti"), settings.split_camel_case)
-        store.save(index, settings)
+        last = due_changes(batch, settings, filters, gap).persist()
+        try:
+            gone = last.where("op = 'delete'").select("path")
+            if store.load(settings) is None:
+                store.save(build_index(docs().join(gone, "path", "left_anti"), settings.split_camel_case), settings)
+            else:
+                store.apply(gone, docs().join(last.where("op <> 'delete'").select("path"), "path", "left_semi"), settings)
+        finally:
+            last.unpersist()
 
     writer = feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=trigger)).start()

@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from lexspark.operators.index import IndexStore
+from lexspark.operators.store import IndexStore
 from lexspark.operators.search import latest_requests, search
 from lexspark.plans.query import Settings
 from lexspark.streaming.changes import debounce, keep_index, latest_changes, row_changes, settled_edits

@@ -2,11 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexspark.operators import match as M
+from lexspark.operators import store as store_module
 from lexspark.operators.engine import SearchEngine
-from lexspark.operators.index import IndexStore, build_index, manifest_diff, sync
+from lexspark.operators.index import build_index, manifest_diff, sync
+from lexspark.operators.store import IndexStore
 from lexspark.operators.search import Fuzzy, max_edits, search
 from lexspark.plans.query import Settings
-from lexspark.sources.docs import DOC_COLUMNS, canvas_text, ignored, indexable, read_files
+from lexspark.sources.docs import DOC_COLUMNS, canvas_text, extractor, ignored, indexable, read_files
 
 SCHEMA = ", ".join(f"{c} {'long' if c == 'mtime' else 'string'}" for c in DOC_COLUMNS)
 
@@ -89,6 +91,42 @@ def test_upsert_remove_and_phrases(spark, docs):
     assert engine.lines("code/notes.txt", "seeds").count() == 1
 
 
+def test_hits_carry_their_terms_to_excerpts_titles_and_jumps(spark, docs):
+    engine = SearchEngine(spark, docs, Settings(fuzzy=Fuzzy(0.3)))
+    hits = engine.search("tomatp")
+    marks = {r.path: r.excerpt for r in engine.excerpts("tomatp", hits).collect()}
+    assert "<mark>tomato</mark>" in marks["garden/compost.md"]
+    titles = {r.path: r.title for r in engine.titles("tomatp", hits).collect()}
+    assert titles["garden/tomato.md"] == "<mark>tomato</mark>" and titles["garden/compost.md"] == "compost"
+    assert {r.path: (r.start, r.line) for r in engine.jumps("tomatp", hits).collect()}["garden/compost.md"] == (19, 0)
+    engine.close()
+
+
+def test_sync_restart_and_rebuild(spark, docs, tmp_path):
+    current = [docs]
+    engine = SearchEngine(spark, lambda: current[0], store=f"file://{tmp_path}/s")
+    engine.persist()
+    current[0] = docs.where("path <> 'code/parser.md'").unionByName(spark.createDataFrame([doc("new.md", "granite")], SCHEMA))
+    assert paths(engine.search("granite")) == [] and paths(engine.search("granite", sync=True)) == ["new.md"]
+    assert engine.sync() == (0, 0) and engine.manifest().count() == 4
+    engine.restart(Settings(split_camel_case=True))  # other options: the saved index does not serve
+    assert paths(engine.search("granite")) == ["new.md"] and not engine.store._numbers()
+    engine.rebuild()
+    assert len(engine.store._numbers()) == 1 and paths(SearchEngine(spark, current[0], Settings(split_camel_case=True), f"file://{tmp_path}/s").search("granite")) == ["new.md"]
+
+
+def test_populate_in_steps(spark, docs, tmp_path):
+    engine = SearchEngine(spark, docs, store=f"file://{tmp_path}/p")
+    seen = []
+    engine.populate(lambda done, total: seen.append((done, total, sorted(r.path[-3:] for r in engine.store.load(Settings()).manifest.collect()))), step=2)
+    assert len(seen) >= 2 and seen[-1][:2] == (4, 4) and "txt" in seen[-1][2]
+    assert all("txt" not in kinds for done, _, kinds in seen if done < 4)
+    assert paths(engine.search("bean")) == ["garden/compost.md"]
+    engine.docs = docs.where("path <> 'garden/compost.md'")
+    engine.populate()
+    assert paths(engine.search("bean")) == []
+
+
 def test_canvas(spark):
     canvas = '{"nodes":[{"text":"submarine"},{"file":"x.md"}],"edges":[{"label":"dives"}]}'
     index = build_index(spark.createDataFrame([doc("board.canvas", canvas, "canvas")], SCHEMA))
@@ -103,10 +141,46 @@ def test_store_round_trip_and_validation(spark, docs, index, tmp_path):
     held = store.load(settings)
     assert held.manifest.count() == 4
     assert search(held, "tomato bean").collect() == search(index, "tomato bean").collect()
+    plan = held.postings.where(F.col("term").isin("tomato", "bean"))._jdf.queryExecution().toString()
+    assert "In(term, [bean,tomato])" in plan or "In(term, [tomato,bean])" in plan
+    assert "PushedFilters: [In(term" in search(held, "tomato", fuzzy=Fuzzy(0.1))._jdf.queryExecution().toString().replace("IsNotNull(term), ", "") or "EqualTo(term" in search(held, "tomato")._jdf.queryExecution().toString()
     assert store.load(Settings()) is None  # other options: cleared
     assert store.load(settings) is None
 
 
+def test_store_parts_commits_and_damage(spark, docs, tmp_path, monkeypatch):
+    root, settings = f"{tmp_path}/ix", Settings()
+    store = IndexStore(spark, f"file://{root}")
+    store.apply(spark.createDataFrame([], "path string"), docs, settings)
+    none = docs.select("path").limit(0)
+    for k in range(store_module.PARTS + 1):
+        new = spark.createDataFrame([doc("garden/tomato.md", f"gravel round{k}", mtime=k), doc(f"new/{k}.md", "granite")], SCHEMA)
+        gone = none if k else spark.createDataFrame([("code/notes.txt",), ("no/such",)], "path string")
+        store.apply(gone, new, settings)
+        held = store.load(settings)
+        assert paths(search(held, f"round{k}")) == ["garden/tomato.md"] and search(held, "granite").count() == k + 1
+    assert held.manifest.count() == 3 + k + 1 and search(held, "seedlings", fuzzy=Fuzzy(0.0)).count() == 0
+    plain = build_index(docs.where("path not in ('code/notes.txt', 'garden/tomato.md')").unionByName(new.limit(1)).unionByName(spark.createDataFrame([doc(f"new/{i}.md", "granite") for i in range(k + 1)], SCHEMA)))
+    for raw in ("granite", "tomato quick", "round8 bean"):
+        assert search(held, raw).collect() == search(plain, raw).collect()
+    assert sorted((r.field, r.n, round(r.avg_len, 9)) for r in held.stats.collect()) == sorted((r.field, r.n, round(r.avg_len, 9)) for r in plain.stats.collect())
+    assert len(store._numbers()) == store_module.KEPT and len(store._names("parts")) <= store_module.PARTS + 1
+
+    def fails(*_):
+        raise OSError("the file system does not answer")
+
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        m.setattr(IndexStore, "_commit", fails)
+        store.load(settings)
+    assert store.load(settings) is not None  # nothing was deleted
+    newest = max(store._numbers())
+    (tmp_path / f"ix/commits/{newest + 1:012}.json").write_text("{damaged")
+    (tmp_path / f"ix/commits/.{newest + 1:012}.json.crc").unlink(missing_ok=True)
+    assert search(store.load(settings), "granite").count() == k + 1
+    store.clear()
+    assert store.load(settings) is None
+
+
 def test_manifest_diff_and_sync(spark, docs, index):
     known = spark.createDataFrame([("a", 2), ("b", 1), ("c", 1)], "path string, mtime long")
     now = spark.createDataFrame([("a", 1), ("b", 1), ("d", 1)], "path string, mtime long")
@@ -124,9 +198,23 @@ def test_sources(spark, tmp_path):
     (tmp_path / "sub" / "secret.md").write_text("hidden")
     got = read_files(spark, str(tmp_path), filters=["sub/secret"]).collect()
     assert [(r.path, r.basename, r.directory, r.aliases, r.tags, r.headings1, r.headings2, r.headings3) for r in got] == [("sub/note.md", "note", "sub", "one two", "x tagged", "Head", "Second", "")]
+    (tmp_path / "sub" / "broken.md").write_bytes(b"caf\xe9 \xff text")
+    (tmp_path / "sub" / "paper.pdf").write_bytes(b"%PDF")
+    (tmp_path / "sub" / "bad.pdf").write_bytes(b"bad")
+    (tmp_path / "sub" / "other.pdf").write_bytes(b"%PDF")
+
+    def reader(path, content):
+        return None if path.endswith("other.pdf") else {b"%PDF": "paper text"}[content]
+
+    got = {r.path: r.content for r in read_files(spark, str(tmp_path), Settings(index_pdf=True), ["sub/secret"], extractor(reader), lambda p: ~p.contains("none")).collect()}
+    assert got["sub/broken.md"] == "caf\ufffd \ufffd text" and got["sub/paper.pdf"] == "paper text" and got["sub/bad.pdf"] == got["sub/other.pdf"] == ""
+    assert "sub/paper.pdf" not in {r.path for r in read_files(spark, str(tmp_path), Settings(index_pdf=True), None, extractor(reader), lambda p: p.contains("bad")).collect()}
+    assert "sub/paper.pdf" not in {r.path for r in read_files(spark, str(tmp_path), Settings(), None, extractor(reader)).collect()}
     df = spark.createDataFrame([("a.pdf",), ("A.MD",), ("b.org",)], "p string")
     assert [r[0] for r in df.where(indexable(F.col("p"), Settings(extra_file_types=("org",)))).collect()] == ["A.MD", "b.org"]
     assert df.where(ignored(F.col("p"), ["a.", "/ORG$/", "/(/"])).count() == 2
+    # the engine that runs an expression decides what one is
+    assert df.where(ignored(F.col("p"), [r"/\p{Lu}\.MD/", "/(?P<n>x)/"])).count() == 1
 
 
 def spans(spark, text):
