@@ -1,6 +1,9 @@
 """From raw documents to token ids in five stages.
 
 Each stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of ``documents``.
+Null or empty texts fail the quality rules and go there; repeated rows count as copies and
+share an id's fate; null ids pass near-dedup unlinked; columns beside those of ``documents`` are
+carried along until the last stage, which names its own.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm._common import documents, materialise, shared_dir
+from lexspark.llm._common import documents, materialise, remove_dirs, shared_dir
 from lexspark.llm.bpe import bpe_encode_decode
 from lexspark.llm.decontaminate import decontaminate
 from lexspark.llm.line_dedup import line_dedup
@@ -63,9 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read by the next."""
-    root = shared_dir(spark)
+    """All stages over ``documents``, each written to the shared folder and read by the next; what a
+    stage has read goes when the next one stands. An empty table gives an empty table."""
+    root, before = shared_dir(spark), []
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"{root}/{name}")
+        remove_dirs(spark, root, *before)
+        before = [name]
     return STAGES[-1][1](spark, docs, sf_dir)
