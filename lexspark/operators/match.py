@@ -119,14 +119,20 @@ def term_offsets(spans: DataFrame, terms: list[str] | Column, key: str = "path",
 
 def best_window(matches: DataFrame, key: str = "path", chars: int = WINDOW) -> DataFrame:
     """The matches of each document inside its best stretch of ``chars``: most different terms,
-    then most matches, then first. Bounded by the cap on matches of a document."""
-    hi = matches.select(key, F.col("start").alias("hi"), (F.col("start") + F.col("length")).alias("end"))
-    lo = matches.select(key, F.col("start").alias("lo"), F.col("term"))
-    joined = hi.join(lo, key).where((F.col("lo") <= F.col("hi")) & (F.col("lo") >= F.least("hi", F.col("end") - chars)))
-    each = joined.groupBy(key, "hi").agg(F.countDistinct("term").alias("d"), F.count("*").alias("c"), F.min("lo").alias("from"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("d"), F.desc("c"), "hi"))
-    best = each.withColumn("r", rank).where("r = 1").select(key, "from", "hi")
-    return matches.join(best, key).where("start between `from` and hi").select(*matches.columns)
+    then most matches, then first. A document's matches come together once, as one row; their
+    number is bounded by the cap on matches of a document."""
+    rest = [c for c in matches.columns if c not in (key, "start")]
+    held = matches.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", *rest))).alias("m"))
+
+    def stretch(h: Column) -> Column:
+        """What ends at a match: its score, and where it begins and ends."""
+        inside = F.filter("m", lambda x: (x["start"] <= h["start"]) & (x["start"] >= F.least(h["start"], h["start"] + h["length"] - chars)))
+        terms = F.size(F.array_distinct(F.transform(inside, lambda x: x["term"])))
+        return F.struct(terms.alias("d"), F.size(inside).alias("c"), (-h["start"]).alias("early"), inside[0]["start"].alias("from"), h["start"].alias("to"))
+
+    best = held.withColumn("best", F.array_max(F.transform("m", stretch)))
+    rows = best.select(key, F.explode(F.filter("m", lambda x: (x["start"] >= F.col("best")["from"]) & (x["start"] <= F.col("best")["to"]))).alias("x"))
+    return rows.select(*[F.col(c) if c == key else F.col("x")[c].alias(c) for c in matches.columns])
 
 
 def highlight(text: Column, offsets: Column, base: Column | int = 0, before: str = "<mark>", after: str = "</mark>") -> Column:

@@ -16,7 +16,7 @@ from .operators.engine import SearchEngine, in_steps
 from .operators.index import Index, build_index, manifest_diff, remove, upsert
 from .operators.store import IndexStore
 from .plans.query import Fuzzy, Settings, parse_query
-from .sources.docs import canvas_text, documents_as_docs, ignored, table_as_docs
+from .sources.docs import canvas_text, documents_as_docs, ignored, indexable, table_as_docs, with_frontmatter
 from .streaming.changes import debounce, due_changes, latest_changes, row_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -252,6 +252,16 @@ _register("q_search_phrase", _refined(True), _WITH_PHRASE + _search_sql(*_PHRASE
 _register("q_refine_compat", _refined(False), f"SELECT * FROM ({_WITH_PHRASE + 'page AS (' + _search_sql(*_PHRASE_WORDS) + f') SELECT * FROM page WHERE {_HOLDS}'})")
 
 
+def q_refine_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only text-like files are verified; here ``.txt`` is not one and passes."""
+    hits = S.ranked(index_of(spark, sf_dir), parse_query("thing is the"), 50)
+    return _flat(M.refine(hits, _docs(spark, sf_dir), [_PHRASE], ["of the"], text_like=("md",)))
+
+
+_register("q_refine_gate", q_refine_gate, f"WITH {_SPANS_SQL}, {_phrase_sql(_PHRASE.split())}, {_phrase_sql(['of', 'the']).replace('runs AS', 'runs2 AS').replace('phrase AS', 'out_phrase AS').replace('FROM runs WHERE', 'FROM runs2 WHERE')}, "
+  + _search_sql(*_PHRASE_WORDS, limited=False, where=f"path LIKE '%.txt' OR ({_HOLDS} AND NOT {_HOLDS.replace('FROM phrase', 'FROM out_phrase')})").removeprefix("WITH "))
+
+
 def q_approx_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = T.token_spans(_read(spark, sf_dir, "documents"), "doc_id", "text", words=_APPROX.split())
     return M.approx_phrase_offsets(spans, _APPROX, "doc_id", 3).withColumn("length", F.col("length").cast("long"))
@@ -461,6 +471,32 @@ _register(
     lambda spark, sf_dir: _docs(spark, sf_dir).groupBy(T.extension(F.col("path")).alias("ext"), T.file_type(F.col("path")).alias("type")).agg(F.count("*").alias("n")),
     f"SELECT string_split(lower(path), '.')[-1] AS ext, 'text' AS type, count(*) AS n FROM ({_NOTES}) GROUP BY ALL",
 )
+_PATHS = ("a.md", "B.Canvas", "img/x.PNG", "scan.pdf", "locked.pdf", "sheet.xlsx", "letter.docx", "todo.org", "README", "v1.2/notes", "photo.jpeg", "src1.md/x.txt", "movie.mp4")
+_register(
+    "q_path_types",
+    lambda spark, sf_dir: _rows(spark, ((p,) for p in _PATHS), "path string").select(
+        "path", T.extension(F.col("path")).alias("ext"), T.file_type(F.col("path")).alias("type"),
+        indexable(F.col("path"), Settings(extra_file_types=("org",), index_pdf=True, index_office=True), ["V1.2", "/letter/"], ~F.col("path").contains("locked")).alias("indexable"),
+    ),
+    """SELECT path, ext, type, indexable FROM (VALUES ('a.md', 'md', 'text', true), ('B.Canvas', 'canvas', 'canvas', true), ('img/x.PNG', 'png', 'image', false), ('scan.pdf', 'pdf', 'pdf', true),
+  ('locked.pdf', 'pdf', 'pdf', false), ('sheet.xlsx', 'xlsx', 'office', true), ('letter.docx', 'docx', 'office', false), ('todo.org', 'org', 'text', true), ('README', 'readme', 'text', false),
+  ('v1.2/notes', '2/notes', 'text', false), ('photo.jpeg', 'jpeg', 'image', false), ('src1.md/x.txt', 'txt', 'text', false), ('movie.mp4', 'mp4', 'text', false)) v(path, ext, type, indexable)""",
+)
+_NOTE_FILES = (
+    ("sub/note.md", "---\naliases: [one, two]\ntags: x\n---\n# Head\n## Second\ntext #tagged\n#### deep\n"),
+    ("a/b/plan.canvas", '{"nodes":[{"text":"# no heading"}]}'),
+    ("plain.md", "no front\n# A\n# B\n### C #t1 #t2"),
+    ("list.md", "---\naliases:\n- p q\n- r\ntags:\n  - u/v\n---\nbody"),
+)
+_register(
+    "q_note_fields",
+    lambda spark, sf_dir: with_frontmatter(_rows(spark, ((p, 1, c) for p, c in _NOTE_FILES), "path string, mtime long, content string")).drop("content", "mtime"),
+    """SELECT path, kind, basename, directory, aliases, tags, headings1, headings2, headings3 FROM (VALUES ('sub/note.md', 'text', 'note', 'sub', 'one two', 'x tagged', 'Head', 'Second', ''),
+  ('a/b/plan.canvas', 'canvas', 'plan', 'a/b', '', '', '', '', ''), ('plain.md', 'text', 'plain', '', '', 't1 t2', 'A B', '', 'C #t1 #t2'),
+  ('list.md', 'text', 'list', '', 'p q r', 'u/v', '', '', '')) v(path, kind, basename, directory, aliases, tags, headings1, headings2, headings3)""",
+)
+
+
 _FILTERS = ["src1/", "SRC2/EN", r"/doc_\d*7\./", "/(broken/"]
 _register(
     "q_ignore_filters",
