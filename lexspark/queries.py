@@ -17,8 +17,8 @@ from .operators.engine import SearchEngine, in_steps
 from .operators.index import Index, build_index, manifest_diff, remove, upsert
 from .operators.store import IndexStore
 from .plans.query import Fuzzy, Settings, parse_query
-from .sources.docs import canvas_text, documents_as_docs, ignored, indexable, table_as_docs, with_frontmatter
-from .streaming.changes import debounce, due_changes, latest_changes, row_changes
+from .sources.docs import canvas_text, documents_as_docs, ignored, indexable, read_files, table_as_docs, with_frontmatter
+from .streaming.changes import debounce, due_changes, latest_changes, row_changes, settled_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,6 +155,20 @@ _register_search("q_search_parts", "blue bolt", ("blue", 0), ("bolt", 0), source
 _register_search("q_search_pages", "thing ation", ("thing", 1), ("ation", 1), source="pages", limit=100)
 _register_search("q_search_conversations", "user thing", ("user", 0), ("thing", 1), source="conversations", limit=100)
 
+_NOTHING = ("", "path:src1", "-thing", "- --", ".md ext:txt")
+
+
+def q_search_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries without a word to rank have no hits, whatever else they ask."""
+    counts = [S.search(index_of(spark, sf_dir, "part"), raw).agg(F.count("*").alias("n")).select(F.lit(raw).alias("raw"), "n") for raw in _NOTHING]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+_register("q_search_nothing", q_search_nothing, "SELECT raw, 0::BIGINT AS n FROM (VALUES (''), ('path:src1'), ('-thing'), ('- --'), ('.md ext:txt')) v(raw)")
+
 # --- tokens and postings -------------------------------------------------------------------
 
 
@@ -498,6 +512,17 @@ _register(
 )
 
 
+
+
+def q_read_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as text files, one a line, and read back as notes."""
+    root = _scratch(spark)
+    _read(spark, sf_dir, "pages").select("html").repartition(3).write.text(f"{root}/notes")
+    docs = read_files(spark, f"{root}/notes", Settings(extra_file_types=("txt",)), ["_success"])
+    return docs.groupBy("kind", "directory").agg(F.sum(F.length("content")).alias("chars"), F.min(F.col("basename").startswith("part-")).alias("named"))
+
+
+_register("q_read_files", q_read_files, "SELECT 'text' AS kind, '' AS directory, sum(coalesce(length(html), 0) + 1)::BIGINT AS chars, true AS named FROM pages")
 _FILTERS = ["src1/", "SRC2/EN", r"/doc_\d*7\./", "/(broken/"]
 _register(
     "q_ignore_filters",
@@ -685,6 +710,16 @@ _register(
     lambda spark, sf_dir: S.latest_requests(_rows(spark, _REQUESTS, "session string, search_id long, query string")),
     "SELECT session, max(search_id)::BIGINT AS search_id, arg_max(query, search_id) AS query FROM (VALUES " + ", ".join(map(str, _REQUESTS)) + ") v(session, search_id, query) GROUP BY session",
 )
+
+
+def q_input_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of readers who have stopped typing; of each session in the table of events."""
+    asked = _read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("search_id"), "ts")
+    return settled_requests(asked, "90 minutes").select("session", "search_id")
+
+
+_register("q_input_debounce", q_input_debounce, """SELECT user_id AS session, event_id AS search_id FROM (
+  SELECT user_id, event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NULL OR nxt >= ts + INTERVAL 90 MINUTES""")
 _register(
     "q_clamp_selection",
     lambda spark, sf_dir: _read(spark, sf_dir, "nation").select("n_nationkey", S.clamp_selection(F.col("n_nationkey") - 5, F.lit(12)).alias("selected")),

@@ -53,6 +53,13 @@ def settled_edits(changes: DataFrame, gap: str = DEBOUNCE, tie: str = "event_id"
     return nxt.where((F.col("op") != "modify") | quiet).drop("__ts")
 
 
+def settled_requests(requests: DataFrame, gap: str = "80 milliseconds", session: str = "session", order: str = "search_id") -> DataFrame:
+    """Requests ``(session, search_id, ts, ...)`` that no other of their session follows within ``gap``: what a
+    reader who is still typing has asked is not run."""
+    nxt = F.lead("ts").over(Window.partitionBy(session).orderBy("ts", order))
+    return requests.withColumn("__next", nxt).where(F.col("__next").isNull() | (F.col("__next") >= F.col("ts") + F.expr(f"interval {gap}"))).drop("__next")
+
+
 def due_changes(events: DataFrame, settings: Settings, filters: list[str] | None = None, gap: str = DEBOUNCE, tie: str = "event_id") -> DataFrame:
     """What a batch of events asks of an index: ``(path, op, ts)``, one row a path. Only indexable paths are
     created or modified; of a burst of edits the last counts, and a delete cancels it."""
