@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lexspark.operators.store import IndexStore
 from lexspark.operators.search import latest_requests, search
 from lexspark.plans.query import Settings
-from lexspark.streaming.changes import debounce, keep_index, latest_changes, row_changes, settled_edits
+from lexspark.streaming.changes import debounce, due_changes, keep_index, latest_changes, row_changes, settled_edits, settled_requests
 from test_engine import SCHEMA, doc
 
 T0 = datetime(2024, 1, 1)
@@ -28,6 +28,21 @@ def test_debounce_and_cancel(spark):
     assert [(r.event_id, r.op) for r in settled_edits(feed).orderBy("event_id").collect()] == [(1, "modify"), (2, "modify"), (4, "delete")]
 
 
+def test_due_changes_are_indexable_settled_and_not_cancelled(spark):
+    feed = events(
+        spark, (0, "a.md", "modify", None), (1, "a.md", "modify", None), (2, "b.md", "modify", None), (3, "b.md", "delete", None), (4, "x.png", "create", None),
+        (5, "c.md", "rename", "d.bin"), (6, "old.txt", "rename", "new.md"), (7, "skip/e.md", "create", None), (8, "gone.png", "delete", None), (9, None, "create", None),
+    )
+    got = {(r.path, r.op) for r in due_changes(feed, Settings(), ["skip/"]).collect()}
+    assert got == {("a.md", "modify"), ("b.md", "delete"), ("c.md", "delete"), ("old.txt", "delete"), ("new.md", "create"), ("gone.png", "delete")}
+
+
+def test_requests_of_a_reader_who_still_types_are_not_run(spark):
+    rows = [("s", i, T0 + timedelta(milliseconds=ms)) for i, ms in enumerate((0, 50, 129, 300, 300))] + [("t", 9, T0)]
+    df = spark.createDataFrame(rows, "session string, search_id long, ts timestamp")
+    assert sorted((r.session, r.search_id) for r in settled_requests(df).collect()) == [("s", 2), ("s", 4), ("t", 9)]
+
+
 def test_stream_keeps_the_index(spark, tmp_path):
     docs = spark.createDataFrame([doc("a.md", "apple"), doc("b.md", "berry")], SCHEMA)
     store, settings = IndexStore(spark, f"file://{tmp_path}/ix"), Settings()
@@ -40,12 +55,13 @@ def test_stream_keeps_the_index(spark, tmp_path):
 
     events(spark, (0, "a.md", "create", None)).write.mode("append").parquet(feed_dir)
     run(docs)
-    assert store.load(settings).manifest.count() == 2
+    assert store.load(settings).manifest.count() == 2 and len(store._names("parts")) == 1
     events(spark, (5, "b.md", "delete", None), (6, "a.md", "modify", None)).write.mode("append").parquet(feed_dir)
     run(docs.where("path = 'a.md'").withColumn("content", F.lit("avocado")))
     index = store.load(settings)
     assert [r.path for r in search(index, "avocado").collect()] == ["a.md"]
     assert search(index, "berry").count() == 0
+    assert len(store._names("parts")) == 2  # a batch adds a part, and what it did not touch stays as it is
 
 
 def test_stale_requests(spark):
