@@ -133,6 +133,41 @@ def decode(raw: bytes | None) -> str:
     return raw.decode("utf-8", "replace") if raw else ""
 
 
+def texts_of(raw: pa.Array) -> pa.StringArray:
+    """Binary texts as strings; null is the empty text, broken bytes become U+FFFD."""
+    try:
+        return pc.fill_null(raw.cast(pa.string()), "")
+    except pa.ArrowInvalid:
+        return pa.array([decode(b) for b in raw.to_pylist()], pa.string())
+
+
+def pieces_of(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """The distinct pieces of ``texts`` between single spaces, the number of each piece in order, and
+    where among these each text begins (and the last one ends)."""
+    lists = pc.split_pattern(texts, " ")
+    edges = lists.offsets.to_numpy().astype(np.int64)
+    held = lists.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
+    return held.dictionary, held.indices.to_numpy().astype(np.int64), edges - edges[0]
+
+
+def runs_of_ids(sizes: np.ndarray, ids: np.ndarray | pa.Buffer) -> pa.Array:
+    """Runs of 32-bit ids as binary values, which Arrow gathers as they are."""
+    ends = np.r_[0, 4 * np.cumsum(sizes)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), ids if isinstance(ids, pa.Buffer) else pa.py_buffer(ids)])
+
+
+def reach_of(runs: pa.Array) -> np.ndarray:
+    """Ids before each run of a gathered array, and in all."""
+    return np.frombuffer(runs.buffers()[1], dtype=np.int32)[: len(runs) + 1] // 4 if len(runs) else np.zeros(1, dtype=np.int32)
+
+
+def lists_of_ids(runs: pa.Array, edges: np.ndarray) -> pa.ListArray:
+    """Consecutive runs, from each of ``edges`` to the next, as one list of ids."""
+    reach = reach_of(runs)
+    values = pa.Array.from_buffers(pa.int32(), int(reach[-1]), [None, runs.buffers()[2]]) if reach[-1] else pa.array([], pa.int32())
+    return pa.ListArray.from_arrays(pa.array(reach[edges]), values)
+
+
 def words_of(raw: bytes | None) -> list[bytes]:
     return raw.split() if raw else []
 

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import decode, map_arrow, require, shuffle_width, text_bytes
+from ._common import lists_of_ids, map_arrow, pieces_of, reach_of, require, runs_of_ids, shuffle_width, text_bytes, texts_of
 from .bpe import byte_letters
 
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
@@ -35,12 +35,6 @@ _PATTERN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 _BY_WORD = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
 
-def _blobs(sizes: np.ndarray, ids: np.ndarray | pa.Buffer) -> pa.Array:
-    """Runs of ids as binary values, which Arrow gathers as they are."""
-    ends = np.r_[0, 4 * np.cumsum(sizes)].astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), ids if isinstance(ids, pa.Buffer) else pa.py_buffer(ids)])
-
-
 class LibraryEncoder:
     """Byte-level BPE through the tokenizers library, which sees each distinct word of a batch once.
 
@@ -66,7 +60,7 @@ class LibraryEncoder:
 
     def _whole(self, texts: list[str]) -> pa.Array:
         found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        return _blobs(np.array([len(i) for i in found], dtype=np.int64), np.array([i for ids in found for i in ids], dtype="<i4"))
+        return runs_of_ids(np.array([len(i) for i in found], dtype=np.int64), np.array([i for ids in found for i in ids], dtype="<i4"))
 
     def _words(self, words: list[str]) -> pa.Array:
         tokenize, ids, sizes = self.model.tokenize, array("i"), array("q")
@@ -76,7 +70,7 @@ class LibraryEncoder:
                 sizes.append(len(found))
                 for token in found:
                     ids.append(token.id)
-        return _blobs(np.array(sizes), pa.py_buffer(ids))
+        return runs_of_ids(np.array(sizes), pa.py_buffer(ids))
 
     def _pieces(self, pieces: pa.Array) -> pa.Array:
         """The ids of each piece with a space before it."""
@@ -86,17 +80,13 @@ class LibraryEncoder:
         last = np.searchsorted(np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64)), ends)
         distinct = words.dictionary_encode()
         ids = self._words(distinct.dictionary.to_pylist()).take(distinct.indices)
-        reach = np.frombuffer(ids.buffers()[1], dtype=np.int32)[: len(ids) + 1] // 4
-        return _blobs(np.diff(reach[last + 1], prepend=0), ids.buffers()[2])
+        return runs_of_ids(np.diff(reach_of(ids)[last + 1], prepend=0), ids.buffers()[2])
 
     def encode(self, texts: pa.StringArray, end_id: int | None = None) -> pa.ListArray:
         """The ids of each text, and ``end_id`` behind them."""
         n = len(texts)
-        lists = pc.split_pattern(texts, " ")
-        edges = lists.offsets.to_numpy().astype(np.int64)
-        held = lists.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
-        starts, width = edges[:-1] - edges[0], np.diff(edges)
-        pieces, codes = held.dictionary, held.indices.to_numpy().astype(np.int64)
+        pieces, codes, edges = pieces_of(texts)
+        starts, width = edges[:-1], np.diff(edges)
         odd = pc.match_substring_regex(pieces, r"^(?s:$|[\s\x0b\x1c-\x1f\x85\pZ].*|.*[\s\x0b\x1c-\x1f\x85\pZ])$").to_numpy(zero_copy_only=False)
         whole = np.full(n, not self.by_word)
         for s in self.special:
@@ -110,7 +100,7 @@ class LibraryEncoder:
         for i in np.flatnonzero(whole).tolist():
             heads[i] = texts[i].as_py()
         first = pa.array(heads, pa.string()).dictionary_encode()
-        end = _blobs(np.ones(1, dtype=np.int64), np.array([end_id], dtype="<i4")) if end_id is not None else pa.array([b""], pa.binary())
+        end = runs_of_ids(np.ones(1, dtype=np.int64), np.array([end_id], dtype="<i4")) if end_id is not None else pa.array([b""], pa.binary())
         plain = np.flatnonzero(~odd)
         blobs = pa.concat_arrays([self._pieces(pieces.take(pa.array(plain))), self._whole(first.dictionary.to_pylist()), end])
         place = np.zeros(len(pieces), dtype=np.int64)
@@ -122,9 +112,7 @@ class LibraryEncoder:
         ends = np.cumsum(np.add.reduceat(kept, starts, dtype=np.int64)) if n else starts
         codes = np.insert(codes[kept], ends, len(blobs) - 1)
         ids = blobs.take(pa.array(codes))
-        reach = np.frombuffer(ids.buffers()[1], dtype=np.int32)[: len(ids) + 1] // 4
-        values = pa.Array.from_buffers(pa.int32(), int(reach[-1]), [None, ids.buffers()[2]])
-        return pa.ListArray.from_arrays(pa.array(np.r_[np.int32(0), reach[ends + np.arange(1, n + 1)]]), values)
+        return lists_of_ids(ids, np.r_[0, ends + np.arange(1, n + 1)])
 
 
 @cache
@@ -132,16 +120,8 @@ def encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def _texts(raw: pa.Array) -> pa.StringArray:
-    """Null is the empty text; broken bytes become U+FFFD."""
-    try:
-        return pc.fill_null(raw.cast(pa.string()), "")
-    except pa.ArrowInvalid:
-        return pa.array([decode(b) for b in raw.to_pylist()], pa.string())
-
-
 def _encode(path: str, end_id: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-    tokens = encoder(path).encode(_texts(batch.column(1)), end_id)
+    tokens = encoder(path).encode(texts_of(batch.column(1)), end_id)
     counts = pc.list_value_length(tokens).cast(pa.int64())
     return pa.RecordBatch.from_arrays([batch.column(0), counts, tokens], names=["doc_id", "n_tokens", "tokens"])
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexspark.llm import language_id, pii, quality, secrets
 from lexspark.llm import line_dedup as line_dedup_module
-from lexspark.llm.bpe import BpeCodec, bpe_decode, bpe_encode, bpe_encode_decode, bpe_round_trip, merge_symbols
+from lexspark.llm.bpe import BpeCodec, MergeRules, bpe_decode, bpe_encode, bpe_encode_decode, bpe_round_trip, merge_symbols
 from lexspark.llm.components import connected_components
 from lexspark.llm.decontaminate import benchmark_matches, decontaminate
 from lexspark.llm.line_dedup import line_dedup
@@ -264,8 +264,9 @@ def test_facts_of_a_rule_are_all_it_computes(docs):
         facts = quality.Facts(b"one two two THREE\nfour # five\n" * 5)
         rule.rejects(facts)
         assert set(vars(facts)) & set(quality.FACTS) == set(rule.needs)
-    same = quality.estimate(docs.repartition(7), sample=8).rejected
-    assert same == quality.estimate(docs.coalesce(1), sample=8).rejected and sum(same.values()) == 8
+    assert 0 < sum(quality.estimate(docs, sample=8).rejected.values()) <= 8
+    assert sum(quality.estimate(docs).rejected.values()) == docs.count()
+    assert len(quality.estimate(docs.limit(0)).order()) == len(quality.RULES)
 
 
 # --- tokens ---
@@ -281,7 +282,8 @@ def test_bpe_equals_the_library():
         ids = library.encode(text, add_special_tokens=False).ids
         assert own.encode(text).tolist() == ids
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
-    assert merge_symbols([1, 1, 1], {(1, 1): (0, 2), (2, 1): (1, 3)}) == [3]
+    rules = MergeRules([(1, 1, 2), (2, 1, 3)])
+    assert merge_symbols([1, 1, 1], rules) == [3] and merge_symbols([1, 1, 1, 1], rules) == [2, 2] and merge_symbols([5], rules) == [5]
 
 
 def test_bpe_frames(docs, texts):
