@@ -179,11 +179,14 @@ def _finish(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int,
     # A place for each document: the smallest component among its leaders, so that a group of
     # copies shares few blocks; large components get blocks of their own, so that a pair of
     # blocks of one component is seen and skipped.
-    place = rows.groupBy("node", "comp").agg(F.min("home").alias("label")).join(sets.select("node", F.length("blob").alias("size")), "node")
+    # The tables of large ones are few rows and written, so that a join with them is broadcast, or
+    # else can be split where one label has a great share of all documents.
+    place = materialise(rows.groupBy("node", "comp").agg(F.min("home").alias("label")).join(sets.select("node", "size"), "node"), f"{root}/labels")
     many = place.groupBy("label", "comp").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK).select("label", "comp", F.lit(True).alias("large"))
-    place = place.join(many, ["label", "comp"], "left").withColumn("part", F.when(F.col("large"), F.col("comp")).otherwise(F.lit(-1)))
-    width = place.groupBy("label", "part").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).alias("nb"))
-    place = place.join(width, ["label", "part"]).select("node", "comp", "size", F.xxhash64("label", "part", F.pmod(F.xxhash64("node"), "nb")).alias("block"))
+    place = place.join(materialise(many, f"{root}/large"), ["label", "comp"], "left").withColumn("part", F.when(F.col("large"), F.col("comp")).otherwise(F.lit(-1)))
+    width = place.groupBy("label", "part").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).alias("nb")).where("nb > 1")
+    number = F.pmod(F.xxhash64("node"), F.coalesce("nb", F.lit(1)))
+    place = place.join(materialise(width, f"{root}/widths"), ["label", "part"], "left").select("node", "comp", "size", F.xxhash64("label", "part", number).alias("block"))
     place = materialise(place, f"{root}/place")
     seen = rows.select("key", "node").join(place, "node").groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     a = seen.select("key", F.col("block").alias("x"), F.col("lo").alias("xl"), F.col("hi").alias("xh"))
@@ -203,7 +206,7 @@ def _finish(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int,
     copies = hosts.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).join(place.withColumnRenamed("block", "host"), "host")
     copies = copies.select("host", "bucket", F.lit(0).alias("side"), "node", "comp", (F.col("own") & (F.col("bucket") == 0)).alias("own"))
     guests = guests.join(hosts.select("host", "nb"), "host").select("host", F.pmod(F.xxhash64("node"), "nb").alias("bucket"), F.lit(1).alias("side"), "node", "comp", F.lit(False).alias("own"))
-    full = copies.unionByName(guests).join(sets, "node").select("host", "bucket", "side", "node", "comp", "own", "blob")
+    full = copies.unionByName(guests).join(sets.select("node", "blob"), "node").select("host", "bucket", "side", "node", "comp", "own", "blob")
 
     def run(table: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(v, dtype=np.uint64) for v in table.column("blob").to_pylist()]
@@ -245,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialise(keys.join(shared, "key").select("key", "node", "leader"), f"{root}/members")
     inside = members.select("node").distinct()
     texts = source.join(classes.join(inside, "node").select(F.col("owner").alias("id"), "node", "digest"), "id")
-    sets = materialise(_sets(texts.select("node", "digest", "raw"), width).groupBy("node").agg(F.max("blob").alias("blob")), f"{root}/sets")
+    sets = materialise(_sets(texts.select("node", "digest", "raw"), width).groupBy("node").agg(F.max("blob").alias("blob")).withColumn("size", F.length("blob")), f"{root}/sets")
     stars = members.where("node <> leader").select(F.col("node").alias("src"), F.col("leader").alias("dst")).distinct()
     ends = classes.select("node", "sig")
     stars = stars.join(ends.select(F.col("node").alias("src"), F.col("sig").alias("s")), "src").join(ends.select(F.col("node").alias("dst"), F.col("sig").alias("t")), "dst")
@@ -270,9 +273,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = held.where("node is not null").join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = placed.join(last.select(F.col("id").alias("comp"), F.col("comp").alias("final")), "comp", "left")
     placed = materialise(placed.select("id", "n_shingles", "owner", F.coalesce("final", "comp").alias("comp")), f"{root}/placed")
-    # What follows reads placed and ids only.
-    remove_dirs(spark, root, "sigs", "classes", "members", "sets", "links", "comps", "held", "place", "pairs", "hosts")
-    least = placed.groupBy("comp").agg(F.min("owner").alias("component_id"))
+    # Written, one row a component: a join of two scans can be split where one has many documents.
+    least = materialise(placed.groupBy("comp").agg(F.min("owner").alias("component_id")), f"{root}/least")
+    # What follows reads placed, least and ids only.
+    remove_dirs(spark, root, "sigs", "classes", "members", "sets", "links", "comps", "held", "labels", "large", "widths", "place", "pairs", "hosts")
     found = placed.join(least, "comp").select("id", "n_shingles", "component_id")
     found = found.unionByName(held.where("node is null").select("id", "n_shingles", F.col("id").alias("component_id")))
     out = ("n_shingles", "component_id", "kept")
