@@ -36,8 +36,9 @@ DOCUMENTS = 5
 PLACES, COPY = 64, 0.5
 #: Lines whose documents a task remembers; beyond them a task passes on more rows than it must.
 REMEMBERED = 20_000
-#: Tokens of a leaf's templates up to which a form is compared with all of them.
-COMPARED = 1 << 15
+#: Tokens of a leaf's templates up to which a form is compared with all of them, and forms of a leaf
+#: from which those that resemble no other are found first.
+COMPARED, MANY = 1 << 15, 64
 _VARIABLE = 0
 _DIGITS = bytes(range(48, 58))
 
@@ -160,18 +161,21 @@ def _emit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pa.default_memory_pool().release_unused()
 
 
+def segments(width: int) -> list[tuple[int, int]]:
+    """The tokens behind the leading ones, cut into more parts than tokens may differ, so that two lines
+    similar enough agree on one of them throughout; none for lines so short that all may differ."""
+    first, parts = min(DEPTH, width), width - math.ceil(SIMILAR * width) + 1
+    edges = [first + (width - first) * i // parts for i in range(parts + 1)] if width - first >= parts else []
+    return list(pairwise(edges))
+
+
 class Leaf:
     """The templates of one leaf, fed with line forms in any number of steps. A form joins the
     template it agrees with most. While there are few templates all are compared; beyond that, only
-    those that share a segment: the tokens behind the leading ones are cut into more segments than
-    tokens may differ, so that a template similar enough agrees on one of them throughout."""
+    those that share a segment."""
 
     def __init__(self, width: int) -> None:
-        self.least = math.ceil(SIMILAR * width)
-        first, segments = min(DEPTH, width), width - self.least + 1
-        # with fewer tokens behind the leading ones than segments, all of them may differ
-        edges = [first + (width - first) * i // segments for i in range(segments + 1)] if width - first >= segments else []
-        self.segments = list(pairwise(edges))
+        self.least, self.segments = math.ceil(SIMILAR * width), segments(width)
         self.by_segment: list[dict[bytes, list[int]]] = [{} for _ in self.segments]
         self.indexed = 0
         #: A row of tokens for each template, -1 where it is variable.
@@ -214,31 +218,69 @@ class Leaf:
         return [form for form, c in self.of.items() if len(self.held[c]) >= DOCUMENTS]
 
 
+def resembling(tokens: np.ndarray) -> np.ndarray:
+    """Which of a leaf's different forms share a segment with another; the rest are templates alone."""
+    out = np.zeros(len(tokens), dtype=bool)
+    for a, b in segments(tokens.shape[1]):
+        with np.errstate(over="ignore"):
+            key = ((tokens[:, a:b].astype(np.uint64) + np.uint64(1)) * _POWERS[np.arange(b - a) % len(_POWERS)]).sum(axis=1, dtype=np.uint64)
+        _, back, times = np.unique(key, return_inverse=True, return_counts=True)
+        out |= times[back] > 1
+    return out
+
+
+def leaf_recurring(forms: np.ndarray, tokens: np.ndarray, sketches: np.ndarray) -> list[int]:
+    """Forms of one leaf, sorted, whose template recurs. In a large leaf most lines resemble no other:
+    these are told by arrays, and only the rest become templates that others may join."""
+    begin = np.flatnonzero(np.r_[True, forms[1:] != forms[:-1]])
+    ends = np.r_[begin[1:], len(forms)]
+    some = resembling(tokens[begin]) if len(begin) >= MANY and segments(tokens.shape[1]) else np.ones(len(begin), dtype=bool)
+    out, leaf = [], Leaf(tokens.shape[1])
+    for a, b, joins in zip(begin.tolist(), ends.tolist(), some.tolist(), strict=True):
+        if joins:
+            for i in range(a, b):
+                leaf.add(int(forms[i]), tokens[i], sketches[i].tobytes())
+        elif b - a >= DOCUMENTS:
+            held: list[bytes] = []
+            for i in range(a, b):
+                differs(held, sketches[i].tobytes())
+            if len(held) >= DOCUMENTS:
+                out.append(int(forms[a]))
+    return out + leaf.recurring()
+
+
 def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Forms sorted by leaf -> forms whose template recurs. Leaves of too few rows need no
-    template; the last leaf of a batch stays open, for it may go on in the next."""
-    open_leaf, leaf = None, None
+    template; the last leaf of a batch stays open, for it may go on in the next. An open leaf is
+    held as arrays, some hundred bytes a row."""
+    open_leaf: int | None = None
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def closed() -> list[int]:
+        if sum(len(p[0]) for p in parts) < DOCUMENTS:
+            return []
+        return leaf_recurring(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
+
     for batch in batches:
         if not batch.num_rows:
             continue
         leaves, forms = (batch.column(i).to_numpy() for i in (0, 1))
-        tokens, sketches = batch.column(2), batch.column(3)
+        tokens, sketches = (np.frombuffer(batch.column(i).buffers()[2] or b"", dtype=kind) for i, kind in ((2, np.uint16), (3, np.uint8)))
+        places = np.frombuffer(batch.column(2).buffers()[1], dtype=np.int32)[batch.column(2).offset :][: batch.num_rows + 1] // 2
+        sketches = sketches[batch.column(3).offset * PLACES :][: batch.num_rows * PLACES].reshape(-1, PLACES)
         begin = np.flatnonzero(np.r_[True, leaves[1:] != leaves[:-1]])
         ends = np.r_[begin[1:], len(leaves)]
-        few = (ends - begin < DOCUMENTS) & (leaves[begin] != open_leaf)
-        few[-1] = False
         out: list[int] = []
-        for run in np.flatnonzero(~few).tolist():
-            a, b = int(begin[run]), int(ends[run])
+        for a, b in zip(begin.tolist(), ends.tolist(), strict=True):
             if leaves[a] != open_leaf:
-                if leaf is not None:
-                    out += leaf.recurring()
-                open_leaf, leaf = leaves[a], Leaf(len(tokens[a].as_py()) // 2)
-            for i in range(a, b):
-                leaf.add(int(forms[i]), np.frombuffer(tokens[i].as_py(), dtype=np.uint16), sketches[i].as_py())
+                out += closed()
+                open_leaf, parts = leaves[a], []
+            if b - a >= DOCUMENTS or parts or b == len(leaves):
+                width = int(places[a + 1] - places[a])
+                own = tokens[places[a] : places[b]].reshape(b - a, width)
+                parts.append((forms[a:b], own, sketches[a:b]) if b < len(leaves) else (forms[a:b].copy(), own.copy(), sketches[a:b].copy()))
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["form"])
-    out = leaf.recurring() if leaf is not None else []
-    yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["form"])
+    yield pa.RecordBatch.from_arrays([pa.array(closed(), pa.int64())], names=["form"])
 
 
 def recurring_forms(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -299,6 +341,9 @@ def line_dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
     keyed = docs.select(text_bytes(text_col).alias(lead), F.xxhash64(text_col).alias(key), *keep)
     lines = map_arrow(docs.select(F.xxhash64(text_col).alias("key"), text_bytes(text_col)), _by_line, "form long, key long")
     lost = lines.join(forms, "form").groupBy(F.col("key").alias(key)).agg(F.collect_set("form").alias(gone))
+    # Written, one row a text, and merged at every size: a join of two scans can be split where one
+    # text has many copies, and no executor holds all of what is lost.
+    lost = materialise(lost, f"{root}/lost").hint("merge")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     packed = map_arrow(keyed, _zip, f"`{lead}` binary, `{key}` long, {kinds}")
     joined = packed.join(lost, key, "left").select(lead, gone, *keep)

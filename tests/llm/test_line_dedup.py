@@ -3,8 +3,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
+from lexspark.llm import line_dedup as module
 from lexspark.llm.line_dedup import DEPTH, DOCUMENTS, SIMILAR, line_dedup
 from test_operators import VOCABULARY, prose
 
@@ -56,3 +58,35 @@ def test_equals_all_pairs(spark, seed):
     rows = [(i, "\n".join(own)) for i, own in rows] + [(100, None), (101, ""), (102, "\n\n"), (103, "x " * 30_000)]
     out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r.doc_id: (r.kept_text, r.n_lines, r.n_dropped) for r in out} == brute(rows)
+
+
+def test_forms_that_resemble_no_other_change_nothing(monkeypatch):
+    rnd = random.Random(5)
+    for width in (1, 3, 4, 5, 8, 12, 25, 60):
+        bases = [rnd.choices(range(1, 60), k=width) for _ in range(60)]
+        rows = []
+        for _ in range(700):
+            line = [t if k < DEPTH or rnd.random() < 0.85 else rnd.randint(1, 60) for k, t in enumerate(rnd.choice(bases))]
+            line[:DEPTH] = [1, 2, 3][:width]
+            rows += [line] * rnd.choice([1, 1, 1, 5, 7])
+        forms = [hash(tuple(r)) for r in rows]
+        order = sorted(range(len(rows)), key=lambda i: forms[i])
+        sketches = np.frombuffer(rnd.randbytes(64 * len(rows)), dtype=np.uint8).reshape(-1, 64)
+        given = (np.array([forms[i] for i in order]), np.array([rows[i] for i in order], dtype=np.uint16), sketches)
+        fast = module.leaf_recurring(*given)
+        monkeypatch.setattr(module, "MANY", 10**9)
+        assert sorted(fast) == sorted(module.leaf_recurring(*given)) and len(fast) > 0
+        monkeypatch.undo()
+
+
+def test_a_large_leaf_over_many_batches(spark):
+    rnd = random.Random(8)
+    lines = [f"all of these {' '.join(rnd.choices(VOCABULARY, k=9))}" for _ in range(30_000)]
+    common = "all of these lines end alike on every page here so"
+    rows = [(i, f"{prose(12, rnd)}\n{line}" + (f"\n{common} {rnd.choice(VOCABULARY)}" if i % 5000 == 0 else "")) for i, line in enumerate(lines)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "n_dropped").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.doc_id for r in out if r.n_dropped} == {i for i in range(30_000) if i % 5000 == 0}
