@@ -30,7 +30,8 @@ def diacritic_class() -> str:
     jvm = SparkSession.active().sparkContext._jvm
     held = jvm.com.ibm.icu.text.UnicodeSet("[:Diacritic:]")
     spans = [(held.getRangeStart(i), held.getRangeEnd(i)) for i in range(held.getRangeCount())]
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
+    # most letters are ASCII: a bit test spares them the long way through all ranges
+    return r"(?![\x00-\x5D\x5F\x61-\x7F])[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
 
 
 def normalize(raw: Column) -> Column:
@@ -71,10 +72,25 @@ def variants(raw: Column, camel: bool = False) -> Column:
     return variants_of_base(raw, base_form(raw), camel)
 
 
+def _bases(raws: Column) -> Column:
+    """Normal forms of an array of tokens, untrimmed, one for each. They are normalised as one
+    string with line breaks between, which no token holds and no form grows, loses or crosses."""
+    return F.split(normalize(F.array_join(raws, "\n")), "\n")
+
+
+def _joined_forms(raw: Column, base: Column, camel: bool) -> Column:
+    """Variants of a token whose untrimmed normal form is ``base``; most hold no joiner and are one."""
+    plain = F.when(base == "", F.array().cast("array<string>")).otherwise(F.array(base))
+    full = variants_of_base(raw, trim_joiners(base), camel)
+    return full if camel else F.when(base.rlike(JOINERS), full).otherwise(plain)
+
+
 def tokenize(text: Column, camel: bool = False) -> Column:
-    """Distinct variants of all tokens in order of first sight. Each distinct token of a text
-    is normalised once."""
-    return F.array_distinct(F.flatten(F.transform(F.array_distinct(raw_tokens(text)), lambda t: variants(t, camel))))
+    """Distinct variants of all tokens in order of first sight. The distinct tokens of a text are
+    normalised at once."""
+    raws = F.array_distinct(raw_tokens(text))
+    forms = F.zip_with(raws, _bases(raws), lambda raw, base: F.when(raw.isNotNull(), _joined_forms(raw, base, camel)))
+    return F.array_distinct(F.flatten(F.filter(forms, lambda f: f.isNotNull())))
 
 
 def may_hold(raw: Column, words: list[str]) -> Column:
@@ -96,14 +112,15 @@ def token_spans(df: DataFrame, key: str, text: str, camel: bool = False, words:
     """
     cut = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition(key)
     cut = cut.select(F.col(key), F.regexp_extract_all("text", F.lit(TOKEN), 0).alias("tk"), F.split("text", TOKEN, -1).alias("gaps"))
-    cut = cut.select(key, "tk", F.slice("gaps", 1, F.size("tk")).alias("gp"))
-    rows = cut.select(key, F.posexplode(F.arrays_zip("tk", "gp")).alias("pos", "t")).select(key, "pos", F.col("t.tk").alias("tk"), F.col("t.gp").alias("gp"))
+    cut = cut.where(F.size("tk") > 0).select(key, "tk", F.slice("gaps", 1, F.size("tk")).alias("gp"), _bases(F.col("tk")).alias("bs"))
+    rows = cut.select(key, F.posexplode(F.arrays_zip("tk", "gp", "bs")).alias("pos", "t")).select(key, "pos", "t.tk", "t.gp", "t.bs")
     before = Window.partitionBy(key).orderBy("pos")
     breaks = F.length("gp") - F.length(F.replace("gp", F.lit("\n"), F.lit("")))
     rows = rows.withColumn("start", F.sum(F.length("gp") + F.length("tk")).over(before) - F.length("tk")).withColumn("line", F.sum(breaks).over(before))
-    whole = variants(F.col("tk"), camel)
+    whole = _joined_forms(F.col("tk"), F.col("bs"), camel)
     # a letter or digit of ASCII is never lost on the way to a form
-    rows = rows.where((F.length("tk") <= LONGEST) & (F.col("tk").rlike("[A-Za-z0-9]") | (F.col("tk").rlike(WORD_CHAR) & (F.size(whole) > 0))))
+    held = F.col("tk").rlike("[A-Za-z0-9]") | (F.col("tk").rlike(WORD_CHAR) & (trim_joiners(F.col("bs")) != ""))
+    rows = rows.where((F.length("tk") <= LONGEST) & held)
     shown = whole if words is None else F.when(may_hold(F.col("tk"), words), whole)
     return rows.select(key, "pos", F.col("start").cast("int").alias("start"), F.length("tk").alias("length"), F.col("line").cast("int").alias("line"), shown.alias("variants"))
 
