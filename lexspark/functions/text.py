@@ -112,14 +112,16 @@ def token_spans(df: DataFrame, key: str, text: str, camel: bool = False, words:
     """
     cut = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition(key)
     cut = cut.select(F.col(key), F.regexp_extract_all("text", F.lit(TOKEN), 0).alias("tk"), F.split("text", TOKEN, -1).alias("gaps"))
-    cut = cut.where(F.size("tk") > 0).select(key, "tk", F.slice("gaps", 1, F.size("tk")).alias("gp"), _bases(F.col("tk")).alias("bs"))
-    rows = cut.select(key, F.posexplode(F.arrays_zip("tk", "gp", "bs")).alias("pos", "t")).select(key, "pos", "t.tk", "t.gp", "t.bs")
+    cut = cut.where(F.size("tk") > 0).select(key, "tk", F.slice("gaps", 1, F.size("tk")).alias("gp"), *([_bases(F.col("tk")).alias("bs")] if words is None else []))
+    zipped = cut.columns[1:]
+    rows = cut.select(key, F.posexplode(F.arrays_zip(*zipped)).alias("pos", "t")).select(key, "pos", *[f"t.{c}" for c in zipped])
+    base = F.col("bs") if words is None else normalize(F.col("tk"))  # all at once, or the few that may match
     before = Window.partitionBy(key).orderBy("pos")
     breaks = F.length("gp") - F.length(F.replace("gp", F.lit("\n"), F.lit("")))
     rows = rows.withColumn("start", F.sum(F.length("gp") + F.length("tk")).over(before) - F.length("tk")).withColumn("line", F.sum(breaks).over(before))
-    whole = _joined_forms(F.col("tk"), F.col("bs"), camel)
+    whole = _joined_forms(F.col("tk"), base, camel)
     # a letter or digit of ASCII is never lost on the way to a form
-    held = F.col("tk").rlike("[A-Za-z0-9]") | (F.col("tk").rlike(WORD_CHAR) & (trim_joiners(F.col("bs")) != ""))
+    held = F.col("tk").rlike("[A-Za-z0-9]") | (F.col("tk").rlike(WORD_CHAR) & (trim_joiners(base) != ""))
     rows = rows.where((F.length("tk") <= LONGEST) & held)
     shown = whole if words is None else F.when(may_hold(F.col("tk"), words), whole)
     return rows.select(key, "pos", F.col("start").cast("int").alias("start"), F.length("tk").alias("length"), F.col("line").cast("int").alias("line"), shown.alias("variants"))
