@@ -18,7 +18,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import map_arrow, materialise, require, shared_dir, text_bytes
@@ -74,10 +74,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     size = {r["lang"]: r["n"] for r in total.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, (rows + 4 * rows**0.5) / n))) for lang, n in size.items()], F.lit(0.0))
     chosen = total.withColumn("nth", F.xxhash64("raw")).where(F.pmod("nth", F.lit(1_000_003)) < share * 1_000_003)
-    sample = None
-    for lang in languages:
-        own = chosen.where(F.col("lang") == lang).orderBy("nth").limit(rows).select("lang", "raw")
-        sample = own if sample is None else sample.unionByName(own)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("nth"))  # limited in each task first
+    sample = chosen.withColumn("place", place).where(F.col("place") <= rows).select("lang", "raw")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = {}
