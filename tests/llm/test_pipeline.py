@@ -87,3 +87,15 @@ def test_pipeline_equals_the_plain_stages(spark, tmp_path):
     out = {r.doc_id: (r.ids, r.decoded) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert out == brute(rows, items)
     assert 20 < len(out) < len(rows) - 8
+
+
+def test_pipeline_of_nothing_and_with_more_columns(spark, tmp_path):
+    table(spark, f"{tmp_path}/a", [(1, prose(40))], [])
+    spark.read.parquet(f"{tmp_path}/a/documents.parquet").limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/a/benchmark.parquet").write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+    docs = spark.createDataFrame([(None, prose(40), None, None, None, "x", 1), (7, prose(40), "de", "s", 3, None, None)], "doc_id long, text string, lang string, source string, n_chars long, kept_text string, Component_Id int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, f"{tmp_path}/a")
+        assert out.columns == docs.columns and out.count() == 2, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, f"{tmp_path}/a").count() == 2
