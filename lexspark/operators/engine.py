@@ -46,11 +46,16 @@ class SearchEngine:
     def _open(self) -> None:
         self.store = IndexStore(self.spark, self.store_path) if self.store_path and self.settings.use_cache else None
         saved = self.store.load(self.settings) if self.store else None
-        self._take(sync(saved, self.docs) if saved else build_index(self.docs, self.settings.split_camel_case))
-
-    def _take(self, index: Index) -> None:
-        """Kept by the executors for many searches; the one before is let go when this one is there."""
-        before, self.index = self.index, index.persist()
+        if saved:
+            self._take(saved, saved=True)
+            self._bring()
+        else:
+            self._take(build_index(self.docs, self.settings.split_camel_case))
+
+    def _take(self, index: Index, saved: bool = False) -> None:
+        """Kept by the executors for many searches; the one before is let go when this one is there.
+        ``saved``: it is the store's newest snapshot."""
+        before, self.index, self._saved = self.index, index.persist(), saved
         if before is not None:
             self.index.fields.count()
             before.unpersist()
@@ -70,10 +75,20 @@ class SearchEngine:
         or changed, and how many went."""
         if self._current is not None:
             self.docs = self._current()
-        n = dict(manifest_diff(self.index.manifest, self.docs).groupBy("action").count().collect())
+        return self._bring()
+
+    def _bring(self) -> tuple[int, int]:
+        """Changes go to the store as a part where the engine stands on its newest snapshot."""
+        diff = manifest_diff(self.index.manifest, self.docs).persist()
+        n = dict(diff.groupBy("action").count().collect())
         came, went = n.get("add", 0) + n.get("update", 0), n.get("remove", 0)
-        if came or went:
+        if (came or went) and self._saved:
+            new = self.docs.join(diff.where(F.col("action").isin("add", "update")).select("path"), "path", "left_semi")
+            self.store.apply(diff.where("action = 'remove'").select("path"), new, self.settings)
+            self._take(self.store.load(self.settings), saved=True)
+        elif came or went:
             self._take(sync(self.index, self.docs))
+        diff.unpersist()
         return came, went
 
     def populate(self, progress: Callable[[int, int], None] | None = None, step: int = STEP) -> None:
@@ -96,14 +111,14 @@ class SearchEngine:
                 progress(done, total)
         saved = self.store.load(self.settings)
         if saved:
-            self._take(saved)
+            self._take(saved, saved=True)
 
     def persist(self) -> None:
         """Commit, and go on from what was saved: plans of earlier mutations end here."""
         if self.store:
             self.store.save(self.index, self.settings)
             if saved := self.store.load(self.settings):
-                self._take(saved)
+                self._take(saved, saved=True)
 
     def restart(self, settings: Settings | None = None) -> None:
         """Start again with other settings; what was not persisted is indexed from the documents."""

@@ -109,6 +109,11 @@ def test_sync_restart_and_rebuild(spark, docs, tmp_path):
     current[0] = docs.where("path <> 'code/parser.md'").unionByName(spark.createDataFrame([doc("new.md", "granite")], SCHEMA))
     assert paths(engine.search("granite")) == [] and paths(engine.search("granite", sync=True)) == ["new.md"]
     assert engine.sync() == (0, 0) and engine.manifest().count() == 4
+    assert len(engine.store._names("parts")) == 2  # the change is saved as a part
+    assert paths(SearchEngine(spark, current[0], store=f"file://{tmp_path}/s").search("granite")) == ["new.md"]
+    engine.add(spark.createDataFrame([doc("own.md", "gravel")], SCHEMA))
+    current[0] = current[0].unionByName(spark.createDataFrame([doc("own.md", "gravel"), doc("two.md", "gravel")], SCHEMA))
+    assert engine.sync() == (1, 0) and paths(engine.search("gravel")) == ["own.md", "two.md"]
     engine.restart(Settings(split_camel_case=True))  # other options: the saved index does not serve
     assert paths(engine.search("granite")) == ["new.md"] and not engine.store._numbers()
     engine.rebuild()
