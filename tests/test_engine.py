@@ -155,6 +155,7 @@ def test_store_round_trip_and_validation(spark, docs, index, tmp_path):
 
 def test_store_parts_commits_and_damage(spark, docs, tmp_path, monkeypatch):
     root, settings = f"{tmp_path}/ix", Settings()
+    monkeypatch.setattr(store_module, "PARTS", 2)
     store = IndexStore(spark, f"file://{root}")
     store.apply(spark.createDataFrame([], "path string"), docs, settings)
     none = docs.select("path").limit(0)
@@ -166,7 +167,7 @@ def test_store_parts_commits_and_damage(spark, docs, tmp_path, monkeypatch):
         assert paths(search(held, f"round{k}")) == ["garden/tomato.md"] and search(held, "granite").count() == k + 1
     assert held.manifest.count() == 3 + k + 1 and search(held, "seedlings", fuzzy=Fuzzy(0.0)).count() == 0
     plain = build_index(docs.where("path not in ('code/notes.txt', 'garden/tomato.md')").unionByName(new.limit(1)).unionByName(spark.createDataFrame([doc(f"new/{i}.md", "granite") for i in range(k + 1)], SCHEMA)))
-    for raw in ("granite", "tomato quick", "round8 bean"):
+    for raw in ("granite", "tomato quick", f"round{k} bean"):
         assert search(held, raw).collect() == search(plain, raw).collect()
     assert sorted((r.field, r.n, round(r.avg_len, 9)) for r in held.stats.collect()) == sorted((r.field, r.n, round(r.avg_len, 9)) for r in plain.stats.collect())
     assert len(store._numbers()) == store_module.KEPT and len(store._names("parts")) <= store_module.PARTS + 1
@@ -179,6 +180,9 @@ def test_store_parts_commits_and_damage(spark, docs, tmp_path, monkeypatch):
         store.load(settings)
     assert store.load(settings) is not None  # nothing was deleted
     newest = max(store._numbers())
+    with monkeypatch.context() as m, pytest.raises(RuntimeError, match="another writer"):
+        m.setattr(IndexStore, "_numbers", lambda self: [newest - 1])
+        store._write_commit(["part"], settings)
     (tmp_path / f"ix/commits/{newest + 1:012}.json").write_text("{damaged")
     (tmp_path / f"ix/commits/.{newest + 1:012}.json.crc").unlink(missing_ok=True)
     assert search(store.load(settings), "granite").count() == k + 1
