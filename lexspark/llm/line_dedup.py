@@ -305,20 +305,21 @@ def _zip(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _trim(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Texts without their lost lines; only texts that lose some are hashed again."""
     expand = zstandard.ZstdDecompressor().decompress
     texts = [None if raw is None else expand(raw) for raw in batch.column(0).to_pylist()]
-    lines = Lines(texts)
-    counts = np.bincount(lines.text[lines.size > 0], minlength=len(texts))
+    counts = [sum(map(bool, map(bytes.strip, (raw or b"").split(b"\n")))) for raw in texts]
     dropped = np.zeros(len(texts), dtype=np.int64)
-    begin = np.searchsorted(lines.text, np.arange(len(texts) + 1))
     gone = batch.column(1)
-    for i in range(len(texts)):
-        if gone[i].is_valid:
-            a, b = begin[i], begin[i + 1]
-            drop = np.isin(key_long(lines.form[a:b]), gone[i].values.to_numpy()) & (lines.size[a:b] > 0)
-            dropped[i] = drop.sum()
-            texts[i] = b"\n".join([lines.lines[a + j] for j in np.flatnonzero(~drop).tolist()])
-    columns = [*batch.columns[2:], pa.array(texts, pa.binary()), pa.array(counts.astype(np.int64)), pa.array(dropped)]
+    some = [i for i in range(len(texts)) if gone[i].is_valid]
+    lines = Lines([texts[i] for i in some])
+    begin = np.searchsorted(lines.text, np.arange(len(some) + 1))
+    for k, i in enumerate(some):
+        a, b = begin[k], begin[k + 1]
+        drop = np.isin(key_long(lines.form[a:b]), gone[i].values.to_numpy()) & (lines.size[a:b] > 0)
+        dropped[i] = drop.sum()
+        texts[i] = b"\n".join([lines.lines[a + j] for j in np.flatnonzero(~drop).tolist()])
+    columns = [*batch.columns[2:], pa.array(texts, pa.binary()), pa.array(counts, pa.int64()), pa.array(dropped)]
     return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[2:], "kept_text", "n_lines", "n_dropped"])
 
 
