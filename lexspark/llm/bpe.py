@@ -206,7 +206,7 @@ def _apply(df: DataFrame, first: "F.Column", fn, result: str, kind: str) -> Data
     schema = df.select(*keep).schema
     lead = fresh(df, "__first")
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), f"{result} {kind}"])
-    return map_arrow(df.select(first.alias(lead), *keep), fn, out)
+    return map_arrow(df.select(first.alias(lead), *keep), fn, out, BATCH_BYTES)
 
 
 def bpe_encode(df: DataFrame, path: str, text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
