@@ -21,7 +21,7 @@ from lexspark.llm.quality import quality_filter
 
 #: Python workers live on from stage to stage, and so does what they remember: less than the
 #: codec's own default leaves room for the other stages.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
