@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ._common import documents, shared_dir
 from .bpe import bpe_round_trip
+from .change_points import change_points
 from .decontaminate import benchmark_matches
 from .language_id import identify, train
 from .line_dedup import line_dedup
@@ -77,6 +78,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "kept_text")
 
 
+def op11_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of the kept quantities that each vendor shipped a day."""
+    lines = spark.read.parquet(f"{sf_dir}/sale_lines.parquet").where("flag = 'kept'")
+    return change_points(lines, "vendor_id", "shipped_at", "quantity")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
+    "op11_change_points": op11_change_points,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -166,8 +174,45 @@ WITH words AS MATERIALIZED (
 SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
 """
 
+OP11_SQL = """
+WITH RECURSIVE daily AS MATERIALIZED (
+  SELECT vendor_id, shipped_at::DATE - DATE '1970-01-01' AS d, sum(quantity)::BIGINT AS q
+  FROM sale_lines WHERE flag = 'kept' AND quantity IS NOT NULL AND shipped_at IS NOT NULL GROUP BY 1, 2
+), days AS MATERIALIZED (
+  SELECT s.vendor_id, s.d, coalesce(daily.q, 0) AS q
+  FROM (SELECT vendor_id, unnest(range(min(d), max(d) + 1)) AS d FROM daily GROUP BY vendor_id) s
+  LEFT JOIN daily ON daily.vendor_id IS NOT DISTINCT FROM s.vendor_id AND daily.d = s.d
+), sums AS (
+  SELECT vendor_id, d, sum(q) OVER w AS s, sum(q * q) OVER w AS ss FROM days WINDOW w AS (PARTITION BY vendor_id ORDER BY d)
+), series AS MATERIALIZED (
+  SELECT vendor_id, min(d) AS first, count(*)::BIGINT AS n, list_prepend(0::BIGINT, list(s::BIGINT ORDER BY d)) AS p, list_prepend(0::BIGINT, list(ss::BIGINT ORDER BY d)) AS pp
+  FROM sums GROUP BY vendor_id
+), dp AS (
+  SELECT vendor_id, n, p, pp, least(7, n) - 1 AS e,
+    list_transform(range(0, least(7, n)), lambda i: CASE WHEN i = 0 THEN {'t': -20000::BIGINT, 'c': 0::BIGINT, 's': 0::BIGINT} END) AS best
+  FROM series
+  UNION ALL
+  SELECT vendor_id, n, p, pp, e + 1, list_append(best, list_min(list_transform(
+    list_filter(range(0, e + 2 - least(7, n)), lambda a: a = 0 OR a >= 7),
+    lambda a: {'t': best[a + 1].t + 20000 + (e + 1 - a) * floor(1000 * ln(1 + ((e + 1 - a) * (pp[e + 2] - pp[a + 1]) - (p[e + 2] - p[a + 1]) * (p[e + 2] - p[a + 1])) // ((e + 1 - a) * (e + 1 - a))))::BIGINT,
+      'c': best[a + 1].c + 1, 's': a})))
+  FROM dp WHERE e < n
+), cut AS (
+  SELECT vendor_id, best, best[n + 1].s AS a, n AS e FROM dp WHERE e = n
+  UNION ALL
+  SELECT vendor_id, best, best[a + 1].s, a FROM cut WHERE a > 0
+), parts AS (
+  SELECT cut.vendor_id, first, a, e - a AS n, p[e + 1] - p[a + 1] AS total, pp[e + 1] - pp[a + 1] AS square, best[series.n + 1].c AS parts, best[series.n + 1].t AS t
+  FROM cut JOIN series ON series.vendor_id IS NOT DISTINCT FROM cut.vendor_id
+)
+SELECT vendor_id, (row_number() OVER (PARTITION BY vendor_id ORDER BY a))::INTEGER AS segment_no, (first + a)::BIGINT AS first_day, n::BIGINT AS n_days, total,
+  1 + (n * square - total * total) // (n * n) AS spread, n * floor(1000 * ln(1 + (n * square - total * total) // (n * n)))::BIGINT AS cost, parts AS n_segments, t AS best_cost
+FROM parts
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_minhash_near_dedup": OP2_SQL,
     "op5_quality_cascade": OP5_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op11_change_points": OP11_SQL,
 }
