@@ -15,6 +15,7 @@ from .decontaminate import benchmark_matches
 from .language_id import identify, train
 from .line_dedup import line_dedup
 from .minhash import near_duplicates
+from .parity_join import jaccard_join
 from .pii import find_pii
 from .quality import quality_report
 from .secrets import find_secrets
@@ -84,6 +85,11 @@ def op11_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change_points(lines, "vendor_id", "shipped_at", "quantity")
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return jaccard_join(docs, width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -96,16 +102,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
     "op11_change_points": op11_change_points,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
-OP2_SQL = rf"""
+
+def _linked_sql(width: int, percent: int, kept: str = "") -> str:
+    """Documents linked by the similarity of their shingle sets, and the least id that each reaches."""
+    return rf"""
 WITH RECURSIVE words AS MATERIALIZED (
   SELECT doc_id, {_WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents
 ), shingles AS MATERIALIZED (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i:i + {width} - 1], ' ')) END) AS s
   FROM words WHERE len(w) > 0
 ), sizes AS MATERIALIZED (
   SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
@@ -114,17 +124,21 @@ WITH RECURSIVE words AS MATERIALIZED (
   FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), links AS MATERIALIZED (
   SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
-  WHERE 100 * common >= 80 * (p.n + q.n - common)
+  WHERE 100 * common >= {percent} * (p.n + q.n - common)
 ), both_ways AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
 ), reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM documents
   UNION
   SELECT r.doc_id, l.y FROM reach r JOIN both_ways l ON l.x = r.other
 ), comps AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
-SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id{kept}
 FROM documents d JOIN comps c ON c.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """
 
+
+OP2_SQL = _linked_sql(4, 80, ", d.doc_id = c.component_id AS kept")
+OP13_SQL = _linked_sql(3, 90)
+
 OP5_SQL = rf"""
 WITH base AS MATERIALIZED (
   SELECT doc_id, coalesce(text, '') AS t, coalesce({_WORDS.format(text="text")}, []) AS w FROM documents
@@ -215,4 +229,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_cascade": OP5_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op11_change_points": OP11_SQL,
+    "op13_ngram_jaccard_join": OP13_SQL,
 }

@@ -49,10 +49,10 @@ def test_equals_the_plain_search(penalty):
 
 def test_blocks_that_cannot_win_stay_closed():
     rnd = np.random.default_rng(6)
-    values = np.stack([rnd.integers(0, 100, 1000) for _ in range(4)])
-    search = _Search(_Series(values, np.full(4, 1000)), 7, 20_000)
+    values = np.stack([rnd.integers(0, 100, 400) for _ in range(4)])
+    search = _Search(_Series(values, np.full(4, 400)), 7, 20_000)
     search.run()
-    blocks = 2 * sum(-(-e // 8) for e in range(1000))
+    blocks = 2 * sum(-(-e // 8) for e in range(400))
     assert search.pops / 4 < 0.4 * blocks
 
 

@@ -17,7 +17,8 @@ from lexspark.llm.bpe import BpeCodec, MergeRules, bpe_decode, bpe_encode, bpe_e
 from lexspark.llm.components import connected_components
 from lexspark.llm.decontaminate import benchmark_matches, decontaminate
 from lexspark.llm.line_dedup import line_dedup
-from lexspark.llm.minhash import CHUNKS, DISTANCE, SLOTS, block_links, chunk_keys, near_duplicates
+from lexspark.llm.minhash import CHUNKS, DISTANCE, SLOTS, chunk_keys, near_duplicates
+from lexspark.llm.similarity import block_links
 from lexspark.llm.substring_dedup import substring_dedup
 from lexspark.llm.token_files import read_tokens, token_checksums, write_tokens
 
@@ -52,7 +53,7 @@ def words(t):
 # --- near duplicates ---
 
 
-def brute_components(rows, width=4):
+def brute_components(rows, width=4, percent=80):
     sets = {}
     for i, t in rows:
         w = words((t or "").translate({c: c + 32 for c in range(65, 91)}))
@@ -64,7 +65,7 @@ def brute_components(rows, width=4):
         changed = False
         for a in sets:
             for b in sets:
-                if a < b and sets[a] and sets[b] and label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                if a < b and sets[a] and sets[b] and label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                     label[a] = label[b] = min(label[a], label[b])
                     changed = True
     return {i: (len(sets[i]), label[i], i == label[i]) for i in sets}
