@@ -20,6 +20,7 @@ from .pii import find_pii
 from .quality import quality_report
 from .secrets import find_secrets
 from .substring_dedup import substring_dedup
+from .token_alignment import align_tokens
 from .token_files import token_checksums, write_tokens
 
 
@@ -85,6 +86,12 @@ def op11_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change_points(lines, "vendor_id", "shipped_at", "quantity")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return jaccard_join(docs, width=3, percent=90).select("doc_id", "n_shingles", "component_id")
@@ -102,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
     "op11_change_points": op11_change_points,
+    "op12_token_alignment": op12_token_alignment,
     "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
