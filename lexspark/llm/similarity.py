@@ -152,7 +152,16 @@ def block_links(side: np.ndarray, node: np.ndarray, comp: np.ndarray, sets: list
     return list(found.values())
 
 
-def _finish(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, root: str) -> DataFrame:
+def _sets_of(source: DataFrame, classes: DataFrame, nodes: DataFrame, width: int, path: str) -> DataFrame:
+    """``(node, blob)``, written: the sets of some classes, from the texts of their owners."""
+    asked = classes.join(nodes.distinct(), "node").select(F.col("owner").alias("id"), "node", "digest")
+    sets = materialise(_sets(source.join(asked, "id").select("node", "digest", "raw"), width), path)
+    if sets.groupBy("node").count().where("count > 1").limit(1).count():  # a row that is repeated
+        sets = materialise(sets.groupBy("node").agg(F.max("blob").alias("blob")), f"{path}_own")
+    return sets
+
+
+def _finish(members: DataFrame, comps: DataFrame, source: DataFrame, classes: DataFrame, width: int, percent: int, root: str) -> DataFrame:
     """Links that the groups with several components still hold."""
     held = members.join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     home = comps.select(F.col("id").alias("leader"), F.col("comp").alias("home"))
@@ -165,12 +174,12 @@ def _finish(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int,
     # blocks of one component is seen and skipped.
     # The tables of large ones are few rows and written, so that a join with them is broadcast, or
     # else can be split where one label has a great share of all documents.
-    place = materialise(rows.groupBy("node", "comp").agg(F.min("home").alias("label")).join(sets.select("node", "size"), "node"), f"{root}/labels")
+    place = materialise(rows.groupBy("node", "comp").agg(F.min("home").alias("label")).join(classes.select("node", "size"), "node"), f"{root}/labels")
     many = place.groupBy("label", "comp").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK).select("label", "comp", F.lit(True).alias("large"))
     place = place.join(materialise(many, f"{root}/large"), ["label", "comp"], "left").withColumn("part", F.when(F.col("large"), F.col("comp")).otherwise(F.lit(-1)))
-    width = place.groupBy("label", "part").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).alias("nb")).where("nb > 1")
+    widths = place.groupBy("label", "part").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).alias("nb")).where("nb > 1")
     number = F.pmod(F.xxhash64("node"), F.coalesce("nb", F.lit(1)))
-    place = place.join(materialise(width, f"{root}/widths"), ["label", "part"], "left").select("node", "comp", "size", F.xxhash64("label", "part", number).alias("block"))
+    place = place.join(materialise(widths, f"{root}/widths"), ["label", "part"], "left").select("node", "comp", "size", F.xxhash64("label", "part", number).alias("block"))
     place = materialise(place, f"{root}/place")
     seen = rows.select("key", "node").join(place, "node").groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     a = seen.select("key", F.col("block").alias("x"), F.col("lo").alias("xl"), F.col("hi").alias("xh"))
@@ -190,6 +199,7 @@ def _finish(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int,
     copies = hosts.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).join(place.withColumnRenamed("block", "host"), "host")
     copies = copies.select("host", "bucket", F.lit(0).alias("side"), "node", "comp", (F.col("own") & (F.col("bucket") == 0)).alias("own"))
     guests = guests.join(hosts.select("host", "nb"), "host").select("host", F.pmod(F.xxhash64("node"), "nb").alias("bucket"), F.lit(1).alias("side"), "node", "comp", F.lit(False).alias("own"))
+    sets = _sets_of(source, classes, place.select("node"), width, f"{root}/sets")
     full = copies.unionByName(guests).join(sets.select("node", "blob"), "node").select("host", "bucket", "side", "node", "comp", "own", "blob")
 
     def run(table: pa.Table) -> pa.Table:
@@ -225,23 +235,27 @@ def similar_documents(docs: DataFrame, scheme: Scheme, id_col: str, text_col: st
     sigs = materialise(signatures(source, width, scheme.sign), f"{root}/sigs")
     # A class is a set; its number is given once, when the table is written, and tells classes apart
     # also where one id has several texts.
-    classes = sigs.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("owner"), F.min("sig").alias("sig"))
+    classes = sigs.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("owner"), F.min("sig").alias("sig"), (8 * F.min("n_shingles")).alias("size"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), f"{root}/classes")
+    # from here on signatures are asked of classes only
+    sigs = materialise(sigs.drop("sig"), f"{root}/digests")
+    remove_dirs(spark, root, "sigs")
     keys = _keys(classes, scheme)
     shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader")
     members = materialise(keys.join(shared, "key").select("key", "node", "leader"), f"{root}/members")
     inside = members.select("node").distinct()
-    texts = source.join(classes.join(inside, "node").select(F.col("owner").alias("id"), "node", "digest"), "id")
-    sets = materialise(_sets(texts.select("node", "digest", "raw"), width).groupBy("node").agg(F.max("blob").alias("blob")).withColumn("size", F.length("blob")), f"{root}/sets")
+    ends = materialise(classes.select("node", "sig").join(inside, "node"), f"{root}/ends")
     stars = members.where("node <> leader").select(F.col("node").alias("src"), F.col("leader").alias("dst")).distinct()
-    ends = classes.select("node", "sig")
     stars = stars.join(ends.select(F.col("node").alias("src"), F.col("sig").alias("s")), "src").join(ends.select(F.col("node").alias("dst"), F.col("sig").alias("t")), "dst")
-    stars = _within(stars, scheme)
+    stars = materialise(_within(stars, scheme), f"{root}/stars")
+    remove_dirs(spark, root, "ends")
+    sets = _sets_of(source, classes, stars.select(F.col("src").alias("node")).unionByName(stars.select(F.col("dst").alias("node"))), width, f"{root}/star_sets")
     stars = stars.join(sets.select(F.col("node").alias("src"), F.col("blob").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("blob").alias("b")), "dst")
     links = materialise(_verify(stars, percent), f"{root}/links")
     comps = connected_components(links)
     comps = materialise(comps, f"{root}/comps")
-    rest = _finish(members, comps, sets, percent, root)
+    remove_dirs(spark, root, "star_sets", "stars")
+    rest = _finish(members, comps, source, classes, width, percent, root)
     # What is left to join are components: links among them, and ids under which several
     # different texts stand. Both are few, so the second pass is short.
     named = sigs.where("id is not null").join(classes.select("digest", "node", "owner"), "digest", "left")
@@ -260,7 +274,7 @@ def similar_documents(docs: DataFrame, scheme: Scheme, id_col: str, text_col: st
     # Written, one row a component: a join of two scans can be split where one has many documents.
     least = materialise(placed.groupBy("comp").agg(F.min("owner").alias("component_id")), f"{root}/least")
     # What follows reads placed, least and ids only.
-    remove_dirs(spark, root, "sigs", "classes", "members", "sets", "links", "comps", "held", "labels", "large", "widths", "place", "pairs", "hosts")
+    remove_dirs(spark, root, "digests", "classes", "members", "sets", "sets_own", "star_sets_own", "links", "comps", "held", "labels", "large", "widths", "place", "pairs", "hosts")
     found = placed.join(least, "comp").select("id", "n_shingles", "component_id")
     found = found.unionByName(held.where("node is null").select("id", "n_shingles", F.col("id").alias("component_id")))
     out = ("n_shingles", "component_id", "kept")

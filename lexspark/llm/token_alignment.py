@@ -189,7 +189,9 @@ def _aligned(docs: DataFrame, a_path: str, b_path: str, digest: bool, chunk_byte
     def one(batch: pa.RecordBatch, chunk: int) -> Iterator[pa.RecordBatch]:
         held = Chunk(batch.column(1).to_pylist(), a_path, b_path)
         n, at = batch.num_rows, np.flatnonzero(held.same)
-        pairs, place, counts = np.unique(held.links, return_inverse=True, return_counts=True)
+        found = pa.array(held.links).dictionary_encode()
+        pairs, place = found.dictionary.to_numpy(), found.indices.to_numpy()
+        counts = np.bincount(place, minlength=len(pairs))
         spread = np.zeros((4, n), dtype=np.int64)
         spread[:, at] = held.n_a, held.n_b, held.n_groups, held.n_links
         texts = [""] * n

@@ -15,9 +15,10 @@ def test_the_sketch_distance_is_a_lower_bound():
     for _ in range(200):
         a, b = (np.unique(rnd.integers(0, 60, rnd.integers(1, 80))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
         words = int(rnd.integers(1, 6))
-        distance = np.bitwise_count(sketch(a, words) ^ sketch(b, words)).sum()
-        assert distance <= len(np.setxor1d(a, b))
-        assert np.array_equal(sketch(a, words) ^ sketch(b, words), sketch(np.setxor1d(a, b), words))
+        (p, x), (q, y) = sketch(a, words), sketch(b, words)
+        assert np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(a, b))
+        for own, both in zip((p ^ q, x ^ y), sketch(np.setxor1d(a, b), words), strict=True):
+            assert np.array_equal(own, both)
 
 
 @pytest.mark.parametrize("percent", [50, 80, 90, 99, 100])
@@ -27,9 +28,10 @@ def test_bands_hold_every_pair_of_sizes(percent):
         band = bands.of(y)
         assert bands.lows[band] <= y < bands.lows[band + 1]
         for x in range(-(-percent * y // 100), y + 1):
-            assert band in [b for b, _ in bands.layouts(x)]
             most = (x + y) * (100 - percent) // (100 + percent)
-            assert most < max(1, bands.words(band))
+            if most:
+                wanted = [dict(bands.layouts(size)).get(band, 0) for size in (x, y)]
+                assert most < min(wanted) and max(wanted) <= bands.words(band)
 
 
 @pytest.mark.parametrize("percent", [60, 80, 90])
@@ -46,6 +48,12 @@ def test_similar_sets_share_a_key_and_stay_candidates(percent):
         if np.array_equal(a, b) or 100 * shared < percent * (len(a) + len(b) - shared):
             continue
         tried += 1
+        if tried % 3 == 0:  # few tokens a word: weak words, and sets with too few strong ones
+            keep = np.concatenate([a, b])[rnd.permutation(len(a) + len(b))[: 4 + size // 4]]
+            a, b = np.intersect1d(a, keep), np.intersect1d(b, keep)
+            shared = len(np.intersect1d(a, b))
+            if np.array_equal(a, b) or 100 * shared < percent * (len(a) + len(b) - shared):
+                continue
         sigs = [own.sign(a), own.sign(b)]
         place, keys = own.keys(sigs)
         assert set(keys[place == 0]) & set(keys[place == 1])
