@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,19 +17,29 @@ from .store import IndexStore
 
 #: Documents of one step of :meth:`SearchEngine.populate`.
 STEP = 100_000
+#: Files of one step.
+FILES = 8
 
 
-def in_steps(docs: DataFrame, step: int = STEP) -> Iterator[tuple[DataFrame, int]]:
-    """``docs`` in parts of about ``step`` rows with their sizes, notes (``.md``) before other kinds."""
+def in_steps(docs: DataFrame, root: str, step: int = STEP) -> Iterator[tuple[DataFrame, int]]:
+    """``docs`` in parts of about ``step`` rows with their sizes, notes (``.md``) before other kinds.
+
+    They are read once, however many steps there are: one pass writes them to the folder ``root``, dealt by kind and
+    by a hash of the path, and every step reads its own files there. How many steps a kind needs is counted
+    from paths alone."""
     note = extension(F.col("path")) == "md"
-    for first in (True, False):
-        kind = docs.where(note if first else ~note)
-        n = kind.count()
-        parts = -(-n // step)
-        for k in range(parts):
-            part = kind if parts == 1 else kind.where(F.pmod(F.xxhash64("path"), F.lit(parts)) == k)
-            if size := n if parts == 1 else part.count():
-                yield part, size
+    spark, counts = docs.sparkSession, dict(docs.groupBy(note.alias("note")).count().collect())
+    notes, others = (-(-counts.get(kind, 0) // step) for kind in (True, False))
+    if not notes + others:
+        return
+    slot = lambda n: F.pmod(F.xxhash64("path"), F.lit(max(n, 1)))
+    dealt = docs.withColumn("__step", F.when(note, slot(notes)).otherwise(notes + slot(others)))
+    # a step's rows meet in a few files, not in one of every task
+    dealt = dealt.repartition(F.col("__step"), F.pmod(F.xxhash64("path", F.lit(1)), F.lit(FILES)))
+    dealt.write.partitionBy("__step").parquet(root)
+    sizes = dict(spark.read.parquet(root).groupBy("__step").count().collect())
+    for k in sorted(sizes):
+        yield spark.read.schema(docs.schema).parquet(f"{root}/__step={k}"), sizes[k]
 
 
 class SearchEngine:
@@ -45,6 +56,7 @@ class SearchEngine:
 
     def _open(self) -> None:
         self.store = IndexStore(self.spark, self.store_path) if self.store_path and self.settings.use_cache else None
+        self._version = self.store.version() if self.store else 0
         saved = self.store.load(self.settings) if self.store else None
         if saved:
             self._take(saved, saved=True)
@@ -60,6 +72,12 @@ class SearchEngine:
             self.index.fields.count()
             before.unpersist()
 
+    def _reload(self) -> None:
+        """Go on from the store's newest snapshot, if it has one."""
+        self._version = self.store.version()
+        if saved := self.store.load(self.settings):
+            self._take(saved, saved=True)
+
     def add(self, docs: DataFrame) -> None:
         self._take(upsert(self.index, docs))
         self.docs = self.docs.join(docs.select("path"), "path", "left_anti").unionByName(docs)
@@ -85,7 +103,7 @@ class SearchEngine:
         if (came or went) and self._saved:
             new = self.docs.join(diff.where(F.col("action").isin("add", "update")).select("path"), "path", "left_semi")
             self.store.apply(diff.where("action = 'remove'").select("path"), new, self.settings)
-            self._take(self.store.load(self.settings), saved=True)
+            self._reload()
         elif came or went:
             self._take(sync(self.index, self.docs))
         diff.unpersist()
@@ -101,24 +119,26 @@ class SearchEngine:
         diff = manifest_diff(known, self.docs)
         gone = diff.where("action = 'remove'").select("path")
         new = self.docs.join(diff.where(F.col("action").isin("add", "update")).select("path"), "path", "left_semi")
-        total, done = new.count(), 0
+        total, done = diff.where(F.col("action").isin("add", "update")).count(), 0
         if held and gone.limit(1).count():
             self.store.apply(gone, self.docs.limit(0), self.settings)
-        for part, n in in_steps(new, step):
-            self.store.apply(gone.limit(0), part, self.settings)
-            done += n
-            if progress:
-                progress(done, total)
-        saved = self.store.load(self.settings)
-        if saved:
-            self._take(saved, saved=True)
+        staged = f"{self.store_path.rstrip('/')}/staged-{uuid.uuid4().hex}"
+        try:
+            for part, n in in_steps(new, staged, step):
+                self.store.apply(gone.limit(0), part, self.settings)
+                done += n
+                if progress:
+                    progress(done, total)
+        finally:
+            self.store.remove(staged)
+        self._reload()
 
     def persist(self) -> None:
-        """Commit, and go on from what was saved: plans of earlier mutations end here."""
+        """Commit, and go on from what was saved: plans of earlier mutations end here. Raises
+        :class:`.store.StoreMoved` if another writer has changed the store meanwhile; :meth:`restart` then starts from there."""
         if self.store:
-            self.store.save(self.index, self.settings)
-            if saved := self.store.load(self.settings):
-                self._take(saved, saved=True)
+            self.store.save(self.index, self.settings, self._version)
+            self._reload()
 
     def restart(self, settings: Settings | None = None) -> None:
         """Start again with other settings; what was not persisted is indexed from the documents."""
@@ -129,6 +149,7 @@ class SearchEngine:
         """Clear the store and index all documents."""
         if self.store:
             self.store.clear()
+            self._version = 0
         self._take(build_index(self.docs, self.settings.split_camel_case))
         self.persist()
 

@@ -1,20 +1,33 @@
 """A saved index: parts in Parquet, and commits that name them.
 
-A commit is one small file, ``commits/<number>.json``, that lists the parts of a snapshot in
-order. It is written under another name and renamed, so it is there whole or not at all, and
-readers take the newest: there is no moment without one. A number can be taken once, which
-keeps two writers from overwriting each other.
-
 A part holds the documents that a change wrote and the paths that it removed or replaced.
 A row counts if no later part has its path among those. The dictionary and the averages
 are kept as sums that parts add to or take from, so a change reads what it replaces and
-nothing else. When a snapshot has too many parts it is written anew as one.
+nothing else.
+
+A commit is one small file, ``commits/<number>.json``, that lists the parts of a snapshot in order. It
+appears whole, and a number is given out once: a writer writes its part, then tries to take the number
+after the newest one. If another was faster, it looks at what that one brought. Where both changed
+the same paths, it counts its sums anew over the winner's snapshot; then it sets its part behind the winner's
+and tries again. No change is lost, and none is written twice.
+
+Parts fall into tiers by their rows. Once ``FAN`` parts of a tier follow each other they are merged into one, with the
+paths that they replace in older ones; so a row is written again once for each tier that it climbs, and n changes of like size
+cost n log n rows. Merging is a commit like any other; it gives way to a writer who merged the same parts before.
+
+A commit that another has followed is kept for ``grace`` seconds, and so is every part that one of the kept commits names or
+that is younger than that: readers of an older snapshot find all its files, and a writer keeps the part that it has not
+committed yet.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -23,143 +36,320 @@ from pyspark.sql import functions as F
 from ..plans.query import Settings
 from .index import Index, build_index
 
-SCHEMA_VERSION = 2
-#: Parts of a snapshot before it is written anew, and commits that are kept for readers still at work.
-PARTS, KEPT = 8, 2
+SCHEMA_VERSION = 3
+#: Parts of one tier that are merged, and how much larger the next tier is.
+FAN = 4
+#: Seconds that files outlive the snapshot that names them.
+GRACE = 24 * 3600
 _DOCS = {"fields": "path string, field string, terms array<string>, len int", "postings": "path string, field string, term string, len int", "manifest": "path string, mtime long"}
 _SUMS = {"terms": "field string, term string, df long", "totals": "field string, total long, n long"}
 
 
+@dataclass(frozen=True)
+class Part:
+    """``sums``: the folder of its sums; ``rows``: documents and replaced paths; ``at``: the commit that brought
+    the newest of what it holds."""
+
+    name: str
+    sums: str
+    rows: int
+    at: int = 0
+
+
+class StoreMoved(RuntimeError):
+    """Another writer has changed the store since the snapshot that a whole index stands on."""
+
+
+def tiers(parts: list[Part]) -> list[int]:
+    """A part's tier follows from its rows; one that a part of a higher tier follows is of that tier."""
+    out, high = [], 0
+    for part in reversed(parts):
+        tier = 0
+        while part.rows >= FAN ** (tier + 1):
+            tier += 1
+        high = max(high, tier)
+        out.append(high)
+    return out[::-1]
+
+
+def due_merge(parts: list[Part]) -> tuple[int, int] | None:
+    """The run of parts to be merged next, from the newest tier on."""
+    held, end = tiers(parts), len(parts)
+    while end:
+        start = end
+        while start and held[start - 1] == held[end - 1]:
+            start -= 1
+        if end - start >= FAN:
+            return start, end
+        end = start
+    return None
+
+
 class IndexStore:
-    """Works on any Hadoop file system. ``spark`` reads and writes; the driver lists commits only."""
+    """Works on any Hadoop file system whose rename does not replace (HDFS), and on local ones, by links.
+    ``spark`` reads and writes; the driver lists commits only. ``rewritten`` counts rows that merges wrote."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, grace: float = GRACE) -> None:
+        self.spark, self.root, self.grace, self.rewritten = spark, root.rstrip("/"), grace, 0
         self._jvm = spark.sparkContext._jvm
 
+    # --- files ---
+
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
     def _fs(self):
         return self._path("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _names(self, folder: str) -> list[str]:
+    def _listed(self, folder: str) -> list[tuple[str, int]]:
+        """Names in a folder and their times of change."""
         fs, path = self._fs(), self._path(folder)
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+        try:
+            return sorted((s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(path)) if fs.exists(path) else []
+        except Exception as error:  # another writer has removed the folder meanwhile
+            if "FileNotFoundException" in str(error):
+                return []
+            raise
+
+    def _names(self, folder: str) -> list[str]:
+        return [n for n, _ in self._listed(folder)]
 
     def _numbers(self) -> list[int]:
         return [int(n[:-5]) for n in self._names("commits") if n.endswith(".json")]
 
     def _commit(self, number: int) -> dict | None:
-        """A commit's content; None if it is not one."""
-        stream = self._fs().open(self._path(f"commits/{number:012}.json"))
+        """A commit's content; None if it is not one, or is gone."""
+        try:
+            stream = self._fs().open(self._path(f"commits/{number:012}.json"))
+        except Exception as error:
+            if "FileNotFoundException" in str(error):
+                return None
+            raise
         try:
             held = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-            return held if isinstance(held.get("parts"), list) else None
-        except (ValueError, AttributeError):
+            return held | {"parts": [Part(**p) for p in held["parts"]]}
+        except (ValueError, TypeError, KeyError):
             return None
         finally:
             stream.close()
 
-    def _write_commit(self, parts: list[str], settings: Settings) -> int:
-        number = max(self._numbers(), default=0) + 1
+    def _newest(self) -> tuple[int, dict | None]:
+        """The highest number given out, and the newest commit that can be read."""
+        numbers = self._numbers()
+        return max(numbers, default=0), next((c for n in reversed(numbers) if (c := self._commit(n))), None)
+
+    def _take(self, number: int, parts: list[Part], settings: Settings) -> bool:
+        """Make commit ``number``; False if another has it. The file is written under another name first, and then
+        named in one step that fails if the name is taken."""
         fs, own, name = self._fs(), self._path(f"commits/{uuid.uuid4().hex}.tmp"), self._path(f"commits/{number:012}.json")
+        held = {"schema_version": SCHEMA_VERSION, "options_hash": settings.options_hash(SCHEMA_VERSION), "parts": [asdict(p) for p in parts]}
         stream = fs.create(own, False)
-        stream.write(bytearray(json.dumps({"schema_version": SCHEMA_VERSION, "options_hash": settings.options_hash(SCHEMA_VERSION), "parts": parts}), "utf-8"))
+        stream.write(bytearray(json.dumps(held), "utf-8"))
         stream.close()
-        if fs.exists(name) or not fs.rename(own, name):
+        try:
+            if fs.getUri().getScheme() == "file":  # a rename there would replace; a link does not
+                try:
+                    os.link(own.toUri().getPath(), name.toUri().getPath())
+                except FileExistsError:
+                    return False
+                return True
+            return not fs.exists(name) and fs.rename(own, name)
+        finally:
             fs.delete(own, False)
-            raise RuntimeError(f"another writer has made commit {number}")
-        self._collect(number)
-        return number
-
-    def _collect(self, newest: int) -> None:
-        """Delete commits before the last ``KEPT`` and parts that no commit names any more."""
-        kept = [n for n in self._numbers() if n > newest - KEPT]
-        named = {p for n in kept if (c := self._commit(n)) for p in c["parts"]}
-        fs = self._fs()
-        for n in self._numbers():
+
+    def _collect(self) -> None:
+        """Delete commits that were followed, and parts that no commit has named, for longer than ``grace``."""
+        fs, listed = self._fs(), [(int(n[:-5]), t) for n, t in self._listed("commits") if n.endswith(".json")]
+        if not listed:
+            return
+        oldest = max(t for _, t in listed) - self.grace * 1000  # by the clock of the file system
+        followed = dict(zip((n for n, _ in listed), [t for _, t in listed[1:]], strict=False))
+        kept = [n for n, _ in listed if n not in followed or followed[n] > oldest]
+        held = [c for n in kept if (c := self._commit(n))]
+        named = {p.name for c in held for p in c["parts"]}
+        for part, _ in self._listed("parts"):
+            times = [t for _, t in self._listed(f"parts/{part}")]
+            if held and part not in named and times and max(times) < oldest:
+                fs.delete(self._path(f"parts/{part}"), True)
+        for n, _ in listed:
             if n not in kept:
                 fs.delete(self._path(f"commits/{n:012}.json"), False)
-        for part in self._names("parts"):
-            if part not in named:
-                fs.delete(self._path(f"parts/{part}"), True)
+
+    # --- parts ---
+
+    def _read(self, part: str, table: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/parts/{part}/{table}")
+
+    def _write_postings(self, postings: DataFrame, out: str) -> None:
+        """Dealt by term, so that a search for few terms reads few row groups."""
+        postings.repartitionByRange("term").sortWithinPartitions("term", "field").write.parquet(f"{out}/postings")
+
+    def _weigh(self, part: str) -> int:
+        return self._read(part, "manifest", _DOCS["manifest"]).count() + self._read(part, "gone", "path string").count()
 
     def _new_part(self, fields: DataFrame, manifest: DataFrame, gone: DataFrame) -> str:
-        """Terms of documents are written first, so that texts are tokenised once; postings are dealt
-        by term, so that a search for few terms reads few row groups."""
+        """Terms of documents are written first, so that texts are tokenised once."""
         part = uuid.uuid4().hex
         out = f"{self.root}/parts/{part}"
         fields.write.parquet(f"{out}/fields")
-        held = Index(self.spark.read.schema(_DOCS["fields"]).parquet(f"{out}/fields"), manifest)
-        held.postings.repartitionByRange("term").sortWithinPartitions("term", "field").write.parquet(f"{out}/postings")
+        held = Index(self._read(part, "fields", _DOCS["fields"]), manifest)
+        self._write_postings(held.postings, out)
         manifest.write.parquet(f"{out}/manifest")
         gone.select("path").distinct().write.parquet(f"{out}/gone")
         return part
 
-    def _sums(self, part: str, old: Index | None) -> None:
+    def _write_sums(self, part: str, terms: DataFrame, totals: DataFrame) -> str:
+        sums = f"sums-{uuid.uuid4().hex}"
+        out = f"{self.root}/parts/{part}/{sums}"
+        terms.groupBy("field", "term").agg(F.sum("df").alias("df")).where("df <> 0").write.parquet(f"{out}/terms")
+        totals.groupBy("field").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).coalesce(1).write.parquet(f"{out}/totals")
+        return sums
+
+    def _sums(self, part: str, old: Index | None) -> str:
         """What the part adds to the dictionary and the averages, less what it takes out of ``old``."""
-        out = f"{self.root}/parts/{part}"
-        new = Index(*(self.spark.read.schema(_DOCS[t]).parquet(f"{out}/{t}") for t in ("fields", "manifest")))
-        signed = [(new, 1)] if old is None else [(new, 1), (old, -1)]
+        new = Index(*(self._read(part, t, _DOCS[t]) for t in ("fields", "manifest")))
+        signed = [(new, 1)]
+        if old is not None:
+            paths = self._read(part, "gone", "path string")
+            signed.append((Index(old.fields.join(paths, "path", "left_semi"), old.manifest.join(paths, "path", "left_semi")), -1))
         terms = totals = None
         for index, sign in signed:
             rows = index.fields.select("field", F.explode("terms").alias("term"), F.lit(sign).alias("df"))
             count = index.manifest.agg(F.lit("").alias("field"), F.lit(0).cast("long").alias("total"), (F.count("*") * sign).alias("n"))
             sizes = index.fields.select("field", (F.col("len") * sign).cast("long").alias("total"), F.lit(0).cast("long").alias("n")).unionByName(count)
             terms, totals = (rows, sizes) if terms is None else (terms.unionByName(rows), totals.unionByName(sizes))
-        terms.groupBy("field", "term").agg(F.sum("df").alias("df")).where("df <> 0").write.parquet(f"{out}/terms")
-        totals.groupBy("field").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).coalesce(1).write.parquet(f"{out}/totals")
+        return self._write_sums(part, terms, totals)
+
+    def _meet(self, part: str, others: list[Part]) -> bool:
+        """Whether the part and one of the others change the same path."""
+        if not others:
+            return False
+        paths = self._read(part, "gone", "path string")
+        theirs = [self._read(p.name, "gone", "path string") for p in others] + [self._read(p.name, "manifest", _DOCS["manifest"]).select("path") for p in others]
+        for held in theirs:
+            if paths.join(held, "path", "left_semi").limit(1).count():
+                return True
+        return False
 
-    def save(self, index: Index, settings: Settings) -> str:
-        """The whole index as one part."""
+    # --- changes ---
+
+    def save(self, index: Index, settings: Settings, base: int | None = None) -> str:
+        """The whole index as one part. ``base``: the commit that it stands on; if the store has moved on
+        from there, :class:`StoreMoved` is raised and nothing changes."""
         if not settings.use_cache:
             return ""
         part = self._new_part(index.fields, index.manifest, self.spark.createDataFrame([], "path string"))
-        self._sums(part, None)
-        self._write_commit([part], settings)
+        held = Part(part, self._sums(part, None), self._weigh(part))
+        while True:
+            number = max(self._numbers(), default=0)
+            if base is not None and number != base:
+                raise StoreMoved(f"commit {number} has followed commit {base}")
+            if self._take(number + 1, [replace(held, at=number + 1)], settings):
+                break
+        self._collect()
         return part
 
-    def apply(self, gone: DataFrame, docs: DataFrame, settings: Settings) -> str:
+    def apply(self, gone: DataFrame, docs: DataFrame, settings: Settings, meanwhile: Callable[[], None] | None = None) -> str:
         """Documents of ``gone(path)`` go, ``docs`` come or replace others. Reads of the old snapshot
-        are those of the paths concerned. Without a saved index this saves ``docs``."""
+        are those of the paths concerned. Without a saved index ``docs`` are the index. ``meanwhile`` is called
+        between writing and committing, for tests of writers at once."""
         if not settings.use_cache:
             return ""
-        held, new = self.load(settings), build_index(docs, settings.split_camel_case)
-        if held is None:
-            return self.save(new, settings)
-        parts = self._commit(max(self._numbers()))["parts"]
+        base, snapshot = self._base(settings)
+        new = build_index(docs, settings.split_camel_case)
         part = self._new_part(new.fields, new.manifest, gone.select("path").unionByName(docs.select("path")))
-        paths = self.spark.read.schema("path string").parquet(f"{self.root}/parts/{part}/gone")
-        old = Index(held.fields.join(paths, "path", "left_semi"), held.manifest.join(paths, "path", "left_semi"))
-        self._sums(part, old)
-        self._write_commit([*parts, part], settings)
-        if len(parts) + 1 > PARTS:
-            return self.save(self.load(settings), settings)
+        held = Part(part, self._sums(part, snapshot), self._weigh(part))
+        if meanwhile:
+            meanwhile()
+        while True:
+            number, parts = self._valid(settings)
+            if number != base:
+                fresh = [p for p in parts if p.at > base]
+                if (snapshot is None and parts) or self._meet(part, fresh):
+                    held = replace(held, sums=self._sums(part, self._snapshot(parts, settings) if parts else None))
+                base, snapshot = number, parts or None
+            if not self._fs().exists(self._path(f"parts/{part}/{held.sums}")):
+                raise StoreMoved("the store was cleared, and with it what this writer had written")
+            if self._take(number + 1, [*parts, replace(held, at=number + 1)], settings):
+                break
+        self.compact(settings)
+        self._collect()
         return part
 
-    def _rows(self, parts: list[str], table: str) -> DataFrame:
-        """Rows of all parts that no later part replaces. The first part, the largest by far, is met
-        with the paths of the few later ones."""
-        schema = _DOCS[table]
-        gone, out = None, None
-        for part in reversed(parts):
-            at = f"{self.root}/parts/{part}"
-            rows = self.spark.read.schema(schema).parquet(f"{at}/{table}")
-            rows = rows if gone is None else rows.join(gone, "path", "left_anti")
-            out = rows if out is None else rows.unionByName(out)
-            own = self.spark.read.schema("path string").parquet(f"{at}/gone")
-            gone = own if gone is None else gone.unionByName(own)
+    def _valid(self, settings: Settings) -> tuple[int, list[Part]]:
+        """The highest number, and the parts of the newest commit if it is of these options."""
+        number, held = self._newest()
+        own = held and (held["schema_version"], held["options_hash"]) == (SCHEMA_VERSION, settings.options_hash(SCHEMA_VERSION))
+        return number, held["parts"] if own else []
+
+    def _base(self, settings: Settings) -> tuple[int, Index | None]:
+        number, parts = self._valid(settings)
+        return number, self._snapshot(parts, settings) if parts else None
+
+    def compact(self, settings: Settings) -> None:
+        """Merge runs of parts of one tier until there is none."""
+        while True:
+            number, parts = self._valid(settings)
+            run = due_merge(parts)
+            if run is None:
+                return
+            start, end = run
+            merged = self._merge(parts[start:end], first=start == 0)
+            self.rewritten += merged.rows
+            while not self._take(number + 1, [*parts[:start], merged, *parts[end:]], settings):
+                names = [p.name for p in parts[start:end]]
+                number, parts = self._valid(settings)
+                place = [p.name for p in parts]
+                start = place.index(names[0]) if names[0] in place else len(place)
+                end = start + len(names)
+                if place[start:end] != names:  # another writer has merged them
+                    return
+
+    def _merge(self, run: list[Part], first: bool) -> Part:
+        """Parts that follow each other as one; the oldest parts of all need not tell what they replace."""
+        part = uuid.uuid4().hex
+        out = f"{self.root}/parts/{part}"
+        for table in ("fields", "manifest"):
+            self._rows(run, table).write.parquet(f"{out}/{table}")
+        self._write_postings(self._rows(run, "postings"), out)
+        gone = self._union(run, "gone", "path string").distinct()
+        (gone.limit(0) if first else gone).write.parquet(f"{out}/gone")
+        terms, totals = (self._union_sums(run, t) for t in _SUMS)
+        sums = self._write_sums(part, terms, totals)
+        return Part(part, sums, self._weigh(part), max(p.at for p in run))
+
+    # --- snapshots ---
+
+    def _union(self, parts: list[Part], table: str, schema: str) -> DataFrame:
+        out = self._read(parts[0].name, table, schema)
+        for p in parts[1:]:
+            out = out.unionByName(self._read(p.name, table, schema))
+        return out
+
+    def _union_sums(self, parts: list[Part], table: str) -> DataFrame:
+        each = [self._read(p.name, f"{p.sums}/{table}", _SUMS[table]) for p in parts]
+        out = each[0]
+        for more in each[1:]:
+            out = out.unionByName(more)
         return out
 
-    def _snapshot(self, parts: list[str], settings: Settings) -> Index:
-        sums = {}
-        for table, schema in _SUMS.items():
-            each = [self.spark.read.schema(schema).parquet(f"{self.root}/parts/{p}/{table}") for p in parts]
-            sums[table] = each[0]
-            for more in each[1:]:
-                sums[table] = sums[table].unionByName(more)
-        terms, totals = sums["terms"], sums["totals"]
+    def _rows(self, parts: list[Part], table: str) -> DataFrame:
+        """Rows of all parts that no later part replaces: one join with the newest replacement of each path,
+        which is small against the oldest part."""
+        out = gone = None
+        for k, part in enumerate(parts):
+            rows = self._read(part.name, table, _DOCS[table]).withColumn("__part", F.lit(k))
+            out = rows if out is None else out.unionByName(rows)
+            if k:
+                own = self._read(part.name, "gone", "path string").withColumn("__gone", F.lit(k))
+                gone = own if gone is None else gone.unionByName(own)
+        if gone is None:
+            return out.drop("__part")
+        last = gone.groupBy("path").agg(F.max("__gone").alias("__gone"))
+        return out.join(last, "path", "left").where("__gone is null or __part >= __gone").drop("__part", "__gone")
+
+    def _snapshot(self, parts: list[Part], settings: Settings) -> Index:
+        terms, totals = (self._union_sums(parts, t) for t in _SUMS)
         if len(parts) > 1:
             terms = terms.groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0")
         n = totals.agg(F.sum("n").alias("n"))
@@ -167,6 +357,10 @@ class IndexStore:
         stats = fields.join(F.broadcast(n)).select("field", "n", (F.col("total") / F.col("n")).alias("avg_len"))  # one row
         return Index(self._rows(parts, "fields"), self._rows(parts, "manifest"), settings.split_camel_case, self._rows(parts, "postings"), terms, stats)
 
+    def version(self) -> int:
+        """The number of the newest commit, 0 without one."""
+        return max(self._numbers(), default=0)
+
     def load(self, settings: Settings) -> Index | None:
         """The newest snapshot, or None. One of another version or of other options is cleared; a
         commit that is damaged or lacks a part gives way to the one before it; any other error,
@@ -179,12 +373,26 @@ class IndexStore:
                 self.clear()
                 return None
             try:
-                if all(self._fs().exists(self._path(f"parts/{p}/totals/_SUCCESS")) for p in held["parts"]):
+                if all(self._fs().exists(self._path(f"parts/{p.name}/{p.sums}/totals/_SUCCESS")) for p in held["parts"]):
                     return self._snapshot(held["parts"], settings)
             except AnalysisException as error:
                 if error.getCondition() != "PATH_NOT_FOUND":
                     raise
         return None
 
+    @contextmanager
+    def staged(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """``rows`` written beside the parts for as long as the block runs: read once, and there for
+        executors that are lost."""
+        folder = f"{self.root}/staged-{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(folder)
+            yield self.spark.read.schema(rows.schema).parquet(folder)
+        finally:
+            self.remove(folder)
+
+    def remove(self, folder: str) -> None:
+        self._fs().delete(self._jvm.org.apache.hadoop.fs.Path(folder), True)
+
     def clear(self) -> None:
-        self._fs().delete(self._jvm.org.apache.hadoop.fs.Path(self.root), True)
+        self.remove(self.root)

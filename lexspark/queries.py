@@ -18,7 +18,9 @@ from .operators.index import Index, build_index, manifest_diff, remove, upsert
 from .operators.store import IndexStore
 from .plans.query import Fuzzy, Settings, parse_query
 from .sources.docs import canvas_text, documents_as_docs, ignored, indexable, read_files, table_as_docs, with_frontmatter
-from .streaming.changes import debounce, due_changes, latest_changes, row_changes, settled_requests
+from .streaming.build import index_stream
+from .streaming.changes import debounce, due_changes, due_stream, latest_changes, row_changes, settled_requests
+from .streaming.pending import rocks_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,8 +57,12 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_as_docs(_read(spark, sf_dir, "pages"), F.concat(F.lit("page/"), "page_id"), body, heading=F.regexp_extract("html", r"<title>([^<]*)</title>", 1))
 
 
+def turns_as_docs(turns: DataFrame) -> DataFrame:
+    return table_as_docs(turns, F.concat_ws("/", F.lit("talk"), "conv_id", "turn", "role"), F.col("text"), F.col("role"))
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table_as_docs(_read(spark, sf_dir, "conversations"), F.concat_ws("/", F.lit("talk"), "conv_id", "turn", "role"), F.col("text"), F.col("role"))
+    return turns_as_docs(_read(spark, sf_dir, "conversations"))
 
 
 SOURCES = {"documents": _docs, "part": _parts, "pages": _pages, "conversations": _turns}
@@ -639,6 +645,44 @@ _CHANGED = _index_sql("conversations").replace(_TURNS, _TURNS_NOW)
 _register("q_store_changes", q_store_changes, _search_sql(("user", 0), ("thing", 1), limit=100, index=_CHANGED))
 
 
+def q_store_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four writers at once who all began on the same snapshot, two of them with the same documents: each finds the others'
+    commits when it comes to its own, and none loses a document."""
+    before, now = _turns_before_and_now(spark, sf_dir)
+    root, settings = _scratch(spark), Settings()
+    store = IndexStore(spark, root)
+    store.save(build_index(before), settings)
+    diff = manifest_diff(store.load(settings).manifest, now)
+    slot = F.pmod(F.xxhash64("path"), F.lit(3))
+    changed = diff.where(F.col("action").isin("add", "update"))
+    shares = [(diff.where("action = 'remove'"), now.limit(0))] + [(diff.limit(0), now.join(changed.where(slot == k), "path", "left_semi")) for k in (0, 1, 2, 2)]
+
+    def write(k: int) -> None:
+        if k < len(shares):
+            gone, docs = shares[k]
+            # the next writer begins, and is done, between this one's writing and its commit
+            IndexStore(spark, root).apply(gone.select("path"), docs, settings, meanwhile=lambda: write(k + 1))
+
+    write(0)
+    return _flat(S.search(store.load(settings), "user thing", 100))
+
+
+_register("q_store_writers", q_store_writers, _search_sql(("user", 0), ("thing", 1), limit=100, index=_CHANGED))
+
+
+def q_stream_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first build from a stream of the table's files; the rows it has read stand beside its hits."""
+    root, settings = _scratch(spark), Settings()
+    store, schema = IndexStore(spark, f"{root}/index"), _read(spark, sf_dir, "conversations").schema
+    # a pattern, for a stream takes a folder or a pattern, and the table may be one file
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(f"{sf_dir}/conversation[s].parquet")
+    read = index_stream(turns_as_docs(stream), store, settings, f"{root}/checkpoint")
+    return _flat(S.search(store.load(settings), "user thing", 100)).withColumn("n_read", F.lit(read).cast("long"))
+
+
+_register("q_stream_build", q_stream_build, "SELECT *, (SELECT count(*) FROM conversations) AS n_read FROM (" + _search_sql(("user", 0), ("thing", 1), limit=100, source="conversations") + ")")
+
+
 def q_engine_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search that first brings the engine in step with documents that have changed meanwhile."""
     before, now = _turns_before_and_now(spark, sf_dir)
@@ -652,7 +696,7 @@ _register("q_engine_sync", q_engine_sync, _search_sql(("user", 0), ("thing", 1),
 
 def q_index_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of a first indexing: notes come before other files, and each file comes once."""
-    rows = [(k, n, *part.select(F.min("path"), F.max(T.extension(F.col("path"))), F.min(T.extension(F.col("path")))).first()) for k, (part, n) in enumerate(in_steps(_docs(spark, sf_dir), 400))]
+    rows = [(k, n, *part.select(F.min("path"), F.max(T.extension(F.col("path"))), F.min(T.extension(F.col("path")))).first()) for k, (part, n) in enumerate(in_steps(_docs(spark, sf_dir), f"{_scratch(spark)}/steps", 400))]
     steps = spark.createDataFrame(rows, "step long, n long, least string, ext string, other string")
     return steps.where("ext = other").groupBy("ext").agg(F.min("step").alias("first_step"), F.sum("n").alias("n"), F.min("least").alias("least"))
 
@@ -693,6 +737,32 @@ due AS (SELECT * FROM own WHERE op <> 'modify' OR nxt IS NULL OR nxt >= ts + INT
 SELECT path, op FROM due QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) = 1""")
 
 
+def q_pending_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed in five runs of a stream, each a fifth of its time, cut wherever that falls: edits that are pending at the end of a
+    run are in the checkpoint, and what is due in the end is what it is for all events at once."""
+    root, end = _scratch(spark), F.lit(".md")
+    events = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("path", F.concat("path", end)).withColumn("new_path", F.concat("new_path", end))
+    first, last = events.select(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    edges = [first + (last - first) * k // 5 for k in range(5)] + [last + 1]
+    tick = events.limit(1).select(F.timestamp_micros(F.lit(last + 48 * 3_600_000_000)).alias("ts"), "event_id", F.lit("tick").alias("path"), F.lit("tick").alias("op"), "new_path")
+    at = F.unix_micros("ts")
+    for run in [events.where((at >= a) & (at < b)) for a, b in zip(edges[:-1], edges[1:], strict=True)] + [tick]:
+        run.write.mode("append").parquet(f"{root}/feed")
+        with rocks_state(spark):
+            due = due_stream(spark.readStream.schema(events.schema).parquet(f"{root}/feed"), Settings(), gap="6 hours", late="1 second")
+            query = due.writeStream.format("parquet").option("path", f"{root}/due").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.parquet(f"{root}/due").select("path", "op", "event_id")
+
+
+_register("q_pending_edits", q_pending_edits, """WITH c AS (
+SELECT ts, event_id, 'note_'||user_id||'.md' AS path, CASE event_type WHEN 'signup' THEN 'create' WHEN 'click' THEN 'modify' ELSE 'delete' END AS op
+  FROM events WHERE event_type IN ('signup', 'click', 'error', 'purchase')
+UNION ALL SELECT ts, event_id, 'note_'||user_id||'_moved.md', 'create' FROM events WHERE event_type = 'purchase'),
+own AS (SELECT *, lead(ts) OVER (PARTITION BY path ORDER BY ts, event_id) AS nxt FROM c)
+SELECT path, op, event_id FROM own WHERE op <> 'modify' OR nxt IS NULL OR nxt >= ts + INTERVAL 6 HOURS""")
+
+
 def _micros(ts: str):
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})")
 

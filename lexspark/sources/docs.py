@@ -132,15 +132,8 @@ def with_frontmatter(files: DataFrame) -> DataFrame:
     )
 
 
-def read_files(
-    spark: SparkSession, root: str, settings: Settings | None = None, filters: list[str] | None = None, extract: Callable[[Column, Column], Column] | None = None, accepts: Callable[[Column], Column] | None = None
-) -> DataFrame:
-    """Indexable files below ``root``. ``extract`` (see :func:`extractor`) maps path and bytes to text for
-    other kinds of file, those whose path ``accepts`` is true for; bytes that are no UTF-8 become
-    U+FFFD, so that no file can stop a build."""
-    settings = settings or Settings()
+def _documents(files: DataFrame, root: str, settings: Settings, filters: list[str] | None, extract: Callable[[Column, Column], Column] | None, accepts: Callable[[Column], Column] | None) -> DataFrame:
     base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(re.sub(r"^[a-z]+:/*", "/", base)) + "/", "")
     accepted = False if extract is None else True if accepts is None else accepts(F.col("path"))
     files = files.withColumn("path", path).where(indexable(F.col("path"), settings, filters, accepted))
@@ -150,3 +143,37 @@ def read_files(
         text = F.when(extractable(F.col("path"), settings, own), extract(F.col("path"), F.col("content"))).otherwise(text)
     mtime = (F.col("modificationTime").cast("double") * 1000).cast("long")
     return with_frontmatter(files.select("path", mtime.alias("mtime"), F.coalesce(text, F.lit("")).alias("content")))
+
+
+def read_files(
+    spark: SparkSession, root: str, settings: Settings | None = None, filters: list[str] | None = None, extract: Callable[[Column, Column], Column] | None = None, accepts: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """Indexable files below ``root``. ``extract`` (see :func:`extractor`) maps path and bytes to text for
+    other kinds of file, those whose path ``accepts`` is true for; bytes that are no UTF-8 become
+    U+FFFD, so that no file can stop a build."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root.rstrip("/"))
+    return _documents(files, root, settings or Settings(), filters, extract, accepts)
+
+
+def name_glob(kinds: list[str]) -> str:
+    """File names that end in one of ``kinds``, in either case."""
+    letter = lambda c: f"[{c.lower()}{c.upper()}]" if c.isalpha() else re.sub(r"([^\w])", r"\\\1", c)
+    return "*.{" + ",".join("".join(map(letter, k)) for k in kinds) + "}"
+
+
+def other_kinds(settings: Settings, extracted: bool) -> list[str]:
+    """Kinds of file beside notes that are indexed."""
+    drawn = ["pdf"] * settings.index_pdf + [*IMAGES] * settings.index_images + [*OFFICE] * settings.index_office
+    return [k for k in dict.fromkeys([*ALWAYS, *settings.extra_file_types, *(drawn if extracted else [])]) if k != "md"]
+
+
+def stream_files(
+    spark: SparkSession, root: str, settings: Settings | None = None, filters: list[str] | None = None, extract: Callable[[Column, Column], Column] | None = None, accepts: Callable[[Column], Column] | None = None, kinds: list[str] | None = None, files_per_batch: int = 1000
+) -> DataFrame:
+    """The same as a stream of the files of some ``kinds`` (all that are indexed), ``files_per_batch`` at a time: others are not
+    opened. A file that comes later is read when it comes."""
+    settings = settings or Settings()
+    glob = name_glob(["md", *other_kinds(settings, extract is not None)] if kinds is None else kinds)
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    files = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).load(root.rstrip("/"))
+    return _documents(files, root, settings or Settings(), filters, extract, accepts)

@@ -1,3 +1,7 @@
+import math
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,24 +157,30 @@ def test_store_round_trip_and_validation(spark, docs, index, tmp_path):
     assert store.load(settings) is None
 
 
+def same_index(held, plain, *queries):
+    for raw in queries:
+        assert search(held, raw).collect() == search(plain, raw).collect()
+    assert sorted(map(tuple, held.terms.select("field", "term", "df").collect())) == sorted(map(tuple, plain.terms.select("field", "term", "df").collect()))
+    assert sorted((r.field, r.n, round(r.avg_len, 9)) for r in held.stats.collect()) == sorted((r.field, r.n, round(r.avg_len, 9)) for r in plain.stats.collect())
+    assert sorted(held.manifest.collect()) == sorted(plain.manifest.collect())
+
+
 def test_store_parts_commits_and_damage(spark, docs, tmp_path, monkeypatch):
     root, settings = f"{tmp_path}/ix", Settings()
-    monkeypatch.setattr(store_module, "PARTS", 2)
-    store = IndexStore(spark, f"file://{root}")
+    store = IndexStore(spark, f"file://{root}", grace=0)
     store.apply(spark.createDataFrame([], "path string"), docs, settings)
-    none = docs.select("path").limit(0)
-    for k in range(store_module.PARTS + 1):
+    none, new = docs.select("path").limit(0), None
+    for k in range(4):
         new = spark.createDataFrame([doc("garden/tomato.md", f"gravel round{k}", mtime=k), doc(f"new/{k}.md", "granite")], SCHEMA)
         gone = none if k else spark.createDataFrame([("code/notes.txt",), ("no/such",)], "path string")
         store.apply(gone, new, settings)
         held = store.load(settings)
         assert paths(search(held, f"round{k}")) == ["garden/tomato.md"] and search(held, "granite").count() == k + 1
-    assert held.manifest.count() == 3 + k + 1 and search(held, "seedlings", fuzzy=Fuzzy(0.0)).count() == 0
+    assert store.rewritten and len(store._newest()[1]["parts"]) < 5  # parts of one tier were merged
     plain = build_index(docs.where("path not in ('code/notes.txt', 'garden/tomato.md')").unionByName(new.limit(1)).unionByName(spark.createDataFrame([doc(f"new/{i}.md", "granite") for i in range(k + 1)], SCHEMA)))
-    for raw in ("granite", "tomato quick", f"round{k} bean"):
-        assert search(held, raw).collect() == search(plain, raw).collect()
-    assert sorted((r.field, r.n, round(r.avg_len, 9)) for r in held.stats.collect()) == sorted((r.field, r.n, round(r.avg_len, 9)) for r in plain.stats.collect())
-    assert len(store._numbers()) == store_module.KEPT and len(store._names("parts")) <= store_module.PARTS + 1
+    same_index(held, plain, "granite", "tomato quick", f"round{k} bean")
+    # without grace, nothing that the newest commit does not name outlives it
+    assert len(store._numbers()) == 1 and len(store._names("parts")) == len(store._newest()[1]["parts"])
 
     def fails(*_):
         raise OSError("the file system does not answer")
@@ -179,17 +189,83 @@ def test_store_parts_commits_and_damage(spark, docs, tmp_path, monkeypatch):
         m.setattr(IndexStore, "_commit", fails)
         store.load(settings)
     assert store.load(settings) is not None  # nothing was deleted
-    newest = max(store._numbers())
-    with monkeypatch.context() as m, pytest.raises(RuntimeError, match="another writer"):
-        m.setattr(IndexStore, "_numbers", lambda self: [newest - 1])
-        store._write_commit(["part"], settings)
-    (tmp_path / f"ix/commits/{newest + 1:012}.json").write_text("{damaged")
-    (tmp_path / f"ix/commits/.{newest + 1:012}.json.crc").unlink(missing_ok=True)
+    number, commit = store._newest()
+    assert not store._take(number, commit["parts"], settings)  # a number is given out once
+    with pytest.raises(store_module.StoreMoved):
+        store.save(plain, settings, base=number - 1)
+    (tmp_path / f"ix/commits/{number + 1:012}.json").write_text("{damaged")
     assert search(store.load(settings), "granite").count() == k + 1
+    store.apply(none, spark.createDataFrame([doc("new/9.md", "granite")], SCHEMA), settings)  # a damaged commit keeps its number
+    assert search(store.load(settings), "granite").count() == k + 2
     store.clear()
     assert store.load(settings) is None
 
 
+def test_one_number_goes_to_one_of_many_takers(spark, tmp_path):
+    stores = [IndexStore(spark, f"file://{tmp_path}/ix") for _ in range(16)]
+    part = store_module.Part("p", "s", 1)
+    for number in range(1, 6):
+        with ThreadPoolExecutor(16) as pool:
+            taken = list(pool.map(lambda s, n=number: s._take(n, [part], Settings()), stores))
+        assert sum(taken) == 1
+    assert stores[0]._numbers() == [1, 2, 3, 4, 5] and not [n for n in stores[0]._names("commits") if n.endswith(".tmp")]
+
+
+def test_writers_at_once_lose_nothing(spark, docs, tmp_path):
+    settings, root = Settings(), f"file://{tmp_path}/ix"
+    IndexStore(spark, root).apply(docs.select("path").limit(0), docs, settings)
+    before = IndexStore(spark, root).load(settings)
+    start = threading.Barrier(10)
+
+    def write(k):
+        store = IndexStore(spark, root)
+        new = spark.createDataFrame([doc(f"own/{k}.md", f"granite own{k}"), doc("both.md", f"marble last{k}", mtime=k)], SCHEMA)
+        gone = spark.createDataFrame([("code/parser.md",)] if k == 3 else [], "path string")
+        # nobody commits before all have written what they began on the same snapshot
+        store.apply(gone, new, settings, meanwhile=lambda: start.wait(300))
+
+    with ThreadPoolExecutor(10) as pool:
+        list(pool.map(write, range(10)))
+    held = IndexStore(spark, root).load(settings)
+    last = held.manifest.where("path = 'both.md'").first().mtime
+    want = docs.where("path <> 'code/parser.md'").unionByName(spark.createDataFrame([doc(f"own/{k}.md", f"granite own{k}") for k in range(10)] + [doc("both.md", f"marble last{last}", mtime=last)], SCHEMA))
+    same_index(held, build_index(want), "granite", "marble", "tomato")
+    # a reader who began before them still finds all its files
+    assert paths(search(before, "parser")) == ["code/parser.md"] and search(before, "granite").count() == 0
+
+
+def test_a_writer_whose_parts_were_cleared_is_told(spark, docs, tmp_path):
+    store, settings = IndexStore(spark, f"file://{tmp_path}/ix"), Settings()
+    store.apply(docs.select("path").limit(0), docs, settings)
+    with pytest.raises(store_module.StoreMoved):
+        store.apply(docs.select("path").limit(0), docs.limit(1), settings, meanwhile=store.clear)
+
+
+def test_merges_rewrite_n_log_n_rows():
+    for n in (64, 1024, 8192):
+        parts, written = [], 0
+        for k in range(n):
+            parts.append(store_module.Part(str(k), "", 2))
+            while run := store_module.due_merge(parts):
+                a, b = run
+                parts[a:b] = [store_module.Part("m", "", sum(p.rows for p in parts[a:b]))]
+                written += parts[a].rows
+            held = store_module.tiers(parts)
+            assert held == sorted(held, reverse=True) and all(held.count(t) < store_module.FAN for t in held)
+        assert sum(p.rows for p in parts) == 2 * n
+        # each row is written again once for each tier, and there are log4(2n) of them
+        assert written <= 2 * n * (math.log(2 * n, store_module.FAN) + 1)
+        assert len(parts) <= 3 * (math.log(2 * n, store_module.FAN) + 1)
+
+
+def test_a_large_change_takes_smaller_parts_before_it_along():
+    part = lambda rows: store_module.Part("x", "", rows)
+    assert store_module.tiers([part(100), part(1), part(2), part(70)]) == [3, 3, 3, 3]
+    assert store_module.due_merge([part(100), part(1), part(2), part(70)]) == (0, 4)
+    assert store_module.due_merge([part(1000), part(1), part(2), part(3)]) is None
+    assert store_module.due_merge([part(1000), part(1), part(2), part(3), part(1)]) == (1, 5)
+
+
 def test_manifest_diff_and_sync(spark, docs, index):
     known = spark.createDataFrame([("a", 2), ("b", 1), ("c", 1)], "path string, mtime long")
     now = spark.createDataFrame([("a", 1), ("b", 1), ("d", 1)], "path string, mtime long")
