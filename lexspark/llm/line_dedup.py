@@ -6,16 +6,17 @@ are one template, and where they differ becomes variable. Lines of templates tha
 across documents are dropped, wherever they stand.
 
 "Across documents" means across different ones: copies of a document repeat all its
-lines and say nothing about a single one, and they are near-dedup's business. Each document
-therefore counts under a sketch (least hashes of three words), and a line recurs once so many
-documents hold it that no two of them are copies or near copies by their sketches. Copies add
-nothing to that count and cannot outvote it, however many there are. A task passes on
-documents of a line only as far as they differ, and no more than decide.
+lines and say nothing about a single one, and they are near-dedup's business. Which documents are copies is
+settled first and for all lines alike: documents whose sketches (least hashes of three-word runs, by place) agree in a band
+are held against the first of that band, and those that agree in half of all places are linked; what links reach is one
+class. A line's documents then count by class. The count is of distinct classes, exact up to the few that decide, of which the
+least are kept: they are the same whatever the order of rows, the split into tasks, or a task run twice.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -25,7 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, hash_words, importable, key_long, map_arrow, materialise, mix, require, shared_dir, slices, text_bytes, window_hashes
+from ._common import fresh, hash_words, key_long, map_arrow, materialise, mix, remove_dirs, require, shared_dir, text_bytes, window_hashes
+from .components import connected_components
 
 #: Leading tokens of a path, and the share of equal tokens that makes two lines one template.
 DEPTH, SIMILAR = 3, 0.7
@@ -34,7 +36,9 @@ DOCUMENTS = 5
 #: Places of a document's sketch, and the share of equal ones from which two documents are copies:
 #: below the similarity of two near copies of a third document.
 PLACES, COPY = 64, 0.5
-#: Lines whose documents a task remembers; beyond them a task passes on more rows than it must.
+#: Places of a band; two documents that agree there are candidates.
+BAND = 4
+#: Lines whose classes a task remembers; of those beyond them it passes on more rows than it must.
 REMEMBERED = 20_000
 #: Tokens of a leaf's templates up to which a form is compared with all of them, and forms of a leaf
 #: from which those that resemble no other are found first.
@@ -116,49 +120,90 @@ def copies(a: bytes, b: bytes) -> bool:
     return np.count_nonzero((x == y) & (x > 0)) >= COPY * np.count_nonzero(x | y)
 
 
-def differs(held: list[bytes], sketch: bytes) -> bool:
-    """Adds ``sketch`` to different ones, unless they suffice or hold a copy of it."""
-    if len(held) >= DOCUMENTS or sketch in held or any(copies(own, sketch) for own in held):
-        return False
-    held.append(sketch)
-    return True
+def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """:func:`copies` for two columns of sketches."""
+    same = np.count_nonzero((a == b) & (a > 0), axis=1)
+    return same >= COPY * np.count_nonzero(a | b, axis=1)
 
 
 _FORM = "leaf long, form long, tokens binary, sketch binary"
 
 
-def _emit(batch: pa.RecordBatch, seen: dict[int, list[bytes]]) -> pa.RecordBatch:
-    """One row for each different line of each text, unless ``seen`` has copies of the text or
-    enough others; 16 bits of each token are carried."""
+def _emit(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """One row for each different line of each text, copies of a text in the batch apart; 16 bits of each
+    token are carried."""
     lines = Lines(batch.column(0).to_pylist())
     at = lines.distinct()
-    at = at[np.argsort(lines.form[at], kind="stable")]
-    sketch = [row.tobytes() for row in lines.sketches(batch.num_rows)]
-    form = lines.form[at]
-    begin = np.flatnonzero(np.r_[True, form[1:] != form[:-1]]) if len(at) else np.empty(0, dtype=np.int64)
-    keep = np.ones(len(at), dtype=bool)
-    for f, a, b in zip(form[begin].tolist(), begin.tolist(), np.r_[begin[1:], len(at)].tolist(), strict=True):
-        if b - a > 1 or f in seen:
-            held = seen.get(f, [])
-            if len(seen) < REMEMBERED:
-                seen[f] = held
-            for i in range(a, b):
-                keep[i] = differs(held, sketch[lines.text[at[i]]])
-    at = at[keep]
+    sketch = lines.sketches(batch.num_rows)
+    _, alike = np.unique(sketch, axis=0, return_inverse=True)
+    kind = alike.reshape(-1)[lines.text[at]]
+    order = np.lexsort((kind, lines.form[at]))
+    at, kind = at[order], kind[order]
+    if len(at):
+        form = lines.form[at]
+        keep = np.r_[True, (form[1:] != form[:-1]) | (kind[1:] != kind[:-1])]
+        at = at[keep]
     short = (lines.tokens >> np.uint64(48)).astype(np.uint16).tobytes()
     tokens = [short[2 * a : 2 * b] for a, b in zip(lines.start[at].tolist(), lines.start[at + 1].tolist(), strict=True)]
-    own = [sketch[t] for t in lines.text[at].tolist()]
-    columns = [pa.array(key_long(lines.leaf[at])), pa.array(key_long(lines.form[at])), pa.array(tokens, pa.binary()), pa.array(own, pa.binary())]
+    own = [row.tobytes() for row in sketch]
+    columns = [pa.array(key_long(lines.leaf[at])), pa.array(key_long(lines.form[at])), pa.array(tokens, pa.binary()), pa.array([own[t] for t in lines.text[at].tolist()], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=["leaf", "form", "tokens", "sketch"])
 
 
-def _emit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[int, list[bytes]] = {}
+def _bands(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``(node, band)`` of sketches: a hash of each band without an empty place."""
+    held = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, PLACES // BAND, BAND)
+    whole = (held > 0).all(axis=2)
+    packed = np.ascontiguousarray(held).view(f"<u{BAND}").reshape(len(held), -1).astype(np.uint64)
+    keys = mix(packed + (np.arange(PLACES // BAND, dtype=np.uint64) << np.uint64(32)))
+    row, _ = np.nonzero(whole)
+    node = batch.column(0).to_numpy()[row]
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(key_long(keys[whole]))], names=["node", "band"])
+
+
+def _linked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    load = lambda i: np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, PLACES)
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(near(load(2), load(3))))
+
+
+def classes(sketches: DataFrame, root: str) -> DataFrame:
+    """``(sketch, class)`` of the documents that are linked to others; every other one is a class of its own."""
+    nodes = materialise(sketches.distinct().withColumn("node", F.xxhash64("sketch")), f"{root}/sketches")
+    bands = map_arrow(nodes.select("node", "sketch"), _bands, "node long, band long")
+    first = bands.groupBy("band").agg(F.min("node").alias("dst"), F.max("node").alias("last")).where("dst <> last").select("band", "dst")
+    stars = bands.join(first, "band").where("node <> dst").select(F.col("node").alias("src"), "dst").distinct()
+    own = nodes.select("node", "sketch")
+    stars = stars.join(own.toDF("src", "s"), "src").join(own.toDF("dst", "t"), "dst").select("src", "dst", "s", "t")
+    comps = connected_components(map_arrow(stars, _linked, "src long, dst long"))
+    return materialise(nodes.join(comps.withColumnRenamed("id", "node"), "node").select("sketch", F.col("comp").alias("class")), f"{root}/classes")
+
+
+def least_classes(held: list[int], own: int) -> bool:
+    """Puts a class among the ``DOCUMENTS`` least ones, in order; False if it is one of them or none of the least."""
+    at = bisect_left(held, own)
+    if at == DOCUMENTS or at < len(held) and held[at] == own:
+        return False
+    held.insert(at, own)
+    del held[DOCUMENTS:]
+    return True
+
+
+_CLASSED = "leaf long, form long, tokens binary, class long"
+
+
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each form that are among its least classes so far: no other can decide."""
+    seen: dict[int, list[int]] = {}
     for batch in batches:
-        if batch.num_rows:
-            for part in slices(batch):
-                yield _emit(part, seen)
-    pa.default_memory_pool().release_unused()
+        keep = []
+        for form, own in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            held = seen.get(form)
+            if held is None:
+                held = []
+                if len(seen) < REMEMBERED:
+                    seen[form] = held
+            keep.append(least_classes(held, own))
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def segments(width: int) -> list[tuple[int, int]]:
@@ -180,13 +225,14 @@ class Leaf:
         self.indexed = 0
         #: A row of tokens for each template, -1 where it is variable.
         self.tokens = np.empty((4, width), dtype=np.int32)
-        self.held: list[list[bytes]] = []
+        #: The least classes of each.
+        self.held: list[list[int]] = []
         self.of: dict[int, int] = {}
 
-    def add(self, form: int, tokens: np.ndarray, sketch: bytes) -> None:
+    def add(self, form: int, tokens: np.ndarray, own: int) -> None:
         if form not in self.of:
             self.of[form] = self._template(tokens)
-        differs(self.held[self.of[form]], sketch)
+        least_classes(self.held[self.of[form]], own)
 
     def _template(self, tokens: np.ndarray) -> int:
         n = len(self.held)
@@ -229,7 +275,7 @@ def resembling(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def leaf_recurring(forms: np.ndarray, tokens: np.ndarray, sketches: np.ndarray) -> list[int]:
+def leaf_recurring(forms: np.ndarray, tokens: np.ndarray, owners: np.ndarray) -> list[int]:
     """Forms of one leaf, sorted, whose template recurs. In a large leaf most lines resemble no other:
     these are told by arrays, and only the rest become templates that others may join."""
     begin = np.flatnonzero(np.r_[True, forms[1:] != forms[:-1]])
@@ -239,12 +285,9 @@ def leaf_recurring(forms: np.ndarray, tokens: np.ndarray, sketches: np.ndarray)
     for a, b, joins in zip(begin.tolist(), ends.tolist(), some.tolist(), strict=True):
         if joins:
             for i in range(a, b):
-                leaf.add(int(forms[i]), tokens[i], sketches[i].tobytes())
+                leaf.add(int(forms[i]), tokens[i], int(owners[i]))
         elif b - a >= DOCUMENTS:
-            held: list[bytes] = []
-            for i in range(a, b):
-                differs(held, sketches[i].tobytes())
-            if len(held) >= DOCUMENTS:
+            if len(np.unique(owners[a:b])) >= DOCUMENTS:
                 out.append(int(forms[a]))
     return out + leaf.recurring()
 
@@ -264,10 +307,9 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        leaves, forms = (batch.column(i).to_numpy() for i in (0, 1))
-        tokens, sketches = (np.frombuffer(batch.column(i).buffers()[2] or b"", dtype=kind) for i, kind in ((2, np.uint16), (3, np.uint8)))
+        leaves, forms, owners = (batch.column(i).to_numpy() for i in (0, 1, 3))
+        tokens = np.frombuffer(batch.column(2).buffers()[2] or b"", dtype=np.uint16)
         places = np.frombuffer(batch.column(2).buffers()[1], dtype=np.int32)[batch.column(2).offset :][: batch.num_rows + 1] // 2
-        sketches = sketches[batch.column(3).offset * PLACES :][: batch.num_rows * PLACES].reshape(-1, PLACES)
         begin = np.flatnonzero(np.r_[True, leaves[1:] != leaves[:-1]])
         ends = np.r_[begin[1:], len(leaves)]
         out: list[int] = []
@@ -278,16 +320,17 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if b - a >= DOCUMENTS or parts or b == len(leaves):
                 width = int(places[a + 1] - places[a])
                 own = tokens[places[a] : places[b]].reshape(b - a, width)
-                parts.append((forms[a:b], own, sketches[a:b]) if b < len(leaves) else (forms[a:b].copy(), own.copy(), sketches[a:b].copy()))
+                parts.append((forms[a:b], own, owners[a:b]) if b < len(leaves) else (forms[a:b].copy(), own.copy(), owners[a:b].copy()))
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["form"])
     yield pa.RecordBatch.from_arrays([pa.array(closed(), pa.int64())], names=["form"])
 
 
-def recurring_forms(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def recurring_forms(docs: DataFrame, root: str, text_col: str = "text") -> DataFrame:
     """``(form)``: the hashes of all lines whose template recurs across documents."""
-    importable(docs.sparkSession)
-    rows = docs.select(text_bytes(text_col)).mapInArrow(_emit_all, _FORM)
-    dealt = rows.repartition("leaf").sortWithinPartitions("leaf", "form")
+    rows = materialise(map_arrow(docs.select(text_bytes(text_col)), _emit, _FORM), f"{root}/rows")
+    own = classes(rows.select("sketch"), root)
+    classed = rows.join(own, "sketch", "left").select("leaf", "form", "tokens", F.coalesce("class", F.xxhash64("sketch")).alias("class"))
+    dealt = classed.mapInArrow(_thin, _CLASSED).repartition("leaf").sortWithinPartitions("leaf", "form", "class")
     return dealt.mapInArrow(_grow, "form long").distinct()
 
 
@@ -326,8 +369,8 @@ def _trim(batch: pa.RecordBatch) -> pa.RecordBatch:
 def line_dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``kept_text``, ``n_lines`` (lines with a word) and ``n_dropped``.
 
-    A template recurs if ``DOCUMENTS`` documents or more hold it of which none is a copy or near
-    copy of another, however many copies of them there are. Lines are cut at ``\\n``; those without
+    A template recurs if documents of ``DOCUMENTS`` classes or more hold it; copies and near copies are one
+    class, however many there are. The result does not depend on the order of rows. Lines are cut at ``\\n``; those without
     a word are kept and count for nothing. Null texts stay null with no lines; repeated rows and
     copies get the same result; result columns that clash with the input's replace them;
     an empty table gives an empty table.
@@ -335,7 +378,8 @@ def line_dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
     require(docs, text_col)
     out = ("kept_text", "n_lines", "n_dropped")
     root = shared_dir(docs.sparkSession)
-    forms = materialise(recurring_forms(docs, text_col), f"{root}/forms")
+    forms = materialise(recurring_forms(docs, root, text_col), f"{root}/forms")
+    remove_dirs(docs.sparkSession, root, "rows", "sketches", "classes")
     keep = [c for c in docs.columns if c.lower() not in out]
     lead, gone, key = fresh(docs, "__raw"), fresh(docs, "__gone"), fresh(docs, "__key")
     # Equal texts hold equal lines: the text's hash carries what it loses, not a row's id.

@@ -71,8 +71,8 @@ def test_forms_that_resemble_no_other_change_nothing(monkeypatch):
             rows += [line] * rnd.choice([1, 1, 1, 5, 7])
         forms = [hash(tuple(r)) for r in rows]
         order = sorted(range(len(rows)), key=lambda i: forms[i])
-        sketches = np.frombuffer(rnd.randbytes(64 * len(rows)), dtype=np.uint8).reshape(-1, 64)
-        given = (np.array([forms[i] for i in order]), np.array([rows[i] for i in order], dtype=np.uint16), sketches)
+        owners = np.array([rnd.randrange(40) for _ in rows])
+        given = (np.array([forms[i] for i in order]), np.array([rows[i] for i in order], dtype=np.uint16), owners)
         fast = module.leaf_recurring(*given)
         monkeypatch.setattr(module, "MANY", 10**9)
         assert sorted(fast) == sorted(module.leaf_recurring(*given)) and len(fast) > 0
@@ -90,3 +90,59 @@ def test_a_large_leaf_over_many_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r.doc_id for r in out if r.n_dropped} == {i for i in range(30_000) if i % 5000 == 0}
+
+
+def kept(spark, rows, parts):
+    out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+    return {r.doc_id: (r.kept_text, r.n_dropped) for r in out}
+
+
+def hub_and_others(rnd):
+    """A document that is a near copy of eight others, of which no two are copies, and a footer in all nine."""
+    eighths = [prose(40, rnd) for _ in range(8)]
+    footer = "this page was made for you by the people of the house"
+    texts = ["\n".join([*eighths, footer])]
+    for k in range(8):
+        texts.append("\n".join([*(eighths[j % 8] for j in range(k, k + 5)), prose(8, rnd), footer]))
+    return texts
+
+
+def test_the_order_of_rows_changes_nothing(spark):
+    rnd = random.Random(9)
+    common = ["every page of this house ends with the same old line", "and a second one of them stands here and there too"]
+    base = [prose(50, rnd) for _ in range(12)]
+    texts = hub_and_others(rnd)
+    for k, b in enumerate(base):
+        copy = b.split()
+        for n in range(1 + k % 4):  # near copies
+            copy[rnd.randrange(len(copy))] = f"edit{n}"
+            texts.append(" ".join(copy) + "\n" + common[k % 2] + (f"\nonly the copies of number{'abcdefghijkl'[k]} have this line in them" if k % 4 == 3 else ""))
+    rows = list(enumerate(texts))
+    first = None
+    for order in range(5):
+        rnd.shuffle(rows)
+        got = kept(spark, rows, 1 + order)
+        first = first or got
+        assert got == first
+    assert all(common[0] not in t and common[1] not in t for t, _ in first.values())
+    # a line of the near copies of one document alone is theirs
+    assert sum("only the copies" in t for t, _ in first.values()) == 12
+
+
+def test_copies_do_not_outvote(spark):
+    rnd = random.Random(10)
+    own = prose(60, rnd)
+    rows = [(i, own + "\nthe line that only copies of one document have at all") for i in range(40)]
+    rows += [(100 + i, prose(30, rnd) + "\na line that different documents have in common with others") for i in range(DOCUMENTS)]
+    out = kept(spark, rows, 4)
+    assert all(n == (i >= 100) for i, (_, n) in out.items())
+
+
+def test_least_classes_are_free_of_order():
+    rnd = random.Random(11)
+    for _ in range(200):
+        own = [rnd.randrange(12) for _ in range(rnd.randrange(30))]
+        held = []
+        for c in own:
+            module.least_classes(held, c)
+        assert held == sorted(set(own))[:DOCUMENTS]
