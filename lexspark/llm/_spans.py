@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 _CONTINUATION = bytes(range(0x80, 0xC0))
 
@@ -35,5 +36,20 @@ def digest(spans: list[Span]) -> str:
     return hashlib.sha256(joined(spans).encode()).hexdigest()
 
 
-def overlaps(a: int, b: int, spans: list[Span]) -> bool:
-    return any(a < e and s < b for _, s, e in spans)
+class Covered:
+    """What some spans cover together, asked by binary search."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1]):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        """Whether one of them shares a byte with the span from ``a`` to ``b``."""
+        at = bisect_right(self.ends, a)
+        return at < len(self.starts) and self.starts[at] < b

@@ -9,13 +9,15 @@ names something else (an order, an invoice) loses score.
 from __future__ import annotations
 
 import re
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import map_arrow, require, text_bytes
-from ._spans import Span, code_points, digest, joined, ordered, overlaps
+from ._spans import Covered, Span, code_points, digest, joined, ordered
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "local_phone")
@@ -131,9 +133,10 @@ def find(raw: bytes | None) -> tuple[list[Span], list[Span], list[float]]:
     raw = raw or b""
     base = ordered(base_spans(raw), KINDS)
     added: list[Span] = []
-    for span in proposed(raw):
-        if score(raw, span) >= ENOUGH and not overlaps(span[1], span[2], base + added):
-            added.append(span)
+    # one kind after the other; spans of one kind do not overlap
+    for _, own in groupby(proposed(raw), key=itemgetter(0)):
+        taken = Covered(base + added)
+        added += [span for span in own if not taken.meets(span[1], span[2]) and score(raw, span) >= ENOUGH]
     every = ordered(base + added, KINDS)
     return code_points(raw, base), code_points(raw, every), [score(raw, s) for s in every]
 

@@ -2,10 +2,12 @@
 
 import random
 import re
+import time
 
 import pytest
 
 from lexspark.llm import pii, secrets
+from lexspark.llm._spans import Covered
 
 
 def overlapping(a, b, spans):
@@ -113,3 +115,53 @@ def test_secrets_added(seed):
         assert set(every) - set(base) == plain_secrets(text, model, base), text
         seen += len(every) - len(base)
     assert seen > 500
+
+
+ORDINARY = [
+    "key-value-store-implementation-notes", "key-frame-animation-duration-property", "npm_config_registry_settings_override", "sk_live_stream_of_the_concert_tonight",
+    "AIzawa-street-corner-shop-in-the-north", "key-down-event-handler-function-name", "key-based-authentication-for-servers", "key-exchange-algorithm-negotiation",
+    "key-" + "a" * 20, "https://a.example/key-concepts-of-distributed-systems/index", "KEY_DOWN_EVENT_HANDLER_FUNCTION_NAME", "ghp_" + "x" * 36,
+]
+
+
+def test_ordinary_names_are_no_credentials():
+    model = secrets.default_model()
+    assert not [t for t in ORDINARY if secrets.find(t.encode(), model)[1]]
+    # other names than those learnt from, plain and behind the beginnings of every format
+    names = secrets.ordinary_names(1400, seed=77)
+    for lead in ("ghp_", "key-", "AIza", "npm_", "sk_live_", "xoxb-"):
+        names += [lead + n for n in secrets.ordinary_names(700, seed=78)]
+    assert sum(bool(secrets.find(n.encode(), model)[1]) for n in names) <= 0.003 * len(names)
+    fresh = secrets.labelled_credentials(1200, seed=79)
+    assert sum(model.fits(v) for _, v in fresh) >= 0.99 * len(fresh)
+
+
+def test_a_likely_beginning_of_an_unlikely_length_is_none():
+    model, values = secrets.default_model(), [v for k, v in secrets.labelled_credentials(600, seed=80) if k == "mail"]
+    assert all(model.fits(v) for v in values)
+    assert not any(model.fits(v[:20]) for v in values)
+    assert all(model.score(v + v[4:12]) < model.score(v) > model.score(v[:32]) for v in values)
+    assert model.lengths.log_likelihood("none" * 5) < model.lengths.log_likelihood(values[0])
+
+
+def test_covered_equals_all_pairs():
+    rnd = random.Random(12)
+    for _ in range(300):
+        spans = [("x", a, a + rnd.randrange(1, 6)) for a in (rnd.randrange(40) for _ in range(rnd.randrange(8)))]
+        taken = Covered(spans)
+        for a in range(44):
+            for b in range(a + 1, 46):
+                assert taken.meets(a, b) == overlapping(a, b, spans)
+
+
+@pytest.mark.parametrize("what", ["hashes", "phones"])
+def test_many_spans_take_time_in_proportion(what):
+    model, took = secrets.default_model(), {}
+    for n in (2_000, 64_000):
+        lines = [f"{k * 7919**9:032x}" if what == "hashes" else f"call 030 {k:07d} {'word ' * 6}" for k in range(n)]
+        raw = "\n".join(lines).encode()
+        began = time.perf_counter()
+        found = secrets.find(raw, model)[0] if what == "hashes" else pii.find(raw)[1]
+        took[n] = time.perf_counter() - began
+        assert len(found) == n
+    assert took[64_000] < 32 * 5 * took[2_000] + 1  # 1,024 times were it quadratic

@@ -182,7 +182,8 @@ def test_every_format_is_held_out():
     kinds = {v: k for k, v in labelled}
     assert {kinds[v] for v in held} == {kinds[v] for v in seen} == set(kinds.values()) and len(held) * 4 == len(labelled)
     model = secrets.learn(labelled)
-    assert min(map(model.score, held)) == pytest.approx(model.threshold + secrets.SLACK)
+    scores = sorted(map(model.score, held))
+    assert scores[int(len(scores) * secrets.MISSED)] == pytest.approx(model.threshold + secrets.SLACK)
 
 
 def test_secrets_behind_names_and_addresses():
