@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -189,22 +190,37 @@ bases AS MATERIALIZED (SELECT DISTINCT doc_id, {_base_sql("raw")} AS base FROM r
 SELECT DISTINCT doc_id, term FROM (SELECT doc_id, base AS term FROM bases UNION ALL
   SELECT doc_id, unnest(regexp_split_to_array(base, '{_SQL_JOIN}')) FROM bases WHERE regexp_matches(base, '{_SQL_JOIN}')) WHERE term <> ''""")
 
-_CAMEL_WORDS = ("getUserName", "HTMLParser2go", "parseURLs", "Hello", "COVID-19", "iPhone", "snake_case", "wi-fi", "H2O", "ÉcoleNormale", "plain")
+_SQL_FIRST, _SQL_SECOND = "string_split(p_name, ' ')[1]", "string_split(p_name, ' ')[2]"
+
+
+def _word(k: int) -> Column:
+    """A word of a part's name."""
+    return F.split("p_name", " ")[k]
+
+
+def _sql_cap(word: str) -> str:
+    return f"upper({word}[1:1]) || {word}[2:]"
 
 
 def q_camel_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.createDataFrame([(w,) for w in _CAMEL_WORDS], "raw string")
-    return words.select("raw", F.array_join(F.array_distinct(T.variants(F.col("raw"), True)), " ").alias("variants"))
+    """Names of parts as identifiers: camel case, with capitals before it, in snake case, and with accents."""
+    parts, key = _read(spark, sf_dir, "part"), F.col("p_partkey") % 4
+    one, two = _word(0), F.initcap(_word(1))
+    raw = F.when(key == 0, F.concat(one, two, F.col("p_size"), F.lit("go"))).when(key == 1, F.concat(F.upper(one), two, F.lit("Of"), F.initcap(one)))
+    raw = raw.when(key == 2, F.concat_ws("_", one, _word(1))).otherwise(F.concat(F.lit("École"), two, F.lit("-"), one, F.col("p_size")))
+    return parts.select("p_partkey", raw.alias("raw")).select("p_partkey", "raw", F.array_join(F.array_distinct(T.variants(F.col("raw"), True)), " ").alias("variants"))
 
 
 _register("q_camel_variants", q_camel_variants, rf"""
-WITH w AS (SELECT unnest([{", ".join(f"'{w}'" for w in _CAMEL_WORDS)}]) AS raw),
-b AS (SELECT raw, {_base_sql("raw")} AS base, CASE WHEN raw <> lower(raw) AND raw <> upper(raw)
+WITH p AS (SELECT p_partkey, p_size, {_SQL_FIRST} AS one, {_SQL_SECOND} AS two FROM part),
+w AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN one || {_sql_cap("two")} || p_size || 'go' WHEN 1 THEN upper(one) || {_sql_cap("two")} || 'Of' || {_sql_cap("one")}
+  WHEN 2 THEN one || '_' || two ELSE 'École' || {_sql_cap("two")} || '-' || one || p_size END AS raw FROM p),
+b AS (SELECT p_partkey, raw, {_base_sql("raw")} AS base, CASE WHEN raw <> lower(raw) AND raw <> upper(raw)
   THEN regexp_extract_all(regexp_replace(raw, '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '\p{{Lu}}\p{{Ll}}+|\p{{Lu}}+|\p{{Ll}}+|\p{{N}}+') ELSE [] END AS camel FROM w),
-v AS (SELECT raw, base, CASE WHEN regexp_matches(base, '{_SQL_JOIN}') THEN list_filter(regexp_split_to_array(base, '{_SQL_JOIN}'), lambda x: x <> '') ELSE [] END AS parts,
+v AS (SELECT p_partkey, raw, base, CASE WHEN regexp_matches(base, '{_SQL_JOIN}') THEN list_filter(regexp_split_to_array(base, '{_SQL_JOIN}'), lambda x: x <> '') ELSE [] END AS parts,
   list_filter(list_transform(camel, lambda x: {_base_sql("x")}), lambda x: x <> '' AND x <> base) AS humps FROM b),
-u AS (SELECT raw, list_concat([base], parts, humps) AS vs FROM v)
-SELECT raw, array_to_string(list_filter(vs, lambda x, i: list_position(vs, x) = i), ' ') AS variants FROM u""")
+u AS (SELECT p_partkey, raw, list_concat([base], parts, humps) AS vs FROM v)
+SELECT p_partkey, raw, array_to_string(list_filter(vs, lambda x, i: list_position(vs, x) = i), ' ') AS variants FROM u""")
 
 
 def q_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,47 +450,60 @@ ELSE regexp_replace(p_name, '(^|[^\p{L}\p{N}\p{M}_''’-])(bolt|br)', '\1<mark>\
 
 # --- scalar functions ----------------------------------------------------------------------
 
-_FRONT = ("---\na: 1\n---\nbody", "---\r\na: 1\r\n---\r\nbody", "no front", "text\n---\n---\n", "---\nopen", "---\nx\n---")
 
 
-def _rows(spark: SparkSession, values, schema: str) -> DataFrame:
-    return spark.createDataFrame(list(values), schema)
+def q_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents behind a block: with either line end, without a block, with rulers further down, with an open block, with
+    a block that ends the text."""
+    docs, key, text = _read(spark, sf_dir, "documents"), F.col("doc_id") % 6, F.coalesce("text", F.lit(""))
+    head = F.concat(F.lit("source: "), "source")
+    content = F.when(key == 0, F.concat(F.lit("---\n"), head, F.lit("\n---\n"), text)).when(key == 1, F.concat(F.lit("---\r\n"), head, F.lit("\r\nx: 1\r\n---\r\n"), text)).when(key == 2, text)
+    content = content.when(key == 3, F.concat(text, F.lit("\n---\n---\n"))).when(key == 4, F.concat(F.lit("---\n"), text)).otherwise(F.concat(F.lit("---\n"), head, F.lit("\n---")))
+    return docs.select("doc_id", T.frontmatter_end(content).cast("long").alias("body"))
 
 
-def _lit(text: str) -> str:
-    return "'" + text.replace("'", "''").replace("\n", "'||chr(10)||'").replace("\r", "'||chr(13)||'") + "'"
-
-
-_register(
-    "q_frontmatter",
-    lambda spark, sf_dir: _rows(spark, enumerate(_FRONT), "id long, content string").select("id", T.frontmatter_end(F.col("content")).cast("long").alias("body")),
-    rf"SELECT id::BIGINT AS id, length(regexp_extract(content, '\A---\r?\n(?s:.*?)\r?\n---(\r?\n|\z)', 0)) AS body FROM (VALUES {', '.join(f'({i}, {_lit(c)})' for i, c in enumerate(_FRONT))}) v(id, content)",
-)
+_register("q_frontmatter", q_frontmatter, r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, 'source: ' || source AS h, chr(10) AS n, chr(13) || chr(10) AS rn FROM documents),
+c AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '---' || n || h || n || '---' || n || t WHEN 1 THEN '---' || rn || h || rn || 'x: 1' || rn || '---' || rn || t WHEN 2 THEN t
+  WHEN 3 THEN t || n || '---' || n || '---' || n WHEN 4 THEN '---' || n || t ELSE '---' || n || h || n || '---' END AS content FROM d)
+SELECT doc_id, length(regexp_extract(content, '\A---\r?\n(?s:.*?)\r?\n---(\r?\n|\z)', 0)) AS body FROM c""")
 _register(
     "q_line_of_offset",
     lambda spark, sf_dir: _read(spark, sf_dir, "documents").select("doc_id", T.line_of_offset(F.col("text"), F.col("n_chars").cast("int")).cast("long").alias("line")),
     "SELECT doc_id, (length(text[1:n_chars]) - length(replace(text[1:n_chars], chr(10), '')))::BIGINT AS line FROM documents",
 )
-_CANVAS = ('{"nodes":[{"text":"alpha"},{"file":"a/b.md","label":"L"},{"url":"http://x","text":""}],"edges":[{"label":"to"},{}]}', '{"nodes":[]}', "not json", '{"edges":[{"label":"only"}]}')
-_register(
-    "q_canvas_text",
-    lambda spark, sf_dir: _rows(spark, enumerate(_CANVAS), "id long, content string").select("id", canvas_text(F.col("content")).alias("text")),
-    """WITH v AS (SELECT id::BIGINT AS id, content, CASE WHEN json_valid(content) THEN content ELSE '{}' END AS j FROM (VALUES """ + ", ".join(f"({i}, {_lit(c)})" for i, c in enumerate(_CANVAS)) + """) v(id, content)),
-p AS (SELECT id, list_concat(flatten(list_transform(coalesce(from_json(j->'nodes', '["JSON"]'), []), lambda n: [n->>'text', n->>'file', n->>'url', n->>'label'])),
-  list_transform(coalesce(from_json(j->'edges', '["JSON"]'), []), lambda e: e->>'label')) AS parts FROM v)
-SELECT id, coalesce(array_to_string(list_filter(parts, lambda x: x IS NOT NULL AND x <> ''), chr(10)), '') AS text FROM p""",
-)
-_PAIRS = (("recover files", "recovering the files"), ("a de", "ab de"), ("is recovery", "is recovered recovery"))
 
 
-def q_significant_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, ((i, q.split(), t.split()) for i, (q, t) in enumerate(_PAIRS)), "id long, q array<string>, t array<string>")
-    return rows.select("id", F.array_join(T.significant_terms(F.col("q")), " ").alias("wanted"), F.array_join(T.significant_for_query(F.col("t"), F.col("q")), " ").alias("terms"))
+def q_canvas_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events drawn as canvases: with nodes of all kinds and edges, with edges alone, without either, and broken ones."""
+    key, lit = F.col("event_id") % 4, F.lit
+    full = F.concat(
+        lit('{"nodes":[{"text":"'), "event_type", lit('"},{"file":"u'), "user_id", lit('/'), "event_type", lit('.md","label":"by '), "user_id", lit('"},{"url":"http://x/'), "event_id",
+        lit('","text":""}],"edges":[{"label":"to '), "user_id", lit('"},{}]}'),
+    )
+    edges = F.concat(lit('{"edges":[{"label":"'), "event_type", lit('"},{"label":"only '), "event_id", lit('"}]}'))
+    content = F.when(key == 0, full).when(key == 1, edges).when(key == 2, F.concat(lit('{"nodes":[],"props":'), "props", lit("}"))).otherwise(F.concat(lit("broken "), "props"))
+    return _read(spark, sf_dir, "events").select("event_id", canvas_text(content).alias("text"))
 
 
-_register("q_significant_terms", q_significant_terms, """WITH v AS (SELECT id::BIGINT AS id, string_split(q, ' ') AS q, string_split(t, ' ') AS t FROM (VALUES """ + ", ".join(f"({i}, '{q}', '{t}')" for i, (q, t) in enumerate(_PAIRS)) + """) x(id, q, t)),
-s AS (SELECT id, q, t, CASE WHEN len(list_filter(q, lambda x: length(x) >= 3)) > 0 THEN list_filter(q, lambda x: length(x) >= 3) ELSE q END AS w FROM v)
-SELECT id, array_to_string(w, ' ') AS wanted, array_to_string(CASE WHEN len(w) = len(q) THEN t ELSE list_filter(t, lambda x: len(list_filter(w, lambda y: starts_with(x, y)
+_register("q_canvas_text", q_canvas_text, """SELECT event_id, CASE event_id % 4
+  WHEN 0 THEN event_type || chr(10) || 'u' || user_id || '/' || event_type || '.md' || chr(10) || 'by ' || user_id || chr(10) || 'http://x/' || event_id || chr(10) || 'to ' || user_id
+  WHEN 1 THEN event_type || chr(10) || 'only ' || event_id ELSE '' END AS text FROM events""")
+
+
+def q_significant_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long word of each part's name and a short one as the query; the same, its longer form, a misspelling and others as terms."""
+    both, start, lit = F.concat(_word(0), _word(1)), F.substring(_word(1), 1, 2), F.lit
+    wanted = F.when(F.col("p_partkey") % 5 == 0, F.array(start)).when(F.col("p_partkey") % 5 == 1, F.array(both)).otherwise(F.array(F.concat(both, lit("xx")), start))
+    terms = F.array(F.concat(both, lit("xy")), _word(1), F.concat(both, lit("xxing")), _word(0), start, both)
+    rows = _read(spark, sf_dir, "part").select("p_partkey", wanted.alias("q"), terms.alias("t"))
+    return rows.select("p_partkey", F.array_join(T.significant_terms(F.col("q")), " ").alias("wanted"), F.array_join(T.significant_for_query(F.col("t"), F.col("q")), " ").alias("terms"))
+
+
+_register("q_significant_terms", q_significant_terms, f"""WITH p AS (SELECT p_partkey, {_SQL_FIRST} AS one, {_SQL_SECOND} AS two FROM part),
+v AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN [two[1:2]] WHEN 1 THEN [one || two] ELSE [one || two || 'xx', two[1:2]] END AS q,
+  [one || two || 'xy', two, one || two || 'xxing', one, two[1:2], one || two] AS t FROM p),
+s AS (SELECT *, CASE WHEN len(list_filter(q, lambda x: length(x) >= 3)) > 0 THEN list_filter(q, lambda x: length(x) >= 3) ELSE q END AS w FROM v)
+SELECT p_partkey, array_to_string(w, ' ') AS wanted, array_to_string(CASE WHEN len(w) = len(q) THEN t ELSE list_filter(t, lambda x: len(list_filter(w, lambda y: starts_with(x, y)
   OR (length(y) >= 4 AND floor(0.1 * length(y)) > 0 AND abs(length(x) - length(y)) <= floor(0.1 * length(y)) AND levenshtein(x, y) <= floor(0.1 * length(y))))) > 0) END, ' ') AS terms FROM s""")
 
 
@@ -492,32 +521,40 @@ _register(
     lambda spark, sf_dir: _docs(spark, sf_dir).groupBy(T.extension(F.col("path")).alias("ext"), T.file_type(F.col("path")).alias("type")).agg(F.count("*").alias("n")),
     f"SELECT string_split(lower(path), '.')[-1] AS ext, 'text' AS type, count(*) AS n FROM ({_NOTES}) GROUP BY ALL",
 )
-_PATHS = ("a.md", "B.Canvas", "img/x.PNG", "scan.pdf", "locked.pdf", "sheet.xlsx", "letter.docx", "todo.org", "README", "v1.2/notes", "photo.jpeg", "src1.md/x.txt", "movie.mp4")
-_register(
-    "q_path_types",
-    lambda spark, sf_dir: _rows(spark, ((p,) for p in _PATHS), "path string").select(
-        "path", T.extension(F.col("path")).alias("ext"), T.file_type(F.col("path")).alias("type"),
-        indexable(F.col("path"), Settings(extra_file_types=("org",), index_pdf=True, index_office=True), ["V1.2", "/letter/"], ~F.col("path").contains("locked")).alias("indexable"),
-    ),
-    """SELECT path, ext, type, indexable FROM (VALUES ('a.md', 'md', 'text', true), ('B.Canvas', 'canvas', 'canvas', true), ('img/x.PNG', 'png', 'image', false), ('scan.pdf', 'pdf', 'pdf', true),
-  ('locked.pdf', 'pdf', 'pdf', false), ('sheet.xlsx', 'xlsx', 'office', true), ('letter.docx', 'docx', 'office', false), ('todo.org', 'org', 'text', true), ('README', 'readme', 'text', false),
-  ('v1.2/notes', '2/notes', 'text', false), ('photo.jpeg', 'jpeg', 'image', false), ('src1.md/x.txt', 'txt', 'text', false), ('movie.mp4', 'mp4', 'text', false)) v(path, ext, type, indexable)""",
-)
-_NOTE_FILES = (
-    ("sub/note.md", "---\naliases: [one, two]\ntags: x\n---\n# Head\n## Second\ntext #tagged\n#### deep\n"),
-    ("a/b/plan.canvas", '{"nodes":[{"text":"# no heading"}]}'),
-    ("plain.md", "no front\n# A\n# B\n### C #t1 #t2"),
-    ("list.md", "---\naliases:\n- p q\n- r\ntags:\n  - u/v\n---\nbody"),
-)
-_register(
-    "q_note_fields",
-    lambda spark, sf_dir: with_frontmatter(_rows(spark, ((p, 1, c) for p, c in _NOTE_FILES), "path string, mtime long, content string")).drop("content", "mtime"),
-    """SELECT path, kind, basename, directory, aliases, tags, headings1, headings2, headings3 FROM (VALUES ('sub/note.md', 'text', 'note', 'sub', 'one two', 'x tagged', 'Head', 'Second', ''),
-  ('a/b/plan.canvas', 'canvas', 'plan', 'a/b', '', '', '', '', ''), ('plain.md', 'text', 'plain', '', '', 't1 t2', 'A B', '', 'C #t1 #t2'),
-  ('list.md', 'text', 'list', '', 'p q r', 'u/v', '', '', '')) v(path, kind, basename, directory, aliases, tags, headings1, headings2, headings3)""",
-)
+_ENDS = (".md", ".Canvas", ".PNG", ".pdf", "_locked.pdf", ".xlsx", "/letter.docx", ".org", "", ".2/notes", ".jpeg", ".txt", ".mp4")
+
+
+def q_path_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of many kinds, some below ignored folders, some that the extractor refuses."""
+    end = F.element_at(F.array(*[F.lit(e) for e in _ENDS]), (F.col("doc_id") % len(_ENDS) + 1).cast("int"))
+    paths = _read(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "lang", F.lit("/f"), "doc_id", end).alias("path"))
+    settings = Settings(extra_file_types=("org",), index_pdf=True, index_office=True)
+    allowed = indexable(F.col("path"), settings, ["SRC1/", "/letter/"], ~F.col("path").contains("locked"))
+    return paths.select("path", T.extension(F.col("path")).alias("ext"), T.file_type(F.col("path")).alias("type"), allowed.alias("indexable"))
 
 
+_register("q_path_types", q_path_types, f"""WITH p AS (SELECT source || '/' || lang || '/f' || doc_id || ([{", ".join(f"'{e}'" for e in _ENDS)}])[doc_id % {len(_ENDS)} + 1] AS path FROM documents),
+e AS (SELECT path, string_split(lower(path), '.')[-1] AS ext FROM p)
+SELECT path, ext, CASE WHEN ext = 'canvas' THEN 'canvas' WHEN ext = 'pdf' THEN 'pdf' WHEN ext IN ('png', 'jpg', 'jpeg', 'webp', 'gif', 'bmp') THEN 'image' WHEN ext IN ('docx', 'xlsx') THEN 'office' ELSE 'text' END AS type,
+  (ext IN ('md', 'canvas', 'org') OR (ext IN ('pdf', 'docx', 'xlsx') AND NOT contains(path, 'locked'))) AND NOT starts_with(lower(path), 'src1/') AND NOT contains(path, 'letter') AS indexable FROM e""")
+
+
+def q_note_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as notes: fields in a list of one line, in lists of several, and none; tags and headings in the text; canvases."""
+    key, lit, n = F.col("p_partkey") % 4, F.lit, F.lit("\n")
+    body = F.concat(lit("# "), "p_name", n, lit("## Second "), "p_size", n, lit("text #"), _word(0), lit(" x#y"), n, lit("#### deep"), n, lit("### "), "p_brand", n)
+    inline = F.concat(lit("---\naliases: ["), _word(0), lit(", '"), "p_name", lit("']\ntags: "), _word(1), lit("\n---\n"), body)
+    listed = F.concat(lit("---\naliases:\n- "), "p_name", lit('\n- "'), _word(1), lit('"\ntags:\n  - "#'), _word(1), lit('/u"\n---\n'), body)
+    content = F.when(key == 0, inline).when(key == 1, listed).when(key == 2, body).otherwise(F.concat(lit('{"nodes":[{"text":"# '), "p_name", lit('"}]}')))
+    path = F.concat(lit("part/"), _word(0), lit("/p"), "p_partkey", F.when(key == 3, ".canvas").otherwise(".md"))
+    return with_frontmatter(_read(spark, sf_dir, "part").select(path.alias("path"), lit(1).cast("long").alias("mtime"), content.alias("content"))).drop("content", "mtime")
+
+
+_register("q_note_fields", q_note_fields, f"""WITH p AS (SELECT *, {_SQL_FIRST} AS one, {_SQL_SECOND} AS two, p_partkey % 4 AS k FROM part)
+SELECT 'part/' || one || '/p' || p_partkey || CASE k WHEN 3 THEN '.canvas' ELSE '.md' END AS path, CASE k WHEN 3 THEN 'canvas' ELSE 'text' END AS kind, 'p' || p_partkey AS basename, 'part/' || one AS directory,
+  CASE k WHEN 0 THEN one || ' ' || p_name WHEN 1 THEN p_name || ' ' || two ELSE '' END AS aliases,
+  CASE k WHEN 0 THEN CASE WHEN one = two THEN one ELSE two || ' ' || one END WHEN 1 THEN two || '/u ' || one WHEN 2 THEN one ELSE '' END AS tags,
+  CASE k WHEN 3 THEN '' ELSE p_name END AS headings1, CASE k WHEN 3 THEN '' ELSE 'Second ' || p_size END AS headings2, CASE k WHEN 3 THEN '' ELSE p_brand END AS headings3 FROM p""")
 
 
 def q_read_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -535,24 +572,27 @@ _register(
     lambda spark, sf_dir: _docs(spark, sf_dir).where(~ignored(F.col("path"), _FILTERS)).select("path"),
     rf"SELECT path FROM ({_NOTES}) WHERE NOT (starts_with(lower(path), 'src1/') OR starts_with(lower(path), 'src2/en') OR regexp_matches(path, 'doc_\d*7\.'))",
 )
-_RAW_QUERIES = ('one "two words" -three', "ext:.MD path:Notes/ .txt a-b -", '-"not this" -path:old x-"y"', 'path:"a b" word', "")
+_PARSED = "text string, phrases string, excluded_phrases string, excluded_terms string, ext string, paths string, excluded_paths string"
+
+
+def _parsed(raw: pd.Series) -> pd.DataFrame:
+    found = [parse_query(r) for r in raw]
+    lists = lambda q: (q.phrases, q.excluded_phrases, q.excluded_terms, q.ext, q.paths, q.excluded_paths)
+    return pd.DataFrame([(q.text, *("|".join(v) for v in lists(q))) for q in found], columns=[c.split()[0] for c in _PARSED.split(", ")])
 
 
 def q_parse_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = []
-    for i, raw in enumerate(_RAW_QUERIES):
-        q = parse_query(raw)
-        lists = (q.phrases, q.excluded_phrases, q.excluded_terms, q.ext, q.paths, q.excluded_paths)
-        rows.append((i, q.text, *("|".join(v) for v in lists)))
-    return _rows(spark, rows, "id long, text string, phrases string, excluded_phrases string, excluded_terms string, ext string, paths string, excluded_paths string")
+    """Queries about each part, with every sign of the language."""
+    key, lit = F.col("p_partkey") % 5, F.lit
+    raw = F.when(key == 0, F.concat(_word(0), lit(' "'), "p_name", lit('" -'), _word(1))).when(key == 1, F.concat(lit("ext:.MD path:"), F.upper(_word(0)), lit("/ .txt "), _word(1), lit("-b -")))
+    raw = raw.when(key == 2, F.concat(lit('-"not '), _word(0), lit('" -path:'), _word(1), lit(' x-"y"'))).when(key == 3, F.concat(lit('path:"'), "p_name", lit('" word'))).otherwise("")
+    return _read(spark, sf_dir, "part").select("p_partkey", F.pandas_udf(_parsed, _PARSED)(raw).alias("q")).select("p_partkey", "q.*")
 
 
-_register("q_parse_query", q_parse_query, """SELECT id::BIGINT AS id, text, phrases, excluded_phrases, excluded_terms, ext, paths, excluded_paths FROM (VALUES
-  (0, 'one two words', 'two words', '', 'three', '', '', ''),
-  (1, 'a-b -', '', '', '', 'md|txt', 'notes/', ''),
-  (2, 'x', '', 'not this|y', '', '', '', 'old'),
-  (3, 'word a b', 'a b', '', '', '', '', ''),
-  (4, '', '', '', '', '', '', '')) v(id, text, phrases, excluded_phrases, excluded_terms, ext, paths, excluded_paths)""")
+_register("q_parse_query", q_parse_query, f"""WITH p AS (SELECT p_partkey, p_name, {_SQL_FIRST} AS one, {_SQL_SECOND} AS two, p_partkey % 5 AS k FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN one || ' ' || p_name WHEN 1 THEN two || '-b -' WHEN 2 THEN 'x' WHEN 3 THEN 'word ' || p_name ELSE '' END AS text,
+  CASE WHEN k IN (0, 3) THEN p_name ELSE '' END AS phrases, CASE k WHEN 2 THEN 'not ' || one || '|y' ELSE '' END AS excluded_phrases, CASE k WHEN 0 THEN two ELSE '' END AS excluded_terms,
+  CASE k WHEN 1 THEN 'md|txt' ELSE '' END AS ext, CASE k WHEN 1 THEN one || '/' ELSE '' END AS paths, CASE k WHEN 2 THEN two ELSE '' END AS excluded_paths FROM p""")
 
 # --- upkeep --------------------------------------------------------------------------------
 
@@ -774,11 +814,12 @@ def q_debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("q_debounce_sessions", q_debounce_sessions, """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM s GROUP BY user_id, k""")
-_REQUESTS = (("a", 1, "one"), ("a", 3, "three"), ("a", 2, "two"), ("b", 1, "x"))
 _register(
     "q_latest_request",
-    lambda spark, sf_dir: S.latest_requests(_rows(spark, _REQUESTS, "session string, search_id long, query string")),
-    "SELECT session, max(search_id)::BIGINT AS search_id, arg_max(query, search_id) AS query FROM (VALUES " + ", ".join(map(str, _REQUESTS)) + ") v(session, search_id, query) GROUP BY session",
+    lambda spark, sf_dir: S.latest_requests(
+        _read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("search_id"), F.concat_ws(" ", "event_type", "props").alias("query"))
+    ),
+    "SELECT user_id AS session, max(event_id) AS search_id, arg_max(event_type || ' ' || props, event_id) AS query FROM events GROUP BY user_id",
 )
 
 
