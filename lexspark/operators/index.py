@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
@@ -29,6 +30,10 @@ class Index:
     held_postings: DataFrame | None = None
     held_terms: DataFrame | None = None
     held_stats: DataFrame | None = None
+    #: Of a store: the postings of some terms from the files that may hold them, and terms by what is left of them
+    #: when a character goes.
+    find_postings: Callable[[list[str]], DataFrame] | None = None
+    find_typos: Callable[[list[str]], DataFrame] | None = None
 
     @property
     def postings(self) -> DataFrame:
@@ -36,6 +41,9 @@ class Index:
             return self.held_postings
         return self.fields.select("path", "field", F.explode("terms").alias("term"), "len")
 
+    def postings_of(self, names: list[str]) -> DataFrame:
+        return self.find_postings(names) if self.find_postings else self.postings.where(among(F.col("term"), names))
+
     @property
     def lengths(self) -> DataFrame:
         return self.fields.select("path", "field", "len").where("len > 0")
@@ -67,6 +75,33 @@ class Index:
                 table.unpersist()
 
 
+def among(column: Column, values: list[str]) -> Column:
+    """``column`` is one of ``values``, by tens of neighbours: a Parquet scan takes a longer list as one range
+    from its least to its greatest value."""
+    held, out = sorted(set(values)), F.lit(False)
+    for k in range(0, len(held), 10):
+        out = out | column.isin(held[k : k + 10])
+    return out
+
+
+#: Lengths of terms that are kept without each of their characters, so that those one edit away are found by name.
+TYPO_LENGTHS = range(3, 33)
+
+
+def one_off(word: str) -> list[str]:
+    """``word``, and what is left of it without each of its characters. Two words that are one edit apart
+    have one of these in common."""
+    return sorted({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))})
+
+
+def typo_forms(terms: DataFrame) -> DataFrame:
+    """``(form, term)``: the same for every term of ``TYPO_LENGTHS``."""
+    term, size = F.col("term"), F.length("term")
+    cut = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring(term, F.lit(1), i - 1), F.substring(term, i + 1, size)))
+    rows = terms.select("term").distinct().where(size.between(TYPO_LENGTHS[0], TYPO_LENGTHS[-1]))
+    return rows.select(F.explode(F.array_distinct(F.array_append(cut, term))).alias("form"), "term")
+
+
 def field_terms(docs: DataFrame, camel: bool = False) -> DataFrame:
     """``(path, field, terms, len)``: the distinct terms of each field of each document. Everything
     happens within a row: no shuffle, however large the collection."""

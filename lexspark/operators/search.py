@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import extension, py_tokenize
 from ..plans.query import Fuzzy, Query, parse_query
-from .index import FIELDS, Index
+from .index import FIELDS, TYPO_LENGTHS, Index, among, one_off
 
 #: Expanded terms up to which they are sought by name.
 EXPANDED = 5_000
@@ -61,11 +61,30 @@ def expand(terms: DataFrame, wanted: list[str], fuzzy: Fuzzy, config: ScoringCon
     return terms.withColumn("e", F.explode(F.filter(F.array(*each), lambda e: e["m"].isNotNull()))).select("field", "term", "df", "e.q", "e.m")
 
 
+def dictionary_of(index: Index, wanted: list[str], fuzzy: Fuzzy) -> DataFrame:
+    """Terms among which all expansions of the wanted ones are: by name, by prefix and, of a store, by one edit, so that a scan
+    of the dictionary in its order reads what it has to. A word that may be two edits off, or one in the memory's
+    index, asks for the whole dictionary."""
+    term, held, names = F.col("term"), F.lit(False), set(wanted)
+    for i, word in enumerate(wanted):
+        edits = max_edits(word, fuzzy)
+        if edits > 1 or edits and (index.find_typos is None or not {len(word) - 1, len(word) + 1} <= set(TYPO_LENGTHS)):
+            return index.terms
+        if edits:
+            found = index.find_typos(one_off(word)).limit(EXPANDED + 1).collect()
+            if len(found) > EXPANDED:
+                return index.terms
+            names |= {r["term"] for r in found}
+        if len(word) >= fuzzy.prefix_min or (i == len(wanted) - 1 and len(word) >= 2):
+            held = held | term.startswith(word)
+    return index.terms.where(among(term, list(names)) | held)
+
+
 def _weights(index: Index, wanted: list[str], fuzzy: Fuzzy, config: ScoringConfig) -> tuple[DataFrame, list[str] | None]:
     """``(field, term, q, gain, avg_len)`` of the expanded terms; and the terms, if they are few. Few
     ones come to the driver, so that the scan of the postings can look for them by name; the
     rest of the world, such as a prefix of one letter over a large dictionary, stays a join."""
-    found = expand(index.terms, wanted, fuzzy, config).join(F.broadcast(index.stats), "field")  # stats: one row a field
+    found = expand(dictionary_of(index, wanted, fuzzy), wanted, fuzzy, config).join(F.broadcast(index.stats), "field")  # stats: one row a field
     found = found.select("field", "term", "q", (F.log((F.col("n") + 1) / F.col("df")) * F.col("m")).alias("gain"), "avg_len")
     rows = found.limit(EXPANDED + 1).collect()
     if len(rows) > EXPANDED:
@@ -82,7 +101,7 @@ def score_terms(index: Index, wanted: list[str], fuzzy: Fuzzy, config: ScoringCo
     aggregations that both start on the map side.
     """
     weights, names = _weights(index, wanted, fuzzy, config)
-    postings = index.postings if names is None else index.postings.where(F.col("term").isin(names))
+    postings = index.postings if names is None else index.postings_of(names)
     hits = postings.join(weights, ["field", "term"])
     norm = config.k1 * (1 - config.b + config.b * F.col("len") / F.col("avg_len")) + 1
     boost = F.create_map(*[F.lit(x) for pair in FIELDS.items() for x in pair])[F.col("field")]
@@ -96,7 +115,7 @@ def exclude_terms(hits: DataFrame, index: Index, words: list[str]) -> DataFrame:
     gone = [t for w in words for t in py_tokenize(w, index.camel)]
     if not gone:
         return hits
-    return hits.join(index.postings.where(F.col("term").isin(gone)).select("path").distinct(), "path", "left_anti")
+    return hits.join(index.postings_of(gone).select("path").distinct(), "path", "left_anti")
 
 
 def filter_paths(hits: DataFrame, query: Query) -> DataFrame:

@@ -11,6 +11,9 @@ after the newest one. If another was faster, it looks at what that one brought.
 the same paths, it counts its sums anew over the winner's snapshot; then it sets its part behind the winner's
 and tries again. No change is lost, and none is written twice.
 
+Postings, the dictionary and its typo forms lie in order of their terms. A part knows the least and the greatest term of each of
+its files of postings (zones), so that a search opens the files in whose range one of its terms falls, and no other.
+
 Parts fall into tiers by their rows. Once ``FAN`` parts of a tier follow each other they are merged into one, with the
 paths that they replace in older ones; so a row is written again once for each tier that it climbs, and n changes of like size
 cost n log n rows. Merging is a commit like any other; it gives way to a writer who merged the same parts before.
@@ -25,6 +28,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, replace
@@ -34,14 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.query import Settings
-from .index import Index, build_index
+from .index import Index, among, build_index, typo_forms
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
 #: Parts of one tier that are merged, and how much larger the next tier is.
 FAN = 4
 #: Seconds that files outlive the snapshot that names them.
 GRACE = 24 * 3600
 _DOCS = {"fields": "path string, field string, terms array<string>, len int", "postings": "path string, field string, term string, len int", "manifest": "path string, mtime long"}
+_TYPOS = "form string, term string"
 _SUMS = {"terms": "field string, term string, df long", "totals": "field string, total long, n long"}
 
 
@@ -91,6 +96,7 @@ class IndexStore:
 
     def __init__(self, spark: SparkSession, root: str, grace: float = GRACE) -> None:
         self.spark, self.root, self.grace, self.rewritten = spark, root.rstrip("/"), grace, 0
+        self._known_zones: dict[str, list[tuple[str, str, str]]] = {}
         self._jvm = spark.sparkContext._jvm
 
     # --- files ---
@@ -181,8 +187,27 @@ class IndexStore:
         return self.spark.read.schema(schema).parquet(f"{self.root}/parts/{part}/{table}")
 
     def _write_postings(self, postings: DataFrame, out: str) -> None:
-        """Dealt by term, so that a search for few terms reads few row groups."""
+        """Dealt by term, so that a search for few terms reads few files, and few row groups of them."""
         postings.repartitionByRange("term").sortWithinPartitions("term", "field").write.parquet(f"{out}/postings")
+        written = self.spark.read.schema(_DOCS["postings"]).parquet(f"{out}/postings")
+        zones = written.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("term").alias("least"), F.max("term").alias("greatest"))
+        zones.coalesce(1).write.json(f"{out}/zones")  # one row a file
+
+    def _zones(self, part: str) -> list[tuple[str, str, str]]:
+        """Files of postings, the least and the greatest term of each; a part never changes, so they are read once."""
+        if part not in self._known_zones:
+            rows = self.spark.read.schema("file string, least string, greatest string").json(f"{self.root}/parts/{part}/zones").collect()
+            self._known_zones[part] = sorted((r["least"], r["greatest"], r["file"]) for r in rows)
+        return [(f, a, b) for a, b, f in self._known_zones[part]]
+
+    def _files_of(self, part: str, names: list[str]) -> list[str]:
+        """Files of postings in whose range one of the names falls. Terms compare by their bytes, as in the files."""
+        held, out = sorted(n.encode() for n in names), []
+        for file, least, greatest in self._zones(part):
+            at = bisect_left(held, least.encode())
+            if at < len(held) and held[at] <= greatest.encode():
+                out.append(f"{self.root}/parts/{part}/postings/{file}")
+        return out
 
     def _weigh(self, part: str) -> int:
         return self._read(part, "manifest", _DOCS["manifest"]).count() + self._read(part, "gone", "path string").count()
@@ -199,11 +224,14 @@ class IndexStore:
         return part
 
     def _write_sums(self, part: str, terms: DataFrame, totals: DataFrame) -> str:
-        sums = f"sums-{uuid.uuid4().hex}"
-        out = f"{self.root}/parts/{part}/{sums}"
-        terms.groupBy("field", "term").agg(F.sum("df").alias("df")).where("df <> 0").write.parquet(f"{out}/terms")
+        folder = f"sums-{uuid.uuid4().hex}"
+        out = f"{self.root}/parts/{part}/{folder}"
+        sums = terms.groupBy("field", "term").agg(F.sum("df").alias("df")).where("df <> 0")
+        sums.repartitionByRange("term").sortWithinPartitions("term", "field").write.parquet(f"{out}/terms")
+        forms = typo_forms(self.spark.read.schema(_SUMS["terms"]).parquet(f"{out}/terms"))
+        forms.repartitionByRange("form").sortWithinPartitions("form").write.parquet(f"{out}/typos")
         totals.groupBy("field").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).coalesce(1).write.parquet(f"{out}/totals")
-        return sums
+        return folder
 
     def _sums(self, part: str, old: Index | None) -> str:
         """What the part adds to the dictionary and the averages, less what it takes out of ``old``."""
@@ -333,12 +361,18 @@ class IndexStore:
             out = out.unionByName(more)
         return out
 
-    def _rows(self, parts: list[Part], table: str) -> DataFrame:
+    def _rows(self, parts: list[Part], table: str, names: list[str] | None = None) -> DataFrame:
         """Rows of all parts that no later part replaces: one join with the newest replacement of each path,
-        which is small against the oldest part."""
+        which is small against the oldest part. ``names``: postings of these terms, from the files that may hold them."""
         out = gone = None
         for k, part in enumerate(parts):
-            rows = self._read(part.name, table, _DOCS[table]).withColumn("__part", F.lit(k))
+            if names is None:
+                rows = self._read(part.name, table, _DOCS[table])
+            elif files := self._files_of(part.name, names):
+                rows = self.spark.read.schema(_DOCS[table]).parquet(*files).where(among(F.col("term"), names))
+            else:
+                rows = self.spark.createDataFrame([], _DOCS[table])
+            rows = rows.withColumn("__part", F.lit(k))
             out = rows if out is None else out.unionByName(rows)
             if k:
                 own = self._read(part.name, "gone", "path string").withColumn("__gone", F.lit(k))
@@ -355,7 +389,15 @@ class IndexStore:
         n = totals.agg(F.sum("n").alias("n"))
         fields = totals.groupBy("field").agg(F.sum("total").alias("total")).where("total > 0")
         stats = fields.join(F.broadcast(n)).select("field", "n", (F.col("total") / F.col("n")).alias("avg_len"))  # one row
-        return Index(self._rows(parts, "fields"), self._rows(parts, "manifest"), settings.split_camel_case, self._rows(parts, "postings"), terms, stats)
+        return Index(self._rows(parts, "fields"), self._rows(parts, "manifest"), settings.split_camel_case, self._rows(parts, "postings"), terms, stats, lambda names: self._rows(parts, "postings", names), lambda forms: self._typos(parts, forms))
+
+    def _typos(self, parts: list[Part], forms: list[str]) -> DataFrame:
+        """Terms of which one of the forms is left when a character goes, or none."""
+        each = [self._read(p.name, f"{p.sums}/typos", _TYPOS).where(among(F.col("form"), forms)) for p in parts]
+        out = each[0]
+        for more in each[1:]:
+            out = out.unionByName(more)
+        return out.select("term").distinct()
 
     def version(self) -> int:
         """The number of the newest commit, 0 without one."""

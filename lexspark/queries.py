@@ -655,6 +655,30 @@ def q_store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("q_store_search", q_store_search, _search_sql(("thing", 0), ("thble", 0)))
+def q_store_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search with typos of a saved index: terms that are an edit away are found by name, and the dictionary is not passed over."""
+    store = IndexStore(spark, _scratch(spark))
+    store.save(index_of(spark, sf_dir), Settings())
+    return _flat(S.search(store.load(Settings()), "thinq ereng", 50, Fuzzy(0.2, 4, 3)))
+
+
+_register("q_store_typos", q_store_typos, _search_sql(("thinq", 1), ("ereng", 1)))
+
+
+def q_store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of sixteen terms from all over the alphabet, most frequent ones of their first letter, out of the files whose zones hold them."""
+    index = index_of(spark, sf_dir)
+    store = IndexStore(spark, _scratch(spark))
+    store.save(index, Settings())
+    held = store.load(Settings())
+    letter = F.substring("term", 1, 1)
+    first = index.terms.where("field = 'content' and term rlike '^[a-p][a-z]{2}'").groupBy(letter.alias("l")).agg(F.max_by("term", F.struct("df", "term")).alias("term"))
+    names = [r["term"] for r in first.collect()]  # one a letter
+    return held.postings_of(names).where("field = 'content'").groupBy("term").agg(F.count("*").alias("df"))
+
+
+_register("q_store_lookup", q_store_lookup, "WITH " + _index_sql() + """ SELECT term, df FROM dict WHERE field = 'content' AND regexp_matches(term, '^[a-p][a-z]{2}')
+QUALIFY row_number() OVER (PARTITION BY term[1:1] ORDER BY df DESC, term DESC) = 1""")
 _TURNS = _SQL_SOURCES["conversations"]
 _TURNS_NOW = _TURNS.replace(" text AS content", " CASE WHEN conv_id % 4 = 1 THEN 'thing and '||coalesce(text, '') ELSE text END AS content") + " WHERE NOT (conv_id % 3 = 0 AND turn = 1)"
 

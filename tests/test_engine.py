@@ -1,4 +1,5 @@
 import math
+import random
 import threading
 from concurrent.futures import ThreadPoolExecutor
 
@@ -10,7 +11,7 @@ from lexspark.operators import store as store_module
 from lexspark.operators.engine import SearchEngine
 from lexspark.operators.index import build_index, manifest_diff, sync
 from lexspark.operators.store import IndexStore
-from lexspark.operators.search import Fuzzy, max_edits, search
+from lexspark.operators.search import Fuzzy, ScoringConfig, dictionary_of, expand, max_edits, search
 from lexspark.plans.query import Settings
 from lexspark.sources.docs import DOC_COLUMNS, canvas_text, extractor, ignored, indexable, read_files
 
@@ -150,9 +151,8 @@ def test_store_round_trip_and_validation(spark, docs, index, tmp_path):
     held = store.load(settings)
     assert held.manifest.count() == 4
     assert search(held, "tomato bean").collect() == search(index, "tomato bean").collect()
-    plan = held.postings.where(F.col("term").isin("tomato", "bean"))._jdf.queryExecution().toString()
+    plan = held.postings_of(["tomato", "bean"])._jdf.queryExecution().toString()
     assert "In(term, [bean,tomato])" in plan or "In(term, [tomato,bean])" in plan
-    assert "PushedFilters: [In(term" in search(held, "tomato", fuzzy=Fuzzy(0.1))._jdf.queryExecution().toString().replace("IsNotNull(term), ", "") or "EqualTo(term" in search(held, "tomato")._jdf.queryExecution().toString()
     assert store.load(Settings()) is None  # other options: cleared
     assert store.load(settings) is None
 
@@ -241,6 +241,55 @@ def test_a_writer_whose_parts_were_cleared_is_told(spark, docs, tmp_path):
         store.apply(docs.select("path").limit(0), docs.limit(1), settings, meanwhile=store.clear)
 
 
+def opened(frame):
+    return {f.rsplit("/", 1)[1] for f in frame.inputFiles()}
+
+
+def test_only_files_that_may_hold_a_term_are_opened(spark, tmp_path):
+    rnd = random.Random(3)
+    words = sorted({"".join(rnd.choices("abcdefghijklmnopqrstuvwxyzéß語", k=rnd.randint(3, 9))) for _ in range(3000)})
+    docs = spark.createDataFrame([doc(f"d{i}.md", " ".join(rnd.sample(words, 40))) for i in range(300)], SCHEMA)
+    store, settings = IndexStore(spark, f"file://{tmp_path}/ix"), Settings()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.save(build_index(docs), settings)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    held = store.load(settings)
+    table = spark.read.parquet(f"{tmp_path}/ix/parts/*/postings").select("term", F.input_file_name().alias("file")).distinct().collect()
+    of = {}
+    for r in table:
+        of.setdefault(r.term, set()).add(r.file.rsplit("/", 1)[1])
+    assert len(set().union(*of.values())) >= 10
+    known = sorted(of, key=str.encode)
+    for names in ([known[5]], known[3:9] + known[-9:-3], [known[0], known[-1]], rnd.sample(known, 14)):
+        files = opened(held.postings_of(names))
+        assert set().union(*(of[n] for n in names)) <= files
+        # a term at the border of two files may lie in the range of both
+        assert len(files) <= len({f for n in names for f in of[n]}) + 1 and len(files) < 12 or len(names) > 10
+        assert held.postings_of(names).select("path", "term").distinct().count() == held.postings.where(F.col("term").isin(names)).select("path", "term").distinct().count()
+    assert held.postings_of(["0 no such term"]).count() == 0
+
+
+def test_typos_are_found_by_name(spark, tmp_path):
+    rnd = random.Random(4)
+    words = sorted({"".join(rnd.choices("abcé", k=rnd.randint(2, 7))) for _ in range(600)}) + ["x" * 32, "x" * 33, "y" * 40]
+    docs = spark.createDataFrame([doc(f"d{i}.md", " ".join(words[i::20])) for i in range(20)], SCHEMA)
+    store, settings = IndexStore(spark, f"file://{tmp_path}/ix"), Settings()
+    store.save(build_index(docs), settings)
+    held, config = store.load(settings), ScoringConfig()
+    told = lambda terms, wanted, fuzzy: sorted((r.field, r.term, r.q, r.m) for r in expand(terms, wanted, fuzzy, config).collect())
+    for wanted, fuzzy in ((["abca"], Fuzzy(0.2)), (["bacé", "cabb"], Fuzzy(0.3)), (["aabbc"], Fuzzy(0.2, 4, 9)), (["abc", "aaaa"], Fuzzy(0.25, 3)), (["x" * 32], Fuzzy(0.03)), (["aabbccaa"], Fuzzy(0.3))):
+        some = dictionary_of(held, wanted, fuzzy)
+        assert told(some, wanted, fuzzy) == told(held.terms, wanted, fuzzy)
+    few = dictionary_of(held, ["aabbc"], Fuzzy(0.2, 4, 9))
+    assert few.count() < 0.2 * held.terms.count()
+    assert "PushedFilters: [" in few._jdf.queryExecution().toString() and "In(term" in few._jdf.queryExecution().toString().replace("EqualTo(term", "In(term")
+
+
 def test_merges_rewrite_n_log_n_rows():
     for n in (64, 1024, 8192):
         parts, written = [], 0
