@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
+import time
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +18,7 @@ from .operators import match as M
 from .operators import search as S
 from .operators.engine import SearchEngine, in_steps
 from .operators.index import Index, build_index, manifest_diff, remove, upsert
+from .operators.session import SearchSession
 from .operators.store import IndexStore
 from .plans.query import Fuzzy, Settings, parse_query
 from .sources.docs import canvas_text, documents_as_docs, ignored, indexable, read_files, table_as_docs, with_frontmatter
@@ -847,6 +850,35 @@ _register(
 )
 
 
+def q_session_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader's second request comes while the first one runs, and ends it; a third that is older than both is late. The answers of all
+    three, as they come back."""
+    engine = SearchEngine(spark, _turns(spark, sf_dir))
+    session, answers, under_way = SearchSession(engine), {}, threading.Event()
+
+    def ask(search_id: int, raw: str) -> None:
+        answers[search_id] = session.search(search_id, raw, 100)
+
+    def first() -> None:
+        under_way.set()
+        ask(2, "thing")
+
+    thread = threading.Thread(target=first)
+    thread.start()
+    under_way.wait()
+    while session.latest() < 2:  # it has begun
+        time.sleep(0.01)
+    ask(3, "user thing")
+    ask(1, "user")
+    thread.join()
+    engine.close()
+    rows = [(search_id, r["path"], r["score"], " ".join(r["terms"])) for search_id, found in answers.items() for r in found]  # a page each
+    return spark.createDataFrame(rows, "search_id long, path string, score double, terms string")
+
+
+_register("q_session_search", q_session_search, "SELECT 3::BIGINT AS search_id, * FROM (" + _search_sql(("user", 0), ("thing", 1), limit=100, source="conversations") + ")")
+
+
 def q_input_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of readers who have stopped typing; of each session in the table of events."""
     asked = _read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("search_id"), "ts")
