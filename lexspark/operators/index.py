@@ -76,14 +76,18 @@ class Index:
 
 
 def among(column: Column, values: list[str]) -> Column:
-    """``column`` is one of ``values``, by tens of neighbours: a Parquet scan takes a longer list as one range
-    from its least to its greatest value."""
+    """``column`` is one of ``values``. Up to ``BY_TENS`` of them are asked for by tens of neighbours, for a Parquet scan takes a
+    longer list as one range from its least to its greatest value; more are one list, which runs as a set."""
     held, out = sorted(set(values)), F.lit(False)
+    if len(held) > BY_TENS:
+        return column.isin(held)
     for k in range(0, len(held), 10):
         out = out | column.isin(held[k : k + 10])
     return out
 
 
+#: Values that a filter names by tens.
+BY_TENS = 200
 #: Lengths of terms that are kept without each of their characters, so that those one edit away are found by name.
 TYPO_LENGTHS = range(3, 33)
 

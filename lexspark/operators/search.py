@@ -148,7 +148,8 @@ def ranked(index: Index, query: Query, limit: int = 50, fuzzy: Fuzzy = Fuzzy(),
         hits = full.select("path", F.round("score", config.digits).alias("score"), "terms")
     else:
         again = py_tokenize(" ".join(some), index.camel)
-        few = full.limit(limit).agg(F.count("*").alias("n")).scalar() < limit
+        # asks for all columns, so that its plan is that of the hits and what it has exchanged serves both
+        few = full.where("score is not null and size(terms) > 0").limit(limit).agg(F.count("*").alias("n")).scalar() < limit
         if again == wanted:  # one scoring serves both passes
             penalty = F.when(every, 1.0).otherwise(F.lit(config.any_penalty) * F.col("matched") / len(some))
             hits = scored.where(every | few).select("path", F.round(F.col("score") * penalty, config.digits).alias("score"), "terms")
