@@ -5,7 +5,8 @@ first, and only those that repeat are extended to twice the length, level by lev
 asked-for length is reached or no candidate survives. The lowest level looks at one window
 of each of twice its length: the one of least hash among those inside it. That choice
 depends on nothing but the words, so equal windows choose alike and none is lost, while
-only about one start in six is counted.
+only about one start in six is counted. For windows of 20 words the levels are 10 and 20: a level
+of 5 would count about twice as many starts.
 
 1. Texts that are equal as word sequences are one text, owned by its smallest id; a copy
    loses everything.
