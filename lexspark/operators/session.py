@@ -47,6 +47,17 @@ class SearchSession:
         with self._lock:
             return search_id < self._latest
 
+    def _run(self, search_id: int, raw: str, limit: int | None, tries: int = 4) -> list[Row]:
+        """The search, again if what ended was work that it shared with an older request, such as filling a cache."""
+        while True:
+            try:
+                return self.engine.search(raw, limit).collect()
+            except Exception as error:
+                tries -= 1
+                shared = "SPARK_JOB_CANCELLED" in str(error) and f"search-{self._id}-" in str(error)
+                if self.stale(search_id) or not shared or not tries:
+                    raise
+
     def search(self, search_id: int, raw: str, limit: int | None = None) -> list[Row]:
         """The best hits, or none if a newer request has come before they were there."""
         if not self._begin(search_id):
@@ -54,7 +65,7 @@ class SearchSession:
         before = {p: self.context.getLocalProperty(p) for p in _GROUP}
         self.context.setJobGroup(self._group(search_id), raw, interruptOnCancel=True)
         try:
-            rows = self.engine.search(raw, limit).collect()
+            rows = self._run(search_id, raw, limit)
         except Exception:
             if self.stale(search_id):  # ended, by whatever error that shows
                 return []

@@ -851,9 +851,10 @@ _register(
 
 
 def q_session_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reader's second request comes while the first one runs, and ends it; a third that is older than both is late. The answers of all
-    three, as they come back."""
+    """A reader's second request comes while the first one runs, and ends it; a third that is older than both is late. What the
+    reader sees in the end: answers of requests that none has followed."""
     engine = SearchEngine(spark, _turns(spark, sf_dir))
+    engine.search("user").count()  # an engine that is in use
     session, answers, under_way = SearchSession(engine), {}, threading.Event()
 
     def ask(search_id: int, raw: str) -> None:
@@ -872,7 +873,7 @@ def q_session_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     ask(1, "user")
     thread.join()
     engine.close()
-    rows = [(search_id, r["path"], r["score"], " ".join(r["terms"])) for search_id, found in answers.items() for r in found]  # a page each
+    rows = [(search_id, r["path"], r["score"], " ".join(r["terms"])) for search_id, found in answers.items() if not session.stale(search_id) for r in found]  # a page
     return spark.createDataFrame(rows, "search_id long, path string, score double, terms string")
 
 
