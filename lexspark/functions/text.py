@@ -9,10 +9,11 @@ in the JVM; only driver-side query strings use the Python twin, which tests hold
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What a token, its joiners and its camel-case parts are, and how long it may be.
@@ -102,29 +103,91 @@ def may_hold(raw: Column, words: list[str]) -> Column:
     return out
 
 
-def token_spans(df: DataFrame, key: str, text: str, camel: bool = False, words: list[str] | None = None) -> DataFrame:
-    """``(key, pos, start, length, line, variants)``: every token with its place in the original text,
-    in code points, and its zero-based line. ``pos`` is in order, not without gaps.
-
-    Starts and lines are running sums over tokens and the gaps between them. Texts are dealt by
-    key before they fall apart, so that the sums move no token. With ``words``, tokens that hold
-    none of them have null variants.
-    """
-    cut = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition(key)
-    cut = cut.select(F.col(key), F.regexp_extract_all("text", F.lit(TOKEN), 0).alias("tk"), F.split("text", TOKEN, -1).alias("gaps"))
-    cut = cut.where(F.size("tk") > 0).select(key, "tk", F.slice("gaps", 1, F.size("tk")).alias("gp"), *([_bases(F.col("tk")).alias("bs")] if words is None else []))
-    zipped = cut.columns[1:]
-    rows = cut.select(key, F.posexplode(F.arrays_zip(*zipped)).alias("pos", "t")).select(key, "pos", *[f"t.{c}" for c in zipped])
-    base = F.col("bs") if words is None else normalize(F.col("tk"))  # all at once, or the few that may match
-    before = Window.partitionBy(key).orderBy("pos")
-    breaks = F.length("gp") - F.length(F.replace("gp", F.lit("\n"), F.lit("")))
-    rows = rows.withColumn("start", F.sum(F.length("gp") + F.length("tk")).over(before) - F.length("tk")).withColumn("line", F.sum(breaks).over(before))
-    whole = _joined_forms(F.col("tk"), base, camel)
-    # a letter or digit of ASCII is never lost on the way to a form
-    held = F.col("tk").rlike("[A-Za-z0-9]") | (F.col("tk").rlike(WORD_CHAR) & (trim_joiners(base) != ""))
-    rows = rows.where((F.length("tk") <= LONGEST) & held)
-    shown = whole if words is None else F.when(may_hold(F.col("tk"), words), whole)
-    return rows.select(key, "pos", F.col("start").cast("int").alias("start"), F.length("tk").alias("length"), F.col("line").cast("int").alias("line"), shown.alias("variants"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sums(values: Column) -> Column:
+    """Sums of an array of whole numbers up to each of them. Chunks are summed first, of about the cube root of the
+    array's size: an array only grows by being copied, and short ones are copied cheaply."""
+    none = F.struct(F.array().cast("array<int>").alias("sums"), F.lit(0).alias("at"))
+
+    def add(acc: Column, x: Column) -> Column:
+        return F.struct(F.concat(acc["sums"], F.array(acc["at"] + x)).alias("sums"), (acc["at"] + x).alias("at"))
+
+    def short(v: Column) -> Column:
+        return F.aggregate(v, none, add, lambda acc: acc["sums"])
+
+    def whole(v: Column) -> Column:
+        step = F.greatest(F.lit(16), F.ceil(F.cbrt(F.size(v))).cast("int"))
+        chunks = F.transform(F.sequence(F.lit(1), F.size(v), step), lambda at: short(F.slice(v, at, step)))
+        last = lambda c: F.element_at(c, -1)
+        joined = let(chunks, lambda cs: F.flatten(F.zip_with(cs, short(F.transform(cs, last)), lambda c, upto: F.transform(c, lambda x: x + upto - last(c)))))
+        return F.when(F.size(v) > 0, joined).otherwise(F.array().cast("array<int>"))
+
+    return let(values, whole)
+
+
+def holding(words: list[str]) -> str:
+    """Pattern of the tokens that :func:`may_hold` one of the words."""
+    inside = TOKEN[1:-2]
+    ascii_ = [w.replace("-", r"\-") for w in words if w.isascii()]
+    some = "|".join([rf"[[{inside}]&&[^\x00-\x7F]]", *([f"(?i:{'|'.join(ascii_)})"] if ascii_ else [])])
+    return rf"(?<![{inside}])(?=[{inside}]*?(?:{some}))[{inside}]+"
+
+
+#: A token of ASCII that counts, in a gap between others.
+PASSED = rf"(?<![A-Za-z0-9_'-])(?=[_'-]*[A-Za-z0-9])[A-Za-z0-9_'-]{{1,{LONGEST}}}(?![A-Za-z0-9_'-])"
+SPAN = "pos", "start", "length", "line", "variants"
+
+
+def spans_of(text: Column, camel: bool = False, words: list[str] | None = None, lines: bool = False) -> Column:
+    """The tokens of a text in order: an array of ``SPAN``, its number, its place in the original text in code points, its
+    zero-based line (with ``lines``) and its variants. With ``words``, those that may hold one of them.
+
+    Starts and lines are running sums over tokens and the gaps between them. All of it happens within a row: no
+    token is shuffled or sorted, and a task holds one text at a time. Tokens that hold none of the words are left to the
+    gaps: numbers of tokens that follow each other differ by one, those with others between them by more."""
+    zipped, none = "array<struct<tk:string,till:int,line:int,bs:string,nth:int>>", F.array().cast("array<int>")
+    pattern = TOKEN if words is None else holding(words)
+
+    def kept(tk: Column, base: Column) -> Column:
+        # a letter or digit of ASCII is never lost on the way to a form
+        held = tk.rlike("[A-Za-z0-9]") | (tk.rlike(WORD_CHAR) & (trim_joiners(base) != ""))
+        return (F.length(tk) <= LONGEST) & held
+
+    def step(tk: Column, gap: Column) -> Column:
+        return F.when(kept(tk, normalize(tk)), 1).otherwise(0) + F.when(gap.rlike(PASSED), 1).otherwise(0)
+
+    def placed(tk: Column, gp: Column) -> Column:
+        till = running_sums(F.zip_with(tk, gp, lambda t, g: F.length(t) + F.length(g)))
+        breaks = F.transform(gp, lambda g: F.length(g) - F.length(F.replace(g, F.lit("\n"), F.lit(""))))
+        bases = _bases(tk) if words is None else F.transform(tk, normalize)
+        nth = none if words is None else running_sums(F.zip_with(tk, gp, step))
+        return F.arrays_zip(tk, till, running_sums(breaks) if lines else none, bases, nth).cast(zipped)
+
+    def span(z: Column, i: Column) -> Column:
+        whole, size = _joined_forms(z["tk"], z["bs"], camel), F.length(z["tk"])
+        shown = whole if words is None else F.when(may_hold(z["tk"], words), whole)
+        return F.struct(*[c.alias(n) for n, c in zip(SPAN, (i if words is None else z["nth"], z["till"] - size, size, z["line"], shown), strict=True)])
+
+    def cut(t: Column) -> Column:
+        tokens = F.regexp_extract_all(t, F.lit(pattern), 0)
+        return let(tokens, lambda tk: F.when(F.size(tk) > 0, placed(tk, F.slice(F.split(t, pattern, -1), 1, F.size(tk)))).otherwise(F.array().cast(zipped)))
+
+    return F.transform(F.filter(let(F.coalesce(text, F.lit("")), cut), lambda z: kept(z["tk"], z["bs"])), span)
+
+
+def span_rows(df: DataFrame, key: str, text: str, camel: bool = False, words: list[str] | None = None, lines: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, spans)`` and the columns of ``keep``: one row a document."""
+    return df.select(key, *keep, spans_of(F.col(text), camel, words, lines).alias("spans"))
+
+
+def token_spans(df: DataFrame, key: str, text: str, camel: bool = False, words: list[str] | None = None, lines: bool = True) -> DataFrame:
+    """The same as rows ``(key, pos, start, length, line, variants)``, one a token."""
+    rows = df.select(key, F.explode(spans_of(F.col(text), camel, words, lines)).alias("s"))
+    return rows.select(key, *[F.col("s")[n].alias(n) for n in SPAN])
 
 
 def frontmatter_end(content: Column) -> Column:

@@ -169,7 +169,7 @@ class SearchEngine:
         hits = ranked(self.index, query, limit, self.settings.fuzzy)
         if not refine_first:
             hits = top_k(hits, limit)
-        hits = refine(hits, self.docs, query.phrases, query.excluded_phrases, self.settings.split_camel_case, self._text_like())
+        hits = refine(hits, self.docs, query.phrases, query.excluded_phrases, self.settings.split_camel_case, self._text_like(), page=not refine_first)
         return top_k(hits, limit)
 
     def _text_like(self) -> tuple[str, ...]:

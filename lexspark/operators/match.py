@@ -1,53 +1,69 @@
 """Matching inside documents: phrases, term places, excerpts, highlights, lines.
 
-Everything works on the table of spans ``(key, pos, start, length, variants)``, partitioned by
-document; documents are those of a result page or of one reader, so texts are read late.
+Everything works on the spans of a document as one array in its row, so that no token is shuffled or sorted, whether the
+documents are those of a result page or all of a collection.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import frontmatter_end, lf, line_of_offset, may_hold, phrase_sequence, py_significant, py_tokenize, token_spans
+from ..functions.text import frontmatter_end, let, lf, line_of_offset, may_hold, phrase_sequence, py_significant, py_tokenize, running_sums, span_rows, spans_of
 from ..functions.text import extension as extension_of
 
 RADIUS, WINDOW = 120, 240
 TEXT_LIKE = ("md", "txt", "canvas")
 
 
-def _marked_runs(spans: DataFrame, key: str, fits: list) -> DataFrame:
-    """``spans`` plus ``run`` (consecutive spans from here on satisfy ``fits`` one after the other) and ``run_end``."""
-    order = Window.partitionBy(key).orderBy("pos")
-    out = spans
-    for j in range(len(fits)):
-        out = out.withColumn(f"__v{j}", F.lead("variants", j).over(order) if j else F.col("variants"))
-    last = len(fits) - 1
-    out = out.withColumn("run_end", F.lead(F.col("start") + F.col("length"), last).over(order) if last else F.col("start") + F.col("length"))
-    ok = F.lit(bool(fits))
+def _held(spans: DataFrame, key: str) -> DataFrame:
+    """One row a document with its ``spans`` in order: as they come from :func:`span_rows`, or put together from rows."""
+    if "spans" in spans.columns:
+        return spans
+    rest = [c for c in spans.columns if c not in (key, "pos")]
+    return spans.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", *rest))).alias("spans"))
+
+
+def _fits_at(spans: Column, i: Column, fits: list) -> Column:
+    """Whether spans that follow each other from number ``i`` on satisfy ``fits``."""
+    ok, first = F.lit(bool(fits)), F.get(spans, i)["pos"]
     for j, fit in enumerate(fits):
-        ok = ok & F.coalesce(fit(F.col(f"__v{j}")), F.lit(False))
-    return out.withColumn("run", ok).drop(*[f"__v{j}" for j in range(len(fits))])
+        at = F.get(spans, i + j)
+        ok = ok & F.coalesce((at["pos"] - first == j) & fit(at["variants"]), F.lit(False))
+    return ok
+
+
+def _runs_of(spans: Column, fits: list) -> Column:
+    """Array of ``(start, length, line)`` where consecutive spans satisfy ``fits``."""
+
+    def run(all_: Column, s: Column, i: Column) -> Column:
+        end = F.get(all_, i + (len(fits) - 1))
+        place = F.struct(s["start"].alias("start"), (end["start"] + end["length"] - s["start"]).alias("length"), s["line"].alias("line"))
+        return F.when(_fits_at(all_, i, fits), place)
+
+    return let(spans, lambda all_: F.filter(F.transform(all_, lambda s, i: run(all_, s, i)), lambda r: r.isNotNull()))
+
 
+def _upto(found: Column, most: int | None) -> Column:
+    return found if most is None else F.slice(found, 1, most)
 
-def _runs(spans: DataFrame, key: str, fits: list) -> DataFrame:
-    """Places where consecutive spans satisfy ``fits`` one after the other."""
-    return _marked_runs(spans, key, fits).where("run").select(key, "start", (F.col("run_end") - F.col("start")).alias("length"))
 
+def _places(spans: DataFrame, key: str, fits: list, most: int | None) -> DataFrame:
+    """Rows ``(key, start, length)`` of the first ``most`` runs of each document."""
+    rows = _held(spans, key).select(key, F.explode(_upto(_runs_of(F.col("spans"), fits), most)).alias("r"))
+    return rows.select(key, "r.start", "r.length")
 
-def _first(found: DataFrame, key: str, most: int | None) -> DataFrame:
-    if most is None:
-        return found
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("start"))
-    return found.withColumn("__n", rank).where(F.col("__n") <= most).drop("__n")
+
+def _whole_fits(wanted: list[str]) -> list:
+    return [lambda v, w=w: F.array_contains(v, w) for w in wanted]
 
 
 def phrase_offsets(spans: DataFrame, phrase: str, key: str = "path", most: int | None = 100) -> DataFrame:
     """``(key, start, length)`` where the phrase's whole forms stand in a row."""
     wanted = phrase_sequence(phrase)
     if not wanted:
-        return spans.select(key, "start", "length").limit(0)
-    return _first(_runs(spans, key, [lambda v, w=w: F.array_contains(v, w) for w in wanted]), key, most)
+        return spans.select(key, F.lit(0).alias("start"), F.lit(0).alias("length")).limit(0)
+    return _places(spans, key, _whole_fits(wanted), most)
 
 
 def _near_fits(wanted: list[str]) -> list:
@@ -66,26 +82,32 @@ def approx_phrase_offsets(spans: DataFrame, phrase: str, key: str = "path", most
     """Like :func:`phrase_offsets` for two tokens or more, where most may be beginnings of words."""
     fits = _near_fits(phrase_sequence(phrase))
     if not fits:
-        return spans.select(key, "start", "length").limit(0)
-    return _first(_runs(spans, key, fits), key, most)
+        return spans.select(key, F.lit(0).alias("start"), F.lit(0).alias("length")).limit(0)
+    return _places(spans, key, fits, most)
 
 
 def contains_phrase(docs: DataFrame, phrase: str, key: str = "path", text: str = "content", camel: bool = False) -> DataFrame:
     """Keys of documents whose text holds the phrase. Texts that are plain ASCII and lack one of its
     words as a string of characters are not tokenised."""
     words = phrase_sequence(phrase)
+    if not words:
+        return docs.select(key).limit(0)
     held = docs
     for w in words:
         held = held.where(may_hold(F.col(text), [w]))
-    return phrase_offsets(token_spans(held, key, text, camel, words), phrase, key, None).select(key).distinct()
+    found = _runs_of(spans_of(F.col(text), camel, words), _whole_fits(words))
+    return held.where(F.size(found) > 0).select(key).distinct()
 
 
-def refine(hits: DataFrame, docs: DataFrame, phrases: list[str], excluded: list[str], camel: bool = False, text_like: tuple[str, ...] | None = None) -> DataFrame:
+def refine(hits: DataFrame, docs: DataFrame, phrases: list[str], excluded: list[str], camel: bool = False, text_like: tuple[str, ...] | None = None, page: bool = False) -> DataFrame:
     """Hits whose text holds every phrase and no excluded one; without phrases all hits, and no text
-    is read. With ``text_like``, files of other kinds pass unverified."""
+    is read. With ``text_like``, files of other kinds pass unverified. Texts are tested where they are read, and paths alone
+    meet the hits. ``page``: the hits are few, and only their texts are tested."""
     if not phrases and not excluded:
         return hits
-    texts = docs.join(hits.select("path"), "path", "left_semi").select("path", "content")
+    texts = docs.select("path", "content")
+    if page:
+        texts = texts.join(F.broadcast(hits.select("path")), "path", "left_semi")  # as many as the page has
     unread = hits.where(~extension_of(F.col("path")).isin(*text_like)) if text_like else None
     out = hits.where(extension_of(F.col("path")).isin(*text_like)) if text_like else hits
     for p in phrases:
@@ -102,19 +124,32 @@ def matched_term(variants: Column, terms: Column) -> Column:
     return F.get(F.filter(hit, lambda t: t.isNotNull()), F.lit(0))
 
 
-def with_terms(spans: DataFrame, wanted: Column) -> DataFrame:
-    """``spans`` plus ``term``, null without a match, and ``shown``: the length of the matched beginning
+def _terms_of(spans: Column, wanted: Column) -> Column:
+    """Array of ``(start, length, term, line)`` of the spans that match a term; ``length`` is that of the matched beginning
     of a whole form, else of the whole token."""
-    rows = spans.withColumn("term", F.when(F.col("variants").isNotNull(), matched_term(F.col("variants"), wanted)))
-    begins = F.get("variants", F.lit(0)).startswith(F.col("term"))
-    return rows.withColumn("shown", F.when(begins, F.least("length", F.length("term"))).otherwise(F.col("length")))
+
+    def place(s: Column) -> Column:
+        term = F.when(s["variants"].isNotNull(), matched_term(s["variants"], wanted))
+
+        def shown(t: Column) -> Column:
+            begins = F.get(s["variants"], F.lit(0)).startswith(t)
+            size = F.when(begins, F.least(s["length"], F.length(t))).otherwise(s["length"])
+            return F.struct(s["start"].alias("start"), size.alias("length"), t.alias("term"), s["line"].alias("line"))
+
+        return let(term, shown)
+
+    return F.filter(F.transform(F.filter(spans, lambda s: s["variants"].isNotNull()), place), lambda m: m["term"].isNotNull())
+
+
+def _wanted(terms: list[str] | Column) -> Column:
+    return terms if isinstance(terms, Column) else F.array(*[F.lit(t) for t in terms]).cast("array<string>")
 
 
 def term_offsets(spans: DataFrame, terms: list[str] | Column, key: str = "path", most: int | None = 2000) -> DataFrame:
-    """``(key, start, length, term)`` of the spans that match a term."""
-    wanted = terms if isinstance(terms, Column) else F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    rows = with_terms(spans, wanted).where("term is not null")
-    return _first(rows.select(key, "start", F.col("shown").alias("length"), "term"), key, most)
+    """``(key, start, length, term)`` of the spans that match a term; ``terms`` may be a column of what
+    :func:`span_rows` keeps beside them."""
+    rows = _held(spans, key).select(key, F.explode(_upto(_terms_of(F.col("spans"), _wanted(terms)), most)).alias("m"))
+    return rows.select(key, "m.start", "m.length", "m.term")
 
 
 def best_window(matches: DataFrame, key: str = "path", chars: int = WINDOW) -> DataFrame:
@@ -163,18 +198,21 @@ def anchors(docs: DataFrame, query_text: str, terms: list[str] | DataFrame, key:
     the same for all documents, or each document's own of a table ``(key, terms)``."""
     held = docs.select(key, lf(F.col(text)).alias(text))
     own = isinstance(terms, DataFrame)
-    spans = token_spans(held, key, text, camel, None if own else [*phrase_sequence(query_text), *terms])
+    keep = (text,)
+    if own:
+        held, keep = held.join(terms.select(key, "terms"), key, "left"), (text, "terms")
+    spans = span_rows(held, key, text, camel, None if own else [*phrase_sequence(query_text), *terms], keep=keep)
     if body_only:
-        spans = spans.join(held.select(key, frontmatter_end(F.col(text)).alias("body")), key).where("start >= body").drop("body")
+        spans = spans.withColumn("spans", let(frontmatter_end(F.col(text)), lambda body: F.filter("spans", lambda s: s["start"] >= body)))
     near = approx_phrase_offsets(spans, query_text, key, 1)
-    wanted = spans.join(terms.select(key, "terms"), key) if own else spans
+    wanted = spans.where("terms is not null") if own else spans
     found = best_window(term_offsets(wanted, F.col("terms") if own else terms, key, 500), key).select(key, "start", "length")
     return _gather(near, key).unionByName(_gather(found.join(near.select(key), key, "left_anti"), key))
 
 
 def highlight_titles(docs: DataFrame, terms: DataFrame, key: str = "path", name: str = "basename", camel: bool = False) -> DataFrame:
     """``(key, title)``: names with the first ten places of each document's own terms marked."""
-    spans = token_spans(docs, key, name, camel).join(terms.select(key, "terms"), key)
+    spans = span_rows(docs.join(terms.select(key, "terms"), key), key, name, camel, keep=("terms",))
     places = _gather(term_offsets(spans, F.col("terms"), key, 10), key)
     none = F.array().cast("array<struct<start:int,length:int>>")
     return docs.select(key, name).join(places, key, "left").select(key, highlight(F.col(name), F.coalesce("offsets", none)).alias("title"))
@@ -209,23 +247,38 @@ def jump_targets(docs: DataFrame, query_text: str, terms: list[str] | DataFrame,
 def search_lines(docs: DataFrame, raw: str, key: str = "path", text: str = "content", camel: bool = False, matches: int = 2000, rows: int = 200) -> DataFrame:
     """In-document search: ``(key, line, line_start, line_text, offsets, distinct_terms, phrase)``, at most ``rows``
     lines of each document: near phrases first, then most different terms, then in order."""
-    terms = py_significant(py_tokenize(raw, camel))
+    terms, fits = py_significant(py_tokenize(raw, camel)), _near_fits(phrase_sequence(raw))
     held = docs.select(key, lf(F.coalesce(F.col(text), F.lit(""))).alias("content"))
-    spans = token_spans(held, key, "content", camel, [*terms, *phrase_sequence(raw)])
-    order = Window.partitionBy(key).orderBy("pos")
-    wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    seen = with_terms(_marked_runs(spans, key, _near_fits(phrase_sequence(raw))), wanted)
-    seen = seen.where(F.col("term").isNotNull() | F.col("run"))
-    seen = seen.withColumn("nth", F.sum(F.col("term").isNotNull().cast("int")).over(order)).withColumn("nth_run", F.sum(F.col("run").cast("int")).over(order))
-    held_term, held_run = F.col("term").isNotNull() & (F.col("nth") <= matches), F.col("run") & (F.col("nth_run") <= 50)
-    grouped = seen.groupBy(key, "line").agg(
-        F.sort_array(F.collect_list(F.when(held_term, F.struct("start", F.col("shown").alias("length"))))).alias("offsets"),
-        F.countDistinct(F.when(held_term, F.col("term"))).alias("distinct_terms"),
-        F.max(held_run).alias("phrase"),
-    ).where("distinct_terms > 0")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("phrase"), F.desc("distinct_terms"), "line"))
-    best = grouped.withColumn("rank", rank).where(F.col("rank") <= rows)
-    lines = held.repartition(key).select(key, F.posexplode(F.split("content", "\n")).alias("line", "line_text"))
-    before = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("line_start", F.coalesce(F.sum(F.length("line_text") + 1).over(before), F.lit(0)))
-    return best.join(lines, [key, "line"]).select(key, "rank", "line", "line_start", "line_text", "offsets", "distinct_terms", "phrase")
+    spans = span_rows(held, key, "content", camel, [*terms, *phrase_sequence(raw)], lines=True, keep=("content",))
+
+    def ranked_lines(found: Column, near: Column) -> Column:
+        """Array of the best lines: where a line's matches begin in ``found``, they stand together."""
+        fresh = lambda i: (i == 0) | (F.get(found, i - 1)["line"] != F.get(found, i)["line"])
+        heads = F.filter(F.transform(found, lambda m, i: F.when(fresh(i), i)), lambda i: i.isNotNull())
+
+        def line(from_: Column, to: Column) -> Column:
+            def scored(places: Column) -> Column:
+                distinct, at = F.size(F.array_distinct(F.transform(places, lambda m: m["term"]))), F.get(places, F.lit(0))["line"]
+                offsets = F.transform(places, lambda m: F.struct(m["start"].alias("start"), m["length"].alias("length")))
+                phrase = F.array_contains(near, at)
+                order = F.struct((~phrase).alias("a"), (-distinct).alias("b"), at.alias("line"))
+                return F.struct(order.alias("order"), at.alias("line"), offsets.alias("offsets"), distinct.cast("long").alias("distinct_terms"), phrase.alias("phrase"))
+
+            return let(F.slice(found, from_ + 1, to - from_), scored)
+
+        each = let(heads, lambda hs: F.transform(hs, lambda h, j: line(h, F.coalesce(F.get(hs, j + 1), F.size(found)))))
+        return F.slice(F.sort_array(each), 1, rows)
+
+    found = _upto(_terms_of(F.col("spans"), _wanted(terms)), matches)
+    near = F.transform(_upto(_runs_of(F.col("spans"), fits), 50), lambda r: r["line"]) if fits else F.array().cast("array<int>")
+    best = spans.select(key, "content", let(found, lambda f: let(near, lambda n: ranked_lines(f, n))).alias("best"))
+
+    def with_text(texts: Column, upto: Column) -> Column:
+        at = lambda line: F.coalesce(F.get(upto, line - 1), F.lit(0))
+        return F.transform("best", lambda b: F.struct(at(b["line"]).cast("long").alias("line_start"), F.get(texts, b["line"]).alias("line_text"), b.alias("b")))
+
+    sizes = lambda texts: running_sums(F.transform(texts, lambda t: F.length(t) + 1))
+    shown = let(F.split("content", "\n"), lambda texts: let(sizes(texts), lambda upto: with_text(texts, upto)))
+    out = best.where(F.size("best") > 0).select(key, F.posexplode(shown).alias("nth", "x"))
+    own = [F.col(f"x.b.{c}").alias(c) for c in ("offsets", "distinct_terms", "phrase")]
+    return out.select(key, (F.col("nth") + 1).alias("rank"), F.col("x.b.line").alias("line"), "x.line_start", "x.line_text", *own)
