@@ -17,29 +17,37 @@ from .store import IndexStore
 
 #: Documents of one step of :meth:`SearchEngine.populate`.
 STEP = 100_000
-#: Files of one step.
-FILES = 8
+#: Files of one step, at most, and rows of one of them, at least.
+FILES, FILE_ROWS = 8, 5_000
 
 
-def in_steps(docs: DataFrame, root: str, step: int = STEP) -> Iterator[tuple[DataFrame, int]]:
-    """``docs`` in parts of about ``step`` rows with their sizes, notes (``.md``) before other kinds.
+def deal_steps(docs: DataFrame, root: str, step: int = STEP) -> DataFrame | None:
+    """``docs`` with ``__step``, dealt into parts of about ``step`` rows, notes (``.md``) before other kinds; None without any.
 
     They are read once, however many steps there are: one pass writes them to the folder ``root``, dealt by kind and
-    by a hash of the path, and every step reads its own files there. How many steps a kind needs is counted
-    from paths alone."""
+    by a hash of the path. How many steps a kind needs is counted from paths alone."""
     note = extension(F.col("path")) == "md"
     spark, counts = docs.sparkSession, dict(docs.groupBy(note.alias("note")).count().collect())
     notes, others = (-(-counts.get(kind, 0) // step) for kind in (True, False))
     if not notes + others:
-        return
+        return None
     slot = lambda n: F.pmod(F.xxhash64("path"), F.lit(max(n, 1)))
     dealt = docs.withColumn("__step", F.when(note, slot(notes)).otherwise(notes + slot(others)))
     # a step's rows meet in a few files, not in one of every task
-    dealt = dealt.repartition(F.col("__step"), F.pmod(F.xxhash64("path", F.lit(1)), F.lit(FILES)))
+    files = min(FILES, -(-step // FILE_ROWS))
+    dealt = dealt.repartition(F.col("__step"), F.pmod(F.xxhash64("path", F.lit(1)), F.lit(files)))
     dealt.write.partitionBy("__step").parquet(root)
-    sizes = dict(spark.read.parquet(root).groupBy("__step").count().collect())
+    return spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, __step long").parquet(root)
+
+
+def in_steps(docs: DataFrame, root: str, step: int = STEP) -> Iterator[tuple[DataFrame, int]]:
+    """The steps of :func:`deal_steps` one after the other, with their sizes; each reads its own files."""
+    dealt = deal_steps(docs, root, step)
+    if dealt is None:
+        return
+    sizes = dict(dealt.groupBy("__step").count().collect())
     for k in sorted(sizes):
-        yield spark.read.schema(docs.schema).parquet(f"{root}/__step={k}"), sizes[k]
+        yield docs.sparkSession.read.schema(docs.schema).parquet(f"{root}/__step={k}"), sizes[k]
 
 
 class SearchEngine:
