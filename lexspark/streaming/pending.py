@@ -1,26 +1,21 @@
-"""Debounce as a stateful stream: pending edits live in state, and a timer for each path lets them go.
+"""Debounce as a stateful stream: pending edits live in state until the watermark lets them go.
 
-State of a path: its open bursts, runs of events of which each follows the one before within the gap. A burst is one row, its
-first and last event, however many events it has. When the watermark shows that nothing can follow within the gap
-any more, the timer fires: a burst that ends in an edit gives that edit, one that ends in anything else gives nothing,
+State of a path: its open bursts, runs of events of which each follows the one before within the gap, as Spark's session windows.
+A burst is one row, its end and its last event, however many events it has. When the watermark shows that nothing can follow
+within the gap any more, a burst that ends in an edit gives that edit, one that ends in anything else gives nothing,
 for a create, a delete or a rename is passed on at once and cancels the edits that it ends. Then its state is dropped.
 Bursts go on from batch to batch and, through the checkpoint, from run to run; events out of order
-join the burst that they belong to as long as the watermark admits them.
+join the burst that they belong to as long as the watermark admits them. No row meets Python.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
-#: State in transformWithState needs this store.
+#: State lies on disk, not in the heap of an executor.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_BURST = "first long, last long, tie long, op string"
-OUT = "path string, op string, us long, tie long"
 
 
 def join_bursts(bursts: list[tuple[int, int, int, str]], gap: int) -> list[tuple[int, int, int, str]]:
@@ -37,56 +32,16 @@ def join_bursts(bursts: list[tuple[int, int, int, str]], gap: int) -> list[tuple
     return out
 
 
-class PendingEdits(StatefulProcessor):
-    """Rows ``(path, op, us, tie)`` in, due ones out; times in microseconds."""
-
-    def __init__(self, gap: int) -> None:
-        self.gap = gap
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.bursts = handle.getListState("bursts", _BURST)
-
-    def _keep(self, bursts: list[tuple[int, int, int, str]]) -> None:
-        """One timer a path, when the first of its bursts may settle."""
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if bursts:
-            self.bursts.put(bursts)
-            self.handle.registerTimer(-(-(bursts[0][1] + self.gap) // 1000))
-        elif self.bursts.exists():
-            self.bursts.clear()
-
-    def _held(self) -> list[tuple[int, int, int, str]]:
-        return [tuple(b) for b in self.bursts.get()] if self.bursts.exists() else []
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        bursts = self._held()
-        for r in rows:
-            bursts.append((r.us, r.us, r.tie, r.op))
-            if r.op != "modify":
-                yield Row(path=key[0], op=r.op, us=r.us, tie=r.tie)
-        self._keep(join_bursts(bursts, self.gap))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        passed, rest = timerValues.getCurrentWatermarkInMs() * 1000, []
-        for first, last, tie, op in self._held():
-            if last + self.gap > passed:
-                rest.append((first, last, tie, op))
-            elif op == "modify":
-                yield Row(path=key[0], op=op, us=last, tie=tie)
-        self._keep(rest)
-
-    def close(self) -> None:
-        pass
-
-
 def pending_edits(changes: DataFrame, gap_us: int, tie: str = "event_id") -> DataFrame:
     """``(path, op, ts, <tie>)`` of a stream of row changes ``(path, op, ts, <tie>)`` with a watermark on ``ts``: what
-    :func:`.changes.settled_edits` gives for all of them together, as soon as it is settled."""
-    rows = changes.select("path", "op", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col(tie).cast("long").alias("tie"))
-    out = rows.groupBy("path").transformWithState(PendingEdits(gap_us), OUT, "Append", "EventTime")
-    return out.select("path", "op", F.timestamp_micros("us").alias("ts"), F.col("tie").alias(tie))
+    :func:`.changes.settled_edits` gives for all of them together, as soon as it is settled. The stream is read by two
+    branches: changes that are passed on at once, and bursts."""
+    own = [F.col("path"), F.col("op"), F.col("ts").cast("timestamp").alias("ts"), F.col(tie).cast("long").alias(tie)]
+    # a session takes in what begins where it ends; a burst does not
+    gap = f"{gap_us - 1} microseconds"
+    last = F.max(F.struct("ts", tie, "op")).alias("last")
+    ends = changes.groupBy(F.session_window("ts", gap), "path").agg(last).where("last.op = 'modify'")
+    return changes.where("op <> 'modify'").select(*own).unionByName(ends.select("path", "last.op", "last.ts", F.col(f"last.{tie}").cast("long").alias(tie)))
 
 
 class rocks_state:

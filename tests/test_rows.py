@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
 from lexspark.operators import match as M
+from lexspark.operators.engine import deal_steps, in_steps
+from lexspark.streaming import pending
 
 TEXTS = ["is the", "is -- the", "is é the", "is\nall the", "Is “thé” end", "is " + "x" * 65 + " the", "isthe", "is ́ the", "this the other", None, ""]
 
@@ -29,3 +31,29 @@ def test_phrases_agree_with_all_tokens_and_move_none(spark):
     for plan in (few, T.token_spans(df, "k", "t"), M.search_lines(df, "is the", "k", "t"), M.term_offsets(T.span_rows(df, "k", "t", words=["is"]), ["is"], "k")):
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in text and "Sort" not in text and "Window" not in text
+
+
+def test_small_steps_have_one_file_and_are_read_at_once(spark, tmp_path):
+    docs = spark.range(100).select(F.concat("id", F.when(F.col("id") % 4 == 0, ".txt").otherwise(".md")).alias("path"))
+    dealt = deal_steps(docs, f"file://{tmp_path}/one", 10)
+    assert sorted(dealt.select("path").collect()) == sorted(docs.collect())
+    assert all(len(list(d.glob("*.parquet"))) == 1 for d in (tmp_path / "one").glob("__step=*"))
+    sizes = {r["__step"]: r["count"] for r in dealt.groupBy("__step").count().collect()}
+    assert [n for _, n in in_steps(docs, f"file://{tmp_path}/two", 10)] == [sizes[k] for k in sorted(sizes)]
+
+
+def test_pending_edits_keep_their_state_without_python(spark, tmp_path):
+    spark.range(1).selectExpr("timestamp'2024-01-01' as ts", "id as event_id", "'a' as path", "'modify' as op").write.parquet(f"{tmp_path}/in")
+    feed = spark.readStream.schema("ts timestamp, event_id long, path string, op string").parquet(f"{tmp_path}/in").withWatermark("ts", "0 seconds")
+    plan = pending.pending_edits(feed, 2_000_000)._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "session_window" in plan
+
+
+def test_a_burst_ends_where_the_gap_ends(spark, tmp_path):
+    rows = "inline(array(struct(0L, 1L), struct(2000000L, 2L), struct(3999999L, 3L), struct(90000000L, 4L))) as (us, event_id)"
+    spark.range(1).selectExpr(rows).selectExpr("timestamp_micros(us) as ts", "event_id", "if(event_id = 4, 'b', 'a') as path", "if(event_id = 4, 'delete', 'modify') as op").write.parquet(f"{tmp_path}/in")
+    feed = spark.readStream.schema("ts timestamp, event_id long, path string, op string").parquet(f"{tmp_path}/in").withWatermark("ts", "0 seconds")
+    with pending.rocks_state(spark):
+        query = pending.pending_edits(feed, 2_000_000).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 3, 4]
