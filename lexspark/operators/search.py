@@ -46,7 +46,8 @@ def expansion_weight(term: Column, wanted: str, last: bool, fuzzy: Fuzzy, config
     if size >= fuzzy.prefix_min or (last and size >= 2):
         weight = weight.when(term.startswith(wanted), F.lit(config.prefix_weight) * size / F.length(term))
     if edits:
-        off = F.levenshtein(term, F.lit(wanted), edits)
+        bytewise = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1") if fuzzy.in_bytes else c
+        off = F.levenshtein(bytewise(term), bytewise(F.lit(wanted)), edits)
         close = F.abs(F.length(term) - size) <= edits
         weight = weight.when(close & (off >= 0), F.lit(config.fuzzy_weight) * (1 - off / F.lit(float(size))))
     return weight

@@ -44,9 +44,12 @@ def parse_query(raw: str) -> Query:
 
 @dataclass(frozen=True)
 class Fuzzy:
+    """``in_bytes``: edits are counted in bytes of UTF-8, as DuckDB's ``levenshtein`` does, not in characters."""
+
     fuzziness: float = 0.1
     min_length: int = 4
     prefix_min: int = 2
+    in_bytes: bool = False
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from lexspark.functions import text as T
 from lexspark.operators import match as M
 from lexspark.operators.engine import deal_steps, in_steps
+from lexspark.operators.search import ScoringConfig, expansion_weight
+from lexspark.plans.query import Fuzzy
 from lexspark.streaming import pending
 
 TEXTS = ["is the", "is -- the", "is é the", "is\nall the", "Is “thé” end", "is " + "x" * 65 + " the", "isthe", "is ́ the", "this the other", None, ""]
@@ -57,3 +59,10 @@ def test_a_burst_ends_where_the_gap_ends(spark, tmp_path):
         query = pending.pending_edits(feed, 2_000_000).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 3, 4]
+
+
+def test_edits_in_characters_or_in_bytes(spark):
+    terms = spark.createDataFrame([("erenß",), ("erenk",)], "term string")
+    for in_bytes, want in ((False, ["erenk", "erenß"]), (True, ["erenk"])):
+        weight = expansion_weight(F.col("term"), "ereng", True, Fuzzy(0.2, 4, 3, in_bytes), ScoringConfig())
+        assert sorted(r.term for r in terms.where(weight.isNotNull()).collect()) == want
