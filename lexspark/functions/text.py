@@ -86,12 +86,22 @@ def _joined_forms(raw: Column, base: Column, camel: bool) -> Column:
     return full if camel else F.when(base.rlike(JOINERS), full).otherwise(plain)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokenize(text: Column, camel: bool = False) -> Column:
     """Distinct variants of all tokens in order of first sight. The distinct tokens of a text are
-    normalised at once."""
-    raws = F.array_distinct(raw_tokens(text))
-    forms = F.zip_with(raws, _bases(raws), lambda raw, base: F.when(raw.isNotNull(), _joined_forms(raw, base, camel)))
-    return F.array_distinct(F.flatten(F.filter(forms, lambda f: f.isNotNull())))
+    taken once and normalised at once; where no form holds a joiner, the forms are the variants."""
+
+    def spelled(raws: Column, joined: Column) -> Column:
+        forms = F.zip_with(raws, F.split(joined, "\n"), lambda raw, base: F.when(raw.isNotNull(), _joined_forms(raw, base, camel)))
+        every = F.array_join(F.flatten(F.filter(forms, lambda f: f.isNotNull())), "\n")
+        return every if camel else F.when(joined.rlike(JOINERS[:-1]), every).otherwise(joined)
+
+    joined = let(F.array_distinct(raw_tokens(text)), lambda raws: let(F.array_join(raws, "\n"), lambda s: let(normalize(s), lambda low: spelled(raws, low))))
+    return F.array_distinct(F.array_remove(F.split(joined, "\n"), ""))
 
 
 def may_hold(raw: Column, words: list[str]) -> Column:
@@ -103,11 +113,6 @@ def may_hold(raw: Column, words: list[str]) -> Column:
     return out
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, however often it is named there."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def running_sums(values: Column) -> Column:
     """Sums of an array of whole numbers up to each of them. Chunks are summed first, of about the cube root of the
     array's size: an array only grows by being copied, and short ones are copied cheaply."""

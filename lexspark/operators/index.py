@@ -30,10 +30,10 @@ class Index:
     held_postings: DataFrame | None = None
     held_terms: DataFrame | None = None
     held_stats: DataFrame | None = None
-    #: Of a store: the postings of some terms from the files that may hold them, and terms by what is left of them
-    #: when a character goes.
+    #: Of a store: the postings of some terms from the files that may hold them, and the terms that are one edit
+    #: or none away from a word.
     find_postings: Callable[[list[str]], DataFrame] | None = None
-    find_typos: Callable[[list[str]], DataFrame] | None = None
+    find_typos: Callable[[str], DataFrame] | None = None
 
     @property
     def postings(self) -> DataFrame:
@@ -88,22 +88,23 @@ def among(column: Column, values: list[str]) -> Column:
 
 #: Values that a filter names by tens.
 BY_TENS = 200
-#: Lengths of terms that are kept without each of their characters, so that those one edit away are found by name.
+#: Lengths of terms that are kept by their halves, so that those one edit away are found by name.
 TYPO_LENGTHS = range(3, 33)
 
 
 def one_off(word: str) -> list[str]:
-    """``word``, and what is left of it without each of its characters. Two words that are one edit apart
-    have one of these in common."""
-    return sorted({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))})
+    """The forms of all terms that may be one edit away from ``word``. An edit falls into one half of a term
+    and leaves the other: the word begins with the first half, or it ends with the second one."""
+    sizes = range(len(word) - 1, len(word) + 2)
+    return [f for n in sizes for f in (f"{n}<{word[: n // 2]}", f"{n}>{word[len(word) - (n - n // 2) :]}")]
 
 
 def typo_forms(terms: DataFrame) -> DataFrame:
-    """``(form, term)``: the same for every term of ``TYPO_LENGTHS``."""
+    """``(form, term)``: the length of every term of ``TYPO_LENGTHS`` with its first and with its second half."""
     term, size = F.col("term"), F.length("term")
-    cut = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring(term, F.lit(1), i - 1), F.substring(term, i + 1, size)))
-    rows = terms.select("term").distinct().where(size.between(TYPO_LENGTHS[0], TYPO_LENGTHS[-1]))
-    return rows.select(F.explode(F.array_distinct(F.array_append(cut, term))).alias("form"), "term")
+    half = F.floor(size / 2).cast("int")
+    halves = F.array(F.concat(size, F.lit("<"), F.substring(term, F.lit(1), half)), F.concat(size, F.lit(">"), F.substring(term, half + 1, size)))
+    return terms.where(size.between(TYPO_LENGTHS[0], TYPO_LENGTHS[-1])).select(F.explode(halves).alias("form"), "term")
 
 
 def field_terms(docs: DataFrame, camel: bool = False) -> DataFrame:

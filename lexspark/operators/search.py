@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import extension, py_tokenize
 from ..plans.query import Fuzzy, Query, parse_query
-from .index import FIELDS, TYPO_LENGTHS, Index, among, one_off
+from .index import FIELDS, TYPO_LENGTHS, Index, among
 
 #: Expanded terms up to which they are sought by name.
 EXPANDED = 5_000
@@ -72,7 +72,7 @@ def dictionary_of(index: Index, wanted: list[str], fuzzy: Fuzzy) -> DataFrame:
         if edits > 1 or edits and (index.find_typos is None or not {len(word) - 1, len(word) + 1} <= set(TYPO_LENGTHS)):
             return index.terms
         if edits:
-            found = index.find_typos(one_off(word)).limit(EXPANDED + 1).collect()
+            found = index.find_typos(word).limit(EXPANDED + 1).collect()
             if len(found) > EXPANDED:
                 return index.terms
             names |= {r["term"] for r in found}

@@ -38,9 +38,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.query import Settings
-from .index import Index, among, build_index, typo_forms
+from .index import Index, among, build_index, one_off, typo_forms
 
-SCHEMA_VERSION = 4
+SCHEMA_VERSION = 5
 #: Parts of one tier that are merged, and how much larger the next tier is.
 FAN = 4
 #: Seconds that files outlive the snapshot that names them.
@@ -188,10 +188,12 @@ class IndexStore:
 
     def _write_postings(self, postings: DataFrame, out: str) -> None:
         """Dealt by term, so that a search for few terms reads few files, and few row groups of them."""
-        postings.repartitionByRange("term").sortWithinPartitions("term", "field").write.parquet(f"{out}/postings")
-        written = self.spark.read.schema(_DOCS["postings"]).parquet(f"{out}/postings")
-        zones = written.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("term").alias("least"), F.max("term").alias("greatest"))
-        zones.coalesce(1).write.json(f"{out}/zones")  # one row a file
+        postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{out}/postings")
+        # a file lies in order of terms: its first and its last row have the least and the greatest one
+        rows = self.spark.read.schema(_DOCS["postings"]).parquet(f"{out}/postings").select("term", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+        last = rows.groupBy("file").agg(F.max("at").alias("last"))
+        ends = rows.join(F.broadcast(last), "file").where("at = 0 or at = last")  # one row a file
+        ends.groupBy("file").agg(F.min("term").alias("least"), F.max("term").alias("greatest")).coalesce(1).write.json(f"{out}/zones")
 
     def _zones(self, part: str) -> list[tuple[str, str, str]]:
         """Files of postings, the least and the greatest term of each; a part never changes, so they are read once."""
@@ -235,14 +237,15 @@ class IndexStore:
 
     def _sums(self, part: str, old: Index | None) -> str:
         """What the part adds to the dictionary and the averages, less what it takes out of ``old``."""
-        new = Index(*(self._read(part, t, _DOCS[t]) for t in ("fields", "manifest")))
+        # postings lie in order of terms, so that those of a term are counted where they are read
+        new = Index(*(self._read(part, t, _DOCS[t]) for t in ("fields", "manifest")), held_postings=self._read(part, "postings", _DOCS["postings"]))
         signed = [(new, 1)]
         if old is not None:
             paths = self._read(part, "gone", "path string")
             signed.append((Index(old.fields.join(paths, "path", "left_semi"), old.manifest.join(paths, "path", "left_semi")), -1))
         terms = totals = None
         for index, sign in signed:
-            rows = index.fields.select("field", F.explode("terms").alias("term"), F.lit(sign).alias("df"))
+            rows = index.postings.select("field", "term", F.lit(sign).alias("df"))
             count = index.manifest.agg(F.lit("").alias("field"), F.lit(0).cast("long").alias("total"), (F.count("*") * sign).alias("n"))
             sizes = index.fields.select("field", (F.col("len") * sign).cast("long").alias("total"), F.lit(0).cast("long").alias("n")).unionByName(count)
             terms, totals = (rows, sizes) if terms is None else (terms.unionByName(rows), totals.unionByName(sizes))
@@ -389,11 +392,12 @@ class IndexStore:
         n = totals.agg(F.sum("n").alias("n"))
         fields = totals.groupBy("field").agg(F.sum("total").alias("total")).where("total > 0")
         stats = fields.join(F.broadcast(n)).select("field", "n", (F.col("total") / F.col("n")).alias("avg_len"))  # one row
-        return Index(self._rows(parts, "fields"), self._rows(parts, "manifest"), settings.split_camel_case, self._rows(parts, "postings"), terms, stats, lambda names: self._rows(parts, "postings", names), lambda forms: self._typos(parts, forms))
+        return Index(self._rows(parts, "fields"), self._rows(parts, "manifest"), settings.split_camel_case, self._rows(parts, "postings"), terms, stats, lambda names: self._rows(parts, "postings", names), lambda word: self._typos(parts, word))
 
-    def _typos(self, parts: list[Part], forms: list[str]) -> DataFrame:
-        """Terms of which one of the forms is left when a character goes, or none."""
-        each = [self._read(p.name, f"{p.sums}/typos", _TYPOS).where(among(F.col("form"), forms)) for p in parts]
+    def _typos(self, parts: list[Part], word: str) -> DataFrame:
+        """Terms one edit away from the word, or none."""
+        found = among(F.col("form"), one_off(word)) & (F.levenshtein("term", F.lit(word), 1) >= 0)
+        each = [self._read(p.name, f"{p.sums}/typos", _TYPOS).where(found) for p in parts]
         out = each[0]
         for more in each[1:]:
             out = out.unionByName(more)
