@@ -214,15 +214,17 @@ class IndexStore:
     def _weigh(self, part: str) -> int:
         return self._read(part, "manifest", _DOCS["manifest"]).count() + self._read(part, "gone", "path string").count()
 
-    def _new_part(self, fields: DataFrame, manifest: DataFrame, gone: DataFrame) -> str:
-        """Terms of documents are written first, so that texts are tokenised once."""
+    def _new_part(self, fields: DataFrame, manifest: DataFrame, gone: DataFrame | None) -> str:
+        """Terms of documents are written first, so that texts are tokenised once. ``gone``: paths that the part removes;
+        it replaces those of its own documents as well, which are read back from it. None: it is a whole index."""
         part = uuid.uuid4().hex
         out = f"{self.root}/parts/{part}"
         fields.write.parquet(f"{out}/fields")
         held = Index(self._read(part, "fields", _DOCS["fields"]), manifest)
         self._write_postings(held.postings, out)
         manifest.write.parquet(f"{out}/manifest")
-        gone.select("path").distinct().write.parquet(f"{out}/gone")
+        own = self._read(part, "manifest", _DOCS["manifest"]).select("path")
+        (own.limit(0) if gone is None else gone.select("path").unionByName(own).distinct()).write.parquet(f"{out}/gone")
         return part
 
     def _write_sums(self, part: str, terms: DataFrame, totals: DataFrame) -> str:
@@ -269,7 +271,7 @@ class IndexStore:
         from there, :class:`StoreMoved` is raised and nothing changes."""
         if not settings.use_cache:
             return ""
-        part = self._new_part(index.fields, index.manifest, self.spark.createDataFrame([], "path string"))
+        part = self._new_part(index.fields, index.manifest, None)
         held = Part(part, self._sums(part, None), self._weigh(part))
         while True:
             number = max(self._numbers(), default=0)
@@ -288,7 +290,7 @@ class IndexStore:
             return ""
         base, snapshot = self._base(settings)
         new = build_index(docs, settings.split_camel_case)
-        part = self._new_part(new.fields, new.manifest, gone.select("path").unionByName(docs.select("path")))
+        part = self._new_part(new.fields, new.manifest, gone)
         held = Part(part, self._sums(part, snapshot), self._weigh(part))
         if meanwhile:
             meanwhile()

@@ -60,3 +60,20 @@ def test_a_query_of_a_store_keeps_no_second_index(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(Q, "index_of", kept)
     for name in ("q_store_search", "q_store_lookup", "q_store_typos"):
         assert Q.QUERIES[name](spark, sf_dir).count()
+
+
+def test_a_change_reads_its_documents_for_terms_and_manifest_only(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+    schema = "path string, mtime long, kind string, content string, basename string, directory string, aliases string, tags string, headings1 string, headings2 string, headings3 string"
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    docs = spark.createDataFrame([(f"d{i}.md", i, "text", "granite", *[""] * 7) for i in range(8)], schema).mapInPandas(counted, schema)
+    store = IndexStore(spark, f"file://{tmp_path}/ix")
+    store.apply(spark.createDataFrame([("old.md",)], "path string"), docs, Settings())
+    part = store._valid(Settings())[1][0].name
+    assert {r.path for r in store._read(part, "gone", "path string").collect()} == {"old.md", *(f"d{i}.md" for i in range(8))}
+    assert read.value <= 2 * 8
