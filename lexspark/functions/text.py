@@ -26,19 +26,18 @@ LONGEST = 64
 
 
 @cache
-def diacritic_class() -> str:
-    """Java regex class of the Unicode property Diacritic, which Java lacks, read from ICU."""
+def diacritics() -> str:
+    """Characters of the Unicode property Diacritic, which Java lacks, read from ICU."""
     jvm = SparkSession.active().sparkContext._jvm
     held = jvm.com.ibm.icu.text.UnicodeSet("[:Diacritic:]")
     spans = [(held.getRangeStart(i), held.getRangeEnd(i)) for i in range(held.getRangeCount())]
-    # most letters are ASCII: a bit test spares them the long way through all ranges
-    return r"(?![\x00-\x5D\x5F\x61-\x7F])[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
+    return "".join(chr(c) for a, b in spans for c in range(a, b + 1))
 
 
 def normalize(raw: Column) -> Column:
     """NFKD, without diacritics, in lower case; ASCII takes the short way."""
     apart = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.coalesce(raw, F.lit("")), F.lit(True))
-    return F.when(raw.rlike(r"^[\x00-\x5D\x5F\x61-\x7F]*$"), F.lower(raw)).otherwise(F.lower(F.regexp_replace(apart, diacritic_class(), "")))
+    return F.when(raw.rlike(r"^[\x00-\x5D\x5F\x61-\x7F]*$"), F.lower(raw)).otherwise(F.lower(F.translate(apart, diacritics(), "")))
 
 
 def trim_joiners(col: Column) -> Column:

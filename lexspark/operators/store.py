@@ -189,10 +189,11 @@ class IndexStore:
     def _write_postings(self, postings: DataFrame, out: str) -> None:
         """Dealt by term, so that a search for few terms reads few files, and few row groups of them."""
         postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{out}/postings")
-        # a file lies in order of terms: its first and its last row have the least and the greatest one
+        # a file lies in order of terms: its first and its last row have the least and the greatest one. Rows are told by their
+        # number alone, so some of other files' lasts come along, and change neither
         rows = self.spark.read.schema(_DOCS["postings"]).parquet(f"{out}/postings").select("term", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
-        last = rows.groupBy("file").agg(F.max("at").alias("last"))
-        ends = rows.join(F.broadcast(last), "file").where("at = 0 or at = last")  # one row a file
+        edges = rows.groupBy("file").agg(F.max("at").alias("at")).select(F.explode(F.array(F.lit(0).cast("long"), "at")).alias("at")).distinct()
+        ends = rows.join(F.broadcast(edges), "at", "left_semi")  # two numbers a file, at most
         ends.groupBy("file").agg(F.min("term").alias("least"), F.max("term").alias("greatest")).coalesce(1).write.json(f"{out}/zones")
 
     def _zones(self, part: str) -> list[tuple[str, str, str]]:
@@ -212,7 +213,7 @@ class IndexStore:
         return out
 
     def _weigh(self, part: str) -> int:
-        return self._read(part, "manifest", _DOCS["manifest"]).count() + self._read(part, "gone", "path string").count()
+        return self._read(part, "manifest", _DOCS["manifest"]).select("path").unionByName(self._read(part, "gone", "path string")).count()
 
     def _new_part(self, fields: DataFrame, manifest: DataFrame, gone: DataFrame | None) -> str:
         """Terms of documents are written first, so that texts are tokenised once. ``gone``: paths that the part removes;
@@ -258,11 +259,9 @@ class IndexStore:
         if not others:
             return False
         paths = self._read(part, "gone", "path string")
-        theirs = [self._read(p.name, "gone", "path string") for p in others] + [self._read(p.name, "manifest", _DOCS["manifest"]).select("path") for p in others]
-        for held in theirs:
-            if paths.join(held, "path", "left_semi").limit(1).count():
-                return True
-        return False
+        names = [p.name for p in others]
+        theirs = self._union(names, "gone", "path string").unionByName(self._union(names, "manifest", _DOCS["manifest"]).select("path"))
+        return paths.join(theirs, "path", "left_semi").limit(1).count() > 0
 
     # --- changes ---
 
@@ -344,8 +343,9 @@ class IndexStore:
         out = f"{self.root}/parts/{part}"
         for table in ("fields", "manifest"):
             self._rows(run, table).write.parquet(f"{out}/{table}")
-        self._write_postings(self._rows(run, "postings"), out)
-        gone = self._union(run, "gone", "path string").distinct()
+        # replaced paths are left out of fields already, which have far fewer rows than postings
+        self._write_postings(Index(self._read(part, "fields", _DOCS["fields"]), self._read(part, "manifest", _DOCS["manifest"])).postings, out)
+        gone = self._union([p.name for p in run], "gone", "path string").distinct()
         (gone.limit(0) if first else gone).write.parquet(f"{out}/gone")
         terms, totals = (self._union_sums(run, t) for t in _SUMS)
         sums = self._write_sums(part, terms, totals)
@@ -353,11 +353,8 @@ class IndexStore:
 
     # --- snapshots ---
 
-    def _union(self, parts: list[Part], table: str, schema: str) -> DataFrame:
-        out = self._read(parts[0].name, table, schema)
-        for p in parts[1:]:
-            out = out.unionByName(self._read(p.name, table, schema))
-        return out
+    def _union(self, names: list[str], table: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/parts/{n}/{table}" for n in names])
 
     def _union_sums(self, parts: list[Part], table: str) -> DataFrame:
         each = [self._read(p.name, f"{p.sums}/{table}", _SUMS[table]) for p in parts]

@@ -77,3 +77,47 @@ def test_a_change_reads_its_documents_for_terms_and_manifest_only(spark, tmp_pat
     part = store._valid(Settings())[1][0].name
     assert {r.path for r in store._read(part, "gone", "path string").collect()} == {"old.md", *(f"d{i}.md" for i in range(8))}
     assert read.value <= 2 * 8
+
+
+def test_writers_compare_the_snapshot_once(spark, sf_dir, monkeypatch):
+    seen, compare = spark.sparkContext.accumulator(0), Q.manifest_diff
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    monkeypatch.setattr(Q, "manifest_diff", lambda *held: compare(*held).mapInPandas(counted, "path string, action string"))
+    assert Q.QUERIES["q_store_writers"](spark, sf_dir).count()
+    assert 0 < seen.value <= Q._turns(spark, sf_dir).count()
+
+
+def test_a_merge_joins_no_row_of_postings(spark, tmp_path, monkeypatch):
+    schema = "path string, mtime long, kind string, content string, basename string, directory string, aliases string, tags string, headings1 string, headings2 string, headings3 string"
+    store, settings, joined = IndexStore(spark, f"file://{tmp_path}/ix"), Settings(), []
+    rows = IndexStore._rows
+    monkeypatch.setattr(IndexStore, "_rows", lambda self, parts, table, *names: joined.append(table) or rows(self, parts, table, *names))
+    merging = IndexStore._merge
+
+    def merge(self, *held, **named):
+        joined.clear()
+        out = merging(self, *held, **named)
+        merged.append(list(joined))
+        return out
+
+    merged = []
+    monkeypatch.setattr(IndexStore, "_merge", merge)
+    none = spark.createDataFrame([], "path string")
+    for k, path in enumerate(("a.md", "b.md", "a.md", "c.md")):  # the third replaces the first
+        store.apply(none, spark.createDataFrame([(path, k, "text", f"granite word{k}", *[""] * 7)], schema), settings)
+    assert merged and all("postings" not in m for m in merged)
+    held = store.load(settings)
+    assert {(r.path, r.term) for r in held.postings.collect()} == {(p, t) for p, k in (("a.md", 2), ("b.md", 1), ("c.md", 3)) for t in ("granite", f"word{k}")}
+
+
+def test_diacritics_are_taken_out_without_a_pattern(spark):
+    held = T.diacritics()
+    assert {"^", "`", "́", "̈"} <= set(held) and len(held) == len(set(held)) > 1000
+    assert "regexp_replace" not in spark.createDataFrame([("a",)], "t string").select(T.normalize(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    row = spark.createDataFrame([("".join(f"x{c}" for c in held) + "ÉÜß",)], "t string").select(T.normalize(F.col("t")).alias("n")).first()
+    assert row.n.replace("x", "").strip().endswith("euß") and not set(row.n) & {"^", "`", "́", "̈"}
