@@ -22,6 +22,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,39 +45,55 @@ REMEMBERED = 20_000
 #: from which those that resemble no other are found first.
 COMPARED, MANY = 1 << 15, 64
 _VARIABLE = 0
-_DIGITS = bytes(range(48, 58))
 
 
 _POWERS = np.multiply.accumulate(np.full(1 << 12, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
+def _tokens(joined: bytes, edges: np.ndarray) -> np.ndarray:
+    """Hash of each word of ``joined``, 0 of one that holds a digit; words begin and end in turn at ``edges``."""
+    if not len(edges):
+        return np.empty(0, dtype=np.uint64)
+    # words and what lies between them, in turn: so values follow one another as Arrow needs them
+    every = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(joined)])
+    coded = every.dictionary_encode()
+    hashes = hash_words(coded.dictionary.to_numpy(zero_copy_only=False))
+    hashes[pc.match_substring_regex(coded.dictionary, "[0-9]").to_numpy(zero_copy_only=False)] = _VARIABLE
+    return hashes[coded.indices.to_numpy()[::2]]
+
+
 class Lines:
-    """All lines of some texts at once. A line has its text's number, its token hashes (0 for
-    a token that holds a digit), its leaf and the hash of itself, its form."""
-
-    def __init__(self, raws: list[bytes | None]) -> None:
-        split = [(raw or b"").split(b"\n") for raw in raws]
-        self.lines = [line for own in split for line in own]
-        self.text = np.repeat(np.arange(len(split)), [len(own) for own in split])
-        words = [line.split() for line in self.lines]
-        self.size = np.array([len(w) for w in words], dtype=np.int64)
-        flat = [w for own in words for w in own]
-        self.tokens = hash_words(flat) if flat else np.empty(0, dtype=np.uint64)
-        self.start = np.r_[0, np.cumsum(self.size)]
-        for i, line in enumerate(self.lines):
-            if self.size[i] and len(line.translate(None, _DIGITS)) != len(line):
-                for j, w in enumerate(words[i]):
-                    if len(w.translate(None, _DIGITS)) != len(w):
-                        self.tokens[self.start[i] + j] = _VARIABLE
-        place = np.arange(len(flat)) - np.repeat(self.start[:-1], self.size)
+    """All lines of some texts at once. A line has its text's number, its place in that text, its token
+    hashes (0 for a token that holds a digit), its leaf and the hash of itself, its form. Each different
+    word of the texts is hashed once."""
+
+    def __init__(self, raws: pa.Array) -> None:
+        raws = pc.fill_null(raws, b"")
+        joined = b"\n".join(raws.to_pylist())
+        held = np.frombuffer(joined, dtype=np.uint8)
+        blank = np.ones(len(held) + 2, dtype=bool)
+        blank[1:-1] = (held == 32) | (held - np.uint8(9) < 5)
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        newline = np.flatnonzero(held == 10)
+        line_start = np.r_[0, newline + 1]
+        text_start = np.cumsum(np.r_[0, pc.binary_length(raws).to_numpy()[:-1] + 1])
+        self.text = np.searchsorted(text_start, line_start, side="right") - 1
+        self.place = np.arange(len(line_start)) - np.searchsorted(line_start, text_start)[self.text]
+        self.start = np.r_[0, np.searchsorted(edges[::2], newline), len(edges) // 2]
+        self.size = np.diff(self.start)
+        self.tokens = _tokens(joined, edges)
+        place = np.arange(len(self.tokens)) - np.repeat(self.start[:-1], self.size)
         while place.size and place.max() >= len(_POWERS):  # pragma: no cover - lines of many thousand tokens
             place = np.where(place >= len(_POWERS), place - len(_POWERS) + 1, place)
         with np.errstate(over="ignore"):
             weighted = (self.tokens + np.uint64(1)) * _POWERS[place]
-            lead = np.where(place < DEPTH, weighted, np.uint64(0))
             length = self.size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            lead = np.zeros(len(self.size), dtype=np.uint64)
+            for i in range(DEPTH):
+                longer = np.flatnonzero(self.size > i)
+                lead[longer] += weighted[self.start[longer] + i]
             self.form = mix(self._sums(weighted) + length)
-            self.leaf = mix(self._sums(lead) ^ length)
+            self.leaf = mix(lead ^ length)
 
     def _sums(self, values: np.ndarray) -> np.ndarray:
         """Sum over each line's tokens; a difference of running sums, exact modulo 2**64."""
@@ -84,14 +101,6 @@ class Lines:
             run = np.r_[np.zeros(1, dtype=np.uint64), np.cumsum(values, dtype=np.uint64)]
             return run[self.start[1:]] - run[self.start[:-1]]
 
-    def distinct(self) -> np.ndarray:
-        """Numbers of lines with a word, one for each different form of a text."""
-        at = np.flatnonzero(self.size)
-        order = at[np.lexsort((self.form[at], self.text[at]))]
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = (self.form[order][1:] != self.form[order][:-1]) | (self.text[order][1:] != self.text[order][:-1])
-        return order[first]
-
     def sketches(self, n: int) -> np.ndarray:
         """(n, PLACES) bytes: a text's runs of three tokens fall to places by their hash, and the least
         of each place leaves a byte (0: none). A text of one or two tokens is one run."""
@@ -104,12 +113,11 @@ class Lines:
             for size in (1, 2):
                 short = begin[ends - begin == size]
                 runs[short] = mix(self.tokens[short] + np.uint64(size)) ^ (self.tokens[short + 1] if size == 2 else np.uint64(0))
-            inner = np.ones(len(owner), dtype=bool)
+            place = owner * PLACES + (runs >> np.uint64(58)).astype(np.int64)
             for back in (1, 2):  # runs that reach into the next text
                 edge = ends - back
-                inner[edge[edge > begin]] = False
-            place = owner[inner] * PLACES + (runs[inner] >> np.uint64(58)).astype(np.int64)
-            np.minimum.at(least, place, runs[inner])
+                runs[edge[edge > begin]] = np.iinfo(np.uint64).max
+            np.minimum.at(least, place, runs)
         mark = (mix(least) >> np.uint64(32)) % np.uint64(255) + np.uint64(1)
         return np.where(least == np.iinfo(np.uint64).max, 0, mark).astype(np.uint8).reshape(n, PLACES)
 
@@ -126,28 +134,28 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same >= COPY * np.count_nonzero(a | b, axis=1)
 
 
-_FORM = "leaf long, form long, tokens binary, sketch binary"
+_TEXT = "key long, sketch binary, place array<int>, form array<long>, leaf array<long>, tokens array<binary>"
 
 
 def _emit(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """One row for each different line of each text, copies of a text in the batch apart; 16 bits of each
-    token are carried."""
-    lines = Lines(batch.column(0).to_pylist())
-    at = lines.distinct()
-    sketch = lines.sketches(batch.num_rows)
-    _, alike = np.unique(sketch, axis=0, return_inverse=True)
-    kind = alike.reshape(-1)[lines.text[at]]
-    order = np.lexsort((kind, lines.form[at]))
-    at, kind = at[order], kind[order]
-    if len(at):
-        form = lines.form[at]
-        keep = np.r_[True, (form[1:] != form[:-1]) | (kind[1:] != kind[:-1])]
-        at = at[keep]
-    short = (lines.tokens >> np.uint64(48)).astype(np.uint16).tobytes()
-    tokens = [short[2 * a : 2 * b] for a, b in zip(lines.start[at].tolist(), lines.start[at + 1].tolist(), strict=True)]
-    own = [row.tobytes() for row in sketch]
-    columns = [pa.array(key_long(lines.leaf[at])), pa.array(key_long(lines.form[at])), pa.array(tokens, pa.binary()), pa.array([own[t] for t in lines.text[at].tolist()], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["leaf", "form", "tokens", "sketch"])
+    """One row for each different text with a word: its key, its sketch and its lines that have one; 16 bits of
+    each token are carried."""
+    _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+    batch = batch.take(pa.array(np.sort(first)))
+    lines = Lines(batch.column(1))
+    at = np.flatnonzero(lines.size)
+    held = np.bincount(lines.text[at], minlength=batch.num_rows)
+    edges = pa.array(np.r_[0, np.cumsum(held)].astype(np.int32))
+    tokens = _runs(2 * np.r_[lines.start[at], lines.start[-1]], (lines.tokens >> np.uint64(48)).astype(np.uint16))
+    values = [pa.array(lines.place[at], pa.int32()), pa.array(key_long(lines.form[at])), pa.array(key_long(lines.leaf[at])), tokens]
+    sketch = _runs(PLACES * np.arange(batch.num_rows + 1), lines.sketches(batch.num_rows))
+    columns = [batch.column(0), sketch, *(pa.ListArray.from_arrays(edges, v) for v in values)]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "sketch", "place", "form", "leaf", "tokens"]).filter(pa.array(held > 0))
+
+
+def _runs(edges: np.ndarray, values: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` between each of ``edges`` and the next."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(values.tobytes())])
 
 
 def _bands(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -192,18 +200,28 @@ _CLASSED = "leaf long, form long, tokens binary, class long"
 
 
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of each form that are among its least classes so far: no other can decide."""
+    """Texts -> rows of their lines, those of each form that are among its least classes so far: no other
+    can decide."""
     seen: dict[int, list[int]] = {}
     for batch in batches:
+        lengths = batch.column(1).value_lengths().to_numpy()
+        leaf, form, tokens = (batch.column(i).flatten() for i in range(3))
+        own = np.repeat(batch.column(3).to_numpy(), lengths)
+        rows = pa.RecordBatch.from_arrays([leaf, form, tokens, pa.array(own)], names=["leaf", "form", "tokens", "class"])
+        forms = form.to_numpy()
+        order = np.lexsort((own, forms))
+        again = (forms[order][1:] == forms[order][:-1]) & (own[order][1:] == own[order][:-1])
+        at = order[np.r_[True, ~again]] if len(order) else order
         keep = []
-        for form, own in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            held = seen.get(form)
+        for i, f, c in zip(at.tolist(), forms[at].tolist(), own[at].tolist(), strict=True):
+            held = seen.get(f)
             if held is None:
                 held = []
                 if len(seen) < REMEMBERED:
-                    seen[form] = held
-            keep.append(least_classes(held, own))
-        yield batch.filter(pa.array(keep, pa.bool_()))
+                    seen[f] = held
+            if least_classes(held, c):
+                keep.append(i)
+        yield rows.take(pa.array(keep, pa.int64()))
 
 
 def segments(width: int) -> list[tuple[int, int]]:
@@ -325,22 +343,14 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(closed(), pa.int64())], names=["form"])
 
 
-def recurring_forms(docs: DataFrame, root: str, text_col: str = "text") -> DataFrame:
+def recurring_forms(texts: DataFrame, root: str) -> DataFrame:
     """``(form)``: the hashes of all lines whose template recurs across documents."""
-    rows = materialise(map_arrow(docs.select(text_bytes(text_col)), _emit, _FORM), f"{root}/rows")
-    own = classes(rows.select("sketch"), root)
-    classed = rows.join(own, "sketch", "left").select("leaf", "form", "tokens", F.coalesce("class", F.xxhash64("sketch")).alias("class"))
+    own = classes(texts.select("sketch"), root)
+    classed = texts.join(own, "sketch", "left").select("leaf", "form", "tokens", F.coalesce("class", F.xxhash64("sketch")).alias("class"))
     dealt = classed.mapInArrow(_thin, _CLASSED).repartition("leaf").sortWithinPartitions("leaf", "form", "class")
     return dealt.mapInArrow(_grow, "form long").distinct()
 
 
-def _by_line(batch: pa.RecordBatch) -> pa.RecordBatch:
-    lines = Lines(batch.column(1).to_pylist())
-    at = lines.distinct()
-    keys = batch.column(0).to_numpy()[lines.text[at]]
-    return pa.RecordBatch.from_arrays([pa.array(key_long(lines.form[at])), pa.array(keys)], names=["form", "key"])
-
-
 def _zip(batch: pa.RecordBatch) -> pa.RecordBatch:
     squeeze = zstandard.ZstdCompressor(level=1).compress
     packed = [None if raw is None else squeeze(raw) for raw in batch.column(0).to_pylist()]
@@ -348,21 +358,19 @@ def _zip(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _trim(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Texts without their lost lines; only texts that lose some are hashed again."""
+    """Texts without their lost lines, which are told by their places."""
     expand = zstandard.ZstdDecompressor().decompress
     texts = [None if raw is None else expand(raw) for raw in batch.column(0).to_pylist()]
-    counts = [sum(map(bool, map(bytes.strip, (raw or b"").split(b"\n")))) for raw in texts]
-    dropped = np.zeros(len(texts), dtype=np.int64)
-    gone = batch.column(1)
-    some = [i for i in range(len(texts)) if gone[i].is_valid]
-    lines = Lines([texts[i] for i in some])
-    begin = np.searchsorted(lines.text, np.arange(len(some) + 1))
-    for k, i in enumerate(some):
-        a, b = begin[k], begin[k + 1]
-        drop = np.isin(key_long(lines.form[a:b]), gone[i].values.to_numpy()) & (lines.size[a:b] > 0)
-        dropped[i] = drop.sum()
-        texts[i] = b"\n".join([lines.lines[a + j] for j in np.flatnonzero(~drop).tolist()])
-    columns = [*batch.columns[2:], pa.array(texts, pa.binary()), pa.array(counts, pa.int64()), pa.array(dropped)]
+    counts, dropped = [], []
+    for i, gone in enumerate(batch.column(1).to_pylist()):
+        split = (texts[i] or b"").split(b"\n")
+        counts.append(sum(map(bool, map(bytes.strip, split))))
+        dropped.append(len(gone or ()))
+        if gone:
+            for place in gone:
+                split[place] = None
+            texts[i] = b"\n".join([line for line in split if line is not None])
+    columns = [*batch.columns[2:], pa.array(texts, pa.binary()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())]
     return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[2:], "kept_text", "n_lines", "n_dropped"])
 
 
@@ -378,17 +386,19 @@ def line_dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
     require(docs, text_col)
     out = ("kept_text", "n_lines", "n_dropped")
     root = shared_dir(docs.sparkSession)
-    forms = materialise(recurring_forms(docs, root, text_col), f"{root}/forms")
-    remove_dirs(docs.sparkSession, root, "rows", "sketches", "classes")
+    # Equal texts hold equal lines: the text's hash carries what it loses, not a row's id. Texts are cut into
+    # tokens once; from there on a line is known by its form and its place.
+    texts = materialise(map_arrow(docs.select(F.xxhash64(text_col).alias("key"), text_bytes(text_col)), _emit, _TEXT), f"{root}/texts")
+    forms = materialise(recurring_forms(texts, root), f"{root}/forms")
     keep = [c for c in docs.columns if c.lower() not in out]
     lead, gone, key = fresh(docs, "__raw"), fresh(docs, "__gone"), fresh(docs, "__key")
-    # Equal texts hold equal lines: the text's hash carries what it loses, not a row's id.
     keyed = docs.select(text_bytes(text_col).alias(lead), F.xxhash64(text_col).alias(key), *keep)
-    lines = map_arrow(docs.select(F.xxhash64(text_col).alias("key"), text_bytes(text_col)), _by_line, "form long, key long")
-    lost = lines.join(forms, "form").groupBy(F.col("key").alias(key)).agg(F.collect_set("form").alias(gone))
+    lines = texts.select("key", F.inline(F.arrays_zip("place", "form")))
+    lost = lines.join(forms, "form").groupBy(F.col("key").alias(key)).agg(F.collect_set("place").alias(gone))
     # Written, one row a text, and merged at every size: a join of two scans can be split where one
     # text has many copies, and no executor holds all of what is lost.
     lost = materialise(lost, f"{root}/lost").hint("merge")
+    remove_dirs(docs.sparkSession, root, "texts", "sketches", "classes", "forms")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     packed = map_arrow(keyed, _zip, f"`{lead}` binary, `{key}` long, {kinds}")
     joined = packed.join(lost, key, "left").select(lead, gone, *keep)

@@ -146,3 +146,51 @@ def test_least_classes_are_free_of_order():
         for c in own:
             module.least_classes(held, c)
         assert held == sorted(set(own))[:DOCUMENTS]
+
+
+def test_a_text_is_cut_into_tokens_once(spark, monkeypatch):
+    """Words hashed in all passes: no more than there are, for each text is cut once and its different words are hashed."""
+    hashed, deal = spark.sparkContext.accumulator(0), module.map_arrow
+
+    def counted(df, fn, schema, *more):
+        def run(batch):
+            seen, real = [], module.hash_words
+            module.hash_words = lambda words: seen.append(len(words)) or real(words)
+            try:
+                return fn(batch)
+            finally:
+                module.hash_words = real
+                hashed.add(sum(seen))
+
+        return deal(df, run, schema, *more)
+
+    monkeypatch.setattr(module, "map_arrow", counted)
+    rnd = random.Random(12)
+    rows = [(i, "\n".join([*(prose(12, rnd) for _ in range(10)), "one line that every page has at its end"])) for i in range(100)]
+    out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert all(r.n_dropped == 1 for r in out)
+    assert 0 < hashed.value <= sum(len(t.split()) for _, t in rows)
+
+
+def test_only_the_first_tokens_of_a_long_line_lead(spark):
+    rnd = random.Random(13)
+    line = rnd.choices(VOCABULARY, k=5000)
+    rows = []
+    for i in range(DOCUMENTS):
+        own = [*line]
+        own[4096:4099] = [f"{w}{'abcde'[i]}" for w in own[4096:4099]]
+        rows.append((i, "\n".join([*(prose(12, rnd) for _ in range(1600)), " ".join(own)])))
+    assert all(n == 1 for _, n in kept(spark, rows, 2).values())
+
+
+def test_lines_are_cut_as_bytes_are_split():
+    rnd = random.Random(14)
+    for _ in range(500):
+        raws = [rnd.choice([None, b"", b"\n"]) if rnd.random() < 0.2 else bytes(rnd.choices(b"ab1 \n\t\x0b\x0c\r\x00\xff\x1c\x85\xa0", k=rnd.randrange(30))) for _ in range(rnd.randint(1, 6))]
+        lines = module.Lines(module.pa.array(raws, module.pa.binary()))
+        plain = [(t, p, line.split()) for t, raw in enumerate(raws) for p, line in enumerate((raw or b"").split(b"\n"))]
+        assert list(zip(lines.text.tolist(), lines.place.tolist(), lines.size.tolist(), strict=True)) == [(t, p, len(w)) for t, p, w in plain]
+        words = [w for _, _, own in plain for w in own]
+        fixed = [None if re.search(rb"[0-9]", w) else w for w in words]
+        of = dict(zip(fixed, lines.tokens.tolist(), strict=True))
+        assert [of[w] for w in fixed] == lines.tokens.tolist() and len(set(of.values())) == len(of) and of.get(None, 0) == 0
