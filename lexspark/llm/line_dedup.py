@@ -134,23 +134,23 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same >= COPY * np.count_nonzero(a | b, axis=1)
 
 
-_TEXT = "key long, sketch binary, place array<int>, form array<long>, leaf array<long>, tokens array<binary>"
+_TEXT = "key long, twin long, sketch binary, place array<int>, form array<long>, leaf array<long>, tokens array<binary>"
 
 
 def _emit(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """One row for each different text with a word: its key, its sketch and its lines that have one; 16 bits of
+    """One row for each different text with a word: its keys, its sketch and its lines that have one; 16 bits of
     each token are carried."""
-    _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+    _, first = np.unique(np.stack([batch.column(i).to_numpy() for i in range(2)]), axis=1, return_index=True)
     batch = batch.take(pa.array(np.sort(first)))
-    lines = Lines(batch.column(1))
+    lines = Lines(batch.column(2))
     at = np.flatnonzero(lines.size)
     held = np.bincount(lines.text[at], minlength=batch.num_rows)
     edges = pa.array(np.r_[0, np.cumsum(held)].astype(np.int32))
     tokens = _runs(2 * np.r_[lines.start[at], lines.start[-1]], (lines.tokens >> np.uint64(48)).astype(np.uint16))
     values = [pa.array(lines.place[at], pa.int32()), pa.array(key_long(lines.form[at])), pa.array(key_long(lines.leaf[at])), tokens]
     sketch = _runs(PLACES * np.arange(batch.num_rows + 1), lines.sketches(batch.num_rows))
-    columns = [batch.column(0), sketch, *(pa.ListArray.from_arrays(edges, v) for v in values)]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "sketch", "place", "form", "leaf", "tokens"]).filter(pa.array(held > 0))
+    columns = [*batch.columns[:2], sketch, *(pa.ListArray.from_arrays(edges, v) for v in values)]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "twin", "sketch", "place", "form", "leaf", "tokens"]).filter(pa.array(held > 0))
 
 
 def _runs(edges: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -386,20 +386,22 @@ def line_dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
     require(docs, text_col)
     out = ("kept_text", "n_lines", "n_dropped")
     root = shared_dir(docs.sparkSession)
-    # Equal texts hold equal lines: the text's hash carries what it loses, not a row's id. Texts are cut into
+    # Equal texts hold equal lines: two hashes of the text carry what it loses, not a row's id. Texts are cut into
     # tokens once; from there on a line is known by its form and its place.
-    texts = materialise(map_arrow(docs.select(F.xxhash64(text_col).alias("key"), text_bytes(text_col)), _emit, _TEXT), f"{root}/texts")
+    hashes = F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col)
+    cut = map_arrow(docs.select(hashes[0].alias("key"), hashes[1].alias("twin"), text_bytes(text_col)), _emit, _TEXT)
+    texts = materialise(cut, f"{root}/texts")
     forms = materialise(recurring_forms(texts, root), f"{root}/forms")
     keep = [c for c in docs.columns if c.lower() not in out]
-    lead, gone, key = fresh(docs, "__raw"), fresh(docs, "__gone"), fresh(docs, "__key")
-    keyed = docs.select(text_bytes(text_col).alias(lead), F.xxhash64(text_col).alias(key), *keep)
-    lines = texts.select("key", F.inline(F.arrays_zip("place", "form")))
-    lost = lines.join(forms, "form").groupBy(F.col("key").alias(key)).agg(F.collect_set("place").alias(gone))
+    lead, gone, key, twin = (fresh(docs, stem) for stem in ("__raw", "__gone", "__key", "__twin"))
+    keyed = docs.select(text_bytes(text_col).alias(lead), hashes[0].alias(key), hashes[1].alias(twin), *keep)
+    lines = texts.select("key", "twin", F.inline(F.arrays_zip("place", "form")))
+    lost = lines.join(forms, "form").groupBy(F.col("key").alias(key), F.col("twin").alias(twin)).agg(F.collect_set("place").alias(gone))
     # Written, one row a text, and merged at every size: a join of two scans can be split where one
     # text has many copies, and no executor holds all of what is lost.
     lost = materialise(lost, f"{root}/lost").hint("merge")
     remove_dirs(docs.sparkSession, root, "texts", "sketches", "classes", "forms")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    packed = map_arrow(keyed, _zip, f"`{lead}` binary, `{key}` long, {kinds}")
-    joined = packed.join(lost, key, "left").select(lead, gone, *keep)
+    packed = map_arrow(keyed, _zip, f"`{lead}` binary, `{key}` long, `{twin}` long, {kinds}")
+    joined = packed.join(lost, [key, twin], "left").select(lead, gone, *keep)
     return map_arrow(joined, _trim, f"{kinds}, kept_text binary, n_lines long, n_dropped long").withColumn("kept_text", F.col("kept_text").cast("string"))

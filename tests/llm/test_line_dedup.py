@@ -194,3 +194,11 @@ def test_lines_are_cut_as_bytes_are_split():
         fixed = [None if re.search(rb"[0-9]", w) else w for w in words]
         of = dict(zip(fixed, lines.tokens.tolist(), strict=True))
         assert [of[w] for w in fixed] == lines.tokens.tolist() and len(set(of.values())) == len(of) and of.get(None, 0) == 0
+
+
+def test_texts_that_share_one_hash_stay_apart():
+    pa = module.pa
+    texts = [b"one two three", b"four\nfive six", b"one two three", None]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 7, 7, 8]), pa.array([1, 2, 1, 1]), pa.array(texts, pa.binary())], names=["key", "twin", "text"])
+    out = module._emit(batch).to_pylist()
+    assert [(r["key"], r["twin"], r["place"], [len(t) for t in r["tokens"]]) for r in out] == [(7, 1, [0], [6]), (7, 2, [0, 1], [2, 4])]
