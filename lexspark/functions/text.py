@@ -141,6 +141,48 @@ def holding(words: list[str]) -> str:
     return rf"(?<![{inside}])(?=[{inside}]*?(?:{some}))[{inside}]+"
 
 
+def _quoted(words: list[str]) -> list[str]:
+    """Those of the words that a token of ASCII can hold, as patterns."""
+    return [w.replace("-", r"\-") for w in words if regex.fullmatch(r"[a-z0-9_'-]+", w)]
+
+
+_ASCII, _INSIDE, _PART = "[A-Za-z0-9_'-]", TOKEN[1:-2], r"\p{L}\p{N}\p{M}"
+#: What lies between two tokens of ASCII that count.
+_BETWEEN = rf"[^{_INSIDE}]++(?:(?:[-'_]++|{_ASCII}{{{LONGEST + 1},}}+)(?![{_INSIDE}])[^{_INSIDE}]++)*+"
+
+
+def _spelled(word: str) -> str:
+    """Pattern of a token of ASCII of which ``word`` is the whole form or, without joiners, a part."""
+    before, after = ("[-'_]*+", "[-'_]*+") if regex.search(JOINERS, word) else (rf"(?:[A-Za-z0-9]*+[-'_]++){{0,{LONGEST}}}?", f"(?:[-'_]{_ASCII}*+)?")
+    return f"{before}(?i:{_quoted([word])[0]}){after}(?![{_INSIDE}])"
+
+
+def _perhaps(words: list[str]) -> str:
+    """Pattern of a token of which some part between joiners may be the first part of a word: each of its letters stands there, or
+    a character that is not ASCII, for that may spell any letters or none, but no joiner."""
+    other = rf"[[{_PART}]&&[^\x00-\x7F]]*+"
+    parts = ["".join(f"(?i:{c})?+{other}" for c in regex.split(JOINERS, w)[0] if c.isascii() and c.isalnum()) for w in words]
+    return rf"(?:[{_PART}]*+{JOINERS}+){{0,{LONGEST}}}?{other}(?:{'|'.join(parts)})(?:{JOINERS[:-1]}|(?![{_INSIDE}]))"
+
+
+def in_ascii(words: list[str]) -> list[str]:
+    """Patterns of the texts where tokens of ASCII with the words among their forms, camel-case parts aside, follow each other; a
+    text must fit both, and few fit the first, quick one alone. None if tokens of ASCII cannot hold the words."""
+    if len(_quoted(words)) < len(words):
+        return []
+    each = [f"(?={_spelled(w)})(?={_ASCII}{{1,{LONGEST}}}+(?![{_INSIDE}])){_ASCII}++" for w in words]
+    return [_BETWEEN.join([f"(?i:{_quoted(words)[0]})(?:[-'_]{_ASCII}*+)?+(?![{_INSIDE}])", *each[1:]]), f"(?<![{_INSIDE}])" + _BETWEEN.join(each)]
+
+
+def chains_of(words: list[str], camel: bool = False) -> str:
+    """Pattern of the longest chains of as many tokens as words or more of which each may hold one of the words or may not
+    count. Loops are possessive: others take a call of the stack a turn."""
+    loose = "|".join([rf"[[{_INSIDE}]&&[^\x00-\x7F]]", *_quoted(words)])
+    some = rf"[{_INSIDE}]*?(?i:{loose})|[-'_]++(?![{_INSIDE}])" if camel else _perhaps(words)
+    one = rf"(?:(?={some})[{_INSIDE}]++|[{_INSIDE}]{{{LONGEST + 1},}}+)"
+    return rf"(?<![{_INSIDE}]){one}(?:[^{_INSIDE}]++{one}){{{len(words) - 1},}}+"
+
+
 #: A token of ASCII that counts, in a gap between others.
 PASSED = rf"(?<![A-Za-z0-9_'-])(?=[_'-]*[A-Za-z0-9])[A-Za-z0-9_'-]{{1,{LONGEST}}}(?![A-Za-z0-9_'-])"
 SPAN = "pos", "start", "length", "line", "variants"

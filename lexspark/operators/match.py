@@ -6,10 +6,12 @@ documents are those of a result page or all of a collection.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import frontmatter_end, let, lf, line_of_offset, may_hold, phrase_sequence, py_significant, py_tokenize, running_sums, span_rows, spans_of
+from ..functions.text import chains_of, frontmatter_end, in_ascii, let, lf, line_of_offset, normalize, phrase_sequence, py_significant, py_tokenize, running_sums, span_rows, spans_of
 from ..functions.text import extension as extension_of
 
 RADIUS, WINDOW = 120, 240
@@ -86,35 +88,44 @@ def approx_phrase_offsets(spans: DataFrame, phrase: str, key: str = "path", most
     return _places(spans, key, fits, most)
 
 
-def contains_phrase(docs: DataFrame, phrase: str, key: str = "path", text: str = "content", camel: bool = False) -> DataFrame:
-    """Keys of documents whose text holds the phrase. Texts that are plain ASCII and lack one of its
-    words as a string of characters are not tokenised."""
-    words = phrase_sequence(phrase)
+def holds_phrase(text: Column, words: list[str], camel: bool = False) -> Column:
+    """Whether the text holds the whole forms ``words`` in a row; false without text or words. Where tokens of ASCII spell them, one
+    pattern tells; of other texts only chains of tokens that may hold a word, or may not count, are cut into spans."""
     if not words:
-        return docs.select(key).limit(0)
-    held = docs
-    for w in words:
-        held = held.where(may_hold(F.col(text), [w]))
-    found = _runs_of(spans_of(F.col(text), camel, words), _whole_fits(words))
-    return held.where(F.size(found) > 0).select(key).distinct()
+        return F.lit(False)
+    whole, other = F.coalesce(text, F.lit("")), r"[^\x00-\x7F]"
+
+    def held(chain: Column) -> Column:
+        spelled = let(normalize(chain), lambda low: reduce(Column.__and__, [low.contains(w) for w in words]))
+        return (F.lit(True) if camel else chain.rlike(other)) & spelled & (F.size(_runs_of(spans_of(chain, camel, words), _whole_fits(words))) > 0)
+
+    chains = F.exists(F.regexp_extract_all(whole, F.lit(chains_of(words, camel)), 0), held)
+    plain = [whole.rlike(p) for p in in_ascii(words)] or [F.lit(False)]
+    return F.when(reduce(Column.__and__, plain), True).otherwise(chains if camel else whole.rlike(other) & chains)
+
+
+def contains_phrase(docs: DataFrame, phrase: str, key: str = "path", text: str = "content", camel: bool = False) -> DataFrame:
+    """Keys of documents whose text holds the phrase."""
+    return docs.where(holds_phrase(F.col(text), phrase_sequence(phrase), camel)).select(key).distinct()
 
 
 def refine(hits: DataFrame, docs: DataFrame, phrases: list[str], excluded: list[str], camel: bool = False, text_like: tuple[str, ...] | None = None, page: bool = False) -> DataFrame:
     """Hits whose text holds every phrase and no excluded one; without phrases all hits, and no text
-    is read. With ``text_like``, files of other kinds pass unverified. Texts are tested where they are read, and paths alone
-    meet the hits. ``page``: the hits are few, and only their texts are tested."""
+    is read. With ``text_like``, files of other kinds pass unverified. Texts are read once and tested where they are read, and
+    paths alone meet the hits. ``page``: the hits are few, and only their texts are tested."""
     if not phrases and not excluded:
         return hits
-    texts = docs.select("path", "content")
+    of_kind = lambda df: df.where(extension_of(F.col("path")).isin(*text_like)) if text_like else df
+    texts = of_kind(docs.select("path", "content"))
     if page:
         texts = texts.join(F.broadcast(hits.select("path")), "path", "left_semi")  # as many as the page has
-    unread = hits.where(~extension_of(F.col("path")).isin(*text_like)) if text_like else None
-    out = hits.where(extension_of(F.col("path")).isin(*text_like)) if text_like else hits
-    for p in phrases:
-        out = out.join(contains_phrase(texts, p, camel=camel), "path", "left_semi")
-    for p in excluded:
-        out = out.join(contains_phrase(texts, p, camel=camel), "path", "left_anti")
-    return out.unionByName(unread) if unread is not None else out
+    holds = lambda p: holds_phrase(F.col("content"), phrase_sequence(p), camel)
+    some = reduce(Column.__or__, [holds(p) for p in excluded], F.lit(False))
+    if phrases:
+        out = of_kind(hits).join(texts.where(reduce(Column.__and__, [*[holds(p) for p in phrases], ~some])).select("path"), "path", "left_semi")
+    else:
+        out = of_kind(hits).join(texts.where(some).select("path"), "path", "left_anti")
+    return out.unionByName(hits.where(~extension_of(F.col("path")).isin(*text_like))) if text_like else out
 
 
 def matched_term(variants: Column, terms: Column) -> Column:

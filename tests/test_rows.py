@@ -35,6 +35,29 @@ def test_phrases_agree_with_all_tokens_and_move_none(spark):
         assert "Exchange" not in text and "Sort" not in text and "Window" not in text
 
 
+ODD = ["is-the the", "xIs TheX", "thé’is the", "ﬁ is the", "is " + "-" * 70 + " the", "ís t\u0301he", "isé thé", "well-known is", "’ is ’ the", "é " * 5000, "a-" * 5000 + "is the", "is the-", "K the", "is, x the"]
+
+
+def test_phrases_by_patterns_are_those_of_all_tokens(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS + ODD)), "k long, t string")
+    for camel in (False, True):
+        every = T.token_spans(df, "k", "t", camel).persist()
+        for phrase in ("is the", "the", "fi is", "well-known is", "k the", "é é"):
+            want = {r.k for r in M.phrase_offsets(every, phrase, "k").collect()}
+            assert {r.k for r in M.contains_phrase(df, phrase, "k", "t", camel).collect()} == want and want, phrase
+
+
+def test_a_refined_search_reads_texts_once_and_cuts_few_into_spans(spark, tmp_path):
+    spark.createDataFrame([("a.md", "is the"), ("b.md", "this is the of the"), ("c.txt", "no"), ("d.md", "thesis the"), ("e.md", None)], "path string, content string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    hits = spark.createDataFrame([(p,) for p in ("a.md", "b.md", "c.txt", "d.md", "e.md", "gone.md")], "path string")
+    out = M.refine(hits, docs, ["is the"], ["of the"], text_like=("md",))
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted(r.path for r in out.collect()) == ["a.md", "c.txt"]
+    assert sorted(r.path for r in M.refine(hits, docs, [], ["of the"]).collect()) == ["a.md", "c.txt", "d.md", "e.md", "gone.md"]
+    assert docs.where(F.regexp_count("content", F.lit(T.chains_of(["is", "the"]))) > 0).count() == 2  # only "is the" and "this is the of the" have one
+
+
 def test_small_steps_have_one_file_and_are_read_at_once(spark, tmp_path):
     docs = spark.range(100).select(F.concat("id", F.when(F.col("id") % 4 == 0, ".txt").otherwise(".md")).alias("path"))
     dealt = deal_steps(docs, f"file://{tmp_path}/one", 10)
