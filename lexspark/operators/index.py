@@ -42,7 +42,8 @@ class Index:
         return self.fields.select("path", "field", F.explode("terms").alias("term"), "len")
 
     def postings_of(self, names: list[str]) -> DataFrame:
-        return self.find_postings(names) if self.find_postings else self.postings.where(among(F.col("term"), names))
+        """A store looks into the files that may hold the terms; of other indexes each posting is tried against a set."""
+        return self.find_postings(names) if self.find_postings else self.postings.where(F.col("term").isin(names))
 
     @property
     def lengths(self) -> DataFrame:

@@ -94,21 +94,36 @@ def _weights(index: Index, wanted: list[str], fuzzy: Fuzzy, config: ScoringConfi
     return F.broadcast(held), sorted({r["term"] for r in rows})
 
 
-def score_terms(index: Index, wanted: list[str], fuzzy: Fuzzy, config: ScoringConfig = ScoringConfig()) -> DataFrame:
-    """``(path, score, matched, terms)`` of every document that holds an expansion of a term.
+def _answers(term: Column, wanted: list[str], fuzzy: Fuzzy, config: ScoringConfig) -> Column:
+    """Whether an index term is an expansion of a wanted one."""
+    out = F.lit(False)
+    for i, q in enumerate(wanted):
+        out = out | expansion_weight(term, q, i == len(wanted) - 1, fuzzy, config).isNotNull()
+    return out
 
-    Only expanded terms meet the postings, which a store keeps in order of terms. Products are
-    per posting; the maximum over expansions and the sum over fields and terms are two
-    aggregations that both start on the map side.
+
+def score_terms(index: Index, wanted: list[str], fuzzy: Fuzzy, config: ScoringConfig = ScoringConfig(), part: list[str] | None = None) -> DataFrame:
+    """``(path, score, matched, terms)`` of every document that holds an expansion of a term; with ``part``, some of the terms,
+    the same over these alone as ``part_score``, ``part_matched``, ``part_terms``.
+
+    Only expanded terms meet the postings, which a store keeps in order of terms; where they are too many to be sought by name,
+    postings are tried against the wanted terms before any of them moves. Products are
+    per posting; one exchange by path serves the maximum over expansions and the sum over fields and terms.
     """
     weights, names = _weights(index, wanted, fuzzy, config)
-    postings = index.postings if names is None else index.postings_of(names)
+    postings = index.postings.where(_answers(F.col("term"), wanted, fuzzy, config)) if names is None else index.postings_of(names)
     hits = postings.join(weights, ["field", "term"])
     norm = config.k1 * (1 - config.b + config.b * F.col("len") / F.col("avg_len")) + 1
     boost = F.create_map(*[F.lit(x) for pair in FIELDS.items() for x in pair])[F.col("field")]
-    hits = hits.withColumn("s", boost * F.col("gain") * ((config.k1 + 1) / norm + config.delta))
-    best = hits.groupBy("path", "q", "field").agg(F.max("s").alias("s"), F.collect_set("term").alias("t"))
-    return best.groupBy("path").agg(F.sum("s").alias("score"), F.countDistinct("q").alias("matched"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("t")))).alias("terms"))
+    hits = hits.select("path", "q", "field", "term", (boost * F.col("gain") * ((config.k1 + 1) / norm + config.delta)).alias("s"))
+    best = hits.repartition("path").groupBy("path", "q", "field").agg(F.max("s").alias("s"), F.collect_set("term").alias("t"))
+    spelled = lambda *held: F.sort_array(F.array_distinct(F.flatten(F.concat(*[F.collect_list(t) for t in held]))))
+    if part is None:
+        return best.groupBy("path").agg(F.sum("s").alias("score"), F.size(F.collect_set("q")).alias("matched"), spelled(F.col("t")).alias("terms"))
+    of_part = lambda c: F.when(F.col("q").isin(part), F.col(c))
+    rest = F.when(~F.col("q").isin(part), F.col("t"))
+    own = [F.sum(of_part("s")).alias("part_score"), F.size(F.collect_set(of_part("q"))).alias("part_matched"), spelled(of_part("t")).alias("part_terms")]
+    return best.groupBy("path").agg(F.sum("s").alias("score"), F.size(F.collect_set("q")).alias("matched"), spelled(of_part("t"), rest).alias("terms"), *own)
 
 
 def exclude_terms(hits: DataFrame, index: Index, words: list[str]) -> DataFrame:
@@ -133,6 +148,13 @@ def filter_paths(hits: DataFrame, query: Query) -> DataFrame:
     return hits
 
 
+def _worth_the_same(wanted: list[str], again: list[str], fuzzy: Fuzzy) -> bool:
+    """Whether each term of ``again`` is one of ``wanted`` and has the same expansions there: only the last term may be the
+    beginning of others at fewer than ``prefix_min`` characters."""
+    lasts = {wanted[-1], again[-1]} if again else set()
+    return set(again) <= set(wanted) and (len(lasts) == 1 or all(len(t) >= fuzzy.prefix_min or len(t) < 2 for t in lasts))
+
+
 def ranked(index: Index, query: Query, limit: int = 50, fuzzy: Fuzzy = Fuzzy(), config: ScoringConfig = ScoringConfig()) -> DataFrame:
     """All hits before the limit: documents with every term and, if those are fewer than
     ``limit`` before any filter, documents with some term of three characters or more. Whether
@@ -141,23 +163,29 @@ def ranked(index: Index, query: Query, limit: int = 50, fuzzy: Fuzzy = Fuzzy(),
     wanted = py_tokenize(query.text, index.camel) if query.text else []
     if not wanted:
         return spark.createDataFrame([], HIT)
-    scored = score_terms(index, wanted, fuzzy, config)
     every = F.col("matched") == len(wanted)
-    full = scored.where(every)
     some = [t for t in wanted if len(t) >= 3]
+    again = py_tokenize(" ".join(some), index.camel)
+    together = some and again != wanted and _worth_the_same(wanted, again, fuzzy)  # else one that is scored anew, or nothing more
+    scored = score_terms(index, wanted, fuzzy, config, again if together else None)
+    full = scored.where(every)
+    rounded = lambda c: F.round(c, config.digits).alias("score")
     if not some:
-        hits = full.select("path", F.round("score", config.digits).alias("score"), "terms")
+        hits = full.select("path", rounded(F.col("score")), "terms")
     else:
-        again = py_tokenize(" ".join(some), index.camel)
         # asks for all columns, so that its plan is that of the hits and what it has exchanged serves both
-        few = full.where("score is not null and size(terms) > 0").limit(limit).agg(F.count("*").alias("n")).scalar() < limit
+        held = "score is not null and size(terms) > 0" + (" and (part_score is null or part_matched >= 0 and size(part_terms) >= 0)" if together else "")
+        few = full.where(held).limit(limit).agg(F.count("*").alias("n")).scalar() < limit
+        penalised = lambda score, matched: F.col(score) * F.lit(config.any_penalty) * F.col(matched) / len(some)
         if again == wanted:  # one scoring serves both passes
-            penalty = F.when(every, 1.0).otherwise(F.lit(config.any_penalty) * F.col("matched") / len(some))
-            hits = scored.where(every | few).select("path", F.round(F.col("score") * penalty, config.digits).alias("score"), "terms")
+            hits = scored.where(every | few).select("path", rounded(F.when(every, F.col("score")).otherwise(penalised("score", "matched"))), "terms")
+        elif together:
+            shown = F.when(every, F.col("terms")).otherwise(F.col("part_terms")).alias("terms")
+            score = rounded(F.when(every, F.col("score")).otherwise(penalised("part_score", "part_matched")))
+            hits = scored.where(every | few & (F.col("part_matched") > 0)).select("path", score, shown)
         else:
             part = score_terms(index, again, fuzzy, config).where(few).join(full.select("path"), "path", "left_anti")
-            penalised = F.col("score") * config.any_penalty * F.col("matched") / len(some)
-            hits = full.select("path", F.round("score", config.digits).alias("score"), "terms").unionByName(part.select("path", F.round(penalised, config.digits).alias("score"), "terms"))
+            hits = full.select("path", rounded(F.col("score")), "terms").unionByName(part.select("path", rounded(penalised("score", "matched")), "terms"))
     return filter_paths(exclude_terms(hits, index, query.excluded_terms), query)
 
 
