@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chains_of, frontmatter_end, in_ascii, let, lf, line_of_offset, normalize, phrase_sequence, py_significant, py_tokenize, running_sums, span_rows, spans_of
@@ -156,8 +156,8 @@ def _wanted(terms: list[str] | Column) -> Column:
     return terms if isinstance(terms, Column) else F.array(*[F.lit(t) for t in terms]).cast("array<string>")
 
 
-def term_offsets(spans: DataFrame, terms: list[str] | Column, key: str = "path", most: int | None = 2000) -> DataFrame:
-    """``(key, start, length, term)`` of the spans that match a term; ``terms`` may be a column of what
+def term_offsets(spans: DataFrame, terms: list[str] | Column, key: str = "path", most: int | None = None) -> DataFrame:
+    """``(key, start, length, term)`` of the spans that match a term, or of the first ``most`` of each document; ``terms`` may be a column of what
     :func:`span_rows` keeps beside them."""
     rows = _held(spans, key).select(key, F.explode(_upto(_terms_of(F.col("spans"), _wanted(terms)), most)).alias("m"))
     return rows.select(key, "m.start", "m.length", "m.term")
@@ -165,20 +165,17 @@ def term_offsets(spans: DataFrame, terms: list[str] | Column, key: str = "path",
 
 def best_window(matches: DataFrame, key: str = "path", chars: int = WINDOW) -> DataFrame:
     """The matches of each document inside its best stretch of ``chars``: most different terms,
-    then most matches, then first. A document's matches come together once, as one row; their
-    number is bounded by the cap on matches of a document."""
-    rest = [c for c in matches.columns if c not in (key, "start")]
-    held = matches.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", *rest))).alias("m"))
-
-    def stretch(h: Column) -> Column:
-        """What ends at a match: its score, and where it begins and ends."""
-        inside = F.filter("m", lambda x: (x["start"] <= h["start"]) & (x["start"] >= F.least(h["start"], h["start"] + h["length"] - chars)))
-        terms = F.size(F.array_distinct(F.transform(inside, lambda x: x["term"])))
-        return F.struct(terms.alias("d"), F.size(inside).alias("c"), (-h["start"]).alias("early"), inside[0]["start"].alias("from"), h["start"].alias("to"))
-
-    best = held.withColumn("best", F.array_max(F.transform("m", stretch)))
-    rows = best.select(key, F.explode(F.filter("m", lambda x: (x["start"] >= F.col("best")["from"]) & (x["start"] <= F.col("best")["to"]))).alias("x"))
-    return rows.select(*[F.col(c) if c == key else F.col("x")[c].alias(c) for c in matches.columns])
+    then most matches, then first. However many a document has, one is held against those of the stretch before it
+    alone, and none are put into one row but these."""
+    start, before = F.col("start"), Window.partitionBy(key).orderBy("start").rangeBetween(-chars, 0)
+    near = F.collect_list(F.struct("start", "term")).over(before)
+    inside = F.filter("near", lambda x: x["start"] >= F.least(start, start + F.col("length") - chars))
+    terms = F.size(F.array_distinct(F.transform("inside", lambda x: x["term"])))
+    # what ends at a match: its score, and where it begins and ends
+    stretch = F.struct(terms.alias("d"), F.size("inside").alias("c"), (-start).alias("early"), F.array_min("inside")["start"].alias("from"), start.alias("to"))
+    rows = matches.withColumn("near", near).withColumn("inside", inside).select(*matches.columns, stretch.alias("stretch"))
+    best = rows.withColumn("best", F.max("stretch").over(Window.partitionBy(key)))
+    return best.where(start.between(F.col("best.from"), F.col("best.to"))).select(*matches.columns)
 
 
 def highlight(text: Column, offsets: Column, base: Column | int = 0, before: str = "<mark>", after: str = "</mark>") -> Column:

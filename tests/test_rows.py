@@ -1,5 +1,6 @@
 """Spans stay in the row of their document."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
@@ -7,6 +8,7 @@ from lexspark.operators import match as M
 from lexspark.operators.engine import deal_steps, in_steps
 from lexspark.operators.search import ScoringConfig, expansion_weight
 from lexspark.plans.query import Fuzzy
+from lexspark.queries import ORACLE_SQL, QUERIES
 from lexspark.streaming import pending
 
 TEXTS = ["is the", "is -- the", "is é the", "is\nall the", "Is “thé” end", "is " + "x" * 65 + " the", "isthe", "is ́ the", "this the other", None, ""]
@@ -58,6 +60,26 @@ def test_a_refined_search_reads_texts_once_and_cuts_few_into_spans(spark, tmp_pa
     assert docs.where(F.regexp_count("content", F.lit(T.chains_of(["is", "the"]))) > 0).count() == 2  # only "is the" and "this is the of the" have one
 
 
+def test_the_best_window_may_lie_behind_any_number_of_matches(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    far = "thing " + "filler " * 40
+    rows = [(1, far * 2500 + "thing, ation"), (2, "thing " * 700 + "x " * 200 + "Thing-ation ation"), (3, "thing ation " * 300), (4, "no"), (5, None), (6, "ation")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert M.term_offsets(T.span_rows(spark.createDataFrame(rows, "k long, t string"), "k", "t", words=["thing"]), ["thing"], "k").where("k = 1").count() == 2501
+    got = QUERIES["q_excerpt_window"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["q_excerpt_window"]).fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert [r.start for r in got.where("doc_id = 1").orderBy("start").collect()] == [2500 * len(far), 2500 * len(far) + 7]
+
+
+def test_a_window_is_held_against_its_stretch_alone(spark):
+    rows = spark.range(40_000).select(F.lit("d").alias("path"), (F.col("id") * 2).cast("int").alias("start"), F.lit(1).alias("length"), F.when(F.col("id") == 39_000, "b").otherwise("a").alias("term"))
+    out = M.best_window(rows).agg(F.min("start"), F.max("start"), F.count("*")).first()
+    assert tuple(out) == (77_762, 78_000, 120)  # most terms, most matches, first
+
+
 def test_small_steps_have_one_file_and_are_read_at_once(spark, tmp_path):
     docs = spark.range(100).select(F.concat("id", F.when(F.col("id") % 4 == 0, ".txt").otherwise(".md")).alias("path"))
     dealt = deal_steps(docs, f"file://{tmp_path}/one", 10)
